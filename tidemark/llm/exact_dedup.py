@@ -19,7 +19,9 @@ gives an empty result; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import LOCATOR, located, stored, whole_text, work_dir
@@ -34,6 +36,30 @@ _STATE_CONF = {
 }
 
 
+#: Let Spark drop texts that cannot hit by a Bloom filter of bounded size before they are shuffled.
+_BLOOM_CONF = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": "4000000",
+}
+
+
+@contextmanager
+def _configured(spark: SparkSession, conf: dict[str, str]):
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def _digest(text: Column, hex_digits: int) -> Column:
     return F.substring(F.sha2(text, 256), 1, hex_digits)
 
@@ -53,10 +79,7 @@ def _stream_classes(digests: DataFrame, path: str, work: str, trigger: dict[str,
         batch.write.mode("overwrite").parquet(f"{work}/updates/batch={number}")
         done.append(number)
 
-    before = {k: spark.conf.get(k, None) for k in _STATE_CONF}
-    try:
-        for k, v in _STATE_CONF.items():
-            spark.conf.set(k, v)
+    with _configured(spark, _STATE_CONF):
         query = (
             state.writeStream.outputMode("update")
             .option("checkpointLocation", f"{work}/checkpoint")
@@ -65,12 +88,6 @@ def _stream_classes(digests: DataFrame, path: str, work: str, trigger: dict[str,
             .start()
         )
         query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
     if not done:
         return spark.createDataFrame([], state.schema)
     updates = spark.read.schema(state.schema).parquet(f"{work}/updates")
@@ -102,17 +119,19 @@ def exact_dedup(
     )
     classes = stored(_stream_classes(digests, f"{work}/digests", work, trigger), f"{work}/classes")
 
-    hits = classes.where("group_size > 1").select("digest", "keep")
+    hits = classes.where("group_size > 1")
     at_keeper = [F.col(c) == F.col(f"keep.{c}") for c in LOCATOR]
-    keepers = stored(
-        keyed.withColumnRenamed("digest", "d")
-        .join(hits, [F.col("d") == F.col("digest"), *at_keeper])
-        .select("digest", F.col("text").alias("keeper_text")),
-        f"{work}/keepers",
-    )
-    differing = stored(
-        keyed.join(keepers, "digest").where("text <> keeper_text").select("digest", *LOCATOR), f"{work}/differing"
-    )
+    with _configured(spark, _BLOOM_CONF):
+        keepers = stored(
+            keyed.withColumnRenamed("digest", "d")
+            .join(hits, [F.col("d") == F.col("digest"), *at_keeper])
+            .select("digest", "group_size", F.col("text").alias("keeper_text")),
+            f"{work}/keepers",
+        )
+        differing = stored(
+            keyed.join(keepers.where("group_size > 1"), "digest").where("text <> keeper_text").select("digest", *LOCATOR),
+            f"{work}/differing",
+        )
     matched = digests.join(classes, "digest")
     if not differing.isEmpty():
         matched = _split_collisions(keyed, digests, matched, differing, work)

@@ -7,8 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import quality
+from tidemark.llm.ann import nearest
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.packing import pack
+from tidemark.llm.simhash import near_duplicates
+from tidemark.llm.token_counts import token_counts
+
+
+def _tokenizer(name: str) -> str:
+    """Where a public tokenizer's file lies on this machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -58,10 +70,42 @@ FROM r
 """
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_read(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), limit=4096)
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(_read(spark, sf_dir, "documents"), words=3, max_bits=2, seed=42)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), window=1024, end_id=0)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    weights, _ = quality.train(quality.labelled_rows(docs, _read(spark, sf_dir, "labels"), "quality"))
+    scored = quality.score(docs, weights)
+    return scored.select(
+        "doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_token_counts": op2_token_counts,
         "op4_mixing": op4_mixing,
+        "op6_simhash": op6_simhash,
+        "op7_packing": op7_packing,
+        "op9_quality": op9_quality,
+        "op10_ann": op10_ann,
     }
 
 
