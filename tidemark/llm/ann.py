@@ -111,7 +111,7 @@ def nearest(
     n_tables: int = 2,
     n_functions: int = 6,
     width: float = 2.0,
-    reach: float = 0.4,
+    reach: float = 0.55,
     likeness: float = 0.4,
     block_rows: int = 2048,
     query_rows: int = 4096,

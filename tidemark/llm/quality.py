@@ -69,10 +69,10 @@ class Ftrl:
         w = -(z - np.sign(z) * self.l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2)
         return np.where(np.abs(z) <= self.l1, 0.0, w)
 
-    def learn(self, index: np.ndarray, value: np.ndarray, label: float, weight: float) -> None:
+    def learn(self, index: np.ndarray, value: np.ndarray, label: float) -> None:
         w = self.weights(index)
         p = 1 / (1 + np.exp(-np.clip(w @ value, -35, 35)))
-        g = (p - label) * weight * value
+        g = (p - label) * value
         n = self.n[index]
         self.z[index] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
         self.n[index] = n + g * g
@@ -81,13 +81,13 @@ class Ftrl:
 def train(
     labelled: DataFrame,
     train_docs: int = 20_000,
-    shards: int = 8,
+    shard_docs: int = 2_500,
     bits: int = 18,
-    epochs: int = 3,
-    alpha: float = 0.5,
+    epochs: int = 10,
+    alpha: float = 2.0,
     beta: float = 1.0,
-    l1: float = 0.02,
-    l2: float = 0.1,
+    l1: float = 0.05,
+    l2: float = 0.01,
 ) -> tuple[np.ndarray, float]:
     """Weights (bias last) and the share of label 1, from rows (id, text, label) of a bounded sample."""
     spark = labelled.sparkSession
@@ -98,11 +98,10 @@ def train(
     if min(counts.get(0, 0), counts.get(1, 0)) == 0:
         return np.zeros(size), (counts.get(1, 0) / total if total else 0.5)
     share = min(1.0, train_docs / total)
+    shards = max(1, round(min(total, train_docs) / shard_docs))
     place = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(7)), F.lit(1 << 20)) / float(1 << 20)
     shard = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(8)), F.lit(shards)).cast("int")
     sample = labelled.where(place < share).select("id", "text", (F.col("label") == 1).cast("double").alias("label"), shard.alias("shard"))
-    balance = {0.0: total / (2 * counts[0]), 1.0: total / (2 * counts[1])}
-
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
         model = Ftrl(bits, alpha, beta, l1, l2)
         rows = rows.sort_values("id")
@@ -114,7 +113,7 @@ def train(
         for _ in range(epochs):
             for k in order.permutation(len(examples)):
                 index, value, label = examples[k]
-                model.learn(index, value, label, balance[label])
+                model.learn(index, value, label)
         w = model.weights()
         at = np.flatnonzero(w)
         return pd.DataFrame({"feature": at, "w": w[at]})
@@ -129,7 +128,7 @@ def train(
 
 
 def score(docs: DataFrame, weights: np.ndarray, bits: int = 18, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (id, carried columns, score): the probability of label 1 under balanced classes."""
+    """Rows (id, carried columns, score): the probability of label 1."""
     rows = docs.select(F.col(id_col).alias("id"), *carry, whole_text(text_col).alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float64))
 

@@ -12,6 +12,7 @@ from tidemark.llm.ann import nearest
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.packing import pack
+from tidemark.llm.pii import BASE, find_personal_data, joined
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.token_counts import token_counts
 
@@ -74,6 +75,18 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), limit=4096)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(_read(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in BASE]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
+        joined(F.concat("base", "added")).alias("spans"),
+    )
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(_read(spark, sf_dir, "documents"), words=3, max_bits=2, seed=42)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -102,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": op1_exact_dedup,
         "op2_token_counts": op2_token_counts,
         "op4_mixing": op4_mixing,
+        "op5_pii": op5_pii,
         "op6_simhash": op6_simhash,
         "op7_packing": op7_packing,
         "op9_quality": op9_quality,
