@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,31 @@ from pyspark.sql import functions as F
 LOCATOR = ("loc_file", "loc_row")
 
 
+#: Let Spark drop texts that cannot hit by a Bloom filter of bounded size before they are shuffled.
+BLOOM_CONF = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": "4000000",
+}
+
+
+@contextmanager
+def configured(spark: SparkSession, conf: dict[str, str]):
+    """Session settings for what runs inside the block."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 

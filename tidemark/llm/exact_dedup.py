@@ -19,12 +19,10 @@ gives an empty result; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOCATOR, located, stored, whole_text, work_dir
+from tidemark.llm.common import BLOOM_CONF, LOCATOR, configured, located, stored, whole_text, work_dir
 
 _STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -36,30 +34,6 @@ _STATE_CONF = {
 }
 
 
-#: Let Spark drop texts that cannot hit by a Bloom filter of bounded size before they are shuffled.
-_BLOOM_CONF = {
-    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
-    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
-    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
-    "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": "4000000",
-}
-
-
-@contextmanager
-def _configured(spark: SparkSession, conf: dict[str, str]):
-    before = {k: spark.conf.get(k, None) for k in conf}
-    try:
-        for k, v in conf.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
-
-
 def _digest(text: Column, hex_digits: int) -> Column:
     return F.substring(F.sha2(text, 256), 1, hex_digits)
 
@@ -79,7 +53,7 @@ def _stream_classes(digests: DataFrame, path: str, work: str, trigger: dict[str,
         batch.write.mode("overwrite").parquet(f"{work}/updates/batch={number}")
         done.append(number)
 
-    with _configured(spark, _STATE_CONF):
+    with configured(spark, _STATE_CONF):
         query = (
             state.writeStream.outputMode("update")
             .option("checkpointLocation", f"{work}/checkpoint")
@@ -121,7 +95,7 @@ def exact_dedup(
 
     hits = classes.where("group_size > 1")
     at_keeper = [F.col(c) == F.col(f"keep.{c}") for c in LOCATOR]
-    with _configured(spark, _BLOOM_CONF):
+    with configured(spark, BLOOM_CONF):
         keepers = stored(
             keyed.withColumnRenamed("digest", "d")
             .join(hits, [F.col("d") == F.col("digest"), *at_keeper])

@@ -13,6 +13,7 @@ from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.packing import pack
 from tidemark.llm.pii import BASE, find_personal_data, joined
+from tidemark.llm.repeats import remove_repeats
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.token_counts import token_counts
 
@@ -96,6 +97,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), window=1024, end_id=0)
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_read(spark, sf_dir, "documents"), length=200)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     weights, _ = quality.train(quality.labelled_rows(docs, _read(spark, sf_dir, "labels"), "quality"))
@@ -118,6 +123,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_pii": op5_pii,
         "op6_simhash": op6_simhash,
         "op7_packing": op7_packing,
+        "op8_repeats": op8_repeats,
         "op9_quality": op9_quality,
         "op10_ann": op10_ann,
     }
