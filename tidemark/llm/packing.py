@@ -26,6 +26,7 @@ packed each; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections import deque
@@ -42,10 +43,17 @@ from tidemark.llm.common import whole_text
 
 SENTENCE_COST, CUT_COST = 2.0, 6.0
 #: Elsewhere, places for a cut lie so far apart.
-GRID = 16
+GRID = 64
 #: Documents are packed together up to so many ids.
 BLOCK_IDS = 1 << 18
-_MEMO_ENTRIES = 400_000
+#: Units kept for the next time; those met first, so the frequent ones.
+_MEMO_ENTRIES = 600_000
+#: Letters of ASCII and Latin-1, a mark or none; and two of these around a line break.
+_WORD = r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)"
+_WORDS = re.compile(rf"{_WORD}(?:(\n){_WORD})?")
+#: How a byte-level vocabulary writes bytes: printable ones as themselves, the others from 256 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_WRITTEN = {b: b if b in _PRINTED else 256 + sum(c not in _PRINTED for c in range(b)) for b in range(256)}
 
 
 class Encoder:
@@ -56,22 +64,37 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.marks = {m: self.model.token_to_id(w) for m, w in ((".", "."), (",", ","), ("\n", "Ċ"))}
         self.memo: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _letters(self, text: str) -> list[int]:
+        """Ids of one pre-token."""
+        return [t.id for t in self.model.model.tokenize(text.encode().decode("latin-1").translate(_WRITTEN))]
+
+    def _unit(self, unit: str) -> bytes | None:
+        """Ids of a unit after its space; None if it cannot be encoded on its own."""
+        if words := _WORDS.fullmatch(unit):  # each part is a pre-token: no need to find these
+            first, mark, line, second, last = words.groups()
+            ids = self._letters(" " + first)
+            for part in (mark, line, second, last):
+                if part:
+                    ids += [self.marks[part]] if part in self.marks else self._letters(part)
+            return array("I", ids).tobytes()
+        return None if not unit or unit[-1].isspace() else self.whole(" " + unit)
+
     def _learn(self, units: set[str]) -> dict[str, bytes] | None:
         """Ids of units not met before; None if one of them cannot be encoded on its own."""
-        new = [u for u in units if u and not u[-1].isspace()]
-        if len(new) < len(units):
-            return None
-        if len(self.memo) >= _MEMO_ENTRIES:
-            self.memo.clear()
-        coded = self.model.encode_batch_fast([" " + u for u in new], add_special_tokens=False)
-        ids = {u: array("I", c.ids).tobytes() for u, c in zip(new, coded)}
-        self.memo.update((u, i) for u, i in ids.items() if len(u) <= 64)
-        return ids
+        found = {}
+        for unit in units:
+            if (ids := self._unit(unit)) is None:
+                return None
+            found[unit] = ids
+        if len(self.memo) < _MEMO_ENTRIES:
+            self.memo.update((u, i) for u, i in found.items() if len(u) <= 64)
+        return found
 
     def encode(self, text: str) -> bytes:
         if not text:
