@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import whole_text
+from tidemark.llm.common import LOCATOR, located, whole_text
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hex digits of the hash that name a bucket: 16 ** 3 buckets in each source.
@@ -67,11 +67,12 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: id, source, size, source_size, target, repeats (whole copies taken), taken."""
+    """One row per document: id, source, size, source_size, target, repeats (whole copies taken), taken, carried columns."""
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("mix")).cast("binary"))
     sized = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(whole_text(text_col)).alias("size"), key.alias("k")
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(whole_text(text_col)).alias("size"), key.alias("k"), *carry
     ).withColumn("bucket", F.substring("k", 1, BUCKET_DIGITS))
     buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     per_source = buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))
@@ -92,5 +93,12 @@ def mix_sources(
     middle = F.col("bucket_start") + F.col("through") - F.col("size") / F.lit(2.0)
     repeats = F.col("whole") + F.when(middle < F.col("wanted"), F.lit(1)).otherwise(F.lit(0))
     return placed.select(
-        F.col("id").alias(id_col), F.col("d.source").alias(source_col), "size", "source_size", "target", repeats.cast("long").alias("repeats")
+        F.col("id").alias(id_col), F.col("d.source").alias(source_col), "size", "source_size", "target", repeats.cast("long").alias("repeats"), *carry
     ).withColumn("taken", F.col("repeats") * F.col("size"))
+
+
+def take_mix(docs: DataFrame, weights: list[float], share: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it; columns as given."""
+    rows = located(docs)
+    taken = mix_sources(rows, weights, share, max_epochs, seed, carry=LOCATOR).where("repeats > 0").select(*LOCATOR, "repeats")
+    return rows.join(taken, list(LOCATOR)).withColumn("repeats", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*docs.columns)

@@ -146,6 +146,23 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int = 18, id_col: str = "d
     return rows.mapInArrow(run, f"{schema}, score double").withColumnRenamed("id", id_col)
 
 
+def keep_good(docs: DataFrame, weights: np.ndarray, threshold: float = 0.7, bits: int = 18, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``, columns as given; no row is shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float64))
+    least = np.log(threshold / (1 - threshold))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = sent.value
+        for batch in batches:
+            good = []
+            for text in batch.column(text_col).to_pylist():
+                index, value = features(text or "", bits)
+                good.append(bool(w[index] @ value + w[-1] >= least))
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows whose crc32 of the identifier as text leaves 2 modulo 4: never trained on."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))

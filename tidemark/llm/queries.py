@@ -18,7 +18,7 @@ from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.token_counts import token_counts
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     """Where a public tokenizer's file lies on this machine."""
     import public_tokenizers
 
@@ -73,7 +73,7 @@ FROM r
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(_read(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), limit=4096)
+    return token_counts(_read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), limit=4096)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +94,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(_read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), window=1024, end_id=0)
+    return pack(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), window=1024, end_id=0)
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -261,3 +261,13 @@ def near_duplicates(
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stored(rooted.join(names, "root").select("fp", "component_id"), f"{work}/named")
     return fps.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id", *LOCATOR)
+
+
+def one_of_each_group(docs: DataFrame, words: int = 5, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component of near duplicates, the one with the smallest identifier; columns as given."""
+    groups = near_duplicates(docs, words, max_bits, id_col=id_col, text_col=text_col)
+    groups = stored(groups.select(F.col(id_col).alias("id"), "component_id", *LOCATOR), work_dir(docs.sparkSession, "simhash-groups"))
+    first = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min(F.struct(*LOCATOR)).alias("stays"))
+    stays = first.select("stays.*")
+    dropped = groups.join(stays, list(LOCATOR), "left_anti").select(*LOCATOR)
+    return located(docs).join(dropped, list(LOCATOR), "left_anti").select(*docs.columns)
