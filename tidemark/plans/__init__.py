@@ -1 +1 @@
-
+"""Registered queries of the event-study engine."""
