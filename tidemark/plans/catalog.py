@@ -1,6 +1,6 @@
 """All registered queries; importing the plan modules fills the registry."""
 
-from tidemark.plans import core, features
+from tidemark.plans import aggregates, core, features
 from tidemark.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "core", "features"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "core", "features"]

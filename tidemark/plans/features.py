@@ -114,9 +114,9 @@ def ft11(t):
     return features.latest_pay(tier_firings(t), t.pay).select("fingerprint", R(features.salary_multiple(F.col("value"), F.col("found"))).alias("salary_multiple"))
 
 
-@query("ft12_fraction_of_company", "SELECT fingerprint, round(shares / shares_outstanding::DOUBLE, 10) AS fraction FROM firing")
+@query("ft12_fraction_of_company", "SELECT fingerprint, shares / shares_outstanding::DOUBLE AS fraction FROM firing")
 def ft12(t):
-    return tier_firings(t).select("fingerprint", R(F.col("shares") / F.col("shares_outstanding"), 10).alias("fraction"))
+    return tier_firings(t).select("fingerprint", (F.col("shares") / F.col("shares_outstanding")).alias("fraction"))
 
 
 @query("ft13_point_in_time_cap", "SELECT f.fingerprint, round(f.shares_outstanding * p.close, 2) AS cap FROM firing f ASOF JOIN fx_prices p ON f.ticker = p.ticker AND f.announced >= p.dt")
@@ -188,7 +188,7 @@ n AS (SELECT p.*, datediff('day', p.dt, q.report_date) AS ahead FROM p ASOF LEFT
 l AS (SELECT n.*, datediff('day', q.report_date, n.announced) AS since FROM n ASOF LEFT JOIN (SELECT DISTINCT ticker, report_date FROM fx_reporting_dates WHERE confidence='confirmed') q ON n.ticker = q.ticker AND n.announced >= q.report_date),
 s AS (SELECT *, CASE tier WHEN 'T1a' THEN 1.0 WHEN 'T7' THEN 1.0 WHEN 'T1b' THEN 0.9 WHEN 'T2' THEN 0.7 WHEN 'T6' THEN 0.5 WHEN 'T3' THEN 0.3 WHEN 'T5' THEN
    (SELECT max(CASE tier WHEN 'T1a' THEN 1.0 WHEN 'T7' THEN 1.0 WHEN 'T1b' THEN 0.9 WHEN 'T2' THEN 0.7 WHEN 'T6' THEN 0.5 WHEN 'T3' THEN 0.3 END) FROM buys b WHERE b.ticker = l.ticker) END::DOUBLE AS who,
-  (least(1.0, greatest(0.0, (log10(value) - 3) / 3)) + least(1.0, greatest(0.0, (log10(value / traded) + 3) / 3))) / 2 AS size,
+  CASE WHEN traded IS NOT NULL THEN (least(1.0, greatest(0.0, (log10(value) - 3) / 3)) + least(1.0, greatest(0.0, (log10(value / traded) + 3) / 3))) / 2 END AS size,
   least(1.0, greatest(0.1, 1.0 - 0.9 * (log10(market_cap_gbp) - log10(20e6)) / (log10(10e9) - log10(20e6)))) AS small,
   CASE WHEN ahead <= 30 THEN 0.0 WHEN ahead <= 45 THEN 0.8 WHEN since <= 14 THEN 1.0 WHEN since IS NOT NULL OR ahead IS NOT NULL THEN 0.3 END AS timing,
   CASE WHEN m3 IS NOT NULL THEN least(1.0, greatest(0.0, 0.5 - m3)) END AS fall FROM l),
