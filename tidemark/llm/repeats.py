@@ -202,28 +202,63 @@ def _compare_groups(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.repartition("a").sortWithinPartitions("a").mapInArrow(run, f"k long, windows {_WINDOWS}")
 
 
+_BLOCK = 8
+
+
+def _blocks(row: dict, length: int) -> list[tuple[int, int, int]]:
+    """(number, first, last window) of the aligned blocks of _BLOCK distances that the context holds whole."""
+    back, n = row["back"], len(row["context"]) - length + 1
+    low = back - n + 1  # the least distance
+    numbers = range(-(-low // _BLOCK), (back + 1) // _BLOCK)
+    return [(j, back - j * _BLOCK - _BLOCK + 1, back - j * _BLOCK) for j in numbers]
+
+
 def _count_windows(contexts: DataFrame, length: int) -> DataFrame:
-    """Rows (k, windows) for single ranges of crowded groups: windows whose hash at their distance is counted twice."""
+    """Rows (k, windows) for single ranges of crowded groups, by counting hashes.
+
+    First whole blocks of windows are counted; what is left, the windows of one
+    block of each repeated kind, and those in no block or in one that is not
+    repeated, is counted window by window.
+    """
     import xxhash
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def key(row: dict, first: int, last: int, tag: int) -> int:
+        data = row["context"][first : last + length]
+        return xxhash.xxh3_64_intdigest(data, (row["a"] ^ ((row["back"] - last) * 2 + tag)) & 0xFFFFFFFFFFFFFFFF)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [
+                (key(r, x, y, 1), r["k"], r["low"], j, r["low"] + x, r["low"] + y, r["single"])
+                for r in batch.to_pylist()
+                for j, x, y in _blocks(r, length)
+            ]
+            w, *rest = zip(*out) if out else [()] * 7
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+            hashed = pa.array(np.array(w, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([hashed, *map(pa.array, rest, kinds)], ["w", "k", "low", "j", "x", "y", "single"])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                n = len(r["context"]) - length + 1
-                keys = [xxhash.xxh3_64_intdigest(r["context"][x : x + length], (r["a"] ^ (r["back"] - x)) & 0xFFFFFFFFFFFFFFFF) for x in range(n)]
+                known = set(r["known"] or ())
+                skip = {x for j, first, last in _blocks(r, length) if j in known for x in range(first, last + 1)}
+                todo = [x for x in range(len(r["context"]) - length + 1) if x not in skip]
+                keys = np.array([key(r, x, x, 0) for x in todo], np.uint64)
+                starts = np.array(todo, np.int32) + np.int32(r["low"])
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.array(keys, np.uint64).view(np.int64)),
-                        pa.array(np.full(n, r["k"])),
-                        pa.array(np.arange(r["low"], r["low"] + n, dtype=np.int32)),
-                        pa.array(np.full(n, r["single"])),
-                    ],
+                    [pa.array(keys.view(np.int64)), pa.array(np.full(len(todo), r["k"], np.int64)), pa.array(starts), pa.array(np.full(len(todo), r["single"], bool))],
                     ["w", "k", "low", "single"],
                 )
 
-    rows = contexts.mapInArrow(run, "w long, k long, low int, single boolean")
+    whole = contexts.mapInArrow(blocks, "w long, k long, low int, j int, x int, y int, single boolean")
+    kinds = whole.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "low", "j")).alias("one")).where("n > 1")
+    again = whole.join(kinds, "w").select("k", "low", "j", "x", "y", "single", (F.struct("k", "low", "j") == F.col("one")).alias("counts"))
+    known = again.where("NOT counts").groupBy("k", "low").agg(F.collect_list("j").alias("known"))
+    rows = contexts.join(known, ["k", "low"], "left").mapInArrow(windows, "w long, k long, low int, single boolean")
     twice = rows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     found = rows.where("single").join(twice, "w").select("k", F.struct(F.col("low"), F.col("low").alias("high")).alias("s"))
+    found = found.unionByName(again.where("single").select("k", F.struct(F.col("x").alias("low"), F.col("y").alias("high")).alias("s")))
     return found.groupBy("k").agg(F.collect_list("s").cast(_WINDOWS).alias("windows"))
 
 
