@@ -113,7 +113,7 @@ def nearest(
     width: float = 2.0,
     reach: float = 0.55,
     likeness: float = 0.4,
-    block_rows: int = 2048,
+    block_rows: int = 16384,
     query_rows: int = 4096,
     max_cells: int = 65536,
     seed: int = 29,
@@ -248,17 +248,18 @@ def nearest(
             return pd.DataFrame({"query_id": [], id_col: [], "score": []})
         x, owners, cell = np.stack(left["v"].to_numpy()), left["ids"].to_numpy(), left["cell"].to_numpy()
         at_block = int(left["block"].iloc[0])
+        kinds, kind_of = np.unique(cell, return_inverse=True)
         out_q, out_i, out_s = [], [], []
         for part in range(0, len(right), 256):
             some = right.iloc[part : part + 256]
             scores = np.stack(some["v"].to_numpy()) @ x.T
             for r, (query, visited) in enumerate(zip(some["query_id"], some["visited"])):
-                mine = np.flatnonzero(np.isin(cell, visited)) if at_block >= 0 else np.arange(len(cell))
+                mine = np.flatnonzero(np.isin(kinds, visited)[kind_of]) if at_block >= 0 else np.arange(len(cell))
                 s = scores[r, mine]
                 if len(s) > k + 1:
                     cut = np.partition(s, len(s) - k - 1)[len(s) - k - 1]
                     mine, s = mine[s >= cut - 1e-9], s[s >= cut - 1e-9]
-                pairs = sorted((-v, i) for m, v in zip(mine.tolist(), s.tolist()) for i in owners[m] if i != query)[: 2 * k]
+                pairs = sorted((-v, i) for m, v in zip(mine.tolist(), s.tolist()) for i in owners[m] if i != query)[: k + 4]
                 out_q += [query] * len(pairs)
                 out_i += [i for _, i in pairs]
                 out_s += [-v for v, _ in pairs]
