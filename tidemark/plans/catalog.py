@@ -1,6 +1,6 @@
 """All registered queries; importing the plan modules fills the registry."""
 
-from tidemark.plans import aggregates, core, features, quality, research
+from tidemark.plans import aggregates, core, features, quality, research, streams
 from tidemark.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregates", "core", "features", "quality", "research"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "core", "features", "quality", "research", "streams"]
