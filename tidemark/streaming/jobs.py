@@ -36,14 +36,14 @@ def run_available(stream: DataFrame, mode: str, keys: list[str], label: str) ->
     done: list[int] = []
 
     def publish(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{work}/out/n={number}")
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{work}/out/batch_number={number}")
         done.append(number)
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).foreachBatch(publish).start()
     query.awaitTermination()
     if not done:
         return spark.createDataFrame([], stream.schema)
-    rows = spark.read.parquet(f"{work}/out").drop("n")
+    rows = spark.read.parquet(f"{work}/out").drop("batch_number")
     values = [c for c in rows.columns if c not in (*keys, "_batch")]
     last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("v"))
     return last.select(*keys, "v.*")
