@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOCATOR, located, stored, whole_text, work_dir
+from tidemark.llm.common import BLOOM_CONF, LOCATOR, configured, located, stored, whole_text, work_dir
 from tidemark.llm.components import components
 
 BITS = 64
@@ -263,11 +263,120 @@ def near_duplicates(
     return fps.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id", *LOCATOR)
 
 
-def one_of_each_group(docs: DataFrame, words: int = 5, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component of near duplicates, the one with the smallest identifier; columns as given."""
-    groups = near_duplicates(docs, words, max_bits, id_col=id_col, text_col=text_col)
-    groups = stored(groups.select(F.col(id_col).alias("id"), "component_id", *LOCATOR), work_dir(docs.sparkSession, "simhash-groups"))
+# --- near duplicates by similarity ----------------------------------------------
+
+#: Partitions of the wide fingerprint and bits of each. Texts of similarity 0.8 agree in a bit with chance 0.85.
+WIDE_PARTS, PART_BITS = 40, 16
+#: Buckets up to this size give all their pairs; larger ones a star around a member that changes with the partition.
+PAIR_BUCKET = 16
+
+
+def shingle_hashes(text: str, words: int, seed: int = 42) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles."""
+    import xxhash
+
+    tokens = text.encode("utf-8", "surrogatepass").lower().split()
+    digest = xxhash.xxh64_intdigest
+    many = (digest(b" ".join(tokens[k : k + words]), seed) for k in range(max(1, len(tokens) - words + 1)))
+    return np.unique(np.fromiter(many, np.uint64)) if tokens else np.empty(0, np.uint64)
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of WIDE_PARTS * PART_BITS bits, as WIDE_PARTS numbers; each word of bits comes from a remix of the hashes."""
+    n_words = WIDE_PARTS * PART_BITS // BITS
+    ones = np.zeros((n_words, BITS), np.int64)
+    for k in range(n_words):
+        h = hashes ^ np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & 0xFFFFFFFFFFFFFFFF)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        for at in range(0, len(h), 16384):
+            ones[k] += np.unpackbits(h[at : at + 16384].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    bits = (2 * ones > len(hashes)).ravel()
+    return np.packbits(bits).view(np.uint8).reshape(WIDE_PARTS, PART_BITS // 8) @ np.array([256, 1])
+
+
+def _wide(rows: DataFrame, words: int) -> DataFrame:
+    """Rows (k, print, parts): 64 bits of the fingerprint, and its partitions' values; texts without words are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, prints, parts = [], [], []
+            for k, text in zip(batch.column("k").to_pylist(), batch.column("text").to_pylist()):
+                hashes = shingle_hashes(text, words)
+                if len(hashes):
+                    wide = wide_fingerprint(hashes)
+                    keys.append(k)
+                    parts.append(wide.tolist())
+                    prints.append(int(wide[0] << 48 | wide[1] << 32 | wide[2] << 16 | wide[3]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(prints, pa.int64()), pa.array(parts, pa.list_(pa.int32()))], ["k", "print", "parts"])
+
+    return rows.mapInArrow(run, "k long, print long, parts array<int>")
+
+
+def _candidates(wide: DataFrame, work: str, max_bits: int = 20) -> DataFrame:
+    """Pairs (a, b) of keys that share a partition's value and differ in few of 64 bits."""
+    entries = wide.select("k", "print", F.posexplode("parts").alias("part", "value"))
+    entries = entries.select("k", "print", "part", "value", F.xxhash64("k", "part").alias("turn"))
+    key = ["part", "value"]
+    sizes = entries.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("turn", "k", "print")).alias("hub")).where("n > 1")
+    met = stored(entries.join(sizes, key).select(*key, "k", "print", "n", "hub"), f"{work}/met")
+    near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= max_bits
+    star = met.where(F.col("n") > PAIR_BUCKET).select(F.col("hub.k").alias("a"), F.col("k").alias("b"), F.col("hub.print").alias("pa"), F.col("print").alias("pb"))
+    # a bucket's list has at most PAIR_BUCKET members
+    small = met.where(F.col("n") <= PAIR_BUCKET).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("k", "print"))).alias("m"))
+    pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (x["k"] < y["k"]) & near(x["print"], y["print"])), lambda y: F.struct(x["k"].alias("a"), y["k"].alias("b")))))
+    inside = small.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+    star = star.where(near(F.col("pa"), F.col("pb")) & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return stored(inside.unionByName(star).distinct(), f"{work}/candidates")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, words: int, least: float, work: str) -> DataFrame:
+    """The pairs whose sets of word shingles have a Jaccard similarity of ``least`` or more."""
+    asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().withColumn("n", F.lit(1)), f"{work}/asked")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [shingle_hashes(t, words).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(data, pa.binary())], ["k", "set"])
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= least * (len(x) + len(y) - shared))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    with configured(rows.sparkSession, BLOOM_CONF):
+        found = stored(rows.join(asked.where("n > 0"), "k").select("k", "text").mapInArrow(sets, "k long, set binary"), f"{work}/sets")
+    both = pairs.join(found.select(F.col("k").alias("a"), F.col("set").alias("sa")), "a").join(found.select(F.col("k").alias("b"), F.col("set").alias("sb")), "b")
+    return stored(both.select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long"), f"{work}/verified")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, component_id (smallest id of its group) and LOCATOR.
+
+    Groups are components of pairs of verified similarity ``least`` or more. A pair
+    of similarity 0.8 shares at least one of the partitions' values with chance
+    0.95, one of 0.9 with chance 0.999; equal fingerprints of equal texts always do.
+    """
+    work = work_dir(docs.sparkSession, "similar")
+    rows = located(docs).select(F.col(id_col).alias("id"), F.xxhash64(*LOCATOR).alias("k"), *LOCATOR, whole_text(text_col).alias("text"))
+    wide = stored(_wide(rows.select("k", "text"), words), f"{work}/wide")
+    linked = _verified(_candidates(wide, work), rows.select("k", "text"), words, least, work)
+    reached = components(linked, f"{work}/components")
+    ids = rows.select("id", "k", *LOCATOR)
+    rooted = ids.join(reached.withColumnRenamed("u", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    names = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    return rooted.join(names, "root").select(F.col("id").alias(id_col), "component_id", *LOCATOR)
+
+
+def one_of_each_group(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of similar texts, the one with the smallest identifier; columns as given."""
+    groups = similar_groups(docs, words, least, id_col, text_col)
+    groups = stored(groups.select(F.col(id_col).alias("id"), "component_id", *LOCATOR), work_dir(docs.sparkSession, "similar-groups"))
     first = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min(F.struct(*LOCATOR)).alias("stays"))
-    stays = first.select("stays.*")
-    dropped = groups.join(stays, list(LOCATOR), "left_anti").select(*LOCATOR)
+    dropped = groups.join(first.select("stays.*"), list(LOCATOR), "left_anti").select(*LOCATOR)
     return located(docs).join(dropped, list(LOCATOR), "left_anti").select(*docs.columns)
