@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 def t_value(mean_of: str | Column) -> Column:
     c = F.col(mean_of) if isinstance(mean_of, str) else mean_of
-    return F.avg(c) / (F.stddev_samp(c) / F.sqrt(F.count(c)))
+    return F.avg(c) / F.nullif(F.stddev_samp(c) / F.sqrt(F.count(c).cast("double")), F.lit(0.0))
 
 
 def clustered_t(rows: DataFrame, keys: list[str], measure: str, cluster: str = "ticker") -> DataFrame:
@@ -41,7 +41,9 @@ def average_ranks(rows: DataFrame, columns: list[str], keys: list[str]) -> DataF
 
 def spearman(rows: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
     ranked = average_ranks(rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()), [x, y], keys)
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.round(F.corr(f"rank_{x}", f"rank_{y}"), 6).alias("spearman"))
+    a, b = f"rank_{x}", f"rank_{y}"
+    spread = F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))  # null where a side does not vary
+    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.round(F.covar_pop(a, b) / spread, 6).alias("spearman"))
 
 
 def winsorised(rows: DataFrame, column: str, keys: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:

@@ -12,7 +12,10 @@ from tidemark.plans.registry import query
 from tidemark.sources.fixtures import Tables
 
 _BUCKET = "CASE WHEN value >= 500000 THEN '500k+' WHEN value >= 100000 THEN '100k-500k' WHEN value >= 25000 THEN '25k-100k' WHEN value >= 1000 THEN '1k-25k' END"
-N = F.count(F.lit(1)).alias("n")
+
+
+def n_rows():
+    return F.count(F.lit(1)).alias("n")
 
 
 def nets(t: Tables) -> DataFrame:
@@ -77,7 +80,7 @@ WITH s AS (SELECT sector, count(*) AS n, round(median(car)*100, 4) AS median_car
 SELECT sector, n, median_car, row_number() OVER (ORDER BY median_car DESC, sector) AS top, row_number() OVER (ORDER BY median_car, sector) AS bottom FROM s
 QUALIFY top <= 3 OR bottom <= 2""")
 def ag07(t):
-    s = event_returns(t).where("horizon = 't90' AND car IS NOT NULL").groupBy("sector").agg(N, R(F.percentile("car", 0.5) * 100, 4).alias("median_car")).where("n >= 10")
+    s = event_returns(t).where("horizon = 't90' AND car IS NOT NULL").groupBy("sector").agg(n_rows(), R(F.percentile("car", 0.5) * 100, 4).alias("median_car")).where("n >= 10")
     top = F.row_number().over(Window.orderBy(F.desc("median_car"), "sector"))
     low = F.row_number().over(Window.orderBy("median_car", "sector"))
     return s.withColumn("top", top).withColumn("bottom", low).where("top <= 3 OR bottom <= 2")
@@ -96,7 +99,7 @@ def ag08(t):
 SELECT ticker, count(*) AS n, round(100.0 * count(*) FILTER (car > 0) / count(*), 4) AS hit_pct, round(avg(car)*100, 4) AS mean_car, max(announced) AS latest FROM es WHERE horizon='t90' AND car IS NOT NULL GROUP BY 1""")
 def ag09(t):
     rows = event_returns(t).where("horizon = 't90' AND car IS NOT NULL")
-    out = rows.groupBy("ticker").agg(N, R(100.0 * F.count_if(F.col("car") > 0) / F.count(F.lit(1)), 4).alias("hit_pct"), R(F.avg("car") * 100, 4).alias("mean_car"), F.max("announced").alias("latest"))
+    out = rows.groupBy("ticker").agg(n_rows(), R(100.0 * F.count_if(F.col("car") > 0) / F.count(F.lit(1)), 4).alias("hit_pct"), R(F.avg("car") * 100, 4).alias("mean_car"), F.max("announced").alias("latest"))
     return out.orderBy((F.col("n") >= 3).desc(), F.desc("hit_pct"), "ticker")
 
 
@@ -202,7 +205,7 @@ def ag20(t):
 
 @query("ag21_month_histogram", "SELECT strftime(dt, '%Y-%m') AS month, type, count(*) AS n, min(dt) AS first_day, max(dt) AS last_day FROM fx_dealings GROUP BY 1, 2")
 def ag21(t):
-    return t.dealings.groupBy(F.date_format("dt", "yyyy-MM").alias("month"), "type").agg(N, F.min("dt").alias("first_day"), F.max("dt").alias("last_day"))
+    return t.dealings.groupBy(F.date_format("dt", "yyyy-MM").alias("month"), "type").agg(n_rows(), F.min("dt").alias("first_day"), F.max("dt").alias("last_day"))
 
 
 _BASKETS = "(VALUES ('executives',['t1a_ceo_founder_buy','t1b_cfo_buy','t2_exec_buy'],false),('chairs',['t7_chair_buy'],false),('small_neds',['t3_ned_buy'],true))"
@@ -236,7 +239,7 @@ def ag24(t):
 
 @query("ag25_company_stats", "SELECT ticker, count(*) AS n, CASE WHEN count(*) >= 5 THEN round(median(net)*100, 4) END AS median_net FROM es WHERE horizon='t90' AND net IS NOT NULL GROUP BY 1")
 def ag25(t):
-    out = nets(t).where("horizon = 't90'").groupBy("ticker").agg(N, R(F.percentile("net", 0.5) * 100, 4).alias("m"))
+    out = nets(t).where("horizon = 't90'").groupBy("ticker").agg(n_rows(), R(F.percentile("net", 0.5) * 100, 4).alias("m"))
     return out.select("ticker", "n", F.when(F.col("n") >= 5, F.col("m")).alias("median_net"))
 
 
@@ -250,14 +253,14 @@ WITH f AS (SELECT signal, ticker, count(*) AS n FROM firing GROUP BY 1, 2), m AS
 SELECT f.signal, max(f.n) AS top_ticker_n, round(max(f.n)::DOUBLE / sum(f.n), 6) AS top_ticker_share, any_value(q.s) AS top_month_share FROM f JOIN (SELECT signal, round(max(n)::DOUBLE / sum(n), 6) AS s FROM m GROUP BY 1) q ON q.signal = f.signal GROUP BY 1""")
 def ag28(t):
     fired = tier_firings(t)
-    by = fired.groupBy("signal", "ticker").agg(N).groupBy("signal").agg(F.max("n").alias("top_ticker_n"), R(F.max("n") / F.sum("n")).alias("top_ticker_share"))
-    month = fired.groupBy("signal", F.trunc("announced", "month").alias("mo")).agg(N).groupBy("signal").agg(R(F.max("n") / F.sum("n")).alias("top_month_share"))
+    by = fired.groupBy("signal", "ticker").agg(n_rows()).groupBy("signal").agg(F.max("n").alias("top_ticker_n"), R(F.max("n") / F.sum("n")).alias("top_ticker_share"))
+    month = fired.groupBy("signal", F.trunc("announced", "month").alias("mo")).agg(n_rows()).groupBy("signal").agg(R(F.max("n") / F.sum("n")).alias("top_month_share"))
     return by.join(month, "signal")
 
 
 @query("ag29_kill_list", "SELECT ticker, count(*) AS n, round(avg(car), 6) AS mean_car FROM es WHERE horizon='t90' AND car IS NOT NULL GROUP BY 1 HAVING count(*) >= 20 AND avg(car) < 0")
 def ag29(t):
-    out = event_returns(t).where("horizon = 't90' AND car IS NOT NULL").groupBy("ticker").agg(N, F.avg("car").alias("m")).where("n >= 20 AND m < 0")
+    out = event_returns(t).where("horizon = 't90' AND car IS NOT NULL").groupBy("ticker").agg(n_rows(), F.avg("car").alias("m")).where("n >= 20 AND m < 0")
     return out.select("ticker", "n", R("m").alias("mean_car"))
 
 
@@ -279,7 +282,7 @@ SELECT sector, size, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_tickers, round(s
 def ag31(t):
     r = nets(t).where("horizon = 't90'").select("sector", F.when(F.col("market_cap_gbp") < 500e6, "small").otherwise("large").alias("size"), "ticker", "net")
     every = lambda c: F.explode(F.array(F.col(c), F.lit("all")))
-    k = r.withColumn("sector", every("sector")).withColumn("size", every("size")).groupBy("sector", "size", "ticker").agg(N, F.avg("net").alias("m"), F.sum("net").alias("s"), F.count_if(F.col("net") > 0).alias("h"))
+    k = r.withColumn("sector", every("sector")).withColumn("size", every("size")).groupBy("sector", "size", "ticker").agg(n_rows(), F.avg("net").alias("m"), F.sum("net").alias("s"), F.count_if(F.col("net") > 0).alias("h"))
     tstat = F.avg("m") / (F.stddev_samp("m") / F.sqrt(F.count(F.lit(1))))
     return k.groupBy("sector", "size").agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_tickers"), R(F.sum("s") / F.sum("n")).alias("mean_net"), R(100.0 * F.sum("h") / F.sum("n"), 4).alias("hit_pct"), R(tstat, 4).alias("clustered_t")
@@ -305,7 +308,7 @@ def ag33(t):
 
 @query("ag34_pay_worklist", "SELECT ticker, director, count(*) AS n FROM firing WHERE tier <> 'T5' GROUP BY 1, 2")
 def ag34(t):
-    return tier_firings(t).where("tier <> 'T5'").groupBy("ticker", "director").agg(N).orderBy(F.desc("n"), "ticker", "director")
+    return tier_firings(t).where("tier <> 'T5'").groupBy("ticker", "director").agg(n_rows()).orderBy(F.desc("n"), "ticker", "director")
 
 
 @query("ag35_month_drill", """SELECT month, type, fingerprint FROM (SELECT strftime(announced, '%Y-%m') AS month, type, fingerprint, row_number() OVER (PARTITION BY strftime(announced, '%Y-%m'), type ORDER BY value DESC, fingerprint) AS rn FROM fx_dealings) WHERE rn <= 500""")
@@ -329,4 +332,4 @@ def cl06(t):
     ctx = context(t.dealings, t.prices)
     others = other_buyers(ctx.buys, ctx.strict).groupBy("fingerprint").agg(F.countDistinct("other_director").alias("others"))
     rows = event_returns(t).where("horizon = 't30' AND car IS NOT NULL").join(others, "fingerprint", "left").withColumn("others", F.coalesce("others", F.lit(0)))
-    return rows.groupBy("others").agg(N, R(100.0 * F.count_if(F.col("car") > 0) / F.count(F.lit(1)), 4).alias("hit_pct"))
+    return rows.groupBy("others").agg(n_rows(), R(100.0 * F.count_if(F.col("car") > 0) / F.count(F.lit(1)), 4).alias("hit_pct"))

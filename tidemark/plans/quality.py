@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import checks, extract, timeseries, writes
-from tidemark.plans.aggregates import N
+from tidemark.plans.aggregates import n_rows
 from tidemark.plans.core import AS_OF, D, R, buys, event_returns, tier_firings
 from tidemark.plans.registry import query
 
@@ -26,7 +26,7 @@ def priced(t):
 SELECT count(*) FILTER (announced > DATE '{AS_OF}' + 1) AS in_future, count(*) FILTER (dt > announced + 7) AS after_filing, count(*) FILTER (dt < announced - 1095) AS stale, count(*) FILTER (dt IS NULL) AS no_date, count(*) AS n FROM fx_dealings""")
 def dq01(t):
     rules = {"in_future": F.col("announced") > F.date_add(D(AS_OF), 1), "after_filing": F.col("dt") > F.date_add("announced", 7), "stale": F.col("dt") < F.date_sub("announced", 1095), "no_date": F.col("dt").isNull()}
-    return t.dealings.agg(*[F.count_if(c).alias(n) for n, c in rules.items()], N)
+    return t.dealings.agg(*[F.count_if(c).alias(n) for n, c in rules.items()], n_rows())
 
 
 @query("dq02_plausibility", f"""WITH {_PRICED}
@@ -52,7 +52,7 @@ def dq04(t):
 SELECT CASE WHEN close IS NULL THEN 'no_market_price' WHEN abs(price/close-1) <= 0.35 THEN 'ok_pounds' WHEN abs(price/100/close-1) <= 0.35 THEN 'corrected_pence' WHEN type IN ('GRANT','EXERCISE') AND value <= 100e6 THEN 'ok_pounds' ELSE 'unresolved_quarantine' END AS status, count(*) AS n FROM priced GROUP BY 1""")
 def dq05(t):
     fixed = checks.reconciled_price(F.col("price"), F.col("close"), F.col("type"), F.col("value"))
-    return priced(t).groupBy(fixed["status"].alias("status")).agg(N)
+    return priced(t).groupBy(fixed["status"].alias("status")).agg(n_rows())
 
 
 @query("dq06_price_recovery", "SELECT fingerprint, CASE WHEN fingerprint % 4 = 0 THEN CASE WHEN value/shares <= 500 THEN round(value/shares, 6) END ELSE 10.0 END AS price FROM fx_dealings")
@@ -65,7 +65,7 @@ def dq06(t):
 @query("dq07_error_classes", f"""WITH {_PRICED} SELECT CASE WHEN q BETWEEN 0.5 AND 2 THEN 'ok' WHEN q BETWEEN 5 AND 20 OR q BETWEEN 0.05 AND 0.2 THEN '10x' WHEN q BETWEEN 50 AND 200 OR q BETWEEN 0.005 AND 0.02 THEN '100x' WHEN q BETWEEN 500 AND 2000 OR q BETWEEN 0.0005 AND 0.002 THEN '1000x' ELSE 'extreme' END AS class, count(*) AS n
 FROM (SELECT price/close AS q FROM priced WHERE close IS NOT NULL) GROUP BY 1""")
 def dq07(t):
-    return priced(t).where("close IS NOT NULL").groupBy(checks.error_class(F.col("price") / F.col("close")).alias("class")).agg(N)
+    return priced(t).where("close IS NOT NULL").groupBy(checks.error_class(F.col("price") / F.col("close")).alias("class")).agg(n_rows())
 
 
 @query("dq08_exact_dedup", "SELECT fingerprint, count(*) AS copies FROM (SELECT fingerprint FROM fx_dealings UNION ALL SELECT fingerprint FROM fx_dealings WHERE fingerprint % 9 = 0) GROUP BY 1")
@@ -87,7 +87,7 @@ def dq10(t):
     both = t.dealings.join(source, "fingerprint")
     value = F.when(F.abs(F.col("v") / F.col("value") - 1) < 1e-9, "MATCH").when(F.abs(F.col("v") / F.col("value") - 1) < 0.01, "MINOR").otherwise("MAJOR")
     fields = F.array(F.struct(F.lit("value").alias("field"), value.alias("verdict")), F.struct(F.lit("type").alias("field"), F.when(F.col("k") == F.col("type"), "MATCH").otherwise("MAJOR").alias("verdict")))
-    return both.select(F.explode(fields).alias("x")).groupBy("x.field", "x.verdict").agg(N)
+    return both.select(F.explode(fields).alias("x")).groupBy("x.field", "x.verdict").agg(n_rows())
 
 
 @query("dq11_stratified_sample", "SELECT type, fingerprint FROM (SELECT type, fingerprint, row_number() OVER (PARTITION BY type ORDER BY md5(CAST(fingerprint AS VARCHAR)), fingerprint) AS rn FROM fx_dealings) WHERE rn <= CASE type WHEN 'BUY' THEN 25 WHEN 'SELL' THEN 20 ELSE 10 END")
@@ -114,12 +114,12 @@ def dq14(t):
 def dq15(t):
     cached = t.dealings.where("fingerprint % 3 = 0").select("fingerprint", F.lit(True).alias("hit"))
     state = F.when(F.col("fingerprint") % 10 == 0, "no_url").when(F.col("hit"), "cached").otherwise("not_cached")
-    return t.dealings.join(cached, "fingerprint", "left").groupBy(state.alias("state")).agg(N, R(F.sum("value"), 2).alias("total"))
+    return t.dealings.join(cached, "fingerprint", "left").groupBy(state.alias("state")).agg(n_rows(), R(F.sum("value"), 2).alias("total"))
 
 
 @query("dq16_role_corpus", "SELECT type, role, count(*) AS n FROM fx_dealings GROUP BY 1, 2")
 def dq16(t):
-    return t.dealings.groupBy("type", "role").agg(N).orderBy(F.desc("n"), "type", "role")
+    return t.dealings.groupBy("type", "role").agg(n_rows()).orderBy(F.desc("n"), "type", "role")
 
 
 @query("dq17_blast_radius", "SELECT signal, count(DISTINCT fingerprint) AS n FROM firing WHERE shares BETWEEN 100 AND 200 GROUP BY 1")
@@ -215,7 +215,7 @@ def ext07(t):
 def ext10(t):
     marked = t.dealings.withColumn("warnings", F.when(F.col("fingerprint") % 5 == 0, F.array(F.lit("bad_price"))).when(F.col("fingerprint") % 7 == 0, F.array(F.lit("late_filing"))).otherwise(F.array().cast("array<string>"))).withColumnRenamed("type", "kind")
     ingested, pending = extract.gate(marked)
-    return ingested.agg(N).select(F.lit("ingested").alias("lane"), "n").unionByName(pending.agg(N).select(F.lit("pending").alias("lane"), "n"))
+    return ingested.agg(n_rows()).select(F.lit("ingested").alias("lane"), "n").unionByName(pending.agg(n_rows()).select(F.lit("pending").alias("lane"), "n"))
 
 
 @query("ext12_fingerprint", "SELECT fingerprint, substring(sha256(CAST(dt AS VARCHAR)||'|'||ticker||'|'||director||'|'||type||'|'||shares), 1, 16) AS fp FROM fx_dealings")
@@ -255,10 +255,10 @@ def snk04(t):
 
 @query("snk07_parity_counts", "SELECT 'dealings' AS name, (SELECT count(*) FROM fx_dealings) AS n UNION ALL SELECT 'prices', (SELECT count(*) FROM fx_prices) UNION ALL SELECT 'results', (SELECT count(*) FROM fx_reporting_dates)")
 def snk07(t):
-    each = [df.agg(N).select(F.lit(n).alias("name"), "n") for n, df in (("dealings", t.dealings), ("prices", t.prices), ("results", t.results))]
+    each = [df.agg(n_rows()).select(F.lit(n).alias("name"), "n") for n, df in (("dealings", t.dealings), ("prices", t.prices), ("results", t.results))]
     return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 @query("snk09_price_coverage", "SELECT ticker, min(dt) AS first_day, max(dt) AS last_day, count(*) AS n FROM fx_prices GROUP BY 1")
 def snk09(t):
-    return t.prices.groupBy("ticker").agg(F.min("dt").alias("first_day"), F.max("dt").alias("last_day"), N)
+    return t.prices.groupBy("ticker").agg(F.min("dt").alias("first_day"), F.max("dt").alias("last_day"), n_rows())

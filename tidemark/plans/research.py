@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import eventstudy, portfolio, stats
 from tidemark.operators import timeseries as ts
 from tidemark.operators.conviction import WEIGHTS
-from tidemark.plans.aggregates import N, nets
+from tidemark.plans.aggregates import n_rows, nets
 from tidemark.plans.core import AS_OF, R, event_returns, tier_firings
 from tidemark.plans.features import _CV, scored
 from tidemark.plans.registry import query
@@ -50,7 +50,7 @@ FROM p WHERE status <> 'planned' GROUP BY 1""")
 def pf03(t):
     p = held(t).where("status <> 'planned'")
     return p.groupBy("status").agg(
-        N, R(F.sum("notional"), 2).alias("notional"), R(F.avg(F.col("exit_close") / F.col("entry_close") - 1)).alias("mean_return"),
+        n_rows(), R(F.sum("notional"), 2).alias("notional"), R(F.avg(F.col("exit_close") / F.col("entry_close") - 1)).alias("mean_return"),
         F.count_if(F.col("exit_close") > F.col("entry_close")).alias("winners"), F.count_if(F.col("exit_close") < F.col("entry_close")).alias("losers"),
     )
 
@@ -70,13 +70,13 @@ def pf05(t):
 def pf06(t):
     p = held(t).where("exit_close IS NOT NULL")
     gain = F.sum(F.col("notional") * (F.col("exit_close") / F.col("entry_close") - 1))
-    return p.groupBy("signal").agg(N, R(gain, 2).alias("gain"), R(100 * gain / F.sum("notional"), 4).alias("gain_pct"))
+    return p.groupBy("signal").agg(n_rows(), R(gain, 2).alias("gain"), R(100 * gain / F.sum("notional"), 4).alias("gain_pct"))
 
 
 @query("pf07_by_size", f"WITH {_POS} SELECT CASE WHEN market_cap_gbp < 500e6 THEN 'small' ELSE 'large' END AS band, signal, count(*) AS n, round(avg(exit_close/entry_close-1), 6) AS mean_return FROM p WHERE exit_close IS NOT NULL GROUP BY 1, 2")
 def pf07(t):
     band = F.when(F.col("market_cap_gbp") < 500e6, "small").otherwise("large")
-    return held(t).where("exit_close IS NOT NULL").groupBy(band.alias("band"), "signal").agg(N, R(F.avg(F.col("exit_close") / F.col("entry_close") - 1)).alias("mean_return"))
+    return held(t).where("exit_close IS NOT NULL").groupBy(band.alias("band"), "signal").agg(n_rows(), R(F.avg(F.col("exit_close") / F.col("entry_close") - 1)).alias("mean_return"))
 
 
 @query("pf08_capital_panels", f"""WITH {_POS}, g AS (SELECT CAST(date_trunc('week', DATE '{AS_OF}') AS DATE) - CAST(7*i AS INT) AS day FROM range(12) v(i))
@@ -100,13 +100,13 @@ def st01(t):
 def st02(t):
     m = F.avg("net")
     verdict = F.when(F.count(F.lit(1)) < 30, "INSUFFICIENT-N").when(m > 0.02, "EDGE").when(m > 0, "PRELIMINARY").otherwise("NOISE")
-    return stats.time_split(t90(t)).groupBy("tier", "part").agg(N, R(m).alias("mean"), R(F.percentile("net", 0.5)).alias("median"), verdict.alias("verdict"))
+    return stats.time_split(t90(t)).groupBy("tier", "part").agg(n_rows(), R(m).alias("mean"), R(F.percentile("net", 0.5)).alias("median"), verdict.alias("verdict"))
 
 
 @query("st03_decile_contrast", f"WITH {_T90}, d AS (SELECT *, ntile(10) OVER (ORDER BY net, fingerprint) AS decile FROM r) SELECT decile, count(*) AS n, round(avg(value), 2) AS mean_value, round(avg(market_cap_gbp), 2) AS mean_cap, round(avg(net), 6) AS mean_net FROM d WHERE decile IN (1, 10) GROUP BY 1")
 def st03(t):
     d = stats.buckets(t90(t), "net", 10, []).withColumnRenamed("bucket", "decile").where("decile IN (1, 10)")
-    return d.groupBy("decile").agg(N, R(F.avg("value"), 2).alias("mean_value"), R(F.avg("market_cap_gbp"), 2).alias("mean_cap"), R(F.avg("net")).alias("mean_net"))
+    return d.groupBy("decile").agg(n_rows(), R(F.avg("value"), 2).alias("mean_value"), R(F.avg("market_cap_gbp"), 2).alias("mean_cap"), R(F.avg("net")).alias("mean_net"))
 
 
 @query("st04_clustered_t", f"WITH {_T90}, m AS (SELECT signal, ticker, avg(net) AS m, count(*) AS n FROM r GROUP BY 1, 2) SELECT signal, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_clusters, round(avg(m)/(stddev_samp(m)/sqrt(count(*))), 4) AS clustered_t FROM m GROUP BY 1")
@@ -137,7 +137,7 @@ def factors(t):
 def st06(t):
     # singles and pairs come from the row's own array: no join
     cells = F.flatten(F.transform("fs", lambda a: F.concat(F.array(F.struct(a.alias("factor"), F.lit("").alias("second"))), F.transform(F.filter("fs", lambda b: a < b), lambda b: F.struct(a.alias("factor"), b.alias("second"))))))
-    out = factors(t).select("net", F.explode(cells).alias("c")).groupBy("c.factor", "c.second").agg(N, R(F.avg("net")).alias("mean_net"))
+    out = factors(t).select("net", F.explode(cells).alias("c")).groupBy("c.factor", "c.second").agg(n_rows(), R(F.avg("net")).alias("mean_net"))
     return out.where("n >= 30")
 
 
@@ -148,7 +148,7 @@ def st07(t):
 
 @query("st08_without_top", f"WITH {_T90} SELECT signal, round((sum(net) - max(net)) / (count(*) - 1), 6) AS mean_rest FROM r GROUP BY 1 HAVING count(*) > 1")
 def st08(t):
-    out = t90(t).groupBy("signal").agg(N, F.sum("net").alias("s"), F.max("net").alias("m")).where("n > 1")
+    out = t90(t).groupBy("signal").agg(n_rows(), F.sum("net").alias("s"), F.max("net").alias("m")).where("n > 1")
     return out.select("signal", R((F.col("s") - F.col("m")) / (F.col("n") - 1)).alias("mean_rest"))
 
 
@@ -159,7 +159,7 @@ def scored_returns(t):
     return scored(t).join(nets(t).select("fingerprint", "horizon", "net"), "fingerprint")
 
 
-@query("st09_spearman", _SCORED + ", k AS (SELECT horizon, rank() OVER (PARTITION BY horizon ORDER BY score) + (count(*) OVER (PARTITION BY horizon, score) - 1)/2.0 AS a, rank() OVER (PARTITION BY horizon ORDER BY net) + (count(*) OVER (PARTITION BY horizon, net) - 1)/2.0 AS b FROM j) SELECT horizon, count(*) AS n, round(corr(a, b), 6) AS spearman FROM k GROUP BY 1")
+@query("st09_spearman", _SCORED + ", k AS (SELECT horizon, rank() OVER (PARTITION BY horizon ORDER BY score) + (count(*) OVER (PARTITION BY horizon, score) - 1)/2.0 AS a, rank() OVER (PARTITION BY horizon ORDER BY net) + (count(*) OVER (PARTITION BY horizon, net) - 1)/2.0 AS b FROM j) SELECT horizon, count(*) AS n, nullif(round(corr(a, b), 6), 'nan'::DOUBLE) AS spearman FROM k GROUP BY 1")
 def st09(t):
     return stats.spearman(scored_returns(t), "score", "net", ["horizon"])
 
@@ -177,12 +177,12 @@ def st11(t):
 @query("st12_score_buckets", _SCORED + ", q AS (SELECT *, ntile(10) OVER (PARTITION BY horizon ORDER BY score, fingerprint) AS b FROM j) SELECT horizon, b AS bucket, count(*) AS n, min(score) AS low, max(score) AS high, round(avg(net), 6) AS mean_net FROM q GROUP BY 1, 2")
 def st12(t):
     q = stats.buckets(scored_returns(t), "score", 10, ["horizon"])
-    return q.groupBy("horizon", "bucket").agg(N, F.min("score").alias("low"), F.max("score").alias("high"), R(F.avg("net")).alias("mean_net"))
+    return q.groupBy("horizon", "bucket").agg(n_rows(), F.min("score").alias("low"), F.max("score").alias("high"), R(F.avg("net")).alias("mean_net"))
 
 
 @query("st13_factor_correlations", _SCORED + """, u AS (SELECT horizon, net, 'who' AS factor, who AS x FROM j UNION ALL SELECT horizon, net, 'size', size FROM j UNION ALL SELECT horizon, net, 'small', small FROM j UNION ALL SELECT horizon, net, 'timing', timing FROM j UNION ALL SELECT horizon, net, 'fall', fall FROM j),
 k AS (SELECT horizon, factor, rank() OVER (PARTITION BY horizon, factor ORDER BY x) + (count(*) OVER (PARTITION BY horizon, factor, x) - 1)/2.0 AS a, rank() OVER (PARTITION BY horizon, factor ORDER BY net) + (count(*) OVER (PARTITION BY horizon, factor, net) - 1)/2.0 AS b FROM u WHERE x IS NOT NULL)
-SELECT horizon, factor, count(*) AS n, round(corr(a, b), 6) AS spearman FROM k GROUP BY 1, 2""")
+SELECT horizon, factor, count(*) AS n, nullif(round(corr(a, b), 6), 'nan'::DOUBLE) AS spearman FROM k GROUP BY 1, 2""")
 def st13(t):
     long = scored_returns(t).select("horizon", "net", F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).alias("x")) for f in WEIGHTS])).alias("s")).select("horizon", "net", "s.*")
     return stats.spearman(long, "x", "net", ["horizon", "factor"])
@@ -202,13 +202,13 @@ def st15(t):
 
 @query("st16_run_delta", f"WITH {_T90}, d AS (SELECT signal, avg(net) - avg(net) FILTER (value >= 150000) AS delta, count(*) AS n FROM r GROUP BY 1) SELECT signal, round(delta, 6) AS delta, n, abs(delta) > 0.03 AND n >= 20 AS flagged FROM d")
 def st16(t):
-    one = t90(t).groupBy("signal").agg(F.avg("net").alias("a"), N)
+    one = t90(t).groupBy("signal").agg(F.avg("net").alias("a"), n_rows())
     two = t90(t).where("value >= 150000").groupBy("signal").agg(F.avg("net").alias("b"))
     d = one.join(two, "signal", "left").withColumn("delta", F.col("a") - F.col("b"))
     return d.select("signal", R("delta").alias("delta"), "n", ((F.abs("delta") > 0.03) & (F.col("n") >= 20)).alias("flagged"))
 
 
-@query("st17_overlap", f"WITH {_T90}, k AS (SELECT rank() OVER (ORDER BY ln(value)) + (count(*) OVER (PARTITION BY value) - 1)/2.0 AS a, rank() OVER (ORDER BY ln(shares)) + (count(*) OVER (PARTITION BY shares) - 1)/2.0 AS b FROM r), s AS (SELECT count(*) AS n, round(corr(a, b), 6) AS spearman FROM k) SELECT n, spearman, CASE WHEN n < 5 THEN 'inconclusive' WHEN spearman >= 0.7 THEN 'redundant' ELSE 'distinct' END AS verdict FROM s")
+@query("st17_overlap", f"WITH {_T90}, k AS (SELECT rank() OVER (ORDER BY ln(value)) + (count(*) OVER (PARTITION BY value) - 1)/2.0 AS a, rank() OVER (ORDER BY ln(shares)) + (count(*) OVER (PARTITION BY shares) - 1)/2.0 AS b FROM r), s AS (SELECT count(*) AS n, nullif(round(corr(a, b), 6), 'nan'::DOUBLE) AS spearman FROM k) SELECT n, spearman, CASE WHEN n < 5 THEN 'inconclusive' WHEN spearman >= 0.7 THEN 'redundant' ELSE 'distinct' END AS verdict FROM s")
 def st17(t):
     rows = t90(t).select(F.log("value").alias("x"), F.log("shares").alias("y"), F.lit(1).alias("all"))
     s = stats.spearman(rows, "x", "y", ["all"])
@@ -218,7 +218,7 @@ def st17(t):
 @query("st19_threshold_sweep", f"WITH {_T90} SELECT least, count(*) AS n, round(avg(net), 6) AS mean_net FROM r JOIN (VALUES (80000),(100000),(120000),(200000)) v(least) ON value >= least GROUP BY 1")
 def st19(t):
     levels = F.filter(F.array(*[F.lit(x) for x in (80_000, 100_000, 120_000, 200_000)]), lambda x: F.col("value") >= x)
-    return t90(t).withColumn("least", F.explode(levels)).groupBy("least").agg(N, R(F.avg("net")).alias("mean_net"))
+    return t90(t).withColumn("least", F.explode(levels)).groupBy("least").agg(n_rows(), R(F.avg("net")).alias("mean_net"))
 
 
 @query("st20_contributors", f"WITH {_T90}, k AS (SELECT signal, fingerprint, net, row_number() OVER (PARTITION BY signal ORDER BY net DESC, fingerprint) AS a, row_number() OVER (PARTITION BY signal ORDER BY net, fingerprint) AS b FROM r) SELECT signal, fingerprint, CASE WHEN a <= 3 THEN 'best' ELSE 'worst' END AS side FROM k WHERE a <= 3 OR b <= 3")
@@ -230,7 +230,7 @@ def st20(t):
 
 @query("st21_hit_interval", f"WITH {_T90}, h AS (SELECT signal, count(*) AS n, count(*) FILTER (net > 0)::DOUBLE / count(*) AS p, stddev_samp(net)/sqrt(count(*)) AS se FROM r GROUP BY 1) SELECT signal, n, round(p - 1.96*sqrt(p*(1-p)/n), 6) AS low, round(p + 1.96*sqrt(p*(1-p)/n), 6) AS high, round(2*se, 6) AS two_se FROM h")
 def st21(t):
-    h = t90(t).groupBy("signal").agg(N, (F.count_if(F.col("net") > 0) / F.count(F.lit(1))).alias("p"), (F.stddev_samp("net") / F.sqrt(F.count(F.lit(1)))).alias("se"))
+    h = t90(t).groupBy("signal").agg(n_rows(), (F.count_if(F.col("net") > 0) / F.count(F.lit(1))).alias("p"), (F.stddev_samp("net") / F.sqrt(F.count(F.lit(1)))).alias("se"))
     w = 1.96 * F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("n"))
     return h.select("signal", "n", R(F.col("p") - w).alias("low"), R(F.col("p") + w).alias("high"), R(2 * F.col("se")).alias("two_se"))
 
