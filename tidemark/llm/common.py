@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Columns that identify a row of a stored table: the file it came from and its place in it.
-LOCATOR = ("loc_file", "loc_row")
+LOCATOR = ("__located_file", "__located_row")
 
 
 #: Let Spark drop texts that cannot hit by a Bloom filter of bounded size before they are shuffled.
@@ -68,8 +68,10 @@ def located(docs: DataFrame, label: str = "located") -> DataFrame:
 
     A plain scan of Parquet files offers these as metadata. Anything else is
     first written to the shared folder, so that the locator is stable when a
-    lost executor's work is done again.
+    lost executor's work is done again. Rows that have a locator keep it.
     """
+    if all(c in docs.columns for c in LOCATOR):
+        return docs
     try:
         meta = docs.metadataColumn("_metadata")
         out = docs.select("*", meta["file_path"].alias(LOCATOR[0]), meta["row_index"].alias(LOCATOR[1]))

@@ -143,5 +143,6 @@ def _split_collisions(keyed: DataFrame, digests: DataFrame, matched: DataFrame,
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that exact_dedup() does not keep; columns as given."""
-    dropped = exact_dedup(docs, id_col, text_col).where("NOT kept").select(*LOCATOR)
-    return located(docs).join(dropped, list(LOCATOR), "left_anti").select(*docs.columns)
+    rows = located(docs)
+    dropped = exact_dedup(rows, id_col, text_col).where("NOT kept").select(*LOCATOR)
+    return rows.join(dropped, list(LOCATOR), "left_anti").select(*docs.columns)

@@ -375,8 +375,9 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, id_col:
 
 def one_of_each_group(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of similar texts, the one with the smallest identifier; columns as given."""
-    groups = similar_groups(docs, words, least, id_col, text_col)
+    rows = located(docs)
+    groups = similar_groups(rows, words, least, id_col, text_col)
     groups = stored(groups.select(F.col(id_col).alias("id"), "component_id", *LOCATOR), work_dir(docs.sparkSession, "similar-groups"))
     first = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min(F.struct(*LOCATOR)).alias("stays"))
     dropped = groups.join(first.select("stays.*"), list(LOCATOR), "left_anti").select(*LOCATOR)
-    return located(docs).join(dropped, list(LOCATOR), "left_anti").select(*docs.columns)
+    return rows.join(dropped, list(LOCATOR), "left_anti").select(*docs.columns)
