@@ -297,60 +297,64 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
 
 
 def _wide(rows: DataFrame, words: int) -> DataFrame:
-    """Rows (k, print, parts): 64 bits of the fingerprint, and its partitions' values; texts without words are left out."""
+    """Rows (id, LOCATOR, p1, p2, parts): 128 bits of the fingerprint, and its partitions' values (none without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, prints, parts = [], [], []
-            for k, text in zip(batch.column("k").to_pylist(), batch.column("text").to_pylist()):
+            prints, parts = np.zeros((batch.num_rows, 2), np.uint64), []
+            for i, text in enumerate(batch.column("text").to_pylist()):
                 hashes = shingle_hashes(text, words)
-                if len(hashes):
-                    wide = wide_fingerprint(hashes)
-                    keys.append(k)
-                    parts.append(wide.tolist())
-                    prints.append(int(wide[0] << 48 | wide[1] << 32 | wide[2] << 16 | wide[3]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(prints, pa.int64()), pa.array(parts, pa.list_(pa.int32()))], ["k", "print", "parts"])
+                parts.append(wide_fingerprint(hashes).tolist() if len(hashes) else [])
+                for p in range(8 if len(hashes) else 0):
+                    prints[i, p // 4] |= np.uint64(parts[-1][p] << 16 * (p % 4))
+            keys = [batch.column(c) for c in ("id", *LOCATOR)]
+            columns = [*keys, _signed(prints[:, 0].copy()), _signed(prints[:, 1].copy()), pa.array(parts, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", *LOCATOR, "p1", "p2", "parts"])
 
-    return rows.mapInArrow(run, "k long, print long, parts array<int>")
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, {LOCATOR[0]} string, {LOCATOR[1]} long, p1 long, p2 long, parts array<int>")
 
 
-def _candidates(wide: DataFrame, work: str, max_bits: int = 20) -> DataFrame:
-    """Pairs (a, b) of keys that share a partition's value and differ in few of 64 bits."""
-    entries = wide.select("k", "print", F.posexplode("parts").alias("part", "value"))
-    entries = entries.select("k", "print", "part", "value", F.xxhash64("k", "part").alias("turn"))
+def _candidates(wide: DataFrame, work: str, max_bits: int = 33) -> DataFrame:
+    """Pairs (a, b) of keys that share a partition's value and differ in few of 128 bits."""
     key = ["part", "value"]
-    sizes = entries.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("turn", "k", "print")).alias("hub")).where("n > 1")
-    met = stored(entries.join(sizes, key).select(*key, "k", "print", "n", "hub"), f"{work}/met")
-    near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= max_bits
-    star = met.where(F.col("n") > PAIR_BUCKET).select(F.col("hub.k").alias("a"), F.col("k").alias("b"), F.col("hub.print").alias("pa"), F.col("print").alias("pb"))
-    # a bucket's list has at most PAIR_BUCKET members
-    small = met.where(F.col("n") <= PAIR_BUCKET).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("k", "print"))).alias("m"))
-    pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (x["k"] < y["k"]) & near(x["print"], y["print"])), lambda y: F.struct(x["k"].alias("a"), y["k"].alias("b")))))
+    values = wide.select("k", "p1", "p2", F.posexplode("parts").alias("part", "value"))
+    sizes = values.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    crowded = stored(sizes.where(F.col("n") > PAIR_BUCKET), f"{work}/crowded-buckets")
+    near = lambda x, y: F.bit_count(x["p1"].bitwiseXOR(y["p1"])) + F.bit_count(x["p2"].bitwiseXOR(y["p2"])) <= max_bits
+    # lists have at most PAIR_BUCKET members: crowded buckets are taken out before
+    member = F.struct("k", "p1", "p2")
+    small = values.join(crowded, key, "left_anti").groupBy(*key).agg(F.collect_list(member).alias("m")).where(F.size("m") > 1)
+    pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (x["k"] < y["k"]) & near(x, y)), lambda y: F.struct(x["k"].alias("a"), y["k"].alias("b")))))
     inside = small.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
-    star = star.where(near(F.col("pa"), F.col("pb")) & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    met = values.join(crowded, key, "left_semi").select(*key, F.struct(F.xxhash64("k", "part").alias("turn"), "k", "p1", "p2").alias("x"))
+    star = met.join(met.groupBy(*key).agg(F.min("x").alias("hub")), key).where(near(F.col("x"), F.col("hub")) & (F.col("x.k") != F.col("hub.k")))
+    star = star.select(F.least("x.k", "hub.k").alias("a"), F.greatest("x.k", "hub.k").alias("b"))
     return stored(inside.unionByName(star).distinct(), f"{work}/candidates")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, words: int, least: float, work: str) -> DataFrame:
-    """The pairs whose sets of word shingles have a Jaccard similarity of ``least`` or more."""
-    asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().withColumn("n", F.lit(1)), f"{work}/asked")
+def _verified(pairs: DataFrame, wide: DataFrame, rows: DataFrame, words: int, least: float, work: str) -> DataFrame:
+    """The pairs whose sets of word shingles (by 32 bits of their hashes) have a Jaccard similarity of ``least`` or more."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(wide.select("k", *LOCATOR), "k")
+    asked = stored(asked.withColumn("n", F.lit(1)), f"{work}/asked")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [shingle_hashes(t, words).tobytes() for t in batch.column("text").to_pylist()]
+            data = [np.unique(shingle_hashes(t, words).astype(np.uint32)).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(data, pa.binary())], ["k", "set"])
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(shared >= least * (len(x) + len(y) - shared))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     with configured(rows.sparkSession, BLOOM_CONF):
-        found = stored(rows.join(asked.where("n > 0"), "k").select("k", "text").mapInArrow(sets, "k long, set binary"), f"{work}/sets")
+        texts = rows.select(*LOCATOR, "text").join(asked.where("n > 0"), list(LOCATOR)).select("k", "text")
+        found = stored(texts.mapInArrow(sets, "k long, set binary"), f"{work}/sets")
     both = pairs.join(found.select(F.col("k").alias("a"), F.col("set").alias("sa")), "a").join(found.select(F.col("k").alias("b"), F.col("set").alias("sb")), "b")
     return stored(both.select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long"), f"{work}/verified")
 
@@ -360,15 +364,14 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, id_col:
 
     Groups are components of pairs of verified similarity ``least`` or more. A pair
     of similarity 0.8 shares at least one of the partitions' values with chance
-    0.95, one of 0.9 with chance 0.999; equal fingerprints of equal texts always do.
+    0.95, one of 0.9 with chance 0.999; equal texts always do.
     """
     work = work_dir(docs.sparkSession, "similar")
-    rows = located(docs).select(F.col(id_col).alias("id"), F.xxhash64(*LOCATOR).alias("k"), *LOCATOR, whole_text(text_col).alias("text"))
-    wide = stored(_wide(rows.select("k", "text"), words), f"{work}/wide")
-    linked = _verified(_candidates(wide, work), rows.select("k", "text"), words, least, work)
+    rows = located(docs).select(F.col(id_col).alias("id"), *LOCATOR, whole_text(text_col).alias("text"))
+    wide = stored(_wide(rows, words).withColumn("k", F.monotonically_increasing_id()), f"{work}/wide")
+    linked = _verified(_candidates(wide, work), wide, rows, words, least, work)
     reached = components(linked, f"{work}/components")
-    ids = rows.select("id", "k", *LOCATOR)
-    rooted = ids.join(reached.withColumnRenamed("u", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    rooted = wide.select("id", "k", *LOCATOR).join(reached.withColumnRenamed("u", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     names = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     return rooted.join(names, "root").select(F.col("id").alias(id_col), "component_id", *LOCATOR)
 
