@@ -13,7 +13,7 @@ pytest.importorskip("tidemark.llm")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from tidemark.llm import exact_dedup, mixing, packing, pii, quality, repeats, simhash, token_counts  # noqa: E402
+from tidemark.llm import exact_dedup, line_dedup, mixing, packing, pii, quality, repeats, simhash, token_counts  # noqa: E402
 from tidemark.llm.ann import nearest  # noqa: E402
 from tidemark.llm.components import components  # noqa: E402
 from tidemark.llm.queries import tokenizer_path  # noqa: E402
@@ -303,3 +303,14 @@ def test_nearest(spark):
     tied = [r.vec_id for r in by[0] if r.score == by[0][0].score]
     assert tied == sorted(tied)
     assert nearest(frame.limit(0), frame.limit(0)).count() == 0
+
+
+def test_line_dedup(spark):
+    page = lambda *lines: "<html><style>x</style><body>" + "".join(f"<p>{x}</p>" for x in lines) + "</body>"
+    rows = [(i, "http://a.example/p", page("menu", f"text {i}", "menu"), "x") for i in range(4)]
+    rows += [(10, "https://b.example", page("menu", "own"), "x"), (11, None, None, "x"), (12, "no url", "plain<br>line", "x"), (0, "http://A.example/q", page("rare"), "x"), (13, "http://b.example", "", "x")]
+    out = line_dedup.drop_boilerplate(spark.createDataFrame(rows, "page_id long, url string, html string, host string")).collect()
+    kept = sorted((r.page_id, r.host, r.kept) for r in out)
+    want = [(i, "a.example", [f"text {i}"]) for i in range(4)] + [(0, "a.example", ["rare"]), (10, "b.example", ["menu", "own"]), (11, "", []), (12, "", ["plain", "line"]), (13, "b.example", [])]
+    assert kept == sorted(want)
+    assert line_dedup.drop_boilerplate(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import quality
 from tidemark.llm.ann import nearest
 from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.line_dedup import drop_boilerplate
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.packing import pack
 from tidemark.llm.pii import BASE, find_personal_data, joined
@@ -41,6 +42,27 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_boilerplate(_read(spark, sf_dir, "pages"), ratio=0.5, min_pages=3)
+    n_lines, n_kept = F.size("lines").cast("long"), F.size("kept").cast("long")
+    return out.select(
+        "page_id", "host", n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_dropped"), F.sha2(F.array_join("kept", "\n"), 256).alias("kept_sha256")
+    )
+
+
+OP3_SQL = r"""
+WITH a AS (SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) AS host,
+  regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g') AS t FROM pages),
+b AS (SELECT page_id, host, regexp_replace(regexp_replace(regexp_replace(t, '(?i)<(/p|br|/li|/div|/h[1-6]|/title|/td|/tr|/nav|/footer|/header|/section|/article|p|li|div)\b[^>]*>', chr(10), 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\f]+', ' ', 'g') AS t FROM a),
+c AS (SELECT page_id, host, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS lines FROM b),
+n AS (SELECT host, count(*) AS pages FROM c GROUP BY host),
+l AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM c) GROUP BY host, line),
+d AS (SELECT host, list(line) AS dropped FROM l JOIN n USING (host) WHERE l.n >= 3 AND l.n > 0.5 * n.pages GROUP BY host),
+k AS (SELECT page_id, c.host, lines, CASE WHEN dropped IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(dropped, x)) END AS kept FROM c LEFT JOIN d ON c.host = d.host)
+SELECT page_id, host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(kept) AS BIGINT) AS n_dropped, sha256(coalesce(array_to_string(kept, chr(10)), '')) AS kept_sha256 FROM k
+"""
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(_read(spark, sf_dir, "documents"), weights=[3.0, 1.0, 2.0], share=1.5, max_epochs=2.0)
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -119,6 +141,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_token_counts": op2_token_counts,
+        "op3_line_dedup": op3_line_dedup,
         "op4_mixing": op4_mixing,
         "op5_pii": op5_pii,
         "op6_simhash": op6_simhash,
@@ -130,4 +153,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op4_mixing": OP4_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_mixing": OP4_SQL}
