@@ -318,7 +318,7 @@ def ag35(t):
     return rows.withColumn("rn", rn).where("rn <= 500").select("month", "type", "fingerprint")
 
 
-@query("cl05_brewing_trend", _CLUSTERS.replace("b AS (SELECT *, datediff", "b AS (SELECT *, datediff") + "SELECT CAST(date_trunc('week', dt) AS DATE) AS week, count(DISTINCT cluster_id) AS n_clusters FROM cl GROUP BY 1")
+@query("cl05_brewing_trend", _CLUSTERS + "SELECT CAST(date_trunc('week', dt) AS DATE) AS week, count(DISTINCT cluster_id) AS n_clusters FROM cl GROUP BY 1")
 def cl05(t):
     return clustered(t).groupBy(F.trunc("dt", "week").alias("week")).agg(F.countDistinct("cluster_id").alias("n_clusters"))
 
