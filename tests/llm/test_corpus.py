@@ -192,6 +192,56 @@ def test_similar_groups(spark):
     assert simhash.similar_groups(table(spark, [])).count() == 0
 
 
+def _roots(nodes, edges):
+    root = {n: n for n in nodes}
+    for _ in nodes:
+        before = dict(root)
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            return root
+    return root
+
+
+@pytest.mark.parametrize("kinds, bucket, block, dense, pairs", [(1, 1, 16, 4, 64), (3, 16, 24, 0, 1)])
+def test_crowded_buckets_hold_all_their_links(spark, monkeypatch, kinds, bucket, block, dense, pairs):
+    for name, value in {"PAIR_BUCKET": bucket, "BLOCK": block, "DENSE": dense, "ROUND_PAIRS": pairs}.items():
+        monkeypatch.setattr(simhash, name, value)
+    rng = random.Random(5)
+
+    def edited(words, n):
+        words = words[:]
+        for at in rng.sample(range(len(words)), n):
+            words[at] = rng.choice(WORDS)
+        return words
+
+    texts = []
+    for _ in range(25):  # lone pairs
+        texts += [one := prose(120).split(), edited(one, 2)]
+    chain = prose(150).split()
+    for _ in range(25):  # a chain: neighbours are similar, its ends are not
+        texts.append(chain := edited(chain, 2))
+    middle = prose(200).split()
+    texts += [edited(middle, rng.randint(1, 5)) for _ in range(40)]  # many pairs just above and below the limit
+    texts = [" ".join(t) for t in texts] + [" ".join(middle), " ".join(middle).upper()] + [prose(90) for _ in range(20)]
+    rng.shuffle(texts)
+    rows = simhash.located(table(spark, texts)).select(F.col("doc_id").alias("id"), *simhash.LOCATOR, "text")
+    work = simhash.work_dir(spark, "test")
+    values = F.transform(F.slice("parts", 1, 2 if kinds < 1 << 16 else 40), lambda v: v % kinds)  # few values: each bucket is crowded
+    wide = simhash.stored(simhash._wide(rows, 5).withColumn("k", F.monotonically_increasing_id()).withColumn("parts", values), f"{work}/wide")
+    at = {r.k: r for r in wide.collect()}
+    sets = {k: set(simhash.shingle_hashes(texts[r.id], 5).tolist()) for k, r in at.items()}
+
+    def asked(x, y):
+        bits = sum(bin((x[p] ^ y[p]) & (1 << 64) - 1).count("1") for p in ("p1", "p2"))
+        return bits <= 33 and any(v == w for v, w in zip(x.parts, y.parts))
+
+    edges = [(a, b) for a in at for b in at if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and asked(at[a], at[b])]
+    assert len(edges) > 100
+    got = {r.u: r.root for r in simhash._linked(wide, rows, 5, 0.8, work).collect()}
+    assert {k: got.get(k, k) for k in at} == _roots(at, edges)
+
+
 def test_packing(spark, odd):
     path = tokenizer_path("byte_bpe_50k.json")
     encoder = packing.Encoder(path)

@@ -267,8 +267,12 @@ def near_duplicates(
 
 #: Partitions of the wide fingerprint and bits of each. Texts of similarity 0.8 agree in a bit with chance 0.85.
 WIDE_PARTS, PART_BITS = 40, 16
-#: Buckets up to this size give all their pairs; larger ones a star around a member that changes with the partition.
+#: Buckets up to this size give their pairs in a DataFrame expression; larger ones are compared all against all in blocks.
 PAIR_BUCKET = 16
+#: Members of a block of a crowded bucket, and near pairs a member from which on only a spanning forest of them is tested first.
+BLOCK, DENSE = 1024, 4
+#: Near pairs that each two groups of a dense block give in the first further round; each later round gives eight times as many.
+ROUND_PAIRS = 64
 
 
 def shingle_hashes(text: str, words: int, seed: int = 42) -> np.ndarray:
@@ -297,26 +301,112 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
 
 
 def _wide(rows: DataFrame, words: int) -> DataFrame:
-    """Rows (id, LOCATOR, p1, p2, parts): 128 bits of the fingerprint, and its partitions' values (none without words)."""
+    """Rows (id, LOCATOR, p1, p2, parts, same): 128 bits of the fingerprint, its partitions' values (none without words), a digest of the shingles."""
+    import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, parts = np.zeros((batch.num_rows, 2), np.uint64), []
+            prints, parts, same = np.zeros((batch.num_rows, 2), np.uint64), [], np.zeros(batch.num_rows, np.uint64)
             for i, text in enumerate(batch.column("text").to_pylist()):
                 hashes = shingle_hashes(text, words)
                 parts.append(wide_fingerprint(hashes).tolist() if len(hashes) else [])
+                same[i] = xxhash.xxh64_intdigest(hashes.tobytes())
                 for p in range(8 if len(hashes) else 0):
                     prints[i, p // 4] |= np.uint64(parts[-1][p] << 16 * (p % 4))
             keys = [batch.column(c) for c in ("id", *LOCATOR)]
-            columns = [*keys, _signed(prints[:, 0].copy()), _signed(prints[:, 1].copy()), pa.array(parts, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", *LOCATOR, "p1", "p2", "parts"])
+            columns = [*keys, _signed(prints[:, 0].copy()), _signed(prints[:, 1].copy()), pa.array(parts, pa.list_(pa.int32())), _signed(same)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", *LOCATOR, "p1", "p2", "parts", "same"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, {LOCATOR[0]} string, {LOCATOR[1]} long, p1 long, p2 long, parts array<int>")
+    return rows.mapInArrow(run, f"id {kind}, {LOCATOR[0]} string, {LOCATOR[1]} long, p1 long, p2 long, parts array<int>, same long")
+
+
+def _distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Differing bits of 128 between each row of p and each of q."""
+    return np.bitwise_count(p[:, None, 0] ^ q[None, :, 0]) + np.bitwise_count(p[:, None, 1] ^ q[None, :, 1])
+
+
+def _near_places(p: np.ndarray, max_bits: int, most: float = float("inf")) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Places i < j of the rows at most max_bits apart, and their distances; None if they are more than ``most``."""
+    found, n = [], 0
+    for at in range(0, len(p), 256):
+        d = _distances(p[at : at + 256], p[at:])
+        i, j = np.nonzero(d <= max_bits)
+        i, j, d = (x[i < j] for x in (i + at, j + at, d[i, j]))
+        found.append((i, j, d))
+        n += len(i)
+        if n > most:
+            return None
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def spanning(p: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+    """A forest (i, j) of least distances with the components of all rows at most max_bits apart; no matrix is kept."""
+    left = np.arange(len(p))
+    reach, near_to, out, now = np.full(len(p), 255, np.uint8), np.zeros(len(p), np.int64), [], 0
+    while len(left) > 1:
+        here, keep = left[now], np.arange(len(left)) != now
+        left, reach, near_to = left[keep], reach[keep], near_to[keep]
+        d = _distances(p[here : here + 1], p[left])[0]
+        closer = d < reach
+        reach[closer], near_to[closer] = d[closer], here
+        now = int(reach.argmin())
+        if reach[now] <= max_bits:
+            out.append((int(near_to[now]), int(left[now])))
+    return out
+
 
+def crossing(p: np.ndarray, group: np.ndarray, max_bits: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Near places (i, j) of different groups: for each two groups the ``most`` nearest, and whether these two have more."""
+    i, j, d = _near_places(p, max_bits)
+    i, j, d = (x[group[i] != group[j]] for x in (i, j, d))
+    low, high = np.minimum(group[i], group[j]), np.maximum(group[i], group[j])
+    order = np.lexsort((j, i, d, high, low))
+    i, j, low, high = (x[order] for x in (i, j, low, high))
+    new = np.ones(len(i), bool)
+    new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    first = np.flatnonzero(new)
+    sizes = np.diff(np.append(first, len(i)))
+    keep = np.arange(len(i)) - np.repeat(first, sizes) < most
+    return i[keep], j[keep], np.repeat(sizes > most, sizes)[keep]
 
-def _candidates(wide: DataFrame, work: str, max_bits: int = 33) -> DataFrame:
-    """Pairs (a, b) of keys that share a partition's value and differ in few of 128 bits."""
+
+def _in_blocks(values: DataFrame, sizes: DataFrame, compare, schema: str) -> DataFrame:
+    """``compare`` (members' arrays to a batch) over every two blocks of the buckets in ``sizes`` (part, value, n).
+
+    ``values`` has part, value, k, p1, p2, root. A block takes BLOCK members, so that no task holds a bucket; a
+    bucket of b blocks sends each member to b places.
+    """
+    key = ["part", "value"]
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    mine = values.join(sizes.withColumn("blocks", blocks).drop("n"), key).withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    mine = mine.select("*", other.alias("other")).where("blocks < 2 OR block <> other")
+    # of two blocks, one place holds both; pairs inside a block are in each of its places
+    mine = mine.select(*key, F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "k", "p1", "p2", "root")
+    member = F.struct("k", "p1", "p2", "root")
+    grouped = mine.groupBy(*key, "b1", "b2").agg(F.collect_list(member).alias("m")).where(F.size("m") > 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("m")
+            flat = lists.flatten()
+            k, p1, p2, root = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("k", "p1", "p2", "root"))
+            prints, at = np.column_stack((p1, p2)).view(np.uint64), 0
+            for part, value, n in zip(batch.column("part").to_pylist(), batch.column("value").to_pylist(), lists.value_lengths().to_pylist()):
+                order = at + np.argsort(k[at : at + n])
+                yield compare(part, value, k[order], prints[order], root[order])
+                at += n
+
+    return grouped.mapInArrow(run, schema)
+
+
+def _candidates(wide: DataFrame, work: str, max_bits: int = 33) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Pairs of keys that share a partition's value and differ in few of 128 bits.
+
+    Gives the pairs (a, b) to verify, the forests (a, b, part, value) that stand for the near pairs of dense blocks,
+    and the values and crowded buckets for further rounds over these.
+    """
     key = ["part", "value"]
     values = wide.select("k", "p1", "p2", F.posexplode("parts").alias("part", "value"))
     sizes = values.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
@@ -327,10 +417,62 @@ def _candidates(wide: DataFrame, work: str, max_bits: int = 33) -> DataFrame:
     small = values.join(crowded, key, "left_anti").groupBy(*key).agg(F.collect_list(member).alias("m")).where(F.size("m") > 1)
     pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (x["k"] < y["k"]) & near(x, y)), lambda y: F.struct(x["k"].alias("a"), y["k"].alias("b")))))
     inside = small.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
-    met = values.join(crowded, key, "left_semi").select(*key, F.struct(F.xxhash64("k", "part").alias("turn"), "k", "p1", "p2").alias("x"))
-    star = met.join(met.groupBy(*key).agg(F.min("x").alias("hub")), key).where(near(F.col("x"), F.col("hub")) & (F.col("x.k") != F.col("hub.k")))
-    star = star.select(F.least("x.k", "hub.k").alias("a"), F.greatest("x.k", "hub.k").alias("b"))
-    return stored(inside.unionByName(star).distinct(), f"{work}/candidates")
+
+    def compare(part: int, value: int, k: np.ndarray, p: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+        found = _near_places(p, max_bits, DENSE * len(p))
+        ends = np.column_stack(found[:2]) if found else np.array(spanning(p, max_bits)).reshape(-1, 2)
+        a, b = k[ends].min(axis=1), k[ends].max(axis=1)
+        columns = [pa.array(a), pa.array(b), pa.array(np.full(len(a), part, np.int32)), pa.array(np.full(len(a), value, np.int32))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(a), found is None))], ["a", "b", "part", "value", "dense"])
+
+    with configured(wide.sparkSession, _FEW_GROUPS):
+        met = _in_blocks(values.withColumn("root", F.col("k")), crowded, compare, "a long, b long, part int, value int, dense boolean")
+        met = stored(met, f"{work}/crowded-pairs")
+    pairs = stored(inside.unionByName(met.select("a", "b")).distinct(), f"{work}/candidates")
+    return pairs, met.where("dense").drop("dense"), values, crowded
+
+
+#: Groups of a batch: each has up to two blocks of members.
+_FEW_GROUPS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "64"}
+
+
+def _linked(wide: DataFrame, rows: DataFrame, words: int, least: float, work: str, max_bits: int = 33) -> DataFrame:
+    """Rows (u, root) of the components of all verified near pairs.
+
+    Texts of the same shingles are one class and linked without a test. Where a forest's links all hold, or join keys
+    that others join, its block needs no more. A block with a link that fails is compared again: its near pairs between
+    different components are verified, the nearest of each two components first, until none is left.
+    """
+    having = wide.where(F.size("parts") > 0)
+    heads = stored(having.groupBy("same").agg(F.min("k").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"), f"{work}/heads")
+    twins = having.select("k", "same").join(heads, "same").where("k <> head").select(F.col("head").alias("a"), F.col("k").alias("b"))
+    twins = stored(twins, f"{work}/twins")
+    single = having.join(twins.select(F.col("b").alias("k")), "k", "left_anti")
+    pairs, forests, values, crowded = _candidates(single, work, max_bits)
+    links = stored(_verified(pairs, wide, rows, words, least, f"{work}/round=0").unionByName(twins), f"{work}/links=0")
+    most, turn = ROUND_PAIRS, 0
+    while True:
+        reached = components(links, f"{work}/components={turn}")
+        roots = reached.select(F.col("u").alias("k"), "root")
+        named = lambda df, end, name: df.join(roots.select(F.col("k").alias(end), F.col("root").alias(name)), end, "left").withColumn(name, F.coalesce(name, end))
+        apart = named(named(forests, "a", "ra"), "b", "rb").where("ra <> rb").select("part", "value").distinct()
+        again = stored(crowded.join(apart, ["part", "value"], "left_semi"), f"{work}/again={turn}")
+        if again.isEmpty():
+            return reached
+        turn += 1
+
+        def compare(part: int, value: int, k: np.ndarray, p: np.ndarray, root: np.ndarray, most: int = most) -> pa.RecordBatch:
+            i, j, more = crossing(p, root, max_bits, most)
+            return pa.RecordBatch.from_arrays([pa.array(k[i]), pa.array(k[j]), pa.array(more)], ["a", "b", "more"])
+
+        with configured(wide.sparkSession, _FEW_GROUPS):
+            mine = named(values.join(again.drop("n"), ["part", "value"], "left_semi"), "k", "root")
+            met = stored(_in_blocks(mine, again, compare, "a long, b long, more boolean"), f"{work}/met={turn}")
+        new = stored(met.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), f"{work}/new={turn}")
+        links = links.unionByName(_verified(new, wide, rows, words, least, f"{work}/round={turn}"))
+        if not met.where("more").head(1):
+            return components(links, f"{work}/components={turn}")
+        most *= 8
 
 
 def _verified(pairs: DataFrame, wide: DataFrame, rows: DataFrame, words: int, least: float, work: str) -> DataFrame:
@@ -364,13 +506,13 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, id_col:
 
     Groups are components of pairs of verified similarity ``least`` or more. A pair
     of similarity 0.8 shares at least one of the partitions' values with chance
-    0.95, one of 0.9 with chance 0.999; equal texts always do.
+    0.95, one of 0.9 with chance 0.999; equal texts always do. Such a pair is
+    linked however many members the value's bucket has.
     """
     work = work_dir(docs.sparkSession, "similar")
     rows = located(docs).select(F.col(id_col).alias("id"), *LOCATOR, whole_text(text_col).alias("text"))
     wide = stored(_wide(rows, words).withColumn("k", F.monotonically_increasing_id()), f"{work}/wide")
-    linked = _verified(_candidates(wide, work), wide, rows, words, least, work)
-    reached = components(linked, f"{work}/components")
+    reached = _linked(wide, rows, words, least, work)
     rooted = wide.select("id", "k", *LOCATOR).join(reached.withColumnRenamed("u", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     names = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     return rooted.join(names, "root").select(F.col("id").alias(id_col), "component_id", *LOCATOR)
