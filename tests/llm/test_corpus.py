@@ -192,6 +192,15 @@ def test_similar_groups(spark):
     assert simhash.similar_groups(table(spark, [])).count() == 0
 
 
+def test_one_of_each_group_with_null_and_repeated_ids(spark):
+    many = [prose(100) for _ in range(7)]
+    texts = [*many, many[0].upper(), many[3].upper(), many[5].upper(), None, ""]
+    ids = [None, None, None, 4, 4, 4, 9, 2, None, 3, None, None]
+    kept = [(r.doc_id, r.text) for r in simhash.one_of_each_group(table(spark, texts, ids)).collect()]
+    wanted = [(2, texts[7]), (None, texts[1]), (None, texts[2]), (4, texts[3]), (4, texts[4]), (3, texts[9]), (9, texts[6]), (None, None), (None, "")]
+    assert Counter(kept) == Counter(wanted)
+
+
 def _roots(nodes, edges):
     root = {n: n for n in nodes}
     for _ in nodes:

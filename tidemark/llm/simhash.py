@@ -501,8 +501,8 @@ def _verified(pairs: DataFrame, wide: DataFrame, rows: DataFrame, words: int, le
     return stored(both.select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long"), f"{work}/verified")
 
 
-def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, component_id (smallest id of its group) and LOCATOR.
+def _rooted(docs: DataFrame, words: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """One row per document: id, root (a key that its group alone has) and LOCATOR.
 
     Groups are components of pairs of verified similarity ``least`` or more. A pair
     of similarity 0.8 shares at least one of the partitions' values with chance
@@ -513,16 +513,25 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, id_col:
     rows = located(docs).select(F.col(id_col).alias("id"), *LOCATOR, whole_text(text_col).alias("text"))
     wide = stored(_wide(rows, words).withColumn("k", F.monotonically_increasing_id()), f"{work}/wide")
     reached = _linked(wide, rows, words, least, work)
-    rooted = wide.select("id", "k", *LOCATOR).join(reached.withColumnRenamed("u", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    rooted = wide.select("id", "k", *LOCATOR).join(reached.withColumnRenamed("u", "k"), "k", "left")
+    return rooted.select("id", F.coalesce("root", "k").alias("root"), *LOCATOR)
+
+
+def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, component_id (smallest id of its group, null if it has none) and LOCATOR; groups as in ``_rooted``."""
+    rooted = _rooted(docs, words, least, id_col, text_col)
     names = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     return rooted.join(names, "root").select(F.col("id").alias(id_col), "component_id", *LOCATOR)
 
 
 def one_of_each_group(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of similar texts, the one with the smallest identifier; columns as given."""
+    """``docs`` with one row of each group of similar texts, columns as given.
+
+    The row with the smallest identifier stays, of several the first by LOCATOR; a null identifier comes after all
+    others. Rows are told apart by LOCATOR, so dissimilar texts with the same or no identifier all stay.
+    """
     rows = located(docs)
-    groups = similar_groups(rows, words, least, id_col, text_col)
-    groups = stored(groups.select(F.col(id_col).alias("id"), "component_id", *LOCATOR), work_dir(docs.sparkSession, "similar-groups"))
-    first = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min(F.struct(*LOCATOR)).alias("stays"))
-    dropped = groups.join(first.select("stays.*"), list(LOCATOR), "left_anti").select(*LOCATOR)
+    groups = stored(_rooted(rows, words, least, id_col, text_col), work_dir(docs.sparkSession, "similar-groups"))
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", *LOCATOR)).alias("stays"))
+    dropped = groups.join(first.select(*(F.col("stays")[c].alias(c) for c in LOCATOR)), list(LOCATOR), "left_anti").select(*LOCATOR)
     return rows.join(dropped, list(LOCATOR), "left_anti").select(*docs.columns)
