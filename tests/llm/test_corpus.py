@@ -336,6 +336,19 @@ def test_quality_on_held_out_rows(spark):
     assert quality.keep_good(docs, weights).columns == docs.columns
 
 
+def test_quality_with_labels_of_one_kind(spark):
+    from corpus_pipeline import quality_stage
+
+    docs = table(spark, [prose(20), "", None, prose(5)])
+    folder = quality.work_dir(spark, "one-kind")
+    for label, kept in ((1, 4), (0, 0), (None, 0)):
+        spark.createDataFrame([(i, label) for i in range(4)], "doc_id long, quality int").write.parquet(f"{folder}-{label}/labels.parquet")
+        assert quality_stage(spark, docs, f"{folder}-{label}").count() == kept
+        weights = quality.scoring_weights(quality.labelled_rows(docs, spark.read.parquet(f"{folder}-{label}/labels.parquet"), "quality"))
+        share = 0.5 if label is None else label
+        assert all(abs(r.score - share) < 2e-6 for r in quality.score(docs, weights).collect())
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((600, 16))

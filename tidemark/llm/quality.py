@@ -10,8 +10,9 @@ it is sent to every task; scoring is a sparse dot product per document.
 
 Defined results: null text counts as empty and scores by the bias alone; rows
 with a null label or identifier are not trained on; repeated rows are scored
-each; without labels of both kinds every score is the share of label 1, or 0.5
-if there is none; other columns are ignored.
+each; without labels of both kinds every score is the share of label 1 (the bias
+is its log-odds, 1e-6 away from 0 and 1), or 0.5 if there is none; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -127,6 +128,15 @@ def train(
     return weights, counts[1] / total
 
 
+def scoring_weights(labelled: DataFrame) -> np.ndarray:
+    """Weights to score with: those of ``train``, or the share of label 1 as a bias where labels are of one kind."""
+    weights, share = train(labelled)
+    if share in (0, 1):
+        held = np.clip(share, 1e-6, 1 - 1e-6)
+        weights[-1] = np.log(held / (1 - held))
+    return weights
+
+
 def score(docs: DataFrame, weights: np.ndarray, bits: int = 18, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Rows (id, carried columns, score): the probability of label 1."""
     rows = docs.select(F.col(id_col).alias("id"), *carry, whole_text(text_col).alias("text"))

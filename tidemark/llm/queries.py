@@ -125,7 +125,7 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    weights, _ = quality.train(quality.labelled_rows(docs, _read(spark, sf_dir, "labels"), "quality"))
+    weights = quality.scoring_weights(quality.labelled_rows(docs, _read(spark, sf_dir, "labels"), "quality"))
     scored = quality.score(docs, weights)
     return scored.select(
         "doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
