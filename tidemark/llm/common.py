@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,11 +45,13 @@ def configured(spark: SparkSession, conf: dict[str, str]):
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (single-machine tests) is a new temporary folder used.
+    The cluster names it in ``spark.checkpoint.dir``; a new temporary folder
+    stands in for it only where that is unset and driver and tasks are one process.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -63,6 +68,26 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete folders below the shared one that nothing reads any more."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+_KEPT: dict[str, dict] = {}
+
+
+def kept_for(operator: str) -> dict:
+    """What a Python worker keeps from task to task for one operator; what it kept for another is let go."""
+    if others := [name for name in _KEPT if name != operator]:
+        for name in others:
+            _KEPT.pop(name).clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    return _KEPT.setdefault(operator, {})
+
+
 def located(docs: DataFrame, label: str = "located") -> DataFrame:
     """``docs`` with LOCATOR columns naming each row's file and index in that file.
 

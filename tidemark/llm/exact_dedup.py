@@ -28,9 +28,11 @@ _STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "96",
     # many small stores: without space set aside in advance for each one's logs
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # executors close the stores of a stream that has ended soon after
+    "spark.sql.streaming.stateStore.maintenanceInterval": "5s",
 }
 
 

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import whole_text
+from tidemark.llm.common import kept_for, whole_text
 
 SENTENCE_COST, CUT_COST = 2.0, 6.0
 #: Elsewhere, places for a cut lie so far apart.
@@ -47,7 +47,7 @@ GRID = 64
 #: Documents are packed together up to so many ids.
 BLOCK_IDS = 1 << 18
 #: Units kept for the next time; those met first, so the frequent ones.
-_MEMO_ENTRIES = 600_000
+_MEMO_ENTRIES = 300_000
 #: Letters of ASCII and Latin-1, a mark or none; and two of these around a line break.
 _WORD = r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)"
 _WORDS = re.compile(rf"{_WORD}(?:(\n){_WORD})?")
@@ -119,9 +119,11 @@ class Encoder:
         return np.array(sorted(m for m in marks if m is not None), np.uint32)
 
 
-@lru_cache(maxsize=2)
 def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+    kept = kept_for("packing")
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def _padding(length: int, window: int) -> int:

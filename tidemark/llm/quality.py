@@ -17,7 +17,6 @@ are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -27,18 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored, whole_text, work_dir
+from tidemark.llm.common import kept_for, stored, whole_text, work_dir
 
 _MIX = 0x9E3779B97F4A7C15
-_WORD_MEMO: dict[str, int] = {}
-_MEMO_ENTRIES = 500_000
-_EDGE = re.compile(r"^\W+|\W+$")
+#: Words whose hashes a worker keeps for the next time.
+_MEMO_ENTRIES = 200_000
 
 
-def _word_hash(word: str) -> int:
-    if len(_WORD_MEMO) >= _MEMO_ENTRIES:
-        _WORD_MEMO.clear()
-    h = _WORD_MEMO[word] = crc32(word.encode("utf-8", "surrogatepass"))
+def _word_hash(word: str, known: dict[str, int]) -> int:
+    if len(known) >= _MEMO_ENTRIES:
+        known.clear()
+    h = known[word] = crc32(word.encode("utf-8", "surrogatepass"))
     return h
 
 
@@ -47,8 +45,8 @@ def features(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
     words = text.lower().split()
     if not words:
         return np.empty(0, np.int64), np.empty(0)
-    known = _WORD_MEMO
-    hashes = np.fromiter((known[w] if w in known else _word_hash(w) for w in words), np.uint64, len(words))
+    known = kept_for("quality")
+    hashes = np.fromiter((known[w] if w in known else _word_hash(w, known) for w in words), np.uint64, len(words))
     with np.errstate(over="ignore"):
         one = hashes * np.uint64(_MIX)
         two = (hashes[:-1] * np.uint64(31) + hashes[1:]) * np.uint64(_MIX) + np.uint64(1)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BLOOM_CONF, LOCATOR, configured, located, stored, whole_text, work_dir
+from tidemark.llm.common import BLOOM_CONF, LOCATOR, configured, kept_for, located, stored, whole_text, work_dir
 from tidemark.llm.components import components
 
 BITS = 64
@@ -71,6 +71,7 @@ def fingerprints(docs: DataFrame, words: int, seed: int = 42, id_col: str = "doc
     rows = located(docs).select(F.col(id_col).alias("id"), *LOCATOR, whole_text(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_for("simhash")
         for batch in batches:
             fps = np.fromiter((fingerprint(t, words, seed) for t in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
             keys = [batch.column(c) for c in ("id", *LOCATOR)]
@@ -270,7 +271,7 @@ WIDE_PARTS, PART_BITS = 40, 16
 #: Buckets up to this size give their pairs in a DataFrame expression; larger ones are compared all against all in blocks.
 PAIR_BUCKET = 16
 #: Members of a block of a crowded bucket, and near pairs a member from which on only a spanning forest of them is tested first.
-BLOCK, DENSE = 1024, 4
+BLOCK, DENSE = 512, 4
 #: Near pairs that each two groups of a dense block give in the first further round; each later round gives eight times as many.
 ROUND_PAIRS = 64
 
@@ -305,6 +306,7 @@ def _wide(rows: DataFrame, words: int) -> DataFrame:
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_for("simhash")
         for batch in batches:
             prints, parts, same = np.zeros((batch.num_rows, 2), np.uint64), [], np.zeros(batch.num_rows, np.uint64)
             for i, text in enumerate(batch.column("text").to_pylist()):
