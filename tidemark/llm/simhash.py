@@ -273,7 +273,7 @@ PAIR_BUCKET = 16
 #: Members of a block of a crowded bucket, and near pairs a member from which on only a spanning forest of them is tested first.
 BLOCK, DENSE = 512, 4
 #: Near pairs that each two groups of a dense block give in the first further round; each later round gives eight times as many.
-ROUND_PAIRS = 64
+ROUND_PAIRS = 512
 
 
 def shingle_hashes(text: str, words: int, seed: int = 42) -> np.ndarray:
@@ -452,11 +452,11 @@ def _linked(wide: DataFrame, rows: DataFrame, words: int, least: float, work: st
     single = having.join(twins.select(F.col("b").alias("k")), "k", "left_anti")
     pairs, forests, values, crowded = _candidates(single, work, max_bits)
     links = stored(_verified(pairs, wide, rows, words, least, f"{work}/round=0").unionByName(twins), f"{work}/links=0")
+    reached = stored(components(links, f"{work}/components=0"), f"{work}/reached=0")
     most, turn = ROUND_PAIRS, 0
     while True:
-        reached = components(links, f"{work}/components={turn}")
         roots = reached.select(F.col("u").alias("k"), "root")
-        named = lambda df, end, name: df.join(roots.select(F.col("k").alias(end), F.col("root").alias(name)), end, "left").withColumn(name, F.coalesce(name, end))
+        named = lambda df, end, name: df.join(roots.select(F.col("k").alias(end), F.col("root").alias(name)), end, "left").withColumn(name, F.coalesce(name, end))  # noqa: B023, E731
         apart = named(named(forests, "a", "ra"), "b", "rb").where("ra <> rb").select("part", "value").distinct()
         again = stored(crowded.join(apart, ["part", "value"], "left_semi"), f"{work}/again={turn}")
         if again.isEmpty():
@@ -471,27 +471,33 @@ def _linked(wide: DataFrame, rows: DataFrame, words: int, least: float, work: st
             mine = named(values.join(again.drop("n"), ["part", "value"], "left_semi"), "k", "root")
             met = stored(_in_blocks(mine, again, compare, "a long, b long, more boolean"), f"{work}/met={turn}")
         new = stored(met.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), f"{work}/new={turn}")
-        links = links.unionByName(_verified(new, wide, rows, words, least, f"{work}/round={turn}"))
+        links = _verified(new, wide, rows, words, least, f"{work}/round={turn}")
+        # new links join whole components: only their roots are linked anew
+        between = named(named(links, "a", "ra"), "b", "rb").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        joined = components(between, f"{work}/components={turn}").withColumnRenamed("root", "top")
+        moved = reached.join(joined.select(F.col("u").alias("root"), "top"), "root", "left").select("u", F.coalesce("top", "root").alias("root"))
+        added = joined.join(reached.select("u"), "u", "left_anti").select("u", F.col("top").alias("root"))
+        reached = stored(moved.unionByName(added), f"{work}/reached={turn}")
         if not met.where("more").head(1):
-            return components(links, f"{work}/components={turn}")
+            return reached
         most *= 8
 
 
 def _verified(pairs: DataFrame, wide: DataFrame, rows: DataFrame, words: int, least: float, work: str) -> DataFrame:
-    """The pairs whose sets of word shingles (by 32 bits of their hashes) have a Jaccard similarity of ``least`` or more."""
+    """The pairs whose sets of word shingles (by 64 bits of their hashes) have a Jaccard similarity of ``least`` or more."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(wide.select("k", *LOCATOR), "k")
     asked = stored(asked.withColumn("n", F.lit(1)), f"{work}/asked")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [np.unique(shingle_hashes(t, words).astype(np.uint32)).tobytes() for t in batch.column("text").to_pylist()]
+            data = [shingle_hashes(t, words).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(data, pa.binary())], ["k", "set"])
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(shared >= least * (len(x) + len(y) - shared))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
