@@ -2,23 +2,36 @@
 
 Base spans (email, ip, card, phone) come from fixed patterns and checks, and
 always stay. High-recall generators propose further, overlapping spans: anything
-around an ``@`` and any run of digit groups. Boosted trees see format features
-(digits, separators, Luhn sum, labels after the ``@``) and context features
-(neighbouring characters, a key word before) of each proposal and learn which
-look like base spans; they are trained on a bounded, documented sample of
-proposals (``train_spans`` in expectation). For each generator a threshold is
-calibrated on documents that were not trained on, as the lowest score from which
-on the proposals reach the wanted precision. Proposals above it that overlap no
-base span are added as ``email_like`` and ``number_like``.
+around an ``@``, dotted numbers, digit groups with and without separators,
+groups shaped like a phone number, and long mixed runs of letters and digits.
+For each kind boosted trees learn from context features (neighbouring
+characters, a key word before) and coarse format features (lengths, separators,
+groups); what defines the base spans exactly, such as the Luhn sum or the upper
+limit of an octet, is none of them.
+
+Labels are positive and unlabelled: a base span is a sure positive of its kind,
+any other proposal may or may not be one. So the trees' probability of being
+labelled is divided by what labelled spans get on average in documents that were
+not trained on, which gives the probability of being of the kind. The threshold
+of a kind is where this reaches one half, or, if that is higher, the score that
+``recall`` of the held-out labelled spans reach. For secrets (keys and tokens,
+which have no base pattern) the sure positives are those assigned to a key word,
+and the key word is no feature. Selected proposals that overlap no base span are
+added, overlapping ones as one span with the best one's kind: ``email_like``,
+``ip_like``, ``card_like``, ``phone_like`` and ``secret``.
+
+Each kind trains on a bounded, documented sample (``train_spans`` positives and
+three times as many others in expectation).
 
 Positions come from splitting the text at a pattern's matches: the lengths of
-gaps and matches, in code points, add up to the starts. Patterns are possessive
-and look behind, so that no run of characters is read again from each of its
-places.
+gaps and matches, in code points, are summed along the document by a window.
+Patterns are possessive and look behind, so that no run of characters is read
+again from each of its places; all work is in proportion to the text.
 
 Defined results: null text counts as empty and has no spans; repeated rows are
-searched each; an empty table gives an empty result; without proposals of both
-classes nothing is added; other columns are ignored.
+searched each; an empty table gives an empty result; a kind without labelled and
+other proposals in both halves of the documents adds nothing; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +39,7 @@ from __future__ import annotations
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import LOCATOR, located, stored, whole_text, work_dir
@@ -39,31 +52,36 @@ BASE = {
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
 }
 PROPOSALS = {
-    "email_like": (r"(?<![^\s@])[^\s@]++@[^\s@]++", r"@"),
-    "number_like": (r"(?<![0-9])[+(]?[0-9](?:[\x20().-]{0,2}[0-9])++", r"[0-9][0-9\x20().-]{5}"),
+    "around_at": (r"(?<![^\s@])[^\s@]++@[^\s@]++", r"@"),
+    "dotted": (r"(?<![0-9.])[0-9]++(?:\.[0-9]++)++", r"[0-9]\.[0-9]"),
+    "groups": (r"(?<![0-9])[+(]?[0-9](?:[\x20().-]{0,2}[0-9])++", r"[0-9][0-9\x20().-]{5}"),
+    "digits": (r"(?<![0-9])[0-9]{7,}+", r"[0-9]{7}"),
+    "phone_shape": (r"(?<![0-9+])\+?[0-9]{1,4}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])", r"[0-9][0-9\x20().-]{5}"),
+    "mixed": (r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+", r"[A-Za-z0-9_+/-]{16}"),
 }
 KEY_WORD = r"(?i)(mail|phone|tel|call|mobile|fax|card|visa|account|ip|host|server|addr|contact)\W{0,3}$"
-FEATURES = [
-    "length", "digits", "spaces", "dots", "hyphens", "parens", "plus", "ats", "letters", "dots_after_at", "tail_letters",
-    "luhn", "octets", "joined_before", "joined_after", "sign_before", "key_word", "odd",
-]
-_SPAN = "array<struct<kind:string,start:bigint,end:bigint,match:string>>"
+SECRET_WORD = r"(?i)(token|secret|passw(or)?d|credential|api.?key|access.?key|private.?key)\s{0,2}[:=]\s{0,2}[\"']?$"
+ADDED = {"email": "email_like", "ip": "ip_like", "card": "card_like", "phone": "phone_like", "secret": "secret"}
+FORMAT = ["length", "digits", "letters", "capitals", "groups", "spaces", "dots", "hyphens", "parens", "plus", "ats", "odd", "turns"]
+CONTEXT = ["joined_before", "joined_after", "sign_before", "quoted", "key_word"]
+#: What the trees of a kind look at; a secret's key word is its label.
+FEATURES = {k: [*FORMAT, *CONTEXT] if k != "secret" else FORMAT for k in ADDED}
+_NEAR = 16
 
 
-def _spans(text: Column, kind: str, pattern: str, test: str) -> Column:
-    """Leftmost, non-overlapping matches with their places in code points (end exclusive)."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("match"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("out"))
+def _matches(text: Column, kind: str, pattern: str, test: str) -> Column:
+    """Leftmost, non-overlapping matches and the gaps around them: kind, place, gap length, gap ends, match (null for the last gap)."""
+    both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
 
-    def step(acc: Column, x: Column) -> Column:
-        low = acc["at"] + F.char_length(x["gap"])
-        high = low + F.char_length(x["match"])
-        span = F.struct(F.lit(kind).alias("kind"), low.alias("start"), high.alias("end"), x["match"].alias("match"))
-        return F.struct(high.alias("at"), F.concat(acc["out"], F.array(span)).cast(_SPAN).alias("out"))
+    def row(x: Column, i: Column) -> Column:
+        gap = x["gap"]
+        return F.struct(
+            F.lit(kind).alias("kind"), i.alias("i"), F.char_length(gap).cast("long").alias("gap"), F.left(gap, F.lit(1)).alias("head"), F.right(gap, F.lit(_NEAR)).alias("tail"),
+            x["match"].alias("match"),
+        )
 
-    spans = F.aggregate(F.filter(both, lambda x: x["match"].isNotNull()), start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(test) & text.rlike(pattern), spans).otherwise(F.array().cast(_SPAN))
+    empty = F.array().cast("array<struct<kind:string,i:int,gap:bigint,head:string,tail:string,match:string>>")
+    return F.when(text.rlike(test) & text.rlike(pattern), F.transform(both, row)).otherwise(empty)
 
 
 def _digits(match: Column) -> Column:
@@ -83,117 +101,129 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(places, F.lit(0), lambda s, i: s + worth(i)) % 10 == 0
 
 
-def _valid(kind: str, match: Column) -> Column:
+def _valid(kind: Column, match: Column) -> Column:
+    """Whether a match of a base pattern passes its kind's check."""
     digits = _digits(match)
-    if kind == "ip":
-        return F.forall(F.split(match, r"\."), lambda p: p.rlike("^0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$"))
-    if kind == "card":
-        return F.char_length(digits).between(16, 19) & _luhn(digits)
-    if kind == "phone":
-        return F.char_length(digits).between(8, 15)
-    return F.lit(True)
-
-
-def base_spans(text: Column, kind: str) -> Column:
-    pattern, test = BASE[kind]
-    return F.filter(_spans(text, kind, pattern, test), lambda s: _valid(kind, s["match"]))
-
-
-def _described(text: Column, span: Column) -> Column:
-    """A proposal with its features."""
-    m = span["match"]
-    count = lambda chars: F.char_length(m) - F.char_length(F.regexp_replace(m, chars, ""))
-    before = F.substring(text, F.greatest(F.lit(1), span["start"] - 15).cast("int"), F.least(F.lit(16), span["start"]).cast("int"))
-    before = F.when(span["start"] > 0, before).otherwise("")
-    after = F.substring(text, (span["end"] + 1).cast("int"), F.lit(1))
-    digits = _digits(m)
-    tail = F.element_at(F.split(m, "@"), -1)
+    return (
+        F.when(kind == "ip", F.forall(F.split(match, r"\."), lambda p: p.rlike("^0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$")))
+        .when(kind == "card", F.char_length(digits).between(16, 19) & _luhn(F.when(F.char_length(digits) <= 19, digits).otherwise("0")))
+        .when(kind == "phone", F.char_length(digits).between(8, 15))
+        .otherwise(kind == "email")
+    )
+
+
+def all_spans(rows: DataFrame, patterns: dict[str, tuple[str, str]]) -> DataFrame:
+    """Rows (LOCATOR, kind, start, end, match, before, after) of every match; places in code points, end exclusive."""
+    text = F.col("text")
+    found = rows.select(*LOCATOR, F.explode(F.flatten(F.array(*[_matches(text, k, p, t) for k, (p, t) in patterns.items()]))).alias("m"))
+    found = found.select(*LOCATOR, "m.*").repartition(*LOCATOR)
+    along = Window.partitionBy(*LOCATOR, "kind").orderBy("i")
+    through = F.sum(F.col("gap") + F.coalesce(F.char_length("match"), F.lit(0))).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    start = F.coalesce(through, F.lit(0)) + F.col("gap")
+    before = F.right(F.concat(F.coalesce(F.lag("match").over(along), F.lit("")), "tail"), F.lit(_NEAR))
+    after = F.left(F.concat(F.lead("head").over(along), F.coalesce(F.lead("match").over(along), F.lit(""))), F.lit(1))
+    placed = found.select(*LOCATOR, "kind", start.alias("start"), "match", before.alias("before"), F.coalesce(after, F.lit("")).alias("after"))
+    placed = placed.where(F.col("match").isNotNull())
+    return placed.withColumn("end", F.col("start") + F.char_length("match"))
+
+
+def _features(match: Column, before: Column, after: Column) -> dict[str, Column]:
+    count = lambda chars: F.char_length(match) - F.char_length(F.regexp_replace(match, chars, ""))
     flag = lambda c: c.cast("int")
-    values = [
-        F.char_length(m), F.char_length(digits), count(r"\s"), count(r"\."), count("-"), count("[()]"), count(r"\+"), count("@"), count("[A-Za-z]"),
-        F.when(m.contains("@"), F.char_length(tail) - F.char_length(F.regexp_replace(tail, r"\.", ""))).otherwise(0),
-        F.char_length(F.regexp_extract(m, "([A-Za-z]*)$", 1)),
-        F.when(F.char_length(digits).between(12, 20), flag(_luhn(digits))).otherwise(0),
-        flag(m.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")), flag(before.rlike(r"\w$")), flag(after.rlike(r"^\w")), flag(before.rlike(r"[=:#/\"'<]\s?$")),
-        flag(before.rlike(KEY_WORD)), count(r"[^A-Za-z0-9@.+()\s%_-]"),
-    ]
-    named = [F.coalesce(v.cast("double"), F.lit(0.0)).alias(n) for n, v in zip(FEATURES, values)]
-    return F.struct(span["kind"].alias("kind"), span["start"].alias("start"), span["end"].alias("end"), *named)
-
-
-def _proposals(text: Column) -> Column:
-    parts = [_spans(text, k, p, t) for k, (p, t) in PROPOSALS.items()]
-    wide = F.filter(F.concat(*parts), lambda s: (s["kind"] == "email_like") | (F.char_length(_digits(s["match"])) >= 7))
-    return F.transform(wide, lambda s: _described(text, s))
-
-
-def _added(found: DataFrame, work: str, train_spans: int, precision: float, seed: int) -> DataFrame | None:
-    """Rows (LOCATOR, added): the proposals that the calibrated trees select; None if there is nothing to learn."""
-    spans = found.where(F.size("proposed") > 0).select(*LOCATOR, "base", F.explode("proposed").alias("p"))
-    touches = F.exists("base", lambda b: (b["start"] < F.col("p.end")) & (F.col("p.start") < b["end"]))
-    same = F.exists("base", lambda b: (b["start"] == F.col("p.start")) & (b["end"] == F.col("p.end")))
-    turn = F.pmod(F.xxhash64(*LOCATOR, F.lit(seed)), F.lit(1000))
-    spans = stored(
-        spans.select(*LOCATOR, "p.*", same.cast("double").alias("label"), touches.alias("touches"), turn.alias("turn")), f"{work}/spans"
+    values = {
+        "length": F.char_length(match), "digits": count("[0-9]"), "letters": count(r"\p{L}"), "capitals": count(r"\p{Lu}"), "groups": F.regexp_count(match, F.lit("[0-9]+")),
+        "spaces": count(r"\s"), "dots": count(r"\."), "hyphens": count("-"), "parens": count("[()]"), "plus": count(r"\+"), "ats": count("@"), "odd": count(r"[^\p{L}0-9@.+()\s%_-]"),
+        # places where letters and digits meet
+        "turns": F.regexp_count(match, F.lit(r"(?<=\p{L})[0-9]|(?<=[0-9])\p{L}")),
+        "joined_before": flag(before.rlike(r"\w$")), "joined_after": flag(after.rlike(r"^\w")), "sign_before": flag(before.rlike(r"[=:#/<]\s?$")), "quoted": flag(before.rlike(r"[\"']$")),
+        "key_word": flag(before.rlike(KEY_WORD)),
+    }
+    return {n: F.coalesce(v.cast("double"), F.lit(0.0)) for n, v in values.items()}
+
+
+def _proposals(spans: DataFrame) -> DataFrame:
+    """One row per place that a generator or base pattern names: label (its base kind), touches (overlaps a base span), features."""
+    wide = F.col("kind").isin("around_at", "dotted", *BASE) | (F.col("kind") == "mixed") & F.col("match").rlike("[0-9]") & F.col("match").rlike("[A-Za-z]")
+    wide = wide | F.col("kind").isin("groups", "digits", "phone_shape") & (F.char_length(_digits(F.col("match"))) >= 7)
+    order = F.when(F.col("valid"), F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(BASE) for x in (k, i)]), F.col("kind")))
+    placed = spans.where(wide & (F.col("valid") | ~F.col("kind").isin(*BASE))).groupBy(*LOCATOR, "start", "end").agg(
+        F.first("match").alias("match"), F.first("before").alias("before"), F.first("after").alias("after"), F.min(order).alias("base"), F.bool_or(F.col("kind") == "mixed").alias("mixed")
     )
-    # proposals that overlap a base span without being one tell nothing
-    learned = spans.where((F.col("label") == 1) | ~F.col("touches"))
-    counts = {r.label: r.n for r in learned.where("turn < 500").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if min(counts.get(0.0, 0), counts.get(1.0, 0)) < 5:
+    is_base = F.col("base").isNotNull()
+    # both frames grow row by row; one that shrinks would be read anew for each row
+    forth, back = (Window.partitionBy(*LOCATOR).orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.asc("start"), F.desc("start")))
+    reached = F.max(F.when(is_base, F.col("end"))).over(forth)
+    ahead = F.min(F.when(is_base, F.col("start"))).over(back)
+    touches = F.coalesce(reached > F.col("start"), F.lit(False)) | F.coalesce(ahead < F.col("end"), F.lit(False))
+    secret = F.col("mixed") & F.col("before").rlike(SECRET_WORD)
+    label = F.coalesce(*[F.when(F.col("base") == i, F.lit(k)) for i, k in enumerate(BASE)], F.when(secret & ~touches, F.lit("secret")))
+    described = _features(F.col("match"), F.col("before"), F.col("after"))
+    return placed.withColumn("touches", touches).select(*LOCATOR, "start", "end", "touches", label.alias("label"), *[v.alias(n) for n, v in described.items()])
+
+
+def _select(spans: DataFrame, work: str, train_spans: int, recall: float, seed: int) -> DataFrame | None:
+    """Rows (LOCATOR, added): the spans that the calibrated trees add; None if nothing can be learned."""
+    turn = F.pmod(F.xxhash64(*LOCATOR, F.lit(seed)), F.lit(1000))
+    spans = stored(spans.withColumn("turn", turn), f"{work}/spans")
+    # a proposal that overlaps a base span without being one tells nothing
+    learned = spans.where(F.col("label").isNotNull() | ~F.col("touches"))
+    halves = learned.groupBy((F.col("turn") < 500).alias("early"), "label").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 12 rows
+    scored = spans.where("NOT touches AND label IS NULL OR label = 'secret'").select(*LOCATOR, "start", "end", *FORMAT, *CONTEXT)
+    picked = []
+    for kind in ADDED:
+        of = lambda early, own: sum(r.n for r in halves if r.early == early and (r.label == kind) == own)  # noqa: B023, E731
+        if not (of(True, True) and of(True, False) and of(False, True)):
+            continue
+        assemble = VectorAssembler(inputCols=FEATURES[kind], outputCol="features")
+        own = F.col("label").eqNullSafe(kind)
+        share = F.when(own, min(1.0, train_spans / of(True, True))).otherwise(min(1.0, 3 * train_spans / of(True, False)))
+        place = F.pmod(F.xxhash64(*LOCATOR, "start", "end"), F.lit(1 << 20)) / float(1 << 20)
+        sample = learned.where((F.col("turn") < 500) & (place < share)).select(own.cast("double").alias("label"), *FEATURES[kind])
+        sample = stored(sample.coalesce(8), f"{work}/sample-{kind}")  # its rows are bounded
+        model = GBTClassifier(maxDepth=3, maxIter=8, stepSize=0.4, maxBins=32, seed=seed).fit(assemble.transform(sample))
+        chance = vector_to_array("probability")[1]
+        held = model.transform(assemble.transform(learned.where((F.col("turn") >= 500) & own))).select(chance.alias("p"))
+        found = held.agg(F.avg("p").alias("labelled"), F.percentile_approx("p", 1 - recall, 10_000).alias("reached")).first()
+        limit = max(0.5 * found.labelled, min(found.reached, found.labelled))
+        chosen = model.transform(assemble.transform(scored)).select(*LOCATOR, "start", "end", (chance / found.labelled).alias("score"), chance.alias("p"))
+        picked.append(chosen.where(F.col("p") >= limit).select(*LOCATOR, "start", "end", "score", F.lit(ADDED[kind]).alias("kind")))
+    if not picked:
         return None
-    share = min(1.0, train_spans / sum(counts.values()))
-    assemble = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    sample = learned.where((F.col("turn") < 500) & (F.pmod(F.xxhash64(*LOCATOR, "start"), F.lit(1 << 20)) < int(share * (1 << 20))))
-    sample = stored(sample.select("label", *FEATURES), f"{work}/sample")
-    model = GBTClassifier(maxDepth=3, maxIter=8, stepSize=0.4, maxBins=32, seed=seed).fit(assemble.transform(sample))
-    chance = vector_to_array("probability")[1]
-    scored = model.transform(assemble.transform(spans)).select(*LOCATOR, "kind", "start", "end", "label", "touches", "turn", chance.alias("score"))
-    scored = stored(scored, f"{work}/scored")
-    bins = scored.where("turn >= 500 AND (label = 1 OR NOT touches)").groupBy("kind", F.floor(F.col("score") * 100).alias("bin"))
-    table = bins.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("right")).collect()  # 101 bins a generator
-    limits = {}
-    for kind in PROPOSALS:
-        n = right = 0
-        for r in sorted((r for r in table if r.kind == kind), key=lambda r: -r.bin):
-            n, right = n + r.n, right + r.right
-            if right < precision * n:
-                break
-            limits[kind] = r.bin / 100
-    wanted = F.lit(False)
-    for kind, limit in limits.items():
-        wanted = wanted | ((F.col("kind") == kind) & (F.col("score") >= limit))
-    chosen = scored.where(wanted & ~F.col("touches")).groupBy(*LOCATOR)
-    return chosen.agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
+    every = picked[0]
+    for more in picked[1:]:
+        every = every.unionByName(more)
+    # overlapping ones become one, with the best one's kind
+    along = Window.partitionBy(*LOCATOR).orderBy("start", "end")
+    before = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    runs = every.withColumn("new", F.when(F.col("start") < before, 0).otherwise(1)).withColumn("run", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    one = runs.groupBy(*LOCATOR, "run").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.min("start").alias("start"), F.max("end").alias("end"))
+    return stored(one.groupBy(*LOCATOR).agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("added")), f"{work}/added")
 
 
 def find_personal_data(
-    docs: DataFrame, train_spans: int = 20_000, precision: float = 0.99, seed: int = 11, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, train_spans: int = 10_000, recall: float = 0.99, seed: int = 11, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per document: id, base and added (arrays of kind, start, end) and LOCATOR; base in order of kind and start."""
     work = work_dir(docs.sparkSession, "pii")
     rows = located(docs).select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"), *LOCATOR)
-    bare = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
-    base = F.concat(*[F.transform(base_spans(F.col("text"), k), bare) for k in BASE])
-    found = stored(rows.select("id", *LOCATOR, base.alias("base"), _proposals(F.col("text")).alias("proposed")), f"{work}/found")
-    added = _added(found, work, train_spans, precision, seed)
+    spans = all_spans(rows, BASE | PROPOSALS)
+    spans = stored(spans.withColumn("valid", F.col("kind").isin(*BASE) & _valid(F.col("kind"), F.col("match"))), f"{work}/found")
+    place = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(BASE) for x in (k, i)]), F.col("kind"))
+    listed = F.array_sort(F.collect_list(F.struct(place.alias("place"), "start", "end", "kind")))
+    base = spans.where("valid").groupBy(*LOCATOR).agg(F.transform(listed, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("base"))
+    added = _select(_proposals(spans), work, train_spans, recall, seed)
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
-    if added is None:
-        out = found.withColumn("added", none)
-    else:
-        out = found.drop("proposed").join(added, list(LOCATOR), "left").withColumn("added", F.coalesce("added", none))
-    return out.select(F.col("id").alias(id_col), "base", "added", *LOCATOR)
+    out = rows.select("id", *LOCATOR).join(base, list(LOCATOR), "left")
+    out = out.withColumn("added", none) if added is None else out.join(added, list(LOCATOR), "left")
+    return out.select(F.col("id").alias(id_col), F.coalesce("base", none).alias("base"), F.coalesce("added", none).alias("added"), *LOCATOR)
 
 
 def redact(text: Column, spans: Column, mark: str = "[redacted]") -> Column:
     """``text`` with every span (sorted by start, not overlapping) replaced by ``mark``."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(F.lit(0), s["start"] - acc["at"]).cast("int"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], kept, F.lit(mark)).alias("out"))
-
-    done = F.aggregate(spans, start, step)
-    return F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), F.char_length(text)))
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda s: s["end"]))
+    starts = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.char_length(text).cast("long")))
+    gap = lambda z: F.substring(text, (z["e"] + 1).cast("int"), F.greatest(F.lit(0), (z["s"] - z["e"])).cast("int"))
+    return F.array_join(F.transform(F.arrays_zip(ends.alias("e"), starts.alias("s")), gap), mark)
 
 
 def joined(spans: Column) -> Column:

@@ -107,6 +107,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *counts,
         F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
         joined(F.concat("base", "added")).alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+        (F.size("base") + F.size("added")).cast("long").alias("n_spans"),
     )
 
 
