@@ -6,8 +6,8 @@ encoded on their own, with the offset of every token. Two neighbouring chunks
 are spliced at a boundary that both encodings have and that is proven stable:
 the characters on its two sides stand next to each other in no piece of the
 vocabulary, so no merge can cross it, whatever stands around it. Where the
-overlap holds no such boundary, the document is done again with an overlap
-twice as wide, up to the whole rest of the text.
+overlap holds no such boundary, or an encoding does not have it, the document is
+done again with overlaps eight times as wide on both sides, up to the whole text.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); repeated rows
 are counted each; an empty table gives an empty result; other columns are
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOCATOR, located, stored, whole_text, work_dir
+from tidemark.llm.common import LOCATOR, configured, located, stored, whole_text, work_dir
 
 SPACE = "▁"  # how the model writes a space
 
@@ -88,11 +88,25 @@ def _count_chunk(text: str, begin: int, end: int, whole: bool, last: bool, path:
     if low < 0 or low >= high:  # this chunk lies between two splices of its neighbours
         return 0
     starts = token_starts(text, path)
-    if low not in starts or (high < len(text) and high not in starts):
+    if (low > 0 and low not in starts) or (high < len(text) and high not in starts):
         return -1
     return sum(low <= s < high for s in starts)
 
 
+def cut(text: str, step: int, overlap: int) -> Iterator[tuple[str, int, int, bool, bool]]:
+    """Chunks (text, begin, end, whole, last) of ``step`` characters with an overlap on both sides, in one pass.
+
+    An overlap as wide as the text gives the text itself as its one chunk.
+    """
+    n = len(text)
+    if overlap >= n:
+        yield text, 0, n, True, True
+        return
+    for at in range(0, n, step):
+        low, high = max(0, at - overlap), at + step + overlap
+        yield text[low:high], at - low, at + step - low, high >= n, at + step >= n
+
+
 def _count_whole(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path)
@@ -120,20 +134,23 @@ def _count_chunks(path: str):
 
 
 def _chunks(huge: DataFrame, step: int, overlap: int) -> DataFrame:
-    """Rows (…, text, begin, end, whole, last): each chunk with one character before it, and its overlap."""
-    n = F.char_length("text")
-    pieces = huge.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / step).cast("int"))))
-    low = F.greatest(F.lit(0), F.col("i") * step - 1)
-    high = (F.col("i") + 1) * step + overlap
-    return pieces.select(
-        *[c for c in huge.columns if c != "text"],
-        F.substring(F.col("text"), low + 1, high - low).alias("text"),
-        (F.col("i") * step - low).alias("begin"),
-        ((F.col("i") + 1) * step - low).alias("end"),
-        (high >= F.col("n")).alias("whole"),
-        ((F.col("i") + 1) * step >= F.col("n")).alias("last"),
-        "i",
-    )
+    """Rows (id, n_bytes, LOCATOR, i, text, begin, end, whole, last): the chunks of each text."""
+    keys = ["id", "n_bytes", *LOCATOR]
+    kind = huge.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["text", "begin", "end", "whole", "last"]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
+        for batch in batches:
+            for r in range(batch.num_rows):
+                one = batch.slice(r, 1)
+                for i, chunk in enumerate(cut(one.column("text")[0].as_py(), step, overlap)):
+                    yield pa.RecordBatch.from_arrays(
+                        [*(one.column(c) for c in keys), pa.array([i], pa.int64()), *(pa.array([v], k) for v, k in zip(chunk, kinds))], [*keys, "i", *names]
+                    )
+
+    schema = f"id {kind}, n_bytes long, {LOCATOR[0]} string, {LOCATOR[1]} long, i long, text string, begin long, end long, whole boolean, last boolean"
+    return huge.select(*keys, "text").mapInArrow(run, schema)
 
 
 def token_counts(
@@ -154,17 +171,16 @@ def token_counts(
     counted = (
         rows.where(~is_huge).select("id", "n_bytes", "text").mapInArrow(_count_whole(model_path), f"id {kind}, n_bytes long, n_tokens long")
     )
-    todo, overlap, turn = rows.where(is_huge), overlap_chars, 0
+    todo, overlap, turn = rows.where(is_huge), max(1, overlap_chars), 0
     while True:
         schema = f"id {kind}, n_bytes long, {LOCATOR[0]} string, {LOCATOR[1]} long, n_tokens long"
         parts = _chunks(todo, huge_chars, overlap).repartition(*LOCATOR, "i").mapInArrow(_count_chunks(model_path), schema)
-        sums = stored(
-            parts.groupBy("id", "n_bytes", *LOCATOR).agg(F.sum("n_tokens").alias("n_tokens"), F.min("n_tokens").alias("worst")),
-            f"{work}/turn={turn}",
-        )
+        sums = parts.groupBy("id", "n_bytes", *LOCATOR).agg(F.sum("n_tokens").alias("n_tokens"), F.min("n_tokens").alias("worst"))
+        with configured(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "64"}):
+            sums = stored(sums, f"{work}/turn={turn}")
         counted = counted.unionByName(sums.where("worst >= 0").select("id", "n_bytes", "n_tokens"))
         left = sums.where("worst < 0").select(*LOCATOR)
         if left.isEmpty():
             break
-        todo, overlap, turn = todo.join(left, list(LOCATOR), "left_semi"), overlap * 2, turn + 1
+        todo, overlap, turn = todo.join(left, list(LOCATOR), "left_semi"), overlap * 8, turn + 1
     return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
