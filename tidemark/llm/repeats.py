@@ -10,7 +10,8 @@ distance, and the windows of one anchor are consecutive, a range. So:
 
 1. Anchors are grouped by their string. One that occurs once cannot hold a
    repeated window. Where all ranges of a group are equal, all their windows are
-   repeated, and so are those of a range that occurs twice.
+   repeated, and so are those of a range that occurs twice. Strings and ranges
+   are told apart by 64 bits of hash each, so a false match needs 128 bits.
 2. Only ranges that share an anchor string with different ranges are compared
    byte by byte, one of each kind: common bytes before and after the anchor give
    the distances at which windows agree. Groups of more than ``group_cap``
@@ -218,13 +219,13 @@ def _count_windows(contexts: DataFrame, length: int) -> DataFrame:
 
     First whole blocks of windows are counted; what is left, the windows of one
     block of each repeated kind, and those in no block or in one that is not
-    repeated, is counted window by window.
+    repeated, is counted window by window. Hashes have 128 bits.
     """
     import xxhash
 
-    def key(row: dict, first: int, last: int, tag: int) -> int:
+    def key(row: dict, first: int, last: int, tag: int) -> bytes:
         data = row["context"][first : last + length]
-        return xxhash.xxh3_64_intdigest(data, (row["a"] ^ ((row["back"] - last) * 2 + tag)) & 0xFFFFFFFFFFFFFFFF)
+        return xxhash.xxh3_128_digest(data, (row["a"] ^ ((row["back"] - last) * 2 + tag)) & 0xFFFFFFFFFFFFFFFF)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,8 +236,7 @@ def _count_windows(contexts: DataFrame, length: int) -> DataFrame:
             ]
             w, *rest = zip(*out) if out else [()] * 7
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
-            hashed = pa.array(np.array(w, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([hashed, *map(pa.array, rest, kinds)], ["w", "k", "low", "j", "x", "y", "single"])
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), *map(pa.array, rest, kinds)], ["w", "k", "low", "j", "x", "y", "single"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,18 +244,18 @@ def _count_windows(contexts: DataFrame, length: int) -> DataFrame:
                 known = set(r["known"] or ())
                 skip = {x for j, first, last in _blocks(r, length) if j in known for x in range(first, last + 1)}
                 todo = [x for x in range(len(r["context"]) - length + 1) if x not in skip]
-                keys = np.array([key(r, x, x, 0) for x in todo], np.uint64)
+                keys = [key(r, x, x, 0) for x in todo]
                 starts = np.array(todo, np.int32) + np.int32(r["low"])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), pa.array(np.full(len(todo), r["k"], np.int64)), pa.array(starts), pa.array(np.full(len(todo), r["single"], bool))],
+                    [pa.array(keys, pa.binary()), pa.array(np.full(len(todo), r["k"], np.int64)), pa.array(starts), pa.array(np.full(len(todo), r["single"], bool))],
                     ["w", "k", "low", "single"],
                 )
 
-    whole = contexts.mapInArrow(blocks, "w long, k long, low int, j int, x int, y int, single boolean")
+    whole = contexts.mapInArrow(blocks, "w binary, k long, low int, j int, x int, y int, single boolean")
     kinds = whole.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "low", "j")).alias("one")).where("n > 1")
     again = whole.join(kinds, "w").select("k", "low", "j", "x", "y", "single", (F.struct("k", "low", "j") == F.col("one")).alias("counts"))
     known = again.where("NOT counts").groupBy("k", "low").agg(F.collect_list("j").alias("known"))
-    rows = contexts.join(known, ["k", "low"], "left").mapInArrow(windows, "w long, k long, low int, single boolean")
+    rows = contexts.join(known, ["k", "low"], "left").mapInArrow(windows, "w binary, k long, low int, single boolean")
     twice = rows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     found = rows.where("single").join(twice, "w").select("k", F.struct(F.col("low"), F.col("low").alias("high")).alias("s"))
     found = found.unionByName(again.where("single").select("k", F.struct(F.col("x").alias("low"), F.col("y").alias("high")).alias("s")))
