@@ -100,5 +100,6 @@ def mix_sources(
 def take_mix(docs: DataFrame, weights: list[float], share: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; columns as given."""
     rows = located(docs)
-    taken = mix_sources(rows, weights, share, max_epochs, seed, carry=LOCATOR).where("repeats > 0").select(*LOCATOR, "repeats")
-    return rows.join(taken, list(LOCATOR)).withColumn("repeats", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*docs.columns)
+    taken = mix_sources(rows, weights, share, max_epochs, seed, carry=LOCATOR).where("repeats > 0")
+    copies = taken.select(*LOCATOR, F.array_repeat(F.lit(1), F.col("repeats").cast("int")).alias("__copies"))
+    return rows.join(copies, list(LOCATOR)).select(*docs.columns, F.explode("__copies").alias("__copy")).drop("__copy")
