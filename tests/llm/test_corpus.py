@@ -76,6 +76,25 @@ def test_token_counts(spark, odd):
     assert token_counts.token_counts(table(spark, []), path).count() == 0
 
 
+def test_texts_without_a_boundary_are_widened_to_the_whole(spark):
+    import sentencepiece
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["e" * 3000, "ab" * 2000, " " * 1500, "日本語" * 700, "x" + " é" * 900]
+    rows = {r.doc_id: r.n_tokens for r in token_counts.token_counts(table(spark, texts), path, huge_chars=100, overlap_chars=1).collect()}
+    assert rows == {i: len(model.encode(t)) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("step, overlap", [(5, 1), (5, 7), (100, 3), (1, 200)])
+def test_chunks_cover_a_text(step, overlap):
+    text = "".join(RNG.choice("abc") for _ in range(103))
+    chunks = list(token_counts.cut(text, step, overlap))
+    assert "".join(t[a:b] for t, a, b, _, _ in chunks) == text
+    assert [last for *_, last in chunks] == [False] * (len(chunks) - 1) + [True]
+    assert all(whole == text.endswith(t) or not whole for t, _, _, whole, _ in chunks)
+
+
 def test_mixing(spark):
     texts = [prose(RNG.randint(0, 40)) for _ in range(900)] + [None, ""]
     sources = [RNG.choice(["a", "b", "b", "b", "c", None]) for _ in texts]
@@ -103,31 +122,80 @@ def test_mixing(spark):
         assert abs(sum(r.taken for r in mine) - target[s]) <= max(r.size for r in mine)
     assert mixing.mix_sources(table(spark, []), [1.0]).count() == 0
     assert mixing.take_mix(docs, [3.0, 1.0, 2.0]).count() == sum(r.repeats for r in rows)
+    clash = docs.withColumns({"repeats": F.lit("x"), "size": F.lit(1), "bucket": F.lit(2), "target": F.lit(3)})
+    assert mixing.take_mix(clash, [3.0, 1.0, 2.0]).columns == clash.columns
+    assert mixing.take_mix(clash, [3.0, 1.0, 2.0]).count() == sum(r.repeats for r in rows)
 
 
-def test_personal_data(spark):
-    texts = [None, "", "a.b@c.de x@y", "1.2.3.4 300.1.1.1 1.2.3.4.5", "4111 1111 1111 1111, 4111-1111-1111-1112", "+1 (606) 555-7814 +12", "a@b.c@d.e_f@g.hi", "😀 q@r.st", "1" * 3000, "a" * 20000 + "@", "+" * 50]
-    texts += [f"{prose(5)} {w}{i}@mail.example.com {prose(4)} +1 (606) 555-{1000 + i}" for i, w in enumerate(WORDS[:40])]
-    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
-    def luhn(digits):
-        return sum((d := int(c) * (1 + i % 2)) - 9 * (d > 9) for i, c in enumerate(reversed(digits))) % 10 == 0
 
+def luhn(digits):
+    return sum((d := int(c) * (1 + i % 2)) - 9 * (d > 9) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def base_spans(text):
     def valid(kind, m):
         digits = re.sub("[^0-9]", "", m)
         return {"ip": lambda: all(int(p) <= 255 for p in m.split(".")), "card": lambda: 16 <= len(digits) <= 19 and luhn(digits), "phone": lambda: 8 <= len(digits) <= 15}.get(kind, lambda: True)()
 
-    quick = [t if t is None or len(t) < 20000 else t for t in texts]
-    rows = {r.doc_id: r for r in pii.find_personal_data(table(spark, quick)).collect()}
-    for i, t in enumerate(quick):
-        if t and len(t) >= 20000:
-            assert rows[i].base == []
-            continue
-        want = [(k, m.start(), m.end()) for k, p in patterns.items() for m in re.finditer(p, t or "") if valid(k, m.group())]
-        assert [tuple(s) for s in rows[i].base] == want
-    assert pii.find_personal_data(table(spark, [])).count() == 0
-    hidden = spark.createDataFrame([("call q@r.st now",)], "t string").select(pii.redact(F.col("t"), pii.base_spans(F.col("t"), "email")).alias("o")).first().o
-    assert hidden == "call [redacted] now"
+    return [(k, m.start(), m.end()) for k, p in PATTERNS.items() for m in re.finditer(p, text) if valid(k, m.group())]
+
+
+def test_personal_data(spark):
+    texts = [None, "", "a.b@c.de x@y", "1.2.3.4 300.1.1.1 1.2.3.4.5", "4111 1111 1111 1111, 4111-1111-1111-1112", "+1 (606) 555-7814 +12", "a@b.c@d.e_f@g.hi", "😀 q@r.st", "1" * 3000, "+" * 50]
+    texts += ["".join(RNG.choice("0123456789.@+ -()aé") for _ in range(RNG.randint(1, 60))) for _ in range(600)]
+    rows = {r.doc_id: r for r in pii.find_personal_data(table(spark, [*texts, "a" * 20000 + "@"])).collect()}
+    for i, t in enumerate(texts):
+        assert [tuple(s) for s in rows[i].base] == base_spans(t or ""), t
+        taken = sorted([(s.start, s.end) for s in rows[i].added])
+        assert all(a[1] <= b[0] for a, b in zip(taken, taken[1:]))
+        assert not any(x < e and s < y for _, s, e in base_spans(t or "") for x, y in taken)
+    assert rows[len(texts)].base == []
+    nothing = pii.find_personal_data(table(spark, [])).collect()
+    assert nothing == []
+
+
+def test_boosted_proposals_add_what_base_patterns_miss(spark):
+    rng = random.Random(3)
+    number = lambda passes: next(n for n in ("".join(rng.choice("0123456789") for _ in range(16)) for _ in range(10**6)) if luhn(n) == passes)
+    texts, want = [], {}
+    for i in range(240):
+        kind = i % 4
+        inner = [f"{number(True)}", f"{number(False)}", f'token = "{rng.getrandbits(160):040x}"', f"part {rng.randint(1, 999)} of {rng.randint(1, 99)}.{rng.randint(0, 9)} kg"][kind]
+        before, after = prose(6), prose(6)
+        at = len(before) + 1
+        if kind == 1:
+            want[i] = [("card_like", at, at + 16)]
+        if kind == 2:
+            want[i] = [("secret", at + 9, at + 49)]
+        texts.append(f"{before} {inner} {after}")
+    rows = {r.doc_id: [tuple(s) for s in r.added] for r in pii.find_personal_data(table(spark, texts)).collect()}
+    got = {i: s for i, s in rows.items() if s}
+    assert got.items() <= want.items() and len(got) >= 0.95 * len(want)
+
+
+def test_a_long_text_of_numbers_takes_time_in_proportion(spark):
+    text = " ".join(f"+1 (606) 555-{RNG.randint(0, 9999):04d}," for _ in range(30_000))
+    found = pii.find_personal_data(table(spark, [text, None])).where("doc_id = 0").first().base
+    assert [tuple(s) for s in found] == base_spans(text)
+
+
+def test_redaction(spark):
+    row = spark.createDataFrame([("call q@r.st now, or 1.2.3.4", [("email", 5, 11), ("ip", 20, 27)])], "t string, s array<struct<kind:string,start:long,end:long>>")
+    assert row.select(pii.redact(F.col("t"), F.col("s")).alias("o")).first().o == "call [redacted] now, or [redacted]"
+    assert row.select(pii.redact(F.col("t"), F.slice("s", 1, 0)).alias("o")).first().o == "call q@r.st now, or 1.2.3.4"
+
+
+def test_fingerprint_bit_by_bit():
+    import xxhash
+
+    for text in [prose(50), prose(400), "one", "One  TWO", "", " ", "É ß 日本 x", "a b c d"]:
+        words = [w for w in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m.group().lower(), text)) if w]
+        shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+        hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
+        assert simhash.fingerprint(text, 3, 42) == want
 
 
 def test_simhash_links(spark):
@@ -254,23 +322,23 @@ def test_crowded_buckets_hold_all_their_links(spark, monkeypatch, kinds, bucket,
 def test_packing(spark, odd):
     path = tokenizer_path("byte_bpe_50k.json")
     encoder = packing.Encoder(path)
-    rows = packing.pack(odd, path).collect()
-    by_crc = Counter()
-    for t in ODD:
-        by_crc[len(encoder.whole(t or "")) // 4 + 1] += 1
-    docs = {}
-    for r in rows:
-        docs.setdefault((r.doc_id, r.doc_tokens), []).append(r)
-    assert sum(r.length for r in rows) == sum(k * n for k, n in by_crc.items())
-    sequences = {}
+    rows = packing.pack(table(spark, ODD), path).collect()
+    ids = {i: np.frombuffer(encoder.whole(t or "") + b"\0\0\0\0", "<u4") for i, t in enumerate(ODD)}
+    docs, sequences = {}, {}
     for r in rows:
+        docs.setdefault(r.doc_id, []).append(r)
         sequences.setdefault(r.sequence_id, []).append(r)
+    assert set(docs) == set(ids)
+    for i, pieces in docs.items():
+        pieces.sort(key=lambda r: r.start)
+        assert [r.start for r in pieces] == list(np.cumsum([0, *[r.length for r in pieces]])[:-1]) and sum(r.length for r in pieces) == len(ids[i])
+        for r in pieces:
+            assert r.doc_tokens == len(ids[i]) and r.length > 0
+            assert r.ids_crc32 == zlib.crc32(ids[i][r.start : r.start + r.length].tobytes())
     for s in sequences.values():
         s.sort(key=lambda r: r.offset)
         assert [r.offset for r in s] == list(np.cumsum([0, *[r.length for r in s]])[:-1]) and sum(r.length for r in s) <= 1024
-    ids = np.frombuffer(encoder.whole("one") + b"\0\0\0\0", "<u4")
-    one = [r for r in rows if r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids.tobytes())]
-    assert one or any(r.doc_tokens == len(ids) for r in rows)
+    assert packing.pack(odd, path).count() == len(rows)
     assert packing.pack(table(spark, []), path).count() == 0
 
 
@@ -283,22 +351,33 @@ def test_units_give_the_ids_of_whole_texts():
 
 
 def test_cuts_are_cheapest():
-    places, costs, end, window = [3, 5, 9, 12, 17, 20], [0.0, 2.0, 6.0, 0.0, 2.0, 6.0], 26, 8
+    """Against every choice of cuts."""
+    rng, window = random.Random(2), 8
 
-    def price(cuts):
-        total, at = 0.0, 0
-        for c in cuts:
-            total += packing._padding(c - at, window) + (dict(zip(places, costs)).get(c, packing.CUT_COST) if c < end else 0)
-            at = c
-        return total
+    def tail(rest):
+        pieces = bin(rest).count("1")
+        return 0 if pieces <= 1 else min(packing._padding(rest, window), (pieces - 1) * packing.CUT_COST)
 
-    cuts = packing.window_cuts(places, costs, end, window)
-    assert cuts[-1] == end and all(b - a <= window for a, b in zip([0, *cuts], cuts))
-    greedy, at = [], 0
-    while at < end:
-        at = max([p for p in (*places, end) if at < p <= at + window])
-        greedy.append(at)
-    assert price(cuts) <= price(greedy)
+    def price(chosen, cost, end):
+        total, at = 0.0, 0
+        for c in chosen:
+            if c - at > window:
+                return float("inf")
+            total, at = total + window - (c - at) + cost[c], c
+        return total + tail(end - at) if end - at <= window else float("inf")
+
+    for _ in range(200):
+        places, at = [], 0
+        while len(places) < 9:
+            places.append(at := at + rng.randint(1, window))
+        end = at + rng.randint(1, window)
+        cost = {p: rng.choice([0.0, 2.0, 6.0]) for p in places}
+        cuts = packing.window_cuts(places, [cost[p] for p in places], end, window)
+        assert cuts[-1] == end and all(0 < b - a <= window for a, b in zip([0, *cuts], cuts))
+        least = min(price([p for i, p in enumerate(places) if mask >> i & 1], cost, end) for mask in range(1 << len(places)))
+        # the first cuts are places, the others make up the tail
+        got = min(price(cuts[:n], cost, end) for n in range(len(cuts)) if all(c in cost for c in cuts[:n]))
+        assert got == least
 
 
 def test_repeats_against_brute_force(spark):
@@ -336,6 +415,41 @@ def test_quality_on_held_out_rows(spark):
     assert quality.keep_good(docs, weights).columns == docs.columns
 
 
+def test_scores_against_a_plain_version(spark):
+    bits = 18
+
+    def plain(text):
+        words = (text or "").lower().split()
+        hashes = [zlib.crc32(w.encode()) for w in words]
+        slots = Counter((h * 0x9E3779B97F4A7C15 % 2**64) >> (64 - bits) for h in hashes)
+        slots.update((((a * 31 + b) * 0x9E3779B97F4A7C15 + 1) % 2**64) >> (64 - bits) for a, b in zip(hashes, hashes[1:]))
+        norm = sum(np.log1p(n) ** 2 for n in slots.values()) ** 0.5
+        return {i: np.log1p(n) / norm for i, n in slots.items()}
+
+    # the update rule, one coordinate at a time
+    model, z, n = quality.Ftrl(bits, 2.0, 1.0, 0.05, 0.01), {}, {}
+
+    def weight(i):
+        return 0.0 if abs(z.get(i, 0)) <= 0.05 else -(z[i] - np.sign(z[i]) * 0.05) / ((1.0 + n[i] ** 0.5) / 2.0 + 0.01)
+
+    for _ in range(40):
+        x, label = plain(prose(12)), RNG.randint(0, 1)
+        index = np.array(sorted(x))
+        model.learn(index, np.array([x[i] for i in index]), label)
+        p = 1 / (1 + np.exp(-sum(weight(i) * v for i, v in x.items())))
+        for i, v in x.items():
+            g, w, old = (p - label) * v, weight(i), n.get(i, 0.0)
+            z[i] = z.get(i, 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / 2.0 * w
+            n[i] = old + g * g
+    weights = model.weights()
+    assert all(weights[i] == pytest.approx(weight(i)) for i in z) and np.count_nonzero(weights) <= len(z)
+    weights[-1] = 0.25
+    texts = [prose(30), prose(5), None, "", "one two one two"]
+    for r in quality.score(table(spark, texts), weights, bits).collect():
+        x = plain(texts[r.doc_id])
+        assert r.score == pytest.approx(1 / (1 + np.exp(-sum(weights[i] * v for i, v in x.items()) - 0.25)))
+
+
 def test_quality_with_labels_of_one_kind(spark):
     from corpus_pipeline import quality_stage
 
@@ -377,6 +491,28 @@ def test_nearest(spark):
     assert nearest(frame.limit(0), frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("norms", ["one long", "lognormal", "huge"])
+def test_nearest_with_unequal_norms(spark, norms):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((500, 24))
+    if norms == "one long":
+        x[7] *= 50
+    elif norms == "lognormal":
+        x *= rng.lognormal(0, 0.7, 500)[:, None]
+    else:
+        x *= 1e100
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(frame, frame.where("vec_id % 20 = 0"), k=10, max_cells=300).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 500, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:10].tolist()) & got[q])
+    assert hits >= 0.9 * 250
+
+
 def test_line_dedup(spark):
     page = lambda *lines: "<html><style>x</style><body>" + "".join(f"<p>{x}</p>" for x in lines) + "</body>"
     rows = [(i, "http://a.example/p", page("menu", f"text {i}", "menu"), "x") for i in range(4)]
@@ -386,3 +522,21 @@ def test_line_dedup(spark):
     want = [(i, "a.example", [f"text {i}"]) for i in range(4)] + [(0, "a.example", ["rare"]), (10, "b.example", ["menu", "own"]), (11, "", []), (12, "", ["plain", "line"]), (13, "b.example", [])]
     assert kept == sorted(want)
     assert line_dedup.drop_boilerplate(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_line_dedup_deals_out_hot_hosts(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SALTS", 4)
+    rows = [(i, f"http://{'hot' if i % 3 else f'h{i % 7}'}.example/{i}", f"<p>menu</p><p>{i % 20}</p><p>own {i}</p>") for i in range(90)]
+    rows += [(None, "http://hot.example", "<p>menu</p>")] * 9
+    out = line_dedup.drop_boilerplate(spark.createDataFrame(rows, "page_id long, url string, html string"), ratio=0.5).collect()
+    lines = lambda html: re.findall("<p>(.*?)</p>", html)
+    pages, seen = Counter(), Counter()
+    for _, url, html in rows:
+        host = url.split("/")[2]
+        pages[host] += 1
+        seen.update((host, x) for x in set(lines(html)))
+    want = Counter()
+    for i, url, html in rows:
+        host = url.split("/")[2]
+        want[i, tuple(x for x in lines(html) if not (seen[host, x] >= 3 and seen[host, x] > 0.5 * pages[host]))] += 1
+    assert Counter((r.page_id, tuple(r.kept)) for r in out) == want
