@@ -274,6 +274,9 @@ PAIR_BUCKET = 16
 BLOCK, DENSE = 512, 4
 #: Near pairs that each two groups of a dense block give in the first further round; each later round gives eight times as many.
 ROUND_PAIRS = 512
+#: In further rounds, pairs differ in at most so many of all 640 bits: those of similarity 0.8 differ in 97 with deviation 9.
+#: Texts of fewer shingles than SMALL differ in more bits at the same similarity, so for them it is the second number.
+WIDE_BITS, SMALL = (127, 150), 32
 
 
 def shingle_hashes(text: str, words: int, seed: int = 42) -> np.ndarray:
@@ -302,38 +305,47 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
 
 
 def _wide(rows: DataFrame, words: int) -> DataFrame:
-    """Rows (id, LOCATOR, p1, p2, parts, same): 128 bits of the fingerprint, its partitions' values (none without words), a digest of the shingles."""
+    """Rows (id, LOCATOR, p1, p2, parts, print, size, same) of each text.
+
+    128 bits of the fingerprint, its partitions' values (none without words), all its bits, the number of shingles, a digest of them.
+    """
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_for("simhash")
         for batch in batches:
             prints, parts, same = np.zeros((batch.num_rows, 2), np.uint64), [], np.zeros(batch.num_rows, np.uint64)
+            whole, sizes = [], np.zeros(batch.num_rows, np.int32)
             for i, text in enumerate(batch.column("text").to_pylist()):
                 hashes = shingle_hashes(text, words)
                 parts.append(wide_fingerprint(hashes).tolist() if len(hashes) else [])
+                whole.append(np.array(parts[-1], np.uint16).tobytes())
+                sizes[i] = len(hashes)
                 same[i] = xxhash.xxh64_intdigest(hashes.tobytes())
                 for p in range(8 if len(hashes) else 0):
                     prints[i, p // 4] |= np.uint64(parts[-1][p] << 16 * (p % 4))
             keys = [batch.column(c) for c in ("id", *LOCATOR)]
-            columns = [*keys, _signed(prints[:, 0].copy()), _signed(prints[:, 1].copy()), pa.array(parts, pa.list_(pa.int32())), _signed(same)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", *LOCATOR, "p1", "p2", "parts", "same"])
+            columns = [*keys, _signed(prints[:, 0].copy()), _signed(prints[:, 1].copy()), pa.array(parts, pa.list_(pa.int32())), pa.array(whole, pa.binary()), pa.array(sizes), _signed(same)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", *LOCATOR, "p1", "p2", "parts", "print", "size", "same"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, {LOCATOR[0]} string, {LOCATOR[1]} long, p1 long, p2 long, parts array<int>, same long")
+    return rows.mapInArrow(run, f"id {kind}, {LOCATOR[0]} string, {LOCATOR[1]} long, p1 long, p2 long, parts array<int>, print binary, size int, same long")
 
 
 def _distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Differing bits of 128 between each row of p and each of q."""
-    return np.bitwise_count(p[:, None, 0] ^ q[None, :, 0]) + np.bitwise_count(p[:, None, 1] ^ q[None, :, 1])
+    """Differing bits between each row of p and each of q."""
+    out = np.zeros((len(p), len(q)), np.int16)
+    for word in range(p.shape[1]):
+        out += np.bitwise_count(p[:, None, word] ^ q[None, :, word])
+    return out
 
 
-def _near_places(p: np.ndarray, max_bits: int, most: float = float("inf")) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Places i < j of the rows at most max_bits apart, and their distances; None if they are more than ``most``."""
-    found, n = [], 0
+def _near_places(p: np.ndarray, max_bits: int | np.ndarray, most: float = float("inf")) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Places i < j of the rows at most max_bits apart (the larger of two rows' own, if each has one), and their distances; None if they are more than ``most``."""
+    limit, found, n = np.broadcast_to(max_bits, len(p)), [], 0
     for at in range(0, len(p), 256):
         d = _distances(p[at : at + 256], p[at:])
-        i, j = np.nonzero(d <= max_bits)
+        i, j = np.nonzero(d <= np.maximum(limit[at : at + 256, None], limit[None, at:]))
         i, j, d = (x[i < j] for x in (i + at, j + at, d[i, j]))
         found.append((i, j, d))
         n += len(i)
@@ -345,7 +357,7 @@ def _near_places(p: np.ndarray, max_bits: int, most: float = float("inf")) -> tu
 def spanning(p: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """A forest (i, j) of least distances with the components of all rows at most max_bits apart; no matrix is kept."""
     left = np.arange(len(p))
-    reach, near_to, out, now = np.full(len(p), 255, np.uint8), np.zeros(len(p), np.int64), [], 0
+    reach, near_to, out, now = np.full(len(p), 32_000, np.int16), np.zeros(len(p), np.int64), [], 0
     while len(left) > 1:
         here, keep = left[now], np.arange(len(left)) != now
         left, reach, near_to = left[keep], reach[keep], near_to[keep]
@@ -358,7 +370,7 @@ def spanning(p: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     return out
 
 
-def crossing(p: np.ndarray, group: np.ndarray, max_bits: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def crossing(p: np.ndarray, group: np.ndarray, max_bits: int | np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Near places (i, j) of different groups: for each two groups the ``most`` nearest, and whether these two have more."""
     i, j, d = _near_places(p, max_bits)
     i, j, d = (x[group[i] != group[j]] for x in (i, j, d))
@@ -373,11 +385,11 @@ def crossing(p: np.ndarray, group: np.ndarray, max_bits: int, most: int) -> tupl
     return i[keep], j[keep], np.repeat(sizes > most, sizes)[keep]
 
 
-def _in_blocks(values: DataFrame, sizes: DataFrame, compare, schema: str) -> DataFrame:
-    """``compare`` (members' arrays to a batch) over every two blocks of the buckets in ``sizes`` (part, value, n).
+def _in_blocks(values: DataFrame, sizes: DataFrame, columns: list[str], compare, schema: str) -> DataFrame:
+    """``compare`` (part, value, members' arrays to a batch) over every two blocks of the buckets in ``sizes`` (part, value, n).
 
-    ``values`` has part, value, k, p1, p2, root. A block takes BLOCK members, so that no task holds a bucket; a
-    bucket of b blocks sends each member to b places.
+    ``values`` has part, value, k and ``columns``. A block takes BLOCK members, so that no task holds a bucket; a
+    bucket of b blocks sends each member to b places. Members come in the order of k.
     """
     key = ["part", "value"]
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
@@ -385,19 +397,19 @@ def _in_blocks(values: DataFrame, sizes: DataFrame, compare, schema: str) -> Dat
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     mine = mine.select("*", other.alias("other")).where("blocks < 2 OR block <> other")
     # of two blocks, one place holds both; pairs inside a block are in each of its places
-    mine = mine.select(*key, F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "k", "p1", "p2", "root")
-    member = F.struct("k", "p1", "p2", "root")
-    grouped = mine.groupBy(*key, "b1", "b2").agg(F.collect_list(member).alias("m")).where(F.size("m") > 1)
+    names = ["k", *columns]
+    mine = mine.select(*key, F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), *names)
+    grouped = mine.groupBy(*key, "b1", "b2").agg(F.collect_list(F.struct(*names)).alias("m")).where(F.size("m") > 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("m")
-            flat = lists.flatten()
-            k, p1, p2, root = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("k", "p1", "p2", "root"))
-            prints, at = np.column_stack((p1, p2)).view(np.uint64), 0
+            flat, at = lists.flatten(), 0
             for part, value, n in zip(batch.column("part").to_pylist(), batch.column("value").to_pylist(), lists.value_lengths().to_pylist()):
-                order = at + np.argsort(k[at : at + n])
-                yield compare(part, value, k[order], prints[order], root[order])
+                some = flat.slice(at, n)
+                arrays = [some.field(x).to_numpy(zero_copy_only=False) for x in names]
+                order = np.argsort(arrays[0])
+                yield compare(part, value, *(x[order] for x in arrays))
                 at += n
 
     return grouped.mapInArrow(run, schema)
@@ -420,7 +432,8 @@ def _candidates(wide: DataFrame, work: str, max_bits: int = 33) -> tuple[DataFra
     pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (x["k"] < y["k"]) & near(x, y)), lambda y: F.struct(x["k"].alias("a"), y["k"].alias("b")))))
     inside = small.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
 
-    def compare(part: int, value: int, k: np.ndarray, p: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+    def compare(part: int, value: int, k: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> pa.RecordBatch:
+        p = np.column_stack((p1, p2)).view(np.uint64)
         found = _near_places(p, max_bits, DENSE * len(p))
         ends = np.column_stack(found[:2]) if found else np.array(spanning(p, max_bits)).reshape(-1, 2)
         a, b = k[ends].min(axis=1), k[ends].max(axis=1)
@@ -428,7 +441,7 @@ def _candidates(wide: DataFrame, work: str, max_bits: int = 33) -> tuple[DataFra
         return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(a), found is None))], ["a", "b", "part", "value", "dense"])
 
     with configured(wide.sparkSession, _FEW_GROUPS):
-        met = _in_blocks(values.withColumn("root", F.col("k")), crowded, compare, "a long, b long, part int, value int, dense boolean")
+        met = _in_blocks(values, crowded, ["p1", "p2"], compare, "a long, b long, part int, value int, dense boolean")
         met = stored(met, f"{work}/crowded-pairs")
     pairs = stored(inside.unionByName(met.select("a", "b")).distinct(), f"{work}/candidates")
     return pairs, met.where("dense").drop("dense"), values, crowded
@@ -463,13 +476,14 @@ def _linked(wide: DataFrame, rows: DataFrame, words: int, least: float, work: st
             return reached
         turn += 1
 
-        def compare(part: int, value: int, k: np.ndarray, p: np.ndarray, root: np.ndarray, most: int = most) -> pa.RecordBatch:
-            i, j, more = crossing(p, root, max_bits, most)
+        def compare(part: int, value: int, k: np.ndarray, root: np.ndarray, whole: np.ndarray, size: np.ndarray, most: int = most) -> pa.RecordBatch:
+            p = np.frombuffer(b"".join(whole), np.uint64).reshape(len(k), -1)
+            i, j, more = crossing(p, root, np.where(size < SMALL, WIDE_BITS[1], WIDE_BITS[0]), most)
             return pa.RecordBatch.from_arrays([pa.array(k[i]), pa.array(k[j]), pa.array(more)], ["a", "b", "more"])
 
         with configured(wide.sparkSession, _FEW_GROUPS):
-            mine = named(values.join(again.drop("n"), ["part", "value"], "left_semi"), "k", "root")
-            met = stored(_in_blocks(mine, again, compare, "a long, b long, more boolean"), f"{work}/met={turn}")
+            mine = values.select("part", "value", "k").join(again.drop("n"), ["part", "value"], "left_semi").join(wide.select("k", "print", "size"), "k")
+            met = stored(_in_blocks(named(mine, "k", "root"), again, ["root", "print", "size"], compare, "a long, b long, more boolean"), f"{work}/met={turn}")
         new = stored(met.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), f"{work}/new={turn}")
         links = _verified(new, wide, rows, words, least, f"{work}/round={turn}")
         # new links join whole components: only their roots are linked anew
