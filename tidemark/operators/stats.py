@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranking import kept, numbered, running_total, tile
 
 
 def t_value(mean_of: str | Column) -> Column:
@@ -31,16 +32,26 @@ def time_split(rows: DataFrame, share: float = 0.6, at: str = "announced", tie:
 
 
 def average_ranks(rows: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
-    """Columns rank_<c>: ranks within keys, ties sharing their mean rank."""
+    """Columns rank_<c>: ranks within keys, ties sharing their mean rank.
+
+    Ranks come from counts per distinct value, summed over ranges of values, so that no task holds a key.
+    """
+    rows = kept(rows)
     for c in columns:
-        least = F.rank().over(Window.partitionBy(*keys).orderBy(c))
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, c))
-        rows = rows.withColumn(f"rank_{c}", least + (ties - 1) / 2)
+        counts = rows.groupBy(*keys, c).agg(F.count(F.lit(1)).alias("_n"))
+        placed = running_total(counts, F.col("_n"), [*keys, c])
+        if keys:
+            first = placed.groupBy(*keys).agg(F.min("_before").alias("_first"))
+            placed = placed.join(first, keys)
+        else:
+            placed = placed.withColumn("_first", F.lit(0))
+        rank = F.col("_before") - F.col("_first") + (F.col("_n") + 1) / 2
+        rows = rows.join(placed.select(*keys, c, rank.alias(f"rank_{c}")), [*keys, c])
     return rows
 
 
 def spearman(rows: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
-    ranked = average_ranks(rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()), [x, y], keys)
+    ranked = average_ranks(rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y), [x, y], keys)
     a, b = f"rank_{x}", f"rank_{y}"
     spread = F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))  # null where a side does not vary
     return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.round(F.covar_pop(a, b) / spread, 6).alias("spearman"))
@@ -53,5 +64,91 @@ def winsorised(rows: DataFrame, column: str, keys: list[str], low: float = 0.01,
 
 
 def buckets(rows: DataFrame, by: str, n: int, keys: list[str], tie: str = "fingerprint") -> DataFrame:
-    """Column bucket: ``n`` groups of equal size in order of a column."""
-    return rows.withColumn("bucket", F.ntile(n).over(Window.partitionBy(*keys).orderBy(by, tie)))
+    """Column bucket: ``n`` groups of equal size in order of a column; ``tie`` tells rows of a key apart."""
+    placed = numbered(kept(rows), [by, tie], "_place", keys)
+    if not keys:
+        total = placed.agg(F.count(F.lit(1)).alias("_total"))
+        return placed.crossJoin(F.broadcast(total)).withColumn("bucket", tile(F.col("_place"), F.col("_total"), n)).drop("_place", "_total")  # one row
+    total = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
+    return placed.join(total, keys).withColumn("bucket", tile(F.col("_place"), F.col("_total"), n)).drop("_place", "_total")
+
+
+def calibration(rows: DataFrame, factors: list[str], score: str = "score", y: str = "net", key: str = "horizon", groups: int = 10) -> DataFrame:
+    """The calibration report as rows (section, horizon, key, value): rank correlation, slope, top fifth, equal groups, factors and halves in time."""
+    rows = kept(rows)
+    out = lambda df, section, name, value: df.select(F.lit(section).alias("section"), F.col(key).alias("horizon"), name.alias("key"), value.cast("double").alias("value"))
+    ranks = spearman(rows, score, y, [key])
+    slope = rows.groupBy(key).agg(F.round(F.regr_slope(y, score), 8).alias("v"))
+    fifths = clustered_t(buckets(rows, score, 5, [key]).where("bucket = 5"), [key], y)
+    tiles = buckets(rows, score, groups, [key]).groupBy(key, "bucket").agg(F.round(F.avg(y), 6).alias("v"))
+    long = rows.select(key, y, F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).alias("x")) for f in factors])).alias("s")).select(key, y, "s.*")
+    each = spearman(long, "x", y, [key, "factor"])
+    parts = time_split(rows.where(F.col("announced").isNotNull()).withColumn("_tie", F.struct("fingerprint", key)), tie="_tie").groupBy(key, "part").agg(F.round(F.avg(y), 6).alias("v"))
+    sections = [
+        out(ranks, "rank", F.lit("n"), F.col("n")), out(ranks, "rank", F.lit("spearman"), F.col("spearman")), out(slope, "slope", F.lit("ols"), F.col("v")),
+        out(fifths, "top_fifth", F.lit("clustered_t"), F.col("clustered_t")), out(tiles, "groups", F.format_string("group_%02d", "bucket"), F.col("v")),
+        out(each, "factors", F.col("factor"), F.col("spearman")), out(parts, "time", F.col("part"), F.col("v")),
+    ]
+    report = sections[0]
+    for more in sections[1:]:
+        report = report.unionByName(more)
+    return report
+
+
+def ols(rows: DataFrame, y: str, xs: list[str]) -> DataFrame:
+    """Least squares of ``y`` on several factors: rows (factor, coefficient, t), the intercept first.
+
+    Sums of products, (len(xs) + 2) squared numbers, come from one aggregation; the driver solves that small system.
+    """
+    import numpy as np
+
+    names = ["_one", *xs]
+    full = rows.select(F.col(y).cast("double").alias("_y"), F.lit(1.0).alias("_one"), *[F.col(x).cast("double").alias(x) for x in xs]).dropna()
+    columns = [*names, "_y"]
+    sums = full.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j]).first()
+    m = np.array([[sums[f"{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(len(columns))] for i in range(len(columns))])
+    xx, xy, yy, n = m[:-1, :-1], m[:-1, -1], m[-1, -1], m[0, 0]
+    spark = rows.sparkSession
+    schema = "factor string, coefficient double, t double"
+    if n <= len(names) or np.linalg.matrix_rank(xx) < len(names):
+        return spark.createDataFrame([], schema)
+    inverse = np.linalg.inv(xx)
+    beta = inverse @ xy
+    noise = max(0.0, yy - beta @ xy) / (n - len(names))
+    spread = np.sqrt(noise * inverse.diagonal())
+    found = [("intercept" if x == "_one" else x, float(b), float(b / s) if s else None) for x, b, s in zip(names, beta, spread)]
+    return spark.createDataFrame(found, schema)
+
+
+def challenger(train: DataFrame, test: DataFrame, y: str, factors: dict[str, float], least_test: int = 30, low: float = 0.05, high: float = 0.40, ridge: float = 0.05) -> DataFrame:
+    """Weights refitted on the past, judged on later rows only, as a proposal: one row per factor.
+
+    The challenger is a regularised linear fit on known factors (unknown ones count as one half), clipped to
+    ``low`` .. ``high`` and scaled to sum to one. It is proposed if its scores order the later rows' returns better
+    than the champion's weights do, by more than 1.64 standard errors of a rank correlation, and there are at least
+    ``least_test`` later rows; the live weights are never changed.
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    names = list(factors)
+    spark = train.sparkSession
+    schema = "factor string, champion double, challenger double, n_test long, champion_rank double, challenger_rank double, proposed boolean"
+    filled = lambda df: df.where(F.col(y).isNotNull()).withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(0.5)) for f in names})
+    fitted = kept(filled(train))
+    if fitted.limit(2).count() < 2:
+        return spark.createDataFrame([], schema)
+    vectors = VectorAssembler(inputCols=names, outputCol="_x").transform(fitted.select(*names, F.col(y).cast("double").alias("_y")))
+    model = LinearRegression(featuresCol="_x", labelCol="_y", regParam=ridge, elasticNetParam=0.0, standardization=True).fit(vectors)
+    raw = [max(0.0, float(c)) for c in model.coefficients]
+    total = sum(raw)
+    weights = [min(high, max(low, r / total)) if total else w for r, w in zip(raw, factors.values())]
+    weights = [w / sum(weights) for w in weights]
+    score = lambda ws: sum((F.col(f) * w for f, w in zip(names, ws)), F.lit(0.0))
+    judged = filled(test).withColumns({"_old": F.round(score(factors.values()), 9), "_new": F.round(score(weights), 9), "_all": F.lit(1)})
+    old = spearman(judged, "_old", y, ["_all"]).first()
+    new = spearman(judged, "_new", y, ["_all"]).first()
+    n = old.n if old else 0
+    a, b = (old.spearman if old else None), (new.spearman if new else None)
+    better = n >= least_test and a is not None and b is not None and b - a > 1.64 / max(1, n) ** 0.5
+    return spark.createDataFrame([(f, float(c), float(w), n, a, b, bool(better)) for f, c, w in zip(names, factors.values(), weights)], schema)

@@ -1,9 +1,11 @@
 """Trading-day index, as-of joins and day offsets over price series.
 
-The three flavours of as-of join have names of their own: strictly after, on or
-before, strictly before. Each is one shuffle on the series key: events and
-series rows are united and a running ``last`` carries the series row along, so
-nothing is buffered per key and no range of dates is multiplied out.
+The flavours of as-of join have names of their own: strictly after, on or after,
+on or before, strictly before. What is found depends on the key and the day only,
+so distinct (key, day) pairs of the events and the series are united and a running
+``last`` carries the series row along: a key has at most two rows a day in that
+window, however many events it has. Events then look their pair up by an equi-join
+on key and day, which Spark broadcasts where the pairs are few.
 """
 
 from __future__ import annotations
@@ -18,21 +20,18 @@ def trade_index(prices: DataFrame) -> DataFrame:
 
 
 def _asof(events: DataFrame, series: DataFrame, key: str, at: str, when: str, take: list[str], forward: bool, same_day: bool) -> DataFrame:
-    """Add struct column ``found`` (when, *take) of the nearest series row; null if there is none."""
+    """Add struct column ``found`` (when, *take) of the nearest series row; null if there is none, or no key or date."""
     row = F.struct(F.col(when), *[F.col(c) for c in take])
     kind = series.select(row.alias("s")).schema["s"].dataType
-    left = events.select(
-        F.col(key).alias("_key"), F.col(at).alias("_at"), F.lit(None).cast(kind).alias("_row"), F.struct(*events.columns).alias("_event")
-    )
-    right = series.select(
-        F.col(key).alias("_key"), F.col(when).alias("_at"), row.alias("_row"), F.lit(None).cast(left.schema["_event"].dataType).alias("_event")
-    )
+    asked = events.select(F.col(key).alias("_key"), F.col(at).alias("_at")).where("_key IS NOT NULL AND _at IS NOT NULL").distinct()
+    left = asked.select("_key", "_at", F.lit(None).cast(kind).alias("_row"))
+    right = series.select(F.col(key).alias("_key"), F.col(when).alias("_at"), row.alias("_row"))
     # on a shared day the series row comes first if it may be found
     first = F.col("_row").isNotNull() if same_day else F.col("_row").isNull()
     time = F.col("_at").desc() if forward else F.col("_at").asc()
     run = Window.partitionBy("_key").orderBy(time, first.desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = left.unionByName(right).withColumn("found", F.last("_row", ignorenulls=True).over(run))
-    return filled.where(F.col("_event").isNotNull()).select("_event.*", "found")
+    filled = left.unionByName(right).withColumn("found", F.last("_row", ignorenulls=True).over(run)).where(F.col("_row").isNull())
+    return events.join(filled.select("_key", "_at", "found"), (events[key] == F.col("_key")) & (events[at] == F.col("_at")), "left").drop("_key", "_at")
 
 
 def first_after(events: DataFrame, series: DataFrame, at: str, when: str = "dt", take: list[str] | None = None, key: str = "ticker") -> DataFrame:
