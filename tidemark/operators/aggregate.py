@@ -5,17 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranking import kept, numbered
+
+
+def _middle(measure: Column, accuracy: int | None) -> Column:
+    """The exact median, or one by a sketch of fixed size for groups that outgrow a task."""
+    return F.percentile(measure, 0.5) if accuracy is None else F.percentile_approx(measure, 0.5, accuracy)
+
 
 def _pct(hits: Column) -> Column:
     return F.round(100.0 * F.count_if(hits) / F.count(F.lit(1)), 4)
 
 
-def scoreboard(returns: DataFrame, keys: list[str], measure: str) -> DataFrame:
-    """n, hit %, median and mean (in per cent) of a measure per key, matured rows only."""
+def scoreboard(returns: DataFrame, keys: list[str], measure: str, digits: int = 4, accuracy: int | None = None) -> DataFrame:
+    """n, hit %, median and mean (in per cent) of a measure per key, matured rows only; ``accuracy`` takes medians by sketch."""
     m = F.col(measure)
     return returns.where(m.isNotNull()).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), _pct(m > 0).alias("hit_pct"), F.round(F.percentile(m, 0.5) * 100, 4).alias(f"median_{measure}"), F.round(F.avg(m) * 100, 4).alias(f"mean_{measure}")
-    )
+        F.count(F.lit(1)).alias("n"), F.round(100.0 * F.count_if(m > 0) / F.count(F.lit(1)), digits).alias("hit_pct"),
+        F.round(_middle(m, accuracy) * 100, digits).alias(f"median_{measure}"), F.round(F.avg(m) * 100, digits).alias(f"mean_{measure}"),
+    )
+
+
+def matured(returns: DataFrame, as_of: str, days: int = 365) -> DataFrame:
+    """Firings of the trailing ``days`` whose horizon has passed by ``as_of``."""
+    day = F.lit(as_of).cast("date")
+    return returns.where(F.datediff(day, "announced").between(0, days) & (F.col("later_dt") <= day))
 
 
 def base_rates(series: DataFrame, days: list[int]) -> DataFrame:
@@ -26,14 +40,14 @@ def base_rates(series: DataFrame, days: list[int]) -> DataFrame:
     return long.groupBy("days").agg(F.count(F.lit(1)).alias("n"), _pct(F.col("r") > 0).alias("positive_pct"))
 
 
-def status(matured: DataFrame, as_of: str, weeks: int = 4) -> DataFrame:
-    """live, review or kill? by the medians of the current and the prior window."""
+def status(matured: DataFrame, as_of: str, weeks: int = 4, gated: tuple[str, ...] = ()) -> DataFrame:
+    """gated, live, review or kill? by the medians of the current and the prior window; fewer than five firings are for review."""
     age = F.datediff(F.lit(as_of).cast("date"), "announced")
     now, before = age.between(0, weeks * 7 - 1), age.between(weeks * 7, weeks * 14 - 1)
     m = matured.groupBy("signal").agg(
         F.percentile(F.when(now, F.col("car")), 0.5).alias("cur"), F.percentile(F.when(before, F.col("car")), 0.5).alias("prior"), F.count_if(now).alias("n")
     )
-    state = F.when(F.col("n") < 5, "review").when((F.col("cur") < 0) & (F.col("prior") < 0), "kill?").when(F.col("cur") < 0, "review").otherwise("live")
+    state = F.when(F.col("signal").isin(*gated, ""), "gated").when(F.col("n") < 5, "review").when((F.col("cur") < 0) & (F.col("prior") < 0), "kill?").when(F.col("cur") < 0, "review").otherwise("live")
     return m.select("signal", "n", state.alias("status"))
 
 
@@ -46,20 +60,19 @@ def cohort_tiles(rows: DataFrame, dims: dict[str, Column]) -> DataFrame:
     )
 
 
-def drill(matured: DataFrame, key: str, k: int = 10) -> DataFrame:
-    """Counts, medians and the k best and worst firings per key."""
+def drill(matured: DataFrame, key: str, k: int = 10, least: int = 3) -> DataFrame:
+    """Counts, hit %, medians and the k best and worst firings per key; n_tickers_3 counts tickers with ``least`` firings or more."""
     a = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("car"), "fingerprint"))
     b = F.row_number().over(Window.partitionBy(key).orderBy("car", "fingerprint"))
-    rows = matured.withColumn("a", a).withColumn("b", b)
-
-    def ends(order: str) -> Column:
-        kept = F.sort_array(F.collect_list(F.when(F.col(order) <= k, F.struct(order, "fingerprint"))))
-        return F.transform(kept, lambda s: s["fingerprint"])
-
-    return rows.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("ticker").alias("n_tickers"), F.round(F.percentile("car", 0.5) * 100, 4).alias("median_car"),
-        F.round(F.percentile("market", 0.5) * 100, 4).alias("median_market"), ends("a").alias("top10"), ends("b").alias("bottom10"),
+    # each task keeps only the k best and worst of what it meets
+    best = matured.withColumn("a", a).where(F.col("a") <= k).groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("a", "fingerprint"))), lambda s: s["fingerprint"]).alias(f"top{k}"))
+    worst = matured.withColumn("b", b).where(F.col("b") <= k).groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "fingerprint"))), lambda s: s["fingerprint"]).alias(f"bottom{k}"))
+    tickers = matured.groupBy(key, "ticker").agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.count(F.lit(1)).alias("n_tickers"), F.count_if(F.col("n") >= least).alias(f"n_tickers_{least}"))
+    counts = matured.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), _pct(F.col("car") > 0).alias("hit_pct"), F.round(F.percentile("car", 0.5) * 100, 4).alias("median_car"),
+        F.round(F.percentile("market", 0.5) * 100, 4).alias("median_market"),
     )
+    return counts.join(tickers, key).join(best, key).join(worst, key)
 
 
 def monthly(returns: DataFrame) -> DataFrame:
@@ -86,22 +99,63 @@ def buy_sell(dealings: DataFrame) -> DataFrame:
     )
 
 
-def baskets(returns: DataFrame, config: DataFrame, proven: int = 30, small_cap: float = 500e6) -> DataFrame:
-    """Medians and share of gains per basket of signals; the configuration is a small fixed table."""
+def baskets(returns: DataFrame, config: DataFrame, proven: int = 30, small_cap: float = 500e6, baseline: str = "all firings") -> DataFrame:
+    """Medians and share of gains per basket of signals, and of all firings, ranked by median t90; the configuration is a small fixed table."""
     fits = F.expr("array_contains(signals, signal)") & (~F.col("small") | (F.col("market_cap_gbp") < small_cap))
-    rows = returns.where("horizon IN ('t30', 't90')").join(F.broadcast(config), fits)
-    per = rows.groupBy("basket", "fingerprint").agg(*[F.max(F.when(F.col("horizon") == h, F.col("net"))).alias(h) for h in ("t30", "t90")])
-    return per.groupBy("basket").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.percentile("t30", 0.5) * 100, 4).alias("median_t30"), F.round(F.percentile("t90", 0.5) * 100, 4).alias("median_t90"),
-        F.round(100.0 * F.count_if(F.col("t90") > 0) / F.count("t90"), 4).alias("positive_pct"), (F.count("t90") >= proven).alias("proven"),
+    rows = returns.where("horizon IN ('t30', 't90')").select("fingerprint", "signal", "horizon", "net", "market_cap_gbp")
+    inside = rows.join(F.broadcast(config), fits).select("basket", "fingerprint", "horizon", "net")
+    every = inside.unionByName(rows.select(F.lit(baseline).alias("basket"), "fingerprint", "horizon", "net"))
+    per = every.groupBy("basket", "fingerprint").agg(*[F.max(F.when(F.col("horizon") == h, F.col("net"))).alias(h) for h in ("t30", "t90")])
+    out = per.groupBy("basket").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.percentile("t30", 0.5) * 100, 2).alias("median_t30"), F.round(F.percentile("t90", 0.5) * 100, 2).alias("median_t90"),
+        F.round(100.0 * F.count_if(F.col("t90") > 0) / F.count("t90"), 2).alias("positive_pct"), (F.count("t90") >= proven).alias("proven"),
     )
+    ranked = F.row_number().over(Window.partitionBy(F.col("basket") == baseline).orderBy(F.desc_nulls_last("median_t90"), "basket"))
+    return out.withColumn("place", F.when(F.col("basket") != baseline, ranked))
 
 
-def leaderboard(returns: DataFrame, least: int = 3) -> DataFrame:
-    """Directors with ``least`` matured firings or more, ranked by median net return."""
-    per = returns.groupBy("director", "fingerprint").agg(F.first("ticker").alias("ticker"), F.first("value").alias("value"), F.max(F.when(F.col("horizon") == "t90", F.col("net"))).alias("t90"))
+def leaderboard(returns: DataFrame, horizons: tuple[str, ...] = ("t30", "t60", "t90", "t360"), primary: str = "t90", least: int = 3) -> DataFrame:
+    """Directors with ``least`` firings matured at the primary horizon, ranked by their median net return there; counts, medians and means per horizon."""
+    at = lambda h: F.max(F.when(F.col("horizon") == h, F.col("net")))
+    per = returns.groupBy("director", "fingerprint").agg(F.first("ticker").alias("ticker"), F.first("value").alias("value"), *[at(h).alias(h) for h in horizons])
     d = per.groupBy("director").agg(
-        F.count(F.lit(1)).alias("n_buys"), F.countDistinct("ticker").alias("n_tickers"), F.round(F.sum("value"), 2).alias("total"), F.count("t90").alias("n_t90"),
-        F.round(100.0 * F.count_if(F.col("t90") > 0) / F.count("t90"), 4).alias("win_t90"), F.round(F.percentile("t90", 0.5), 6).alias("median_t90"), F.round(F.avg("t90"), 6).alias("mean_t90"),
-    ).where(F.col("n_t90") >= least)
-    return d.withColumn("place", F.row_number().over(Window.orderBy(F.desc("median_t90"), "director")))
+        F.count(F.lit(1)).alias("n_buys"), F.countDistinct("ticker").alias("n_tickers"), F.round(F.sum("value"), 2).alias("total"),
+        F.round(F.count_if(F.col(primary) > 0) / F.count(primary), 4).alias("win_rate"), *[F.count(h).alias(f"n_{h}") for h in horizons],
+        *[F.round(F.percentile(h, 0.5), 5).alias(f"median_{h}") for h in horizons], *[F.round(F.avg(h), 5).alias(f"mean_{h}") for h in horizons],
+    ).where(F.col(f"n_{primary}") >= least)
+    return numbered(kept(d), [f"median_{primary}", "director"], "place", descending=(f"median_{primary}",))
+
+
+def concentration(fired: DataFrame, returns: DataFrame) -> DataFrame:
+    """Per signal: how much its busiest ticker and month hold of its firings, and its best firing of its positive return."""
+    ticker = fired.groupBy("signal", "ticker").agg(F.count(F.lit(1)).alias("n")).groupBy("signal").agg(F.max("n").alias("top_ticker_n"), F.round(F.max("n") / F.sum("n"), 6).alias("top_ticker_share"))
+    month = fired.groupBy("signal", F.trunc("announced", "month").alias("mo")).agg(F.count(F.lit(1)).alias("n")).groupBy("signal").agg(F.round(F.max("n") / F.sum("n"), 6).alias("top_month_share"))
+    won = returns.where("car > 0").groupBy("signal").agg(F.round(F.max("car") / F.sum("car"), 6).alias("top_winner_share"))
+    return ticker.join(month, "signal").join(won, "signal", "left")
+
+
+def feed(dealings: DataFrame, fired: DataFrame, marked: DataFrame, severity: dict[str, int], as_of: str, days: int = 7) -> DataFrame:
+    """Dealings of the day and of the ``days`` before with their signals and mark to market, strongest signal first, then by value."""
+    from tidemark.operators.clean import lookup
+
+    ranked = fired.withColumn("rank", F.coalesce(lookup(F.col("signal"), severity), F.lit(99)))
+    per = ranked.groupBy("fingerprint").agg(F.min("rank").alias("severity"), F.transform(F.sort_array(F.collect_list(F.struct("rank", "signal"))), lambda s: s["signal"]).alias("signals_fired"))
+    age = F.datediff(F.lit(as_of).cast("date"), "announced")
+    recent = dealings.where(age.between(0, days)).withColumn("section", F.when(age == 0, "today").otherwise("this_week"))
+    out = recent.join(per, "fingerprint").join(marked.select("fingerprint", "mtm_pct").distinct(), "fingerprint", "left")
+    return out.orderBy(F.asc("severity"), F.desc("value"), "fingerprint").select("section", "fingerprint", "ticker", "value", "severity", "signals_fired", "mtm_pct")
+
+
+def company_status(summaries: DataFrame, fired: DataFrame, results: DataFrame, as_of: str) -> DataFrame:
+    """Per ticker: active and brewing clusters, last firing and whether it is within a week, past clusters, and past results dates."""
+    day = F.lit(as_of).cast("date")
+    age = F.datediff(day, "last_date")
+    c = summaries.where(F.col("last_date") <= day).groupBy("ticker").agg(
+        F.count_if(age < 30).alias("n_active"), F.count_if(age.between(30, 90)).alias("n_brewing"), F.count_if(age > 90).alias("n_past"), F.max("last_date").alias("last_cluster")
+    )
+    f = fired.where(F.col("fired_at") <= day).groupBy("ticker").agg(F.max("fired_at").alias("last_fired"))
+    r = results.where(F.col("report_date") <= day).groupBy("ticker").agg(F.countDistinct("report_date").alias("n_results"), F.max("report_date").alias("last_results"))
+    out = c.join(f, "ticker", "full").join(r, "ticker", "full")
+    zero = lambda n: F.coalesce(n, F.lit(0)).alias(n)
+    week = F.coalesce(F.datediff(day, "last_fired") <= 7, F.lit(False))
+    return out.select("ticker", zero("n_active"), zero("n_brewing"), zero("n_past"), "last_cluster", "last_fired", week.alias("fired_this_week"), zero("n_results"), "last_results")

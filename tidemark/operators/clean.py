@@ -58,24 +58,73 @@ def role_tier(role: Column) -> Column:
     return lookup(role_bucket(role), BUCKET_TIERS)
 
 
+# Patterns of the older role classes, in order of precedence.
+LEGACY_CLASSES = [
+    (r"\b(chief\s+executive|chief\s+financial|c\.?e\.?o\.?|c\.?f\.?o\.?)\b", "CEO_CFO"),
+    (r"\b(non[- ]?exec(utive)?(\s+director)?|ned)\b", "NED"),
+    (r"\b(chair(man|woman|person)?|chief\s+\w+\s+officer|executive\s+director|managing\s+director|group\s+(general\s+counsel|chief))\b", "EXEC"),
+]
+# Patterns of the three role groups, in order of precedence.
+ROLE_GROUPS = [
+    (r"\b(CEO|CFO|Chief Executive|Chief Financial)\b", "ceo_cfo"),
+    (r"\b(Non[- ]?Executive|NED|Senior Independent)\b", "ned"),
+    (r"\b(Chair|Chairman|Group|Executive|COO|CTO|CIO|COMMERCIAL OFFICER|OPERATING OFFICER)\b", "other_exec"),
+]
+# Sector names of the quote source, and those in use.
+SECTORS = {
+    "Basic Materials": "Materials", "Communication Services": "Communication Services", "Consumer Cyclical": "Consumer Discretionary", "Consumer Defensive": "Consumer Staples",
+    "Energy": "Energy", "Financial Services": "Financials", "Healthcare": "Health Care", "Industrials": "Industrials", "Real Estate": "Real Estate", "Technology": "Information Technology",
+    "Utilities": "Utilities",
+}
+# What a name cell that is no name begins with, and particles and letters after names.
+NO_NAME = r"(?i)^(person closely associated|trustee of|pdmr|notifier|the company|director)\b"
+PARTICLES = ("of", "the", "van", "de", "der", "von", "la", "le", "du", "da", "di")
+POST_NOMINALS = ("CMG", "OBE", "CBE", "MBE", "KBE", "DSC", "PHD")
+
+
 def legacy_role_class(role: Column) -> Column:
     """Chief executives and finance chiefs first, then non-executives, then executives."""
-    rules = [
-        (r"\b(chief\s+executive|chief\s+financial|c\.?e\.?o\.?|c\.?f\.?o\.?)\b", "CEO_CFO"),
-        (r"\b(non[- ]?exec(utive)?(\s+director)?|ned)\b", "NED"),
-        (r"\b(chair(man|woman|person)?|chief\s+\w+\s+officer|executive\s+director|managing\s+director|group\s+(general\s+counsel|chief))\b", "EXEC"),
-    ]
-    return first_rule(F.coalesce(role, F.lit("")), rules, "OTHER")
+    return first_rule(F.coalesce(role, F.lit("")), LEGACY_CLASSES, "OTHER")
 
 
 def role_group(role: Column) -> Column:
     """ceo_cfo, ned or other_exec by the first matching rule; null if none does."""
-    rules = [
-        (r"\b(CEO|CFO|Chief Executive|Chief Financial)\b", "ceo_cfo"),
-        (r"\b(Non[- ]?Executive|NED|Senior Independent)\b", "ned"),
-        (r"\b(Chair|Chairman|Group|Executive|COO|CTO|CIO|COMMERCIAL OFFICER|OPERATING OFFICER)\b", "other_exec"),
-    ]
-    return first_rule(F.coalesce(role, F.lit("")), rules)
+    return first_rule(F.coalesce(role, F.lit("")), ROLE_GROUPS)
+
+
+def sector(name: Column, table: dict[str, str] = SECTORS) -> Column:
+    """The name in use; an unknown one stays."""
+    return F.coalesce(lookup(name, table), name)
+
+
+def valid_director(cell: Column) -> Column:
+    """The name in a cell; null for boilerplate and for fragments of fewer than four characters."""
+    name = F.trim(cell)
+    bare = F.regexp_replace(name, r"^[\s\p{Punct}]+|[\s\p{Punct}]+$", "")
+    return F.when(~name.rlike(NO_NAME) & (F.char_length(bare) >= 4), name)
+
+
+def valid_role(cell: Column) -> Column:
+    """The role in a cell, its first letter a capital; null for text that begins in mid-sentence or is longer than a title."""
+    role = F.trim(cell)
+    title = F.concat(F.upper(F.left(role, F.lit(1))), F.substring(role, 2, 80))
+    return F.when((role != "") & ~role.rlike(r"^[,.;:]") & (F.char_length(role) <= 80), title)
+
+
+def company_label(dealings: DataFrame, name: str = "company", at: str = "dt", tie: str = "fingerprint") -> DataFrame:
+    """Per ticker: the most recent name that is not empty, and the most frequent one (of equals the first by name)."""
+    named = dealings.withColumn("_name", F.trim(F.col(name))).where("_name <> ''")
+    counts = named.groupBy("ticker", "_name").agg(F.count(F.lit(1)).alias("_n"), F.max(F.struct(at, tie)).alias("_at"))
+    most = F.min_by("_name", F.struct(-F.col("_n"), F.col("_name")))
+    return counts.groupBy("ticker").agg(F.max_by("_name", "_at").alias("latest"), most.alias("most_frequent"))
+
+
+def pay_bucket(status: Column, pay: Column, nominal: float = 1_000.0) -> Column:
+    """ok, new_appointee, out_of_scope, extraction_fail, fee_waiver or nominal; only ok gives a multiple."""
+    return (
+        F.when(status == "new_appointee_no_disclosure", "new_appointee").when(status == "out_of_scope", "out_of_scope").when(status != "ok", "extraction_fail")
+        .when(pay.isNull(), "extraction_fail").when(pay == 0, "fee_waiver").when(pay < nominal, "nominal").otherwise("ok")
+    )
 
 
 def effective_date(announced: str = "announced", traded: str = "dt") -> Column:
@@ -96,16 +145,46 @@ def iso_day(text: Column) -> Column:
     return F.coalesce(*[F.when(plain.rlike(p), F.try_to_timestamp(t, F.lit(f)).cast("date")) for p, t, f in shaped])
 
 
+def _nfkc():
+    from pyspark.sql.functions import PandasUDFType, pandas_udf
+
+    @pandas_udf("string", PandasUDFType.SCALAR)
+    def fold(names):
+        import unicodedata
+
+        return names.map(lambda n: None if n is None else unicodedata.normalize("NFKC", n).casefold())
+
+    return fold
+
+
 def director_key(name: Column) -> Column:
-    """Lower-case name with odd spaces made plain; compatibility forms of common ligatures and wide spaces are folded."""
+    """Compatibility-folded, case-folded name with single spaces; see ``with_director_key`` for names beyond Latin-1."""
     spaced = F.translate(name, "\u00a0\u2007\u2009\u202f\u3000", "     ")
     return F.lower(F.trim(F.regexp_replace(spaced, r"\s+", " ")))
 
 
+def with_director_key(rows: DataFrame, name: str, key: str = "director_key") -> DataFrame:
+    """Column ``key``: the name in compatibility form (NFKC), case-folded, with single spaces.
+
+    ASCII names, nearly all, are folded by built-in functions; each other distinct name goes through Python once.
+    """
+    plain = F.col(name).rlike(r"^[\x00-\x7f]*$")
+    odd = rows.where(~plain).select(F.col(name).alias("_name")).distinct()
+    folded = odd.select("_name", F.trim(F.regexp_replace(_nfkc()("_name"), r"(?U)\s+", " ")).alias("_folded"))
+    out = rows.join(folded, F.col(name) == F.col("_name"), "left")
+    return out.withColumn(key, F.when(plain, director_key(F.col(name))).otherwise(F.col("_folded"))).drop("_name", "_folded")
+
+
 def display_name(name: Column) -> Column:
-    """Title case by word, with particles in lower case."""
-    words = F.transform(F.split(director_key(name), " "), lambda w: F.when(w.isin("de", "van", "von", "der", "la", "le", "of"), w).otherwise(F.initcap(w)))
-    return F.regexp_replace(F.array_join(F.transform(words, lambda w: F.array_join(F.transform(F.split(w, "-"), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 99))), "-")), " "), r"^\s+", "")
+    """Title case by word, hyphenated part and apostrophe, with particles in lower case and letters after a name in capitals."""
+    capital = lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 99))
+    parts = lambda w, mark: F.array_join(F.transform(F.split(w, mark), capital), mark)
+
+    def word(w: Column, i: Column) -> Column:
+        shaped = F.when(w.contains("-"), parts(w, "-")).when(w.contains("'"), parts(w, "'")).otherwise(capital(w))
+        return F.when((i > 0) & w.isin(*PARTICLES), w).when(F.upper(w).isin(*POST_NOMINALS), F.upper(w)).otherwise(shaped)
+
+    return F.array_join(F.transform(F.split(director_key(name), " "), word), " ")
 
 
 def page_name(ticker: Column) -> Column:
@@ -133,6 +212,19 @@ def universe(dealings: DataFrame, meta: DataFrame, as_of: str | None = None) ->
     return seen.join(meta.where("benchmark_symbol IS NOT NULL"), "ticker")
 
 
+def issuer_tickers(issuers: DataFrame, names: DataFrame, mapped: DataFrame, override: DataFrame) -> DataFrame:
+    """Tickers of issuers (issuer, name) by name whatever its case and spaces, else by a map, else by an override, with the method; null if none knows it.
+
+    ``names`` has name and ticker, the two others issuer and ticker; each is a small table and joins by broadcast if it is.
+    """
+    known = names.select(director_key(F.col("name")).alias("_k"), F.col("ticker").alias("_name")).groupBy("_k").agg(F.min("_name").alias("_name"))
+    out = issuers.join(known, director_key(F.col("name")) == F.col("_k"), "left").drop("_k")
+    for table, column in ((mapped, "_map"), (override, "_override")):
+        out = out.join(table.groupBy("issuer").agg(F.min("ticker").alias(column)), "issuer", "left")
+    method = F.when(F.col("_name").isNotNull(), "name").when(F.col("_map").isNotNull(), "map").when(F.col("_override").isNotNull(), "override")
+    return out.select("issuer", F.coalesce("_name", "_map", "_override").alias("ticker"), method.alias("method"))
+
+
 LOOKBACKS = {"90d": 90, "183d": 183, "365d": 365, "all": None}
 
 

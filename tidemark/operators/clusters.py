@@ -55,3 +55,37 @@ def state(last_date, as_of: str):
     """active up to 90 days after the last buy, of which brewing from 30 on; else past."""
     age = F.datediff(F.lit(as_of).cast("date"), last_date)
     return F.when(age < 30, "active").when(age <= 90, "brewing").otherwise("past")
+
+
+def as_of_grid(as_of: str, days: int = 30, weeks: int = 8) -> list[str]:
+    """The day, the days before it and the weeks before it, as ISO dates."""
+    import datetime
+
+    now = datetime.date.fromisoformat(as_of)
+    return sorted({(now - datetime.timedelta(days=n)).isoformat() for n in [*range(days), *range(0, 7 * weeks, 7)]})
+
+
+def brewing_counts(buys: DataFrame, grid: list[str], back: int = 366, days: int = 30) -> DataFrame:
+    """Rows (as_of, n_brewing): clusters whose last buy is 30 to 90 days back, found anew at each of a few days from what was announced by then.
+
+    A buy more than ``back`` days old takes no part.
+    """
+    asked = F.array(*[F.lit(d).cast("date") for d in grid])
+    seen = F.filter(asked, lambda d: (F.col("announced") <= d) & (F.datediff(d, F.col("dt")).between(0, back)))
+    rows = buys.select("fingerprint", "ticker", "director", "dt", "value", F.explode(seen).alias("as_of"))
+    rows = rows.withColumn("ticker", F.concat_ws("@", "ticker", F.col("as_of").cast("string")))
+    last = clusters(rows, days).groupBy("as_of", "cluster_id").agg(F.max("dt").alias("last_date"))
+    counts = last.where(F.datediff("as_of", "last_date").between(30, 90)).groupBy("as_of").agg(F.count(F.lit(1)).alias("n"))
+    every = buys.sparkSession.range(1).select(F.explode(asked).alias("as_of"))
+    return every.join(counts, "as_of", "left").select("as_of", F.coalesce("n", F.lit(0)).alias("n_brewing"))
+
+
+def brewing_trend(buys: DataFrame, as_of: str, days: int = 30, weeks: int = 8) -> DataFrame:
+    """One row: brewing clusters now, their mean over the last days, and a count a week, oldest first; each count walk-forward."""
+    counts = brewing_counts(buys, as_of_grid(as_of, days, weeks))
+    now = F.lit(as_of).cast("date")
+    age = F.datediff(now, "as_of")
+    weekly = F.sort_array(F.collect_list(F.when((age % 7 == 0) & (age < 7 * weeks), F.struct("as_of", "n_brewing"))))
+    return counts.agg(
+        F.max(F.when(age == 0, F.col("n_brewing"))).alias("current"), F.round(F.avg(F.when(age < days, F.col("n_brewing"))), 4).alias("mean_30d"), F.transform(weekly, lambda s: s["n_brewing"]).alias("weekly")
+    )

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.clean import lookup, role_tier
 from tidemark.operators.features import post_results, pre_results
+from tidemark.operators.ranking import kept
 from tidemark.operators.timeseries import last_until
 
 SENIORITY = {"T1a": 1.0, "T7": 1.0, "T1b": 0.9, "T2": 0.7, "T6": 0.5, "T3": 0.3}
+#: Sizes are told apart in so many bins a decade, from 10 ** SMALLEST on.
+BINS, SMALLEST, DECADES = 10, -4, 14
 WEIGHTS = {"who": 0.25, "size": 0.25, "small": 0.20, "timing": 0.15, "fall": 0.15}
 
 
@@ -17,26 +20,66 @@ def _clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.when(c.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), c)))
 
 
-def scores(firings: DataFrame, buys: DataFrame, prices: DataFrame, results: DataFrame) -> DataFrame:
-    """``firings`` (with tier, sector, market_cap_gbp) with the strengths, guard and score."""
+def _senior(buys: DataFrame) -> DataFrame:
+    """Per ticker and day of announcement: how senior the most senior buyer so far is."""
+    daily = buys.groupBy("ticker", F.col("announced").alias("day")).agg(F.max(lookup(role_tier(F.col("role")), SENIORITY)).alias("best"))
+    so_far = Window.partitionBy("ticker").orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return daily.withColumn("senior", F.max("best").over(so_far))
+
+
+def _bin(c: Column) -> Column:
+    """Which of the fixed bins, BINS a decade from SMALLEST on, a positive amount falls into."""
+    place = F.floor((F.log10(c) - SMALLEST) * BINS)
+    return F.when(c > 0, F.greatest(F.lit(0), F.least(F.lit(DECADES * BINS - 1), place))).cast("int")
+
+
+def percentiles(history: DataFrame, measure: str, at: str = "announced") -> DataFrame:
+    """Rows (day, bin, share): of all that was announced before the day, the share in lower bins and half of the own bin's.
+
+    One row a day and bin, whatever the rows of the history.
+    """
+    counts = history.withColumn("bin", _bin(F.col(measure))).where("bin IS NOT NULL").groupBy(F.col(at).alias("day"), "bin").agg(F.count(F.lit(1)).alias("n"))
+    grid = counts.select("day").distinct().select("day", F.explode(F.sequence(F.lit(0), F.lit(DECADES * BINS - 1))).alias("bin")).join(counts, ["day", "bin"], "left")
+    earlier = Window.partitionBy("bin").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.withColumn("own", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    lower = Window.partitionBy("day").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy("day")
+    share = (F.coalesce(F.sum("own").over(lower), F.lit(0)) + F.col("own") / 2) / F.nullif(F.sum("own").over(every), F.lit(0))
+    return grid.select("day", "bin", share.alias("share"))
+
+
+def scores(firings: DataFrame, buys: DataFrame, prices: DataFrame, results: DataFrame, meta: DataFrame) -> DataFrame:
+    """``firings`` (with tier, sector, market_cap_gbp) with the strengths, guard and score.
+
+    Everything is as of the announcement: later rows of any table change nothing. Sizes
+    are judged against all buys announced before; a size without history is unknown.
+    """
     order = Window.partitionBy("ticker").orderBy("dt")
     series = prices.withColumn("m3", F.col("close") / F.lag("close", 63).over(order) - 1)
     series = series.withColumn("traded", F.avg(F.col("close") * F.col("volume")).over(order.rowsBetween(-20, 0)))
-    rows = last_until(firings, series, "announced", take=["m3", "traded"])
-    rows = rows.withColumn("m3", F.col("found.m3")).withColumn("traded", F.col("found.traded")).drop("found")
-    rows = post_results(pre_results(rows, results), results)
-    # closely associated people count as the most senior director who has bought at the company
-    senior = buys.groupBy("ticker").agg(F.max(lookup(role_tier(F.col("role")), SENIORITY)).alias("senior"))
-    rows = rows.join(senior, "ticker", "left")
+
+    def priced(rows: DataFrame) -> DataFrame:
+        rows = last_until(rows, series, "announced", take=["m3", "traded"])
+        return rows.withColumn("m3", F.col("found.m3")).withColumn("traded", F.col("found.traded")).drop("found").withColumn("to_traded", F.col("value") / F.col("traded"))
+
+    rows = post_results(pre_results(priced(firings), results), results)
+    # closely associated people count as the most senior director who has bought at the company so far
+    rows = last_until(rows, _senior(buys), "announced", when="day", take=["senior"]).withColumn("senior", F.col("found.senior")).drop("found")
     who = F.when(F.col("tier") == "T5", F.col("senior")).otherwise(lookup(F.col("tier"), SENIORITY))
-    size = (_clamp((F.log10("value") - 3) / 3) + _clamp((F.log10(F.col("value") / F.col("traded")) + 3) / 3)) / 2
+    history = kept(priced(buys).select("announced", "value", "to_traded"))
+    for measure, name in (("value", "_by_value"), ("to_traded", "_by_traded")):
+        known = percentiles(history, measure).select(F.col("day").alias("announced"), F.col("bin").alias("_bin"), F.col("share").alias(name))
+        rows = rows.withColumn("_bin", _bin(F.col(measure))).join(known, ["announced", "_bin"], "left").drop("_bin")
+    size = (F.col("_by_value") + F.col("_by_traded")) / 2
     low, high = 20e6, 10e9
     small = _clamp(1.0 - 0.9 * (F.log10("market_cap_gbp") - F.log10(F.lit(low))) / (F.log10(F.lit(high)) - F.log10(F.lit(low))), 0.1)
     ahead, since = F.col("days_to_results"), F.col("days_since_results")
     timing = F.when(ahead <= 30, 0.0).when(ahead <= 45, 0.8).when(since <= 14, 1.0).when(since.isNotNull() | ahead.isNotNull(), 0.3)
-    rows = rows.withColumns({"who": who, "size": size, "small": small, "timing": timing, "fall": _clamp(0.5 - F.col("m3"))})
-    running = F.avg("m3").over(Window.partitionBy("sector"))
-    rows = rows.withColumn("guard", F.when(running > 0, 1 - 0.3 * F.least(F.lit(1.0), running / 0.2)).otherwise(1.0))
+    rows = rows.withColumns({"who": who, "size": size, "small": small, "timing": timing, "fall": _clamp(0.5 - F.col("m3"))}).drop("_by_value", "_by_traded")
+    # how the sector's tickers have moved, on its last trading day
+    sectors = series.join(meta.select("ticker", "sector"), "ticker").groupBy("sector", "dt").agg(F.avg("m3").alias("moved")).where("moved IS NOT NULL")
+    rows = last_until(rows, sectors, "announced", take=["moved"], key="sector").withColumn("moved", F.col("found.moved")).drop("found")
+    rows = rows.withColumn("guard", F.when(F.col("moved") > 0, 1 - 0.3 * F.least(F.lit(1.0), F.col("moved") / 0.2)).otherwise(1.0))
     total = sum((F.coalesce(F.col(n), F.lit(0.0)) * w for n, w in WEIGHTS.items()), F.lit(0.0))
     known = sum((F.when(F.col(n).isNotNull(), w).otherwise(0.0) for n, w in WEIGHTS.items()), F.lit(0.0))
     return rows.withColumn("score", F.round(100 * F.col("guard") * total / known, 4))

@@ -55,3 +55,29 @@ def skipped(firings: DataFrame, prices: DataFrame, min_history: int = 30) -> Dat
     entered = entries(firings, trade_index(prices))
     reason = F.when(F.col("entry_idx").isNull(), "no_entry").when(F.col("entry_idx") <= min_history, "short_history")
     return entered.withColumn("reason", reason).where("reason IS NOT NULL")
+
+
+def wide(returns: DataFrame, measures: tuple[str, ...] = ("raw", "market", "car", "net"), horizons: dict[str, int] | None = None) -> DataFrame:
+    """One backtest row per firing and signal: entry, attributes, each measure per horizon, and windows_available."""
+    names = list(horizons or HORIZONS)
+    at = lambda h, m: F.max(F.when(F.col("horizon") == h, F.col(m)))
+    keep = ["announced", "entry_dt", "entry_close", "bench", "is_aim", "ticker", "role", "value", "tier", "sector", "market_cap_gbp"]
+    keep = [c for c in keep if c in returns.columns]
+    out = returns.groupBy("fingerprint", "signal").agg(
+        *[F.first(c).alias(c) for c in keep], *[at(h, m).alias(f"{m}_{h}") for m in measures for h in names], *[at(h, "later_dt").alias(f"exit_dt_{h}") for h in names]
+    )
+    ready = F.array_compact(F.array(*[F.when(F.col(f"net_{h}").isNotNull(), F.lit(h)) for h in names]))
+    return out.withColumn("cost_bps", cost(F.col("is_aim")) * 10_000).withColumn("windows_available", F.array_join(ready, ","))
+
+
+def split_violations(returns: DataFrame) -> DataFrame:
+    """Rows that the split guard has taken out, with the ratio that gave them away."""
+    ratio = F.col("later_close") / F.col("entry_close")
+    return returns.where(F.col("raw").isNull() & ratio.isNotNull()).select("fingerprint", "ticker", "horizon", "entry_dt", "later_dt", ratio.alias("ratio"))
+
+
+def mark_to_market(entered: DataFrame, prices: DataFrame) -> DataFrame:
+    """mtm_pct: the latest close against the entry in per cent, less half a point on the junior market and one elsewhere."""
+    latest = prices.groupBy("ticker").agg(F.max_by("close", "dt").alias("last_close"))
+    mtm = (F.col("last_close") / F.col("entry_close") - 1) * 100 - F.when(F.col("is_aim"), 0.5).otherwise(1.0)
+    return entered.join(latest, "ticker", "left").withColumn("mtm_pct", F.round(mtm, 2)).drop("last_close")

@@ -17,6 +17,7 @@ NON_BUY = (
     r"|scrip dividend|dividend reinvestment|\bDRIP\b|share incentive plan|\bSIP\b|grant of (a|an|conditional|options?) (award|conditional)|grant of options?|exercise of options?"
     r"|nil[- ]cost option|vested|award of \d+|employee benefit trust"
 )
+# Phrases of a purchase in the market, and of any purchase.
 STRICT_BUY = r"(?i)on[- ]market purchase of (ordinary )?shares"
 PURCHASE = r"(?i)purchase of (ordinary )?shares"
 
@@ -84,6 +85,46 @@ def resulting_holding(text: Column, shares: Column, bought: Column) -> Column:
     return F.when(~found.between(1990, 2099) & (~bought | (found >= shares)), found)
 
 
+# What separates notifications in one filing, and headlines that are out of scope.
+NOTIFICATION = r"(?i)\bnotification\s+\d+\s+of\s+\d+\b"
+PERSON = r"(?m)^\s*(?:[a1][.)]\s*)?(?i:(?:full )?name(?:\s+of\s+(?:the\s+)?(?:pdmr|person|director))?)\s*[:.]?\s*((?:(?:Mr|Mrs|Ms|Dr|Sir|Dame|Lord)\.? )?\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)+)"
+OUT_OF_SCOPE = r"(?i)employee (benefit|share ownership) trust|\bEBT\b"
+
+
+def people(text: Column) -> Column:
+    """The names that a filing's text gives after name labels, each once, in order."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PERSON), F.lit(1)), lambda n: F.trim(n)))
+
+
+def bundled(filings: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(single, review): filings of several people, or of several numbered notifications, go to review with the names."""
+    named = filings.withColumn("names", people(F.col(text)))
+    parts = F.regexp_count(F.col(text), F.lit(NOTIFICATION))
+    many = (F.size("names") > 1) | (parts > 1)
+    warning = F.concat(F.lit("bundled_multi_pdmr: "), F.array_join("names", "; "))
+    return named.where(~many), named.where(many).withColumn("warning", warning)
+
+
+def in_scope(headline: Column) -> Column:
+    """Whether a headline may be a director's dealing: all but those on the denylist."""
+    return ~F.coalesce(headline, F.lit("")).rlike(OUT_OF_SCOPE)
+
+
+#: Warnings by what can be done about them; the first group that applies counts.
+PENDING = {
+    "recoverable": ("missing_price", "missing_value", "data_quirk", "multi_tranche", "corporate_action"),
+    "blocked": ("bundled_multi_pdmr", "foreign_currency", "missing_date", "bad_price", "unknown_kind"),
+}
+
+
+def pending_bucket(warnings: Column) -> Column:
+    """recoverable, blocked or advisory."""
+    out = F.lit("advisory")
+    for name, members in reversed(PENDING.items()):
+        out = F.when(F.arrays_overlap(warnings, F.array(*[F.lit(m) for m in members])), F.lit(name)).otherwise(out)
+    return out
+
+
 BLOCKING = ("missing_date", "bad_price", "unknown_kind")
 
 

@@ -5,29 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.timeseries import first_from, last_until
+from tidemark.operators.timeseries import first_from, last_before, last_until
 
 
 def short_interest(firings: DataFrame, shorts: DataFrame) -> DataFrame:
-    """short_pct: the sum of each holder's latest disclosure strictly before the announcement; null without any."""
-    # the next disclosure of the same holder ends the validity of one, so a plain range join finds at most one row a holder
+    """short_pct: the sum of each holder's latest disclosure strictly before the announcement; null without any.
+
+    A disclosure changes its holder's position by the difference to the one before; these changes, summed along the
+    ticker's days, are the series of the total, which an as-of join looks up: no firing meets a disclosure history.
+    """
     held = Window.partitionBy("ticker", "holder").orderBy("position_date")
-    valid = shorts.withColumn("until", F.lead("position_date").over(held)).select(F.col("ticker").alias("st"), "position_date", "until", "net_short_pct")
-    seen = (F.col("st") == F.col("ticker")) & (F.col("position_date") < F.col("announced")) & (F.col("until").isNull() | (F.col("until") >= F.col("announced")))
-    sums = firings.select("fingerprint", "ticker", "announced").join(valid, seen).groupBy("fingerprint").agg(F.sum("net_short_pct").alias("short_pct"))
-    return firings.join(sums, "fingerprint", "left")
+    change = F.col("net_short_pct") - F.coalesce(F.lag("net_short_pct").over(held), F.lit(0.0))
+    daily = shorts.withColumn("change", change).groupBy("ticker", "position_date").agg(F.sum("change").alias("change"))
+    along = Window.partitionBy("ticker").orderBy("position_date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = daily.withColumn("short_pct", F.sum("change").over(along))
+    found = last_before(firings, total, "announced", when="position_date", take=["short_pct"])
+    return found.withColumn("short_pct", F.col("found.short_pct")).drop("found")
 
 
-def latest_pay(firings: DataFrame, pay: DataFrame) -> DataFrame:
+def latest_pay(firings: DataFrame, pay: DataFrame, take: tuple[str, ...] = ("fy_end", "pay_gbp", "pay_status")) -> DataFrame:
     """found: the pay row of the director last published on or before the announcement."""
     keyed = firings.withColumn("who", F.struct("ticker", "director"))
     rows = pay.withColumn("who", F.struct("ticker", "director"))
-    return last_until(keyed, rows, "announced", when="ar_published_at", take=["fy_end", "pay_gbp", "pay_status"], key="who").drop("who")
+    return last_until(keyed, rows, "announced", when="ar_published_at", take=list(take), key="who").drop("who")
 
 
-def salary_multiple(value: Column, pay: Column) -> Column:
-    """Null unless the pay was found and is usable."""
-    return F.when(pay["pay_status"] == "ok", value / pay["pay_gbp"])
+def salary_multiple(value: Column, pay: Column, amount: str = "pay_gbp") -> Column:
+    """Value over total pay, or over the pay's ``amount``; null unless the pay was found and is usable."""
+    return F.when((pay["pay_status"] == "ok") & (pay[amount] > 0), value / pay[amount])
 
 
 def post_results(firings: DataFrame, results: DataFrame, days: int = 14) -> DataFrame:
@@ -59,18 +64,40 @@ def routine(buys: DataFrame) -> DataFrame:
     """routine_class by the months of the director's earlier buys in the ticker.
 
     Under two earlier years: insufficient; a month seen in a majority of the years
-    (two at least): routine; else opportunistic.
+    (two at least): routine; else opportunistic. Only the first buy of a month changes
+    these counts, so they run along at most twelve days a year of each director and ticker.
     """
-    own = buys.select("fingerprint", "director", "ticker", "announced")
-    past = buys.select(F.col("director").alias("d"), F.col("ticker").alias("t"), F.col("announced").alias("a"))
-    earlier = own.join(past, (F.col("director") == F.col("d")) & (F.col("ticker") == F.col("t")) & (F.col("a") < F.col("announced")))
-    months = earlier.groupBy("fingerprint", F.month("a").alias("month")).agg(F.countDistinct(F.year("a")).alias("hits"))
-    years = earlier.groupBy("fingerprint").agg(F.countDistinct(F.year("a")).alias("n_years"))
-    best = months.groupBy("fingerprint").agg(F.max("hits").alias("best"))
-    out = own.join(years, "fingerprint", "left").join(best, "fingerprint", "left")
-    need = F.greatest(F.lit(2), F.floor(F.col("n_years") / 2) + 1)
-    kind = F.when(F.coalesce("n_years", F.lit(0)) < 2, "insufficient").when(F.col("best") >= need, "routine").otherwise("opportunistic")
-    return out.select("fingerprint", F.coalesce("n_years", F.lit(0)).alias("n_years"), kind.alias("routine_class"))
+    who = F.struct("director", "ticker")
+    days = buys.where("announced IS NOT NULL").select(who.alias("who"), F.year("announced").alias("y"), F.month("announced").alias("m"), F.col("announced").alias("day"))
+    first = days.groupBy("who", "y", "m").agg(F.min("day").alias("day"))
+    along = Window.partitionBy("who").orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    month = Window.partitionBy("who", "m").orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    new_year = F.when(F.row_number().over(Window.partitionBy("who", "y").orderBy("day")) == 1, 1).otherwise(0)
+    seen = first.withColumn("new_year", new_year).withColumn("hits", F.count(F.lit(1)).over(month))
+    seen = seen.withColumn("n_years", F.sum("new_year").over(along)).withColumn("best", F.max("hits").over(along))
+    out = last_before(buys.withColumn("who", who), seen, "announced", when="day", take=["n_years", "best"], key="who")
+    n_years, best = F.coalesce("found.n_years", F.lit(0)), F.col("found.best")
+    need = F.greatest(F.lit(2), F.floor(n_years / 2) + 1)
+    kind = F.when(n_years < 2, "insufficient").when(best >= need, "routine").otherwise("opportunistic")
+    return out.select("fingerprint", n_years.alias("n_years"), kind.alias("routine_class"))
+
+
+def relative_size(buys: DataFrame) -> DataFrame:
+    """relative_size: value over the median of the director's earlier buys; null without any."""
+    day = F.datediff("announced", F.lit("1970-01-01").cast("date"))
+    before = Window.partitionBy("director").orderBy("_day").rangeBetween(Window.unboundedPreceding, -1)
+    return buys.withColumn("_day", day).withColumn("relative_size", F.col("value") / F.percentile("value", 0.5).over(before)).drop("_day")
+
+
+def expected_results(results: DataFrame) -> DataFrame:
+    """Next results of each ticker and type, a year after the last confirmed ones, and interim-type ones half a year after, marked est; known ones left out."""
+    last = results.where("confidence = 'confirmed'").groupBy("ticker", "report_type").agg(F.max("report_date").alias("last_date"))
+    steps = F.explode(F.when(F.col("report_type") == "TRADING_STMT", F.array(F.lit(6))).otherwise(F.array(F.lit(12))))
+    expected = last.where("report_type IN ('PRELIM', 'INTERIM', 'TRADING_STMT')").select("ticker", "report_type", "last_date", steps.alias("months"))
+    expected = expected.withColumn("expected", F.expr("add_months(last_date, months)"))
+    newest = results.groupBy(F.col("ticker").alias("_t"), F.col("report_type").alias("_r")).agg(F.max("report_date").alias("_newest"))
+    known = (F.col("ticker") == F.col("_t")) & (F.col("report_type") == F.col("_r")) & (F.col("_newest") >= F.col("expected"))
+    return expected.join(newest, known, "left_anti").select("ticker", "report_type", "expected", F.lit("est").alias("confidence"))
 
 
 def routine_by_gaps(buys: DataFrame, limit: float = 0.5) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranking import kept
+from tidemark.operators.timeseries import last_until
+
 SCHEMES = ("flat", "log", "tier", "linear", "capped")
 
 
@@ -32,13 +35,84 @@ def positions(entered: DataFrame, indexed: DataFrame, as_of: str, hold: int = 21
     return out.withColumn("status", state).withColumn("notional", notional if notional is not None else F.lit(1000.0))
 
 
-def daily_value(held: DataFrame, indexed: DataFrame) -> DataFrame:
-    """Per day: positions open and their value, pruned to each position's own days by a range join on its series."""
-    held = held.select("ticker", "entry_idx", "entry_close", "notional")
-    days = indexed.select(F.col("ticker").alias("_t"), F.col("idx").alias("_i"), "dt", "close")
-    inside = (F.col("ticker") == F.col("_t")) & F.col("_i").between(F.col("entry_idx"), F.col("entry_idx") + 21)
-    worth = F.col("notional") * F.col("close") / F.col("entry_close")
-    return held.join(days, inside).groupBy("dt").agg(F.count(F.lit(1)).alias("n_open"), F.round(F.sum(worth), 2).alias("value"))
+def summary(held: DataFrame, indexed: DataFrame, as_of: str) -> DataFrame:
+    """Open and closed positions: count, notional, mean return in per cent (open ones at the last close by ``as_of``), winners and losers."""
+    last = indexed.where(F.col("dt") <= F.lit(as_of).cast("date")).groupBy("ticker").agg(F.max_by("close", "dt").alias("now_close"))
+    rows = held.where("status <> 'planned'").join(last, "ticker", "left")
+    gain = F.when(F.col("status") == "closed", F.col("exit_close")).otherwise(F.col("now_close")) / F.col("entry_close") - 1
+    return rows.withColumn("gain", gain).groupBy("status").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("notional"), 2).alias("notional"), F.round(F.avg("gain") * 100, 4).alias("mean_pct"),
+        F.count_if(F.col("gain") > 0).alias("winners"), F.count_if(F.col("gain") < 0).alias("losers"),
+    )
+
+
+def tracker(entered: DataFrame, prices: DataFrame, as_of: str, hold: int = 21, stake: float = 10_000.0, keys: list[str] | None = None) -> DataFrame:
+    """The strategy against its index: per key and day of the index, the value of a stake in each firing, and of the same stakes in the index.
+
+    A position is cash before its entry, marked to market (last close on or before the day) while it is open, and worth
+    its exit afterwards; the equity leg pays its cost at entry, the index leg none. ``entered`` has fingerprint, ticker,
+    bench, is_aim, entry_dt, entry_idx, entry_close, bench_close. Positions meet only the days that they are open, by
+    equi-joins; entries, exits and held shares are summed per day first and run along the calendar after.
+    """
+    keys = keys or []
+    day = F.lit(as_of).cast("date")
+    rows = entered.where(F.col("entry_dt") <= day).withColumn("fee", F.when(F.col("is_aim"), 0.005).otherwise(0.01))
+    exits = prices.withColumn("_i", F.row_number().over(Window.partitionBy("ticker").orderBy("dt"))).select(
+        F.col("ticker").alias("_t"), (F.col("_i") - hold).alias("_i"), F.col("dt").alias("exit_dt"), F.col("close").alias("exit_close")
+    )
+    rows = rows.join(exits, (F.col("ticker") == F.col("_t")) & (F.col("entry_idx") == F.col("_i")), "left").drop("_t", "_i")
+    rows = rows.withColumn("exit_dt", F.when(F.col("exit_dt") <= day, F.col("exit_dt")))
+    # the index leg leaves at the index's last close on or before the exit
+    index = prices.select(F.col("ticker").alias("bench"), "dt", F.col("close").alias("bench_out"))
+    rows = last_until(rows, index, "exit_dt", take=["bench_out"], key="bench").withColumn("bench_out", F.col("found.bench_out")).drop("found")
+    shares, units = F.lit(stake) * (1 - F.col("fee")) / F.col("entry_close"), F.lit(stake) / F.col("bench_close")
+    rows = kept(rows.withColumns({"shares": shares, "units": units}))
+    none = F.lit(0.0)
+
+    def moves(at: str, leg: str, security: Column, amount: Column, cash: Column, n: int) -> DataFrame:
+        return rows.where(F.col(at).isNotNull()).select(*keys, F.col(at).alias("dt"), F.lit(leg).alias("leg"), security.alias("security"), amount.alias("amount"), cash.alias("cash"), F.lit(n).alias("n"))
+
+    changes = [
+        moves("entry_dt", "equity", F.col("ticker"), F.col("shares"), F.lit(-stake), 1), moves("exit_dt", "equity", F.col("ticker"), -F.col("shares"), F.col("shares") * F.col("exit_close"), -1),
+        moves("entry_dt", "index", F.col("bench"), F.col("units"), F.lit(-stake), 1), moves("exit_dt", "index", F.col("bench"), -F.col("units"), F.col("units") * F.col("bench_out"), -1),
+    ]
+    daily = changes[0]
+    for more in changes[1:]:
+        daily = daily.unionByName(more)
+    # one row a key, leg, security and day: bounded by the calendar from here on
+    daily = kept(daily.groupBy(*keys, "leg", "security", "dt").agg(F.sum("amount").alias("amount"), F.sum("cash").alias("cash"), F.sum("n").alias("n")))
+    first = daily.agg(F.min("dt").alias("first"))
+    calendar = prices.where((F.col("dt") <= day) & F.col("ticker").startswith("^")).select("dt").distinct().crossJoin(F.broadcast(first)).where("dt >= first").select("dt")
+    grid = daily.select(*keys, "leg", "security").distinct().crossJoin(calendar)
+    held = grid.unionByName(daily.select(*keys, "leg", "security", "dt")).distinct().join(daily, [*keys, "leg", "security", "dt"], "left")
+    along = Window.partitionBy(*keys, "leg", "security").orderBy("dt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = held.withColumns({c: F.coalesce(F.sum(c).over(along), none if c != "n" else F.lit(0)) for c in ("amount", "cash", "n")})
+    held = held.join(calendar, "dt", "left_semi")
+    marked = last_until(held, prices.select(F.col("ticker").alias("security"), "dt", F.col("close").alias("mark")).withColumnRenamed("dt", "day"), "dt", when="day", take=["mark"], key="security")
+    worth = F.col("cash") + F.col("amount") * F.coalesce("found.mark", none)
+    capital = rows.groupBy(*keys).agg((F.count(F.lit(1)) * F.lit(stake)).alias("capital"), F.count(F.lit(1)).alias("n_positions"))
+    per = marked.withColumn("worth", worth).groupBy(*keys, "dt").agg(
+        F.sum(F.when(F.col("leg") == "equity", F.col("worth"))).alias("_e"), F.sum(F.when(F.col("leg") == "index", F.col("worth"))).alias("_b"), F.sum(F.when(F.col("leg") == "equity", F.col("n"))).alias("n_open")
+    )
+    per = per.join(capital, keys) if keys else per.crossJoin(F.broadcast(capital))  # one row
+    value = lambda c: F.round(F.col("capital") + F.coalesce(F.col(c), none), 2)
+    return per.select(*keys, "dt", "n_positions", "n_open", "capital", value("_e").alias("strategy_value"), value("_b").alias("index_value"))
+
+
+def tracker_summary(series: DataFrame, keys: list[str] | None = None, days: int = 30) -> DataFrame:
+    """The last day of a tracker: excess in pounds and per cent of the capital, and both legs' change over the trailing days."""
+    keys, series = keys or [], kept(series)
+    end = series.groupBy(*keys).agg(F.max("dt").alias("as_of"))
+    rows = series.join(end, keys) if keys else series.crossJoin(F.broadcast(end))  # one row
+    last, then = F.col("dt") == F.col("as_of"), F.col("dt") <= F.date_sub("as_of", days)
+    at = lambda c, when: F.max_by(F.when(when, F.col(c)), F.when(when, F.col("dt")))
+    out = rows.groupBy(*keys, "as_of").agg(*[at(c, last).alias(c) for c in ("n_positions", "capital", "strategy_value", "index_value")], at("strategy_value", then).alias("_s"), at("index_value", then).alias("_i"))
+    excess = F.col("strategy_value") - F.col("index_value")
+    trend = lambda c, old: F.round(100 * (F.col(c) / F.col(old) - 1), 2)
+    return out.select(
+        *keys, "as_of", "n_positions", "capital", "strategy_value", "index_value", F.round(excess, 2).alias("excess"), F.round(100 * excess / F.col("capital"), 2).alias("excess_pct"),
+        trend("strategy_value", "_s").alias("strategy_trend_pct"), trend("index_value", "_i").alias("index_trend_pct"),
+    )
 
 
 def anchors(as_of: str, weeks: int = 12) -> Column:
@@ -47,11 +121,28 @@ def anchors(as_of: str, weeks: int = 12) -> Column:
     return F.sequence(F.date_sub(monday, 7 * (weeks - 1)), monday, F.expr("INTERVAL 7 DAYS"))
 
 
-def open_at(held: DataFrame, days: Column) -> DataFrame:
+def open_at(held: DataFrame, days: Column, keys: list[str]) -> DataFrame:
     """Open count and notional at each of a few days; the days are exploded onto the positions that span them."""
     grid = held.withColumn("day", F.explode(F.filter(days, lambda d: (d >= F.col("entry_dt")) & (F.col("exit_dt").isNull() | (d < F.col("exit_dt"))))))
-    return grid.groupBy("day", "band").agg(F.count(F.lit(1)).alias("n_open"), F.round(F.sum("notional"), 2).alias("notional"))
+    return grid.groupBy("day", *keys).agg(F.count(F.lit(1)).alias("n_open"), F.sum("notional").alias("notional"))
 
 
-def moving(df: DataFrame, column: str, rows: int, order: str, keys: list[str]) -> Column:
-    return F.avg(column).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(1 - rows, 0))
+def capital_panels(held: DataFrame, as_of: str, weeks: int = 12, mean: int = 4) -> DataFrame:
+    """Per size band ('all' too): open notional and count now and on the last Mondays, their trailing means, and how far now is from these."""
+    rows = held.withColumn("band", F.explode(F.array(F.lit("all"), F.when(F.col("market_cap_gbp") < 500e6, "small").otherwise("large"))))
+    today = F.lit(as_of).cast("date")
+    open_days = open_at(rows, F.array_union(anchors(as_of, weeks), F.array(today)), ["band"])
+    grid = rows.sparkSession.range(1).select(F.explode(F.array(*[F.lit(b) for b in ("all", "small", "large")])).alias("band"), F.explode(F.array_union(anchors(as_of, weeks), F.array(today))).alias("day"))
+    full = grid.join(open_days, ["band", "day"], "left").select("band", "day", F.coalesce("n_open", F.lit(0)).alias("n_open"), F.coalesce("notional", F.lit(0.0)).alias("notional"))
+    monday = F.col("day") == F.date_trunc("week", "day").cast("date")
+    ranked = full.withColumn("back", F.when(monday, F.row_number().over(Window.partitionBy("band", monday).orderBy(F.desc("day")))))
+    weekly = lambda c: F.transform(F.sort_array(F.collect_list(F.when(monday, F.struct("day", F.round(c, 2).alias("x"))))), lambda s: s["x"])
+    now = lambda c: F.max(F.when(F.col("day") == today, F.col(c)))
+    recent = lambda c: F.avg(F.when(F.col("back") <= mean, F.col(c)))
+    out = ranked.groupBy("band").agg(
+        now("notional").alias("n_now"), now("n_open").alias("live_count"), weekly("notional").alias("weekly_notional"), weekly("n_open").alias("weekly_count"), recent("notional").alias("ma_n"), recent("n_open").alias("ma_c")
+    )
+    return out.select(
+        "band", F.round("n_now", 2).alias("live_notional"), "live_count", "weekly_notional", "weekly_count", F.round("ma_n", 2).alias("mean_notional"), F.round("ma_c", 4).alias("mean_count"),
+        F.round(F.col("n_now") - F.col("ma_n"), 2).alias("delta_notional"), F.round((F.col("live_count") - F.col("ma_c")) / F.nullif("ma_c", F.lit(0.0)) * 100, 4).alias("delta_count_pct"),
+    )

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.clean import SENIOR, TIERS, lookup, role_tier
-from tidemark.operators.timeseries import last_until, trade_index
+from tidemark.operators.timeseries import last_until
 
 KEEP = ["fingerprint", "ticker", "director", "dt", "announced", "role", "shares", "value"]
 
@@ -82,12 +82,29 @@ def first_time_buy(ctx: Context) -> DataFrame:
 def lone_conviction(ctx: Context, least: float = 200_000, days: int = 30, back: int = 60) -> DataFrame:
     """A large buy that no other director shares, unless the price has just slipped."""
     big = ctx.strict.where(F.col("value") >= least)
-    alone = big.join(other_buyers(ctx.buys, big, days).select("fingerprint").distinct(), "fingerprint", "left_anti")
     order = Window.partitionBy("ticker").orderBy("dt")
     trail = ctx.prices.withColumn("ret", F.col("close") / F.lag("close", back).over(order) - 1)
-    seen = last_until(alone, trail, "announced", take=["ret"])
     ret = F.col("found.ret")
-    return _fired(seen.where(ret.isNotNull() & ~ret.between(-0.10, -0.02)), "b1_lone_conviction_buy", "high")
+    seen = last_until(big, trail, "announced", take=["ret"]).where(ret.isNotNull() & ~ret.between(-0.10, -0.02))
+    alone = seen.join(other_buyers(ctx.buys, big, days).select("fingerprint").distinct(), "fingerprint", "left_anti")
+    return _fired(alone, "b1_lone_conviction_buy", "high")
+
+
+def lone_sweep(ctx: Context, leasts: list[float], windows: list[int], back: int = 60) -> DataFrame:
+    """Lone large buys under every threshold and window, in one pass: rows (fingerprint, ticker, least, days, fired_at).
+
+    How far the nearest other buyer is settles all windows at once, so the pairs of the widest one are met once.
+    """
+    big = ctx.strict.where(F.col("value") >= min(leasts))
+    gaps = other_buyers(ctx.buys, big, max(windows)).join(big.select("fingerprint", F.col("dt").alias("own_dt")), "fingerprint")
+    gaps = gaps.groupBy("fingerprint").agg(F.min(F.abs(F.datediff("own_dt", "other_dt"))).alias("gap"))
+    order = Window.partitionBy("ticker").orderBy("dt")
+    trail = ctx.prices.withColumn("ret", F.col("close") / F.lag("close", back).over(order) - 1)
+    ret = F.col("found.ret")
+    seen = last_until(big, trail, "announced", take=["ret"]).where(ret.isNotNull() & ~ret.between(-0.10, -0.02)).join(gaps, "fingerprint", "left")
+    grid = F.explode(F.array(*[F.struct(F.lit(float(v)).alias("least"), F.lit(d).alias("days")) for v in leasts for d in windows]))
+    fits = (F.col("value") >= F.col("g.least")) & (F.col("gap").isNull() | (F.col("gap") > F.col("g.days")))
+    return seen.withColumn("g", grid).where(fits).select("fingerprint", "ticker", "g.least", "g.days", F.col("announced").alias("fired_at"))
 
 
 def crowd_windows(buys: DataFrame, least: int = 4, days: int = 30, hold: int = 60) -> DataFrame:
@@ -147,7 +164,3 @@ def evaluate(dealings: DataFrame, prices: DataFrame) -> DataFrame:
     fired = split_by_crowds(tier_signals(ctx).unionByName(others), crowd_windows(ctx.buys)).where("NOT suppressed").drop("suppressed")
     kept = best_tier(fired)
     return kept.unionByName(combo(kept))
-
-
-def momentum(prices: DataFrame, back: int) -> DataFrame:
-    return trade_index(prices).withColumn("ret", F.col("close") / F.lag("close", back).over(Window.partitionBy("ticker").orderBy("dt")) - 1)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.checks import parity
+
 
 def apply_edits(rows: DataFrame, edits: DataFrame, key: str) -> DataFrame:
     """Edits (key, action, fields): update replaces fields that are given, add appends, reject removes."""
@@ -44,3 +46,52 @@ def latest_wins(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 def replace_slice(old: DataFrame, new: DataFrame, inside) -> DataFrame:
     """``old`` without the rows where ``inside`` holds, and ``new``."""
     return old.where(~F.coalesce(inside, F.lit(False))).unionByName(new)
+
+
+def result_file(rows: DataFrame, path: str, header: list[str], fmt: str = "csv") -> DataFrame:
+    """Write the columns of a pinned header anew at ``path`` (Spark commits all files at once) and read them back."""
+    out = rows.select(*header)
+    out.write.mode("overwrite").option("header", "true").format(fmt).save(path)
+    return rows.sparkSession.read.schema(out.schema).option("header", "true").format(fmt).load(path)
+
+
+def nested_export(rows: DataFrame, path: str, outer: str, inner: str, key: str, measures: list[str]) -> DataFrame:
+    """Write one JSON document per ``outer`` value, a tree inner -> key -> measures, and read the text back."""
+    leaf = F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(key).cast("string"), F.struct(*measures)))))
+    level = rows.groupBy(outer, inner).agg(leaf.alias("_leaf"))
+    tree = level.groupBy(outer).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(inner).cast("string"), F.to_json("_leaf"))))).alias("tree"))
+    tree.write.mode("overwrite").json(path)
+    return rows.sparkSession.read.schema(f"{outer} string, tree map<string,string>").json(path)
+
+
+def reload(spark: SparkSession, tables: dict[str, tuple[DataFrame, list[str]]], path: str) -> DataFrame:
+    """Copy tables (name -> rows and key) to ``path`` and compare copy and source by key and content: one row per table."""
+    out = None
+    for name, (rows, key) in tables.items():
+        rows.write.mode("overwrite").parquet(f"{path}/{name}")
+        copy = spark.read.parquet(f"{path}/{name}")
+        digest = lambda df: df.groupBy(F.concat_ws("|", *[F.col(k).cast("string") for k in key]).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*rows.columns) % 1_000_003).alias("h"))  # noqa: B023, E731
+        state = parity(digest(rows), digest(copy), "k", ["n", "h"])
+        one = state.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n_keys"), F.count_if(F.col("parity") == "same").alias("n_same"), F.count_if(F.col("parity") != "same").alias("n_other"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def snapshot(rows: DataFrame, path: str) -> DataFrame:
+    """Write a table as text (CSV with a header) and read it back by its schema."""
+    rows.write.mode("overwrite").option("header", "true").csv(path)
+    return rows.sparkSession.read.schema(rows.schema).option("header", "true").csv(path)
+
+
+def serving_views(dealings: DataFrame, prices: DataFrame, scores: DataFrame, as_of: str) -> dict[str, DataFrame]:
+    """Temporary views for readers: per company, recent days, conviction, monthly capital."""
+    day = F.lit(as_of).cast("date")
+    seen = dealings.where(F.col("announced") <= day)
+    latest = prices.where(F.col("dt") <= day).groupBy("ticker").agg(F.max_by("close", "dt").alias("last_close"))
+    company = seen.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"), F.max("announced").alias("last_announced")).join(latest, "ticker", "left")
+    recent = seen.where(F.col("announced") >= F.date_sub(day, 14)).select("fingerprint", "ticker", "type", "value", "announced")
+    capital = seen.where("type = 'BUY'").groupBy(F.trunc("announced", "month").alias("month")).agg(F.round(F.sum("value"), 2).alias("capital"))
+    views = {"public_company_v": company, "public_recent_v": recent, "public_conviction_v": scores.select("fingerprint", "score", "band"), "public_capital_monthly_v": capital}
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+    return views

@@ -7,6 +7,7 @@ replaces what it wrote.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,9 +16,11 @@ from pyspark.sql import functions as F
 
 
 def work_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """A new path in the folder named by spark.checkpoint.dir; a temporary one only where that is unset and all is one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -57,15 +60,51 @@ def purchases(events: DataFrame) -> DataFrame:
 
 
 def seen_counts(events: DataFrame) -> DataFrame:
-    """Incremental ingest: first_seen, last_seen and seen_count of each key."""
+    """first_seen, last_seen and seen_count of each key."""
     return events.groupBy("user_id", "event_type").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("seen_count"))
 
 
-def daily_activity(events: DataFrame, late: str = "7 days") -> DataFrame:
-    """Daily number and value of purchases; filings may be late by the watermark."""
-    rows = purchases(events).withWatermark("ts", late)
-    out = rows.groupBy(F.window("ts", "1 day"), "ticker").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    return out.select(F.col("window.start").alias("start"), "ticker", "n", "total")
+def ingest(events: DataFrame, keys: list[str], at: str, late: str = "7 days") -> DataFrame:
+    """Rows once each: copies that come within ``late`` of the first one are dropped, and state is let go after that."""
+    return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
+
+
+def ingest_and_upsert(events: DataFrame, row_keys: list[str], keys: list[str], at: str, label: str = "ingest") -> DataFrame:
+    """Incremental ingest to its end: each micro-batch is deduplicated and merged into the table of first_seen, last_seen, seen_count.
+
+    The table is written anew per batch from the last one, so that a batch that is run again gives the same table.
+    """
+    spark = events.sparkSession
+    work = work_path(spark, label)
+    tables: list[str] = []
+
+    def merge(batch: DataFrame, number: int) -> None:
+        new = batch.groupBy(*keys).agg(F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.count(F.lit(1)).alias("seen_count"))
+        if number > 0 and tables:
+            new = spark.read.parquet(f"{work}/table={number - 1}").unionByName(new)
+            new = new.groupBy(*keys).agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("seen_count").alias("seen_count"))
+        new.write.mode("overwrite").parquet(f"{work}/table={number}")
+        tables.append(f"{work}/table={number}")
+
+    query = ingest(events, row_keys, at).writeStream.option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).foreachBatch(merge).start()
+    query.awaitTermination()
+    if not tables:
+        empty = events.groupBy(*keys).agg(F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.count(F.lit(1)).alias("seen_count"))
+        return spark.createDataFrame([], empty.schema)
+    return spark.read.parquet(tables[-1])
+
+
+def daily_activity(events: DataFrame, late: str = "7 days", buy: str = "purchase", sell: str = "sale") -> DataFrame:
+    """Daily number and value of buys and sells; filings may be late by the watermark."""
+    kind = F.when(F.col("event_type") == buy, "BUY").when(F.col("event_type") == sell, "SELL")
+    rows = events.withColumn("type", kind).where("type IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    out = rows.groupBy(F.window("ts", "1 day"), "type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return out.select(F.col("window.start").alias("start"), "type", "n", "total")
+
+
+def by_month(daily: DataFrame) -> DataFrame:
+    """Monthly buys and sells from the days of the stream."""
+    return daily.groupBy(F.trunc(F.to_date("start"), "month").alias("month"), "type").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
 def first_purchases(events: DataFrame) -> DataFrame:
@@ -73,13 +112,30 @@ def first_purchases(events: DataFrame) -> DataFrame:
     return purchases(events).groupBy("director", "ticker").agg(F.min("ts").alias("first_ts"))
 
 
-def buyer_sessions(events: DataFrame, gap: str = "6 hours") -> DataFrame:
-    """Sessions of purchases per ticker, ended by a gap."""
-    out = purchases(events).groupBy(F.session_window("ts", gap), "ticker").agg(F.count(F.lit(1)).alias("n"))
-    return out.select(F.col("session_window.start").alias("start"), "ticker", "n")
+def first_time_events(events: DataFrame) -> DataFrame:
+    """An event for each purchase that is the first of its director in its ticker when it arrives; state holds the earliest time seen."""
+    import pandas as pd
+
+    def step(key, batches, state):
+        rows = pd.concat(list(batches))
+        earliest = rows["ts"].min()
+        first = not state.exists
+        if first or earliest < state.get[0]:
+            state.update((earliest,))
+        if first:
+            yield pd.DataFrame({"director": [key[0]], "ticker": [key[1]], "first_ts": [earliest]})
+
+    return purchases(events).groupBy("director", "ticker").applyInPandasWithState(step, "director long, ticker string, first_ts timestamp", "first_ts timestamp", "append", "NoTimeout")
+
+
+def buyer_sessions(events: DataFrame, gap: str = "30 days") -> DataFrame:
+    """Sessions of purchases per ticker, ended by a gap, with their buyers."""
+    out = purchases(events).groupBy(F.session_window("ts", gap), "ticker").agg(F.count(F.lit(1)).alias("n"), F.collect_set("director").alias("directors"))
+    return out.select(F.col("session_window.start").alias("start"), "ticker", "n", F.sort_array("directors").alias("directors"))
 
 
-def sliding_buyers(events: DataFrame) -> DataFrame:
-    """Distinct buyers per ticker in sliding windows of 7 days a day apart."""
-    out = purchases(events).groupBy(F.window("ts", "7 days", "1 day"), "ticker").agg(F.size(F.collect_set("director")).alias("n_buyers"))
+def sliding_buyers(events: DataFrame, span: str = "30 days", exact: bool = True) -> DataFrame:
+    """Distinct buyers per ticker in sliding windows a day apart; ``exact=False`` counts by a sketch of fixed size."""
+    many = F.size(F.collect_set("director")) if exact else F.approx_count_distinct("director").cast("int")
+    out = purchases(events).groupBy(F.window("ts", span, "1 day"), "ticker").agg(many.alias("n_buyers"))
     return out.select(F.col("window.start").alias("start"), "ticker", "n_buyers")
