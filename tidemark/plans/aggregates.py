@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import aggregate as ag
 from tidemark.operators import clean, clusters, eventstudy
+from tidemark.operators import timeseries as ts
 from tidemark.plans.core import _CLUSTERS, _EVAL, _SUMMARY, AS_OF, D, R, buys, clustered, event_returns, tier_firings
-from tidemark.plans.registry import query
+from tidemark.plans.registry import STEPS, query
 from tidemark.sources.fixtures import Tables
 
 _BUCKET = "CASE WHEN value >= 500000 THEN '500k+' WHEN value >= 100000 THEN '100k-500k' WHEN value >= 25000 THEN '25k-100k' WHEN value >= 1000 THEN '1k-25k' END"
@@ -22,11 +23,11 @@ def nets(t: Tables) -> DataFrame:
     return event_returns(t).where("net IS NOT NULL")
 
 
-@query("ag01_scoreboard", """
-SELECT signal, horizon, count(*) AS n, round(100.0 * count(*) FILTER (car > 0) / count(*), 4) AS hit_pct, round(median(car) * 100, 4) AS median_car, round(avg(car) * 100, 4) AS mean_car
-FROM es WHERE car IS NOT NULL GROUP BY 1, 2""")
+@query("ag01_scoreboard", f"""
+SELECT signal, horizon, count(*) AS n, round(100.0 * count(*) FILTER (car > 0) / count(*), 1) AS hit_pct, round(median(car) * 100, 1) AS median_car, round(avg(car) * 100, 1) AS mean_car
+FROM es WHERE car IS NOT NULL AND datediff('day', announced, DATE '{AS_OF}') BETWEEN 0 AND 365 AND later_dt <= DATE '{AS_OF}' GROUP BY 1, 2""")
 def ag01(t):
-    return ag.scoreboard(event_returns(t), ["signal", "horizon"], "car")
+    return ag.scoreboard(ag.matured(event_returns(t), AS_OF), ["signal", "horizon"], "car", digits=1)
 
 
 @query("ag02_base_rate", """
@@ -49,9 +50,9 @@ def ag03(t):
 @query("ag04_status", f"""
 WITH w AS (SELECT signal, car, datediff('day', announced, DATE '{AS_OF}') AS age FROM es WHERE horizon='t30' AND car IS NOT NULL),
 m AS (SELECT signal, median(car) FILTER (age BETWEEN 0 AND 27) AS cur, median(car) FILTER (age BETWEEN 28 AND 55) AS prior, count(*) FILTER (age BETWEEN 0 AND 27) AS n FROM w GROUP BY 1)
-SELECT signal, n, CASE WHEN n < 5 THEN 'review' WHEN cur < 0 AND prior < 0 THEN 'kill?' WHEN cur < 0 THEN 'review' ELSE 'live' END AS status FROM m""")
+SELECT signal, n, CASE WHEN signal = 't7_chair_buy' THEN 'gated' WHEN n < 5 THEN 'review' WHEN cur < 0 AND prior < 0 THEN 'kill?' WHEN cur < 0 THEN 'review' ELSE 'live' END AS status FROM m""")
 def ag04(t):
-    return ag.status(event_returns(t).where("horizon = 't30' AND car IS NOT NULL"), AS_OF)
+    return ag.status(event_returns(t).where("horizon = 't30' AND car IS NOT NULL"), AS_OF, gated=("t7_chair_buy",))
 
 
 @query("ag05_sparkline", """
@@ -87,10 +88,10 @@ def ag07(t):
 
 
 @query("ag08_drill", """
-WITH r AS (SELECT fingerprint, signal, ticker, car, market, row_number() OVER (PARTITION BY signal ORDER BY car DESC, fingerprint) AS a, row_number() OVER (PARTITION BY signal ORDER BY car, fingerprint) AS b
- FROM es WHERE horizon='t90' AND car IS NOT NULL)
-SELECT signal, count(*) AS n, count(DISTINCT ticker) AS n_tickers, round(median(car)*100, 4) AS median_car, round(median(market)*100, 4) AS median_market,
- list(fingerprint ORDER BY a) FILTER (a <= 10) AS top10, list(fingerprint ORDER BY b) FILTER (b <= 10) AS bottom10 FROM r GROUP BY 1""")
+WITH r AS (SELECT fingerprint, signal, ticker, car, market, row_number() OVER (PARTITION BY signal ORDER BY car DESC, fingerprint) AS a, row_number() OVER (PARTITION BY signal ORDER BY car, fingerprint) AS b,
+ count(*) OVER (PARTITION BY signal, ticker) AS nt FROM es WHERE horizon='t90' AND car IS NOT NULL)
+SELECT signal, count(*) AS n, count(DISTINCT ticker) AS n_tickers, count(DISTINCT ticker) FILTER (nt >= 3) AS n_tickers_3, round(100.0 * count(*) FILTER (car > 0) / count(*), 4) AS hit_pct, round(median(car)*100, 4) AS median_car,
+ round(median(market)*100, 4) AS median_market, list(fingerprint ORDER BY a) FILTER (a <= 10) AS top10, list(fingerprint ORDER BY b) FILTER (b <= 10) AS bottom10 FROM r GROUP BY 1""")
 def ag08(t):
     return ag.drill(event_returns(t).where("horizon = 't90' AND car IS NOT NULL"), "signal")
 
@@ -213,8 +214,9 @@ _BASKETS = "(VALUES ('executives',['t1a_ceo_founder_buy','t1b_cfo_buy','t2_exec_
 
 @query("ag22_baskets", f"""
 WITH b AS (SELECT * FROM {_BASKETS} v(basket, signals, small)), r AS (SELECT b.basket, es.fingerprint, max(net) FILTER (horizon='t30') AS t30, max(net) FILTER (horizon='t90') AS t90 FROM b JOIN es ON list_contains(b.signals, es.signal)
- AND (NOT b.small OR es.market_cap_gbp < 500e6) GROUP BY 1, 2)
-SELECT basket, count(*) AS n, round(median(t30)*100, 4) AS median_t30, round(median(t90)*100, 4) AS median_t90, round(100.0*count(*) FILTER (t90 > 0)/count(t90), 4) AS positive_pct, count(t90) >= 30 AS proven FROM r GROUP BY 1""")
+ AND (NOT b.small OR es.market_cap_gbp < 500e6) GROUP BY 1, 2 UNION ALL SELECT 'all firings', fingerprint, max(net) FILTER (horizon='t30'), max(net) FILTER (horizon='t90') FROM es GROUP BY fingerprint),
+m AS (SELECT basket, count(*) AS n, round(median(t30)*100, 2) AS median_t30, round(median(t90)*100, 2) AS median_t90, round(100.0*count(*) FILTER (t90 > 0)/count(t90), 2) AS positive_pct, count(t90) >= 30 AS proven FROM r GROUP BY 1)
+SELECT *, CASE WHEN basket <> 'all firings' THEN CAST(row_number() OVER (PARTITION BY basket = 'all firings' ORDER BY median_t90 DESC NULLS LAST, basket) AS INT) END AS place FROM m""")
 def ag22(t):
     config = t.spark.createDataFrame(
         [("executives", ["t1a_ceo_founder_buy", "t1b_cfo_buy", "t2_exec_buy"], False), ("chairs", ["t7_chair_buy"], False), ("small_neds", ["t3_ned_buy"], True)],
@@ -223,13 +225,18 @@ def ag22(t):
     return ag.baskets(event_returns(t), config)
 
 
-@query("ag23_director_leaderboard", """
-WITH f AS (SELECT director, fingerprint, any_value(ticker) AS ticker, any_value(value) AS value, max(net) FILTER (horizon='t30') AS t30, max(net) FILTER (horizon='t90') AS t90 FROM es GROUP BY 1, 2),
-d AS (SELECT director, count(*) AS n_buys, count(DISTINCT ticker) AS n_tickers, round(sum(value), 2) AS total, count(t90) AS n_t90, round(100.0*count(*) FILTER (t90 > 0)/count(t90), 4) AS win_t90, round(median(t90), 6) AS median_t90, round(avg(t90), 6) AS mean_t90
+_LEADER = ("t30", "t60", "t90", "t360")
+
+
+@query("ag23_director_leaderboard", f"""
+WITH hz2 AS (SELECT * FROM (VALUES ('t30',21),('t60',42),('t90',63),('t360',252)) v(horizon,days)),
+e0 AS ({STEPS["es0"].replace("hz", "hz2")}),
+f AS (SELECT director, fingerprint, any_value(ticker) AS ticker, any_value(value) AS value, {", ".join(f"max(raw - market - CASE WHEN is_aim THEN 0.005 ELSE 0.01 END) FILTER (horizon='{h}') AS {h}" for h in _LEADER)} FROM e0 GROUP BY 1, 2),
+d AS (SELECT director, count(*) AS n_buys, count(DISTINCT ticker) AS n_tickers, round(sum(value), 2) AS total, round(count(*) FILTER (t90 > 0)/count(t90), 4) AS win_rate, {", ".join(f"count({h}) AS n_{h}, round(median({h}), 5) AS median_{h}, round(avg({h}), 5) AS mean_{h}" for h in _LEADER)}
  FROM f GROUP BY 1 HAVING count(t90) >= 3)
 SELECT *, row_number() OVER (ORDER BY median_t90 DESC, director) AS place FROM d""")
 def ag23(t):
-    return ag.leaderboard(event_returns(t), least=3)
+    return ag.leaderboard(eventstudy.returns(tier_firings(t), t.prices, {"t30": 21, "t60": 42, "t90": 63, "t360": 252}), _LEADER)
 
 
 @query("ag24_tier_hit_rate", "SELECT tier, horizon, count(*) AS n, round(100.0*count(*) FILTER (net > 0)/count(*), 4) AS hit_pct, count(*) < 10 AS low_n FROM es WHERE net IS NOT NULL GROUP BY 1, 2")
@@ -237,10 +244,10 @@ def ag24(t):
     return ag.scoreboard(nets(t), ["tier", "horizon"], "net").select("tier", "horizon", "n", "hit_pct", (F.col("n") < 10).alias("low_n"))
 
 
-@query("ag25_company_stats", "SELECT ticker, count(*) AS n, CASE WHEN count(*) >= 5 THEN round(median(net)*100, 4) END AS median_net FROM es WHERE horizon='t90' AND net IS NOT NULL GROUP BY 1")
+@query("ag25_company_stats", "SELECT ticker, count(*) AS n, CASE WHEN count(*) >= 5 THEN round(100.0*count(*) FILTER (net > 0)/count(*), 4) END AS hit_pct, CASE WHEN count(*) >= 5 THEN round(median(net)*100, 4) END AS median_net FROM es WHERE horizon='t90' AND net IS NOT NULL GROUP BY 1")
 def ag25(t):
-    out = nets(t).where("horizon = 't90'").groupBy("ticker").agg(n_rows(), R(F.percentile("net", 0.5) * 100, 4).alias("m"))
-    return out.select("ticker", "n", F.when(F.col("n") >= 5, F.col("m")).alias("median_net"))
+    out = ag.scoreboard(nets(t).where("horizon = 't90'"), ["ticker"], "net")
+    return out.select("ticker", "n", F.when(F.col("n") >= 5, F.col("hit_pct")).alias("hit_pct"), F.when(F.col("n") >= 5, F.col("median_net")).alias("median_net"))
 
 
 @query("ag26_upcoming_events", f"SELECT ticker, report_date, report_type FROM fx_reporting_dates WHERE report_date BETWEEN DATE '{AS_OF}' AND DATE '{AS_OF}' + 14")
@@ -249,13 +256,12 @@ def ag26(t):
 
 
 @query("ag28_concentration", """
-WITH f AS (SELECT signal, ticker, count(*) AS n FROM firing GROUP BY 1, 2), m AS (SELECT signal, CAST(date_trunc('month', announced) AS DATE) AS mo, count(*) AS n FROM firing GROUP BY 1, 2)
-SELECT f.signal, max(f.n) AS top_ticker_n, round(max(f.n)::DOUBLE / sum(f.n), 6) AS top_ticker_share, any_value(q.s) AS top_month_share FROM f JOIN (SELECT signal, round(max(n)::DOUBLE / sum(n), 6) AS s FROM m GROUP BY 1) q ON q.signal = f.signal GROUP BY 1""")
+WITH f AS (SELECT signal, ticker, count(*) AS n FROM firing GROUP BY 1, 2), m AS (SELECT signal, CAST(date_trunc('month', announced) AS DATE) AS mo, count(*) AS n FROM firing GROUP BY 1, 2),
+w AS (SELECT signal, round(max(car) / sum(car), 6) AS top_winner_share FROM es WHERE horizon = 't90' AND car > 0 GROUP BY 1)
+SELECT f.signal, max(f.n) AS top_ticker_n, round(max(f.n)::DOUBLE / sum(f.n), 6) AS top_ticker_share, any_value(q.s) AS top_month_share, any_value(w.top_winner_share) AS top_winner_share
+FROM f JOIN (SELECT signal, round(max(n)::DOUBLE / sum(n), 6) AS s FROM m GROUP BY 1) q ON q.signal = f.signal LEFT JOIN w ON w.signal = f.signal GROUP BY 1""")
 def ag28(t):
-    fired = tier_firings(t)
-    by = fired.groupBy("signal", "ticker").agg(n_rows()).groupBy("signal").agg(F.max("n").alias("top_ticker_n"), R(F.max("n") / F.sum("n")).alias("top_ticker_share"))
-    month = fired.groupBy("signal", F.trunc("announced", "month").alias("mo")).agg(n_rows()).groupBy("signal").agg(R(F.max("n") / F.sum("n")).alias("top_month_share"))
-    return by.join(month, "signal")
+    return ag.concentration(tier_firings(t), event_returns(t).where("horizon = 't90'"))
 
 
 @query("ag29_kill_list", "SELECT ticker, count(*) AS n, round(avg(car), 6) AS mean_car FROM es WHERE horizon='t90' AND car IS NOT NULL GROUP BY 1 HAVING count(*) >= 20 AND avg(car) < 0")
@@ -289,21 +295,33 @@ def ag31(t):
     )
 
 
-@query("ag32_dealing_feed", _EVAL + f"""SELECT d.fingerprint, d.value, list_sort(list(f.signal)) AS signals_fired FROM final f JOIN fx_dealings d USING (fingerprint)
-WHERE datediff('day', d.announced, DATE '{AS_OF}') BETWEEN 0 AND 90 GROUP BY 1, 2""")
+#: How strong a signal is, the strongest first.
+SEVERITY = {"t0_cluster_combo": 0, **{v[3]: v[2] for v in clean.TIERS.values()}, "s1_cluster_buy": 9, "f1_first_time_buy": 10, "b1_lone_conviction_buy": 11}
+_SEVERITY = "CASE signal " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SEVERITY.items()) + " END"
+
+
+@query("ag32_dealing_feed", _EVAL + f""", sev AS (SELECT fingerprint, signal, {_SEVERITY} AS rank FROM final), g AS (SELECT fingerprint, CAST(min(rank) AS INT) AS severity, list(signal ORDER BY rank) AS signals_fired FROM sev GROUP BY 1),
+latest AS (SELECT ticker, arg_max(close, dt) AS last_close FROM fx_prices GROUP BY ticker),
+mk AS (SELECT d.fingerprint, round((l.last_close / p.close - 1) * 100 - CASE WHEN t.is_aim THEN 0.5 ELSE 1.0 END, 2) AS mtm_pct FROM fx_dealings d ASOF JOIN fx_prices p ON d.ticker = p.ticker AND d.announced < p.dt JOIN fx_tickers_meta t ON t.ticker = d.ticker JOIN latest l ON l.ticker = d.ticker)
+SELECT CASE WHEN d.announced = DATE '{AS_OF}' THEN 'today' ELSE 'this_week' END AS section, d.fingerprint, d.ticker, d.value, g.severity, g.signals_fired, mk.mtm_pct FROM fx_dealings d JOIN g USING (fingerprint) LEFT JOIN mk USING (fingerprint)
+WHERE datediff('day', d.announced, DATE '{AS_OF}') BETWEEN 0 AND 7""")
 def ag32(t):
     from tidemark.operators.signals import evaluate
 
-    fired = evaluate(t.dealings, t.prices).groupBy("fingerprint").agg(F.sort_array(F.collect_list("signal")).alias("signals_fired"))
-    recent = t.dealings.where(F.datediff(D(AS_OF), "announced").between(0, 90))
-    return recent.join(fired, "fingerprint").select("fingerprint", "value", "signals_fired")
+    entered = eventstudy.entries(t.dealings.where("type = 'BUY'").join(t.meta, "ticker"), ts.trade_index(t.prices))
+    return ag.feed(t.dealings, evaluate(t.dealings, t.prices), eventstudy.mark_to_market(entered, t.prices), SEVERITY, AS_OF)
 
 
-@query("ag33_company_status", _SUMMARY + f"""SELECT ticker, count(*) AS n_clusters, bool_or(datediff('day', last_date, DATE '{AS_OF}') BETWEEN 0 AND 90) AS recent_cluster, max(last_date) AS last_cluster FROM s GROUP BY 1""")
+@query("ag33_company_status", _SUMMARY + ", " + _EVAL[5:] + f""", cs AS (SELECT ticker, count(*) FILTER (age < 30) AS n_active, count(*) FILTER (age BETWEEN 30 AND 90) AS n_brewing, count(*) FILTER (age > 90) AS n_past, max(last_date) AS last_cluster
+ FROM (SELECT *, datediff('day', last_date, DATE '{AS_OF}') AS age FROM s WHERE last_date <= DATE '{AS_OF}') GROUP BY 1),
+fs AS (SELECT ticker, max(fired_at) AS last_fired FROM final JOIN (SELECT fingerprint, ticker FROM fx_dealings) USING (fingerprint) WHERE fired_at <= DATE '{AS_OF}' GROUP BY 1),
+rs AS (SELECT ticker, count(DISTINCT report_date) AS n_results, max(report_date) AS last_results FROM fx_reporting_dates WHERE report_date <= DATE '{AS_OF}' GROUP BY 1)
+SELECT ticker, coalesce(n_active, 0) AS n_active, coalesce(n_brewing, 0) AS n_brewing, coalesce(n_past, 0) AS n_past, last_cluster, last_fired, coalesce(datediff('day', last_fired, DATE '{AS_OF}') <= 7, false) AS fired_this_week, coalesce(n_results, 0) AS n_results, last_results
+FROM cs FULL JOIN fs USING (ticker) FULL JOIN rs USING (ticker)""")
 def ag33(t):
-    age = F.datediff(D(AS_OF), "last_date")
-    s = clusters.summaries(clustered(t))
-    return s.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_clusters"), F.bool_or(age.between(0, 90)).alias("recent_cluster"), F.max("last_date").alias("last_cluster"))
+    from tidemark.operators.signals import evaluate
+
+    return ag.company_status(clusters.summaries(clustered(t)), evaluate(t.dealings, t.prices), t.results, AS_OF)
 
 
 @query("ag34_pay_worklist", "SELECT ticker, director, count(*) AS n FROM firing WHERE tier <> 'T5' GROUP BY 1, 2")
@@ -318,9 +336,16 @@ def ag35(t):
     return rows.withColumn("rn", rn).where("rn <= 500").select("month", "type", "fingerprint")
 
 
-@query("cl05_brewing_trend", _CLUSTERS + "SELECT CAST(date_trunc('week', dt) AS DATE) AS week, count(DISTINCT cluster_id) AS n_clusters FROM cl GROUP BY 1")
+_GRID = f"snap AS (SELECT DISTINCT CAST(DATE '{AS_OF}' - CAST(i AS INT) AS DATE) AS day FROM (SELECT i FROM range(30) v(i) UNION ALL SELECT 7*i FROM range(8) v(i)))"
+_WALK = _CLUSTERS.replace("WITH b AS (SELECT *, datediff('day', DATE '1970-01-01', dt) AS day FROM buys)", f"""WITH {_GRID}, b AS (SELECT x.fingerprint, x.director, x.dt, x.value, x.ticker || '@' || CAST(snap.day AS VARCHAR) AS ticker, snap.day AS as_of,
+ datediff('day', DATE '1970-01-01', x.dt) AS day FROM buys x JOIN snap ON x.announced <= snap.day AND datediff('day', x.dt, snap.day) BETWEEN 0 AND 366)""")
+
+
+@query("cl05_brewing_trend", _WALK + f""", lst AS (SELECT as_of, cluster_id, max(dt) AS last_date FROM cl GROUP BY 1, 2), cnt AS (SELECT as_of, count(*) AS n FROM lst WHERE datediff('day', last_date, as_of) BETWEEN 30 AND 90 GROUP BY 1),
+every AS (SELECT snap.day, datediff('day', snap.day, DATE '{AS_OF}') AS age, coalesce(cnt.n, 0) AS n FROM snap LEFT JOIN cnt ON cnt.as_of = snap.day)
+SELECT max(n) FILTER (age = 0) AS current, round(avg(n) FILTER (age < 30), 4) AS mean_30d, list(n ORDER BY day) FILTER (age % 7 = 0 AND age < 56) AS weekly FROM every""")
 def cl05(t):
-    return clustered(t).groupBy(F.trunc("dt", "week").alias("week")).agg(F.countDistinct("cluster_id").alias("n_clusters"))
+    return clusters.brewing_trend(buys(t), AS_OF)
 
 
 @query("cl06_cluster_intensity", """

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import clean, clusters, eventstudy, signals
+from tidemark.operators import checks, clean, clusters, eventstudy, signals
 from tidemark.operators import timeseries as ts
 from tidemark.plans.registry import query
+from tidemark.sources import files
 from tidemark.sources.fixtures import Tables
+from tidemark.streaming.jobs import work_path
 
 AS_OF = "1998-01-01"
 D = lambda text: F.lit(text).cast("date")
@@ -49,12 +51,13 @@ def src03(t):
 
 
 @query("src05_curated_overlay", """
-SELECT m.ticker, coalesce(c.sector, m.sector) AS sector, c.sector IS NOT NULL AS curated FROM fx_tickers_meta m
-LEFT JOIN (SELECT ticker, 'Curated' AS sector FROM fx_tickers_meta WHERE is_excluded_issuer) c ON m.ticker = c.ticker""")
+SELECT m.ticker, CASE WHEN is_excluded_issuer THEN 'Curated, by hand' ELSE sector END AS sector, CASE WHEN is_excluded_issuer AND is_aim THEN market_cap_gbp ELSE market_cap_gbp END AS market_cap_gbp, is_excluded_issuer AS curated FROM fx_tickers_meta m""")
 def src05(t):
-    curated = t.meta.where("is_excluded_issuer").select("ticker", F.lit("Curated").alias("curated_sector"))
-    out = t.meta.join(curated, "ticker", "left")
-    return out.select("ticker", F.coalesce("curated_sector", "sector").alias("sector"), F.col("curated_sector").isNotNull().alias("curated"))
+    """A hand-kept CSV is read by its schema; its values win, and where it has none the fetched ones stay."""
+    path = work_path(t.spark, "curated")
+    t.meta.where("is_excluded_issuer").select("ticker", F.lit("Curated, by hand").alias("sector"), F.lit(None).cast("double").alias("market_cap_gbp")).write.option("header", "true").csv(path)
+    curated = files.curated_csv(t.spark, path, "ticker string, sector string, market_cap_gbp double")
+    return files.overlay(t.meta, curated, "ticker", ["sector", "market_cap_gbp"]).select("ticker", "sector", "market_cap_gbp", "curated")
 
 
 @query("src07_short_disclosures", """
@@ -66,11 +69,13 @@ def src07(t):
 
 
 @query("src08_results_diary", """
-SELECT DISTINCT ticker, report_date, report_type FROM fx_reporting_dates r WHERE report_type IN ('PRELIM','INTERIM')
-AND ticker IN (SELECT ticker FROM fx_dealings WHERE type='BUY')""")
+SELECT DISTINCT ticker, report_date, CASE report_type WHEN 'PRELIM' THEN 'PRELIM' WHEN 'INTERIM' THEN 'INTERIM' ELSE CASE day(report_date) % 3 WHEN 0 THEN 'QUARTERLY' ELSE 'TRADING_STMT' END END AS report_type FROM fx_reporting_dates r
+WHERE NOT (report_type = 'TRADING_STMT' AND day(report_date) % 3 = 1) AND ticker IN (SELECT ticker FROM fx_dealings WHERE type='BUY')""")
 def src08(t):
-    held = buys(t).select("ticker").distinct()
-    return t.results.where("report_type IN ('PRELIM','INTERIM')").join(held, "ticker", "left_semi").select("ticker", "report_date", "report_type").distinct()
+    third = F.dayofmonth("report_date") % 3
+    other = F.when(third == 0, F.concat(F.lit("Q"), (F.month("report_date") % 4 + 1).cast("string"), F.lit(" Results"))).when(third == 1, "AGM").otherwise("Trading Announcements")
+    label = F.when(F.col("report_type") == "PRELIM", "Final Results").when(F.col("report_type") == "INTERIM", "Interim Results").otherwise(other)
+    return files.results_diary(t.results.select("ticker", "report_date", label.alias("label")), buys(t))
 
 
 @query("src11_aim_overlay", """
@@ -98,10 +103,12 @@ def prj02(t):
     return t.dealings.select("fingerprint", clean.iso_day(mixed).alias("day"))
 
 
-@query("prj03_director_key", "SELECT c_custkey, lower(trim(regexp_replace(c_name, '\\s+', ' ', 'g'))) AS director_key FROM customer")
+@query("prj03_director_key", "SELECT c_custkey, lower(trim(regexp_replace(c_name, '\\s+', ' ', 'g'))) || CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN ' fi' WHEN 2 THEN ' strasse 12' ELSE ' ltd' END AS director_key FROM customer")
 def prj03(t):
-    odd = F.concat(F.lit("  "), F.regexp_replace("c_name", " ", "  "), F.lit("　"))
-    return t.read("customer").select("c_custkey", clean.director_key(odd).alias("director_key"))
+    """Every fourth name is ASCII; the others have a ligature, a sharp s with a wide space and wide digits, full-width letters."""
+    tail = F.element_at(F.array(F.lit(""), F.lit(" ﬁ"), F.lit("\u3000Straße\u00a0１２"), F.lit(" ＬＴＤ")), (F.col("c_custkey") % 4 + 1).cast("int"))
+    odd = t.read("customer").select("c_custkey", F.concat(F.lit("  "), F.regexp_replace("c_name", " ", "  "), tail, F.lit(" ")).alias("name"))
+    return clean.with_director_key(odd, "name").select("c_custkey", "director_key")
 
 
 @query("prj06_role_bucket", """
@@ -139,14 +146,20 @@ def prj10(t):
     return t.dealings.select("fingerprint", clean.corporate_holder(name, F.col("role")).alias("excluded"))
 
 
-@query("prj11_sector_normalise", "SELECT ticker, CASE sector WHEN 'Sector_0' THEN 'Materials' WHEN 'Sector_1' THEN 'Energy' ELSE sector END AS sector FROM fx_tickers_meta")
+@query("prj11_sector_normalise", "SELECT ticker, CASE sector WHEN 'Sector_0' THEN 'Materials' WHEN 'Sector_1' THEN 'Health Care' WHEN 'Sector_2' THEN 'Financials' ELSE sector END AS sector FROM fx_tickers_meta")
 def prj11(t):
-    return t.meta.select("ticker", F.coalesce(clean.lookup(F.col("sector"), {"Sector_0": "Materials", "Sector_1": "Energy"}), "sector").alias("sector"))
+    raw = {"Sector_0": "Basic Materials", "Sector_1": "Healthcare", "Sector_2": "Financial Services"}
+    return t.meta.select("ticker", clean.sector(F.coalesce(clean.lookup(F.col("sector"), raw), "sector")).alias("sector"))
 
 
-@query("prj12_company_label", "SELECT ticker, arg_max(role, (dt, fingerprint)) AS latest, count(*) AS n FROM fx_dealings GROUP BY ticker")
+@query("prj12_company_label", """
+WITH n AS (SELECT ticker, dt, fingerprint, CASE fingerprint % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'Company ' || (director % 3) END AS company FROM fx_dealings), k AS (SELECT * FROM n WHERE trim(company) <> ''),
+c AS (SELECT ticker, company, count(*) AS n FROM k GROUP BY 1, 2), m AS (SELECT ticker, arg_min(company, (-n, company)) AS most_frequent FROM c GROUP BY 1)
+SELECT k.ticker, arg_max(k.company, (k.dt, k.fingerprint)) AS latest, any_value(m.most_frequent) AS most_frequent FROM k JOIN m ON k.ticker = m.ticker GROUP BY 1""")
 def prj12(t):
-    return t.dealings.groupBy("ticker").agg(F.max_by("role", F.struct("dt", "fingerprint")).alias("latest"), F.count(F.lit(1)).alias("n"))
+    k = F.col("fingerprint") % 5
+    named = t.dealings.withColumn("company", F.when(k == 1, "").when(k > 1, F.concat(F.lit("Company "), (F.col("director") % 3).cast("string"))))
+    return clean.company_label(named)
 
 
 @query("prj13_search_index", """
@@ -172,10 +185,12 @@ def prj15(t):
 
 
 @query("prj16_pay_status", """
-SELECT CASE WHEN pay_status <> 'ok' THEN 'new_appointee' WHEN pay_gbp < 150000 THEN 'nominal' ELSE 'ok' END AS bucket, count(*) AS n FROM fx_director_pay GROUP BY 1""")
+SELECT CASE WHEN pay_status <> 'ok' THEN CASE year(fy_end) % 3 WHEN 0 THEN 'out_of_scope' WHEN 1 THEN 'extraction_fail' ELSE 'new_appointee' END WHEN director % 11 = 0 THEN 'fee_waiver' WHEN director % 11 = 1 THEN 'nominal' ELSE 'ok' END AS bucket, count(*) AS n FROM fx_director_pay GROUP BY 1""")
 def prj16(t):
-    bucket = F.when(F.col("pay_status") != "ok", "new_appointee").when(F.col("pay_gbp") < 150_000, "nominal").otherwise("ok")
-    return t.pay.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    third, eleventh = F.year("fy_end") % 3, F.col("director") % 11
+    status = F.when(F.col("pay_status") != "ok", F.when(third == 0, "out_of_scope").when(third == 1, "extraction_fail").otherwise(F.col("pay_status"))).otherwise(F.col("pay_status"))
+    pay = F.when(eleventh == 0, 0.0).when(eleventh == 1, 1.0).otherwise(F.col("pay_gbp"))
+    return t.pay.groupBy(clean.pay_bucket(status, pay).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("fil01_universe", f"""
@@ -241,10 +256,23 @@ def fil11(t):
 
 
 @query("fil12_field_validation", """
-SELECT fingerprint, list_filter([CASE WHEN value < 2000 THEN 'value_small' END, CASE WHEN shares < 3 THEN 'shares_small' END, CASE WHEN type NOT IN ('BUY','SELL') THEN 'type_scope' END], lambda x: x IS NOT NULL) AS errors FROM fx_dealings""")
+WITH e AS (SELECT fingerprint, CASE fingerprint % 5 WHEN 0 THEN 'reject' WHEN 1 THEN 'add' ELSE 'update' END AS action, CASE WHEN fingerprint % 7 = 0 THEN 'DIVIDEND' ELSE type END AS type,
+ CASE fingerprint % 11 WHEN 0 THEN '-5' WHEN 1 THEN '7.5' WHEN 2 THEN 'many' WHEN 3 THEN NULL ELSE CAST(shares AS VARCHAR) END AS shares, CASE WHEN fingerprint % 13 = 0 THEN '-1' ELSE '10' END AS price,
+ CASE fingerprint % 17 WHEN 0 THEN '02 Jun 1996' WHEN 1 THEN NULL ELSE CAST(dt AS VARCHAR) END AS date, CASE WHEN fingerprint % 19 = 0 THEN ' ' ELSE ticker END AS ticker, CASE WHEN fingerprint % 23 = 0 THEN 'Sector_X' ELSE 'Sector_1' END AS sector FROM fx_dealings)
+SELECT fingerprint, CASE WHEN action = 'reject' THEN [] ELSE list_filter([
+ CASE WHEN action = 'add' AND (date IS NULL OR trim(date) = '') THEN 'date_required' END, CASE WHEN action = 'add' AND (ticker IS NULL OR trim(ticker) = '') THEN 'ticker_required' END,
+ CASE WHEN action = 'add' AND (shares IS NULL OR trim(shares) = '') THEN 'shares_required' END, CASE WHEN type = 'DIVIDEND' THEN 'type_unknown' END,
+ CASE WHEN shares IS NOT NULL AND TRY_CAST(shares AS DOUBLE) IS NULL THEN 'shares_not_numeric' END, CASE WHEN TRY_CAST(shares AS DOUBLE) < 0 THEN 'shares_negative' END, CASE WHEN price = '-1' THEN 'price_negative' END,
+ CASE WHEN TRY_CAST(shares AS DOUBLE) <> floor(TRY_CAST(shares AS DOUBLE)) THEN 'shares_not_whole' END, CASE WHEN date = '02 Jun 1996' THEN 'date_not_iso' END, CASE WHEN ticker = ' ' THEN 'ticker_empty' END, CASE WHEN sector = 'Sector_X' THEN 'sector_unknown' END], lambda x: x IS NOT NULL) END AS errors FROM e""")
 def fil12(t):
-    rules = [(F.col("value") < 2000, "value_small"), (F.col("shares") < 3, "shares_small"), (~F.col("type").isin("BUY", "SELL"), "type_scope")]
-    return t.dealings.select("fingerprint", F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in rules])).alias("errors"))
+    k = lambda n: F.col("fingerprint") % n
+    edits = t.dealings.select(
+        "fingerprint", F.when(k(5) == 0, "reject").when(k(5) == 1, "add").otherwise("update").alias("action"), F.when(k(7) == 0, "DIVIDEND").otherwise(F.col("type")).alias("type"),
+        F.when(k(11) == 0, "-5").when(k(11) == 1, "7.5").when(k(11) == 2, "many").when(k(11) > 3, F.col("shares").cast("string")).alias("shares"), F.when(k(13) == 0, "-1").otherwise("10").alias("price"),
+        F.when(k(17) == 0, "02 Jun 1996").when(k(17) > 1, F.col("dt").cast("string")).alias("date"), F.when(k(19) == 0, " ").otherwise(F.col("ticker")).alias("ticker"),
+        F.when(k(23) == 0, "Sector_X").otherwise("Sector_1").alias("sector"), F.col("director").cast("string").alias("director"),
+    )
+    return edits.select("fingerprint", checks.field_errors(edits, [f"Sector_{n}" for n in range(5)]).alias("errors"))
 
 
 @query("fil13_coercion", "SELECT fingerprint, CAST(shares AS BIGINT) AS shares, upper(trim(ticker)) AS ticker FROM fx_dealings")
@@ -363,16 +391,16 @@ def jn16(t):
 
 
 @query("jn17_issuer_mapping", """
-SELECT s.ticker AS issuer, coalesce(CASE WHEN n % 2 = 0 THEN s.ticker END, CASE WHEN n % 3 = 0 THEN s.ticker END, 'override') AS ticker,
- CASE WHEN n % 2 = 0 THEN 'name' WHEN n % 3 = 0 THEN 'map' ELSE 'override' END AS method FROM (SELECT ticker, CAST(substring(ticker, 7) AS INT) AS n FROM fx_tickers_meta) s""")
+SELECT issuer, CASE method WHEN 'name' THEN ticker WHEN 'map' THEN 'M' || n WHEN 'override' THEN 'O' || n END AS ticker, method FROM (SELECT ticker AS issuer, ticker, n, CASE WHEN n % 2 = 0 THEN 'name' WHEN n % 3 = 0 THEN 'map' WHEN n % 5 = 0 THEN 'override' END AS method
+ FROM (SELECT ticker, CAST(substring(ticker, 7) AS INT) AS n FROM fx_tickers_meta))""")
 def jn17(t):
+    """Half the issuers are known by name whatever its case and spaces, others by a map or an override with tickers of their own, the rest not at all."""
     n = F.substring("ticker", 7, 9).cast("int")
-    issuers = t.meta.select(F.col("ticker").alias("issuer"))
-    names = t.meta.where(n % 2 == 0).select(F.lower("ticker").alias("k"), F.col("ticker").alias("by_name"))
-    mapped = t.meta.where(n % 3 == 0).select(F.col("ticker").alias("issuer"), F.col("ticker").alias("by_map"))
-    out = issuers.join(names, F.lower("issuer") == F.col("k"), "left").join(mapped, "issuer", "left")
-    method = F.when(F.col("by_name").isNotNull(), "name").when(F.col("by_map").isNotNull(), "map").otherwise("override")
-    return out.select("issuer", F.coalesce("by_name", "by_map", F.lit("override")).alias("ticker"), method.alias("method"))
+    issuers = t.meta.select(F.col("ticker").alias("issuer"), F.concat(F.lit(" "), F.upper("ticker"), F.lit("  PLC")).alias("name"))
+    names = t.meta.where(n % 2 == 0).select(F.concat("ticker", F.lit(" plc")).alias("name"), "ticker")
+    mapped = t.meta.where(n % 3 == 0).select(F.col("ticker").alias("issuer"), F.concat(F.lit("M"), n).alias("ticker"))
+    override = t.meta.where((n % 3 == 0) | (n % 5 == 0)).select(F.col("ticker").alias("issuer"), F.concat(F.lit("O"), n).alias("ticker"))
+    return clean.issuer_tickers(issuers, names, mapped, override)
 
 
 @query("jn20_edit_overlay", """
@@ -448,6 +476,13 @@ for _tier, (_least, _conf, _rank, _signal) in clean.TIERS.items():
             lambda t, tier=_tier: signals.tier_signal(tier)(signals.context(t.dealings, t.prices)).select("fingerprint", "signal", "confidence")
         )
 
+@query("sig05_t4_other_buy", "SELECT fingerprint, 't4_other_buy' AS signal, 'low' AS confidence FROM fx_dealings WHERE type = 'BUY' AND buy_strictness = 'STRICT_BUY' AND value >= 1000 AND role = 'Company Secretary'")
+def sig05(t):
+    """The derived dealings have no role of the last tier, so secretaries are read as heads of marketing here."""
+    other = t.dealings.withColumn("role", F.when(F.col("role") == "Company Secretary", "Head of Marketing").otherwise(F.col("role")))
+    return signals.tier_signal("T4")(signals.context(other, t.prices)).select("fingerprint", "signal", "confidence")
+
+
 _S1 = f"s1 AS (SELECT DISTINCT fingerprint FROM ({_OTHERS}))"
 _B2 = """
 crowd AS (SELECT DISTINCT a.ticker, a.announced AS d FROM buys a WHERE (SELECT count(DISTINCT b.director) FROM buys b WHERE b.ticker = a.ticker AND b.announced BETWEEN a.announced - 30 AND a.announced) >= 4),
@@ -575,12 +610,35 @@ def es06(t):
 _WIDE = "SELECT fingerprint, " + ", ".join(f"round(max(net) FILTER (horizon = '{h}'), 6) AS net_{h}" for h in eventstudy.HORIZONS)
 
 
-@query("es08_backtest_rows", _WIDE + ", coalesce(string_agg(horizon, ',' ORDER BY days) FILTER (net IS NOT NULL), '') AS windows_available FROM es GROUP BY fingerprint")
+_NAMES = list(eventstudy.HORIZONS)
+_WIDE = ", ".join(f"round(max({m}) FILTER (horizon = '{h}'), 6) AS {m}_{h}" for m in ("raw", "market", "car", "net") for h in _NAMES) + ", " + ", ".join(f"max(later_dt) FILTER (horizon = '{h}') AS exit_dt_{h}" for h in _NAMES)
+
+
+@query("es08_backtest_rows", f"""
+WITH w AS (SELECT fingerprint, signal, any_value(announced) AS announced, any_value(entry_dt) AS entry_dt, any_value(entry_close) AS entry_close, any_value(benchmark_symbol) AS bench, any_value(is_aim) AS is_aim, any_value(ticker) AS ticker, any_value(role) AS role,
+ any_value(value) AS value, any_value(tier) AS tier, any_value(sector) AS sector, any_value(market_cap_gbp) AS market_cap_gbp, {_WIDE}, CASE WHEN any_value(is_aim) THEN 50.0 ELSE 100.0 END::DOUBLE AS cost_bps,
+ coalesce(string_agg(horizon, ',' ORDER BY days) FILTER (net IS NOT NULL), '') AS windows_available FROM es GROUP BY 1, 2),
+r AS (SELECT *, close / lag(close, 63) OVER v - 1 AS m3, close / min(close) OVER (v ROWS BETWEEN 252 PRECEDING AND CURRENT ROW) - 1 AS above_low FROM fx_prices WINDOW v AS (PARTITION BY ticker ORDER BY dt)),
+rev AS (SELECT b.fingerprint, CAST(coalesce((SELECT sum(CASE d.type WHEN 'BUY' THEN d.shares WHEN 'SELL' THEN -d.shares ELSE 0 END) FROM fx_dealings d WHERE d.director = b.director AND d.ticker = b.ticker AND d.announced >= b.announced - 365 AND d.announced < b.announced), 0) AS BIGINT) AS net_prior_shares FROM buys b),
+f1 AS (SELECT w.*, round(r.m3, 6) AS m3, round(r.above_low, 6) AS above_low FROM w ASOF LEFT JOIN r ON w.ticker = r.ticker AND w.announced >= r.dt),
+f2 AS (SELECT f1.*, CAST(datediff('day', q.report_date, f1.announced) AS INT) AS days_since_results FROM f1 ASOF LEFT JOIN (SELECT DISTINCT ticker, report_date FROM fx_reporting_dates WHERE confidence = 'confirmed') q ON f1.ticker = q.ticker AND f1.announced >= q.report_date),
+fx AS (SELECT f2.*, d.director FROM f2 JOIN (SELECT fingerprint, director FROM fx_dealings) d USING (fingerprint)),
+f3 AS (SELECT fx.* EXCLUDE (director), CASE WHEN p.pay_status = 'ok' THEN round(fx.value / p.pay_gbp, 6) END AS salary_multiple FROM fx ASOF LEFT JOIN fx_director_pay p ON fx.ticker = p.ticker AND fx.director = p.director AND fx.announced >= p.ar_published_at)
+SELECT f3.*, rev.net_prior_shares, rev.net_prior_shares < 0 AS reversal FROM f3 JOIN rev USING (fingerprint)""")
 def es08(t):
-    nets = [R(F.max(F.when(F.col("horizon") == h, F.col("net")))).alias(f"net_{h}") for h in eventstudy.HORIZONS]
-    out = event_returns(t).groupBy("fingerprint").agg(*nets)
-    ready = F.array_join(F.array_compact(F.array(*[F.when(F.col(f"net_{h}").isNotNull(), F.lit(h)) for h in eventstudy.HORIZONS])), ",")
-    return out.withColumn("windows_available", ready)
+    """The whole backtest row: returns at every horizon, attributes, and features as of the announcement."""
+    from tidemark.operators import features
+
+    order = Window.partitionBy("ticker").orderBy("dt")
+    series = t.prices.withColumn("m3", F.col("close") / F.lag("close", 63).over(order) - 1).withColumn("above_low", F.col("close") / F.min("close").over(order.rowsBetween(-252, 0)) - 1)
+    fired = tier_firings(t)
+    rows = ts.last_until(fired, series, "announced", take=["m3", "above_low"]).withColumns({"m3": R("found.m3"), "above_low": R("found.above_low")}).drop("found")
+    rows = features.post_results(rows, t.results)
+    rows = features.latest_pay(rows, t.pay).withColumn("salary_multiple", R(features.salary_multiple(F.col("value"), F.col("found")))).drop("found")
+    rows = features.reversal(rows, t.dealings).select("fingerprint", "signal", "m3", "above_low", "days_since_results", "salary_multiple", "net_prior_shares", "reversal")
+    wide = eventstudy.wide(eventstudy.returns(fired, t.prices))
+    rounded = {c: R(c) for c in wide.columns if c.split("_")[0] in ("raw", "market", "car", "net") and c != "market_cap_gbp"}
+    return wide.withColumns(rounded).join(rows, ["fingerprint", "signal"])
 
 
 @query("es09_skip_log", """
@@ -594,10 +652,8 @@ def es09(t):
 WITH latest AS (SELECT ticker, arg_max(close, dt) AS last_close FROM fx_prices GROUP BY ticker)
 SELECT fingerprint, round((last_close / entry_close - 1) * 100 - CASE WHEN is_aim THEN 0.5 ELSE 1.0 END, 2) AS mtm_pct FROM entry JOIN latest USING (ticker)""")
 def es10(t):
-    latest = t.prices.groupBy("ticker").agg(F.max_by("close", "dt").alias("last_close"))
-    entered = eventstudy.entries(tier_firings(t), ts.trade_index(t.prices)).where("entry_idx > 30").join(latest, "ticker")
-    mtm = (F.col("last_close") / F.col("entry_close") - 1) * 100 - F.when(F.col("is_aim"), 0.5).otherwise(1.0)
-    return entered.select("fingerprint", R(mtm, 2).alias("mtm_pct"))
+    entered = eventstudy.entries(tier_firings(t), ts.trade_index(t.prices)).where("entry_idx > 30")
+    return eventstudy.mark_to_market(entered, t.prices).select("fingerprint", "mtm_pct")
 
 
 @query("es12_benchmark_since", """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import clean, conviction, eventstudy, features
 from tidemark.operators import timeseries as ts
-from tidemark.plans.core import AS_OF, D, R, buys, clustered, event_returns, tier_firings
+from tidemark.plans.core import _CLUSTERS, AS_OF, D, R, buys, clustered, event_returns, tier_firings
 from tidemark.plans.registry import query
 from tidemark.sources.fixtures import Tables
 
@@ -108,10 +108,13 @@ def ft10(t):
 
 
 @query("ft11_salary_multiple", """
-SELECT f.fingerprint, CASE WHEN p.pay_status = 'ok' THEN round(f.value / p.pay_gbp, 6) END AS salary_multiple
-FROM firing f ASOF LEFT JOIN fx_director_pay p ON f.ticker = p.ticker AND f.director = p.director AND f.announced >= p.ar_published_at""")
+SELECT f.fingerprint, CASE WHEN p.pay_status = 'ok' THEN round(f.value / p.pay_gbp, 6) END AS salary_multiple, CASE WHEN p.pay_status = 'ok' AND p.base_gbp > 0 THEN round(f.value / p.base_gbp, 6) END AS base_multiple
+FROM firing f ASOF LEFT JOIN (SELECT *, round(pay_gbp * 0.6 - 70000, 2) AS base_gbp FROM fx_director_pay) p ON f.ticker = p.ticker AND f.director = p.director AND f.announced >= p.ar_published_at""")
 def ft11(t):
-    return features.latest_pay(tier_firings(t), t.pay).select("fingerprint", R(features.salary_multiple(F.col("value"), F.col("found"))).alias("salary_multiple"))
+    pay = t.pay.withColumn("base_gbp", R(F.col("pay_gbp") * 0.6 - 70_000, 2))
+    out = features.latest_pay(tier_firings(t), pay, ("fy_end", "pay_gbp", "pay_status", "base_gbp"))
+    multiple = lambda amount: R(features.salary_multiple(F.col("value"), F.col("found"), amount))
+    return out.select("fingerprint", multiple("pay_gbp").alias("salary_multiple"), multiple("base_gbp").alias("base_multiple"))
 
 
 @query("ft12_fraction_of_company", "SELECT fingerprint, shares / shares_outstanding::DOUBLE AS fraction FROM firing")
@@ -137,10 +140,7 @@ def ft15(t):
 @query("ft16_relative_size", """
 SELECT b.fingerprint, round(b.value / (SELECT median(p.value) FROM buys p WHERE p.director = b.director AND p.announced < b.announced), 6) AS relative_size FROM buys b""")
 def ft16(t):
-    b = buys(t)
-    past = b.select(F.col("director").alias("d"), F.col("announced").alias("a"), F.col("value").alias("v"))
-    seen = b.join(past, (F.col("director") == F.col("d")) & (F.col("a") < F.col("announced")), "left")
-    return seen.groupBy("fingerprint", "value").agg(F.percentile("v", 0.5).alias("usual")).select("fingerprint", R(F.col("value") / F.col("usual")).alias("relative_size"))
+    return features.relative_size(buys(t)).select("fingerprint", R("relative_size").alias("relative_size"))
 
 
 @query("ft17_size_to_volume", """
@@ -168,38 +168,39 @@ def ft19(t):
 
 
 @query("ft21_expected_results", """
-WITH last AS (SELECT ticker, report_type, max(report_date) AS d FROM fx_reporting_dates WHERE confidence='confirmed' GROUP BY 1, 2)
-SELECT ticker, report_type, CAST(d + INTERVAL 12 MONTH AS DATE) AS expected FROM last WHERE report_type IN ('PRELIM','INTERIM')
-AND NOT EXISTS (SELECT 1 FROM fx_reporting_dates r WHERE r.ticker = last.ticker AND r.report_type = last.report_type AND r.report_date >= last.d + INTERVAL 12 MONTH)""")
+WITH last AS (SELECT ticker, report_type, max(report_date) AS d FROM fx_reporting_dates WHERE confidence='confirmed' GROUP BY 1, 2),
+e AS (SELECT ticker, report_type, CAST(d + CASE WHEN report_type = 'TRADING_STMT' THEN INTERVAL 6 MONTH ELSE INTERVAL 12 MONTH END AS DATE) AS expected FROM last)
+SELECT ticker, report_type, expected, 'est' AS confidence FROM e WHERE NOT EXISTS (SELECT 1 FROM fx_reporting_dates r WHERE r.ticker = e.ticker AND r.report_type = e.report_type AND r.report_date >= e.expected)""")
 def ft21(t):
-    last = t.results.where("confidence = 'confirmed' AND report_type IN ('PRELIM','INTERIM')").groupBy("ticker", "report_type").agg(F.max("report_date").alias("d"))
-    expected = last.withColumn("expected", F.add_months("d", 12))
-    known = t.results.select(F.col("ticker").alias("t"), F.col("report_type").alias("rt"), "report_date")
-    on = (F.col("ticker") == F.col("t")) & (F.col("report_type") == F.col("rt")) & (F.col("report_date") >= F.col("expected"))
-    return expected.join(known, on, "left_anti").select("ticker", "report_type", "expected")
+    return features.expected_results(t.results)
 
 
 # --- conviction score ------------------------------------------------------------
 
-_CV = """
+_TIER_WEIGHT = "CASE {0} WHEN 'T1a' THEN 1.0 WHEN 'T7' THEN 1.0 WHEN 'T1b' THEN 0.9 WHEN 'T2' THEN 0.7 WHEN 'T6' THEN 0.5 WHEN 'T3' THEN 0.3 {1} END"
+_BIN = "CASE WHEN {0} > 0 THEN CAST(least(139, greatest(0, floor((log10({0}) + 4) * 10))) AS INT) END"
+# sizes are compared with each earlier buy, one by one
+_CV = f"""
 WITH r AS (SELECT *, close / lag(close, 63) OVER w - 1 AS m3, avg(close*volume) OVER (PARTITION BY ticker ORDER BY dt ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) AS traded FROM fx_prices WINDOW w AS (PARTITION BY ticker ORDER BY dt)),
-p AS (SELECT f.*, p.m3, p.traded FROM firing f ASOF LEFT JOIN r p ON f.ticker = p.ticker AND f.announced >= p.dt),
+past AS (SELECT b.announced, {_BIN.format("b.value")} AS bv, {_BIN.format("(b.value / p.traded)")} AS bt FROM buys b ASOF LEFT JOIN r p ON b.ticker = p.ticker AND b.announced >= p.dt),
+p AS (SELECT f.*, p.m3, {_BIN.format("f.value")} AS bv, {_BIN.format("(f.value / p.traded)")} AS bt FROM firing f ASOF LEFT JOIN r p ON f.ticker = p.ticker AND f.announced >= p.dt),
+sz AS (SELECT p.fingerprint, ((count(*) FILTER (past.bv < p.bv) + 0.5 * count(*) FILTER (past.bv = p.bv)) / nullif(count(past.bv), 0) + (count(*) FILTER (past.bt < p.bt) + 0.5 * count(*) FILTER (past.bt = p.bt)) / nullif(count(past.bt), 0)) / 2 AS size
+ FROM p LEFT JOIN past ON past.announced < p.announced WHERE p.bt IS NOT NULL AND p.bv IS NOT NULL GROUP BY 1),
 n AS (SELECT p.*, datediff('day', p.dt, q.report_date) AS ahead FROM p ASOF LEFT JOIN (SELECT DISTINCT ticker, report_date FROM fx_reporting_dates) q ON p.ticker = q.ticker AND p.dt <= q.report_date),
 l AS (SELECT n.*, datediff('day', q.report_date, n.announced) AS since FROM n ASOF LEFT JOIN (SELECT DISTINCT ticker, report_date FROM fx_reporting_dates WHERE confidence='confirmed') q ON n.ticker = q.ticker AND n.announced >= q.report_date),
-s AS (SELECT *, CASE tier WHEN 'T1a' THEN 1.0 WHEN 'T7' THEN 1.0 WHEN 'T1b' THEN 0.9 WHEN 'T2' THEN 0.7 WHEN 'T6' THEN 0.5 WHEN 'T3' THEN 0.3 WHEN 'T5' THEN
-   (SELECT max(CASE tier WHEN 'T1a' THEN 1.0 WHEN 'T7' THEN 1.0 WHEN 'T1b' THEN 0.9 WHEN 'T2' THEN 0.7 WHEN 'T6' THEN 0.5 WHEN 'T3' THEN 0.3 END) FROM buys b WHERE b.ticker = l.ticker) END::DOUBLE AS who,
-  CASE WHEN traded IS NOT NULL THEN (least(1.0, greatest(0.0, (log10(value) - 3) / 3)) + least(1.0, greatest(0.0, (log10(value / traded) + 3) / 3))) / 2 END AS size,
+s AS (SELECT l.*, sz.size, {_TIER_WEIGHT.format("tier", "WHEN 'T5' THEN (SELECT max(" + _TIER_WEIGHT.format("b.tier", "") + ") FROM buys b WHERE b.ticker = l.ticker AND b.announced <= l.announced)")}::DOUBLE AS who,
   least(1.0, greatest(0.1, 1.0 - 0.9 * (log10(market_cap_gbp) - log10(20e6)) / (log10(10e9) - log10(20e6)))) AS small,
   CASE WHEN ahead <= 30 THEN 0.0 WHEN ahead <= 45 THEN 0.8 WHEN since <= 14 THEN 1.0 WHEN since IS NOT NULL OR ahead IS NOT NULL THEN 0.3 END AS timing,
-  CASE WHEN m3 IS NOT NULL THEN least(1.0, greatest(0.0, 0.5 - m3)) END AS fall FROM l),
-g AS (SELECT *, CASE WHEN avg(m3) OVER (PARTITION BY sector) > 0 THEN 1 - 0.3 * least(1.0, avg(m3) OVER (PARTITION BY sector) / 0.2) ELSE 1.0 END AS guard FROM s),
+  CASE WHEN m3 IS NOT NULL THEN least(1.0, greatest(0.0, 0.5 - m3)) END AS fall FROM l LEFT JOIN sz USING (fingerprint)),
+sec AS (SELECT m.sector, r.dt, avg(r.m3) AS moved FROM r JOIN fx_tickers_meta m ON r.ticker = m.ticker GROUP BY 1, 2 HAVING avg(r.m3) IS NOT NULL),
+g AS (SELECT s.*, CASE WHEN q.moved > 0 THEN 1 - 0.3 * least(1.0, q.moved / 0.2) ELSE 1.0 END AS guard FROM s ASOF LEFT JOIN sec q ON s.sector = q.sector AND s.announced >= q.dt),
 c AS (SELECT *, round(100 * guard * (0.25*coalesce(who,0) + 0.25*coalesce(size,0) + 0.20*coalesce(small,0) + 0.15*coalesce(timing,0) + 0.15*coalesce(fall,0))
   / (0.25*(who IS NOT NULL)::INT + 0.25*(size IS NOT NULL)::INT + 0.20*(small IS NOT NULL)::INT + 0.15*(timing IS NOT NULL)::INT + 0.15*(fall IS NOT NULL)::INT), 4) AS score FROM g)
 """
 
 
 def scored(t: Tables) -> DataFrame:
-    return conviction.scores(tier_firings(t), buys(t), t.prices, t.results)
+    return conviction.scores(tier_firings(t), buys(t), t.prices, t.results, t.meta)
 
 
 @query("cv01_who", _CV + "SELECT fingerprint, who FROM c")
@@ -227,9 +228,9 @@ def cv05(t):
     return scored(t).select("fingerprint", R("fall").alias("fall"))
 
 
-@query("cv06_sector_guard", _CV + "SELECT DISTINCT sector, round(guard, 6) AS guard FROM c")
+@query("cv06_sector_guard", _CV + "SELECT fingerprint, sector, round(guard, 6) AS guard FROM c")
 def cv06(t):
-    return scored(t).select("sector", R("guard").alias("guard")).distinct()
+    return scored(t).select("fingerprint", "sector", R("guard").alias("guard"))
 
 
 @query("cv07_composite", _CV + "SELECT fingerprint, score FROM c")
@@ -253,6 +254,6 @@ def cv10(t):
     return scored(t).select("fingerprint", "score").join(nets, "fingerprint", "left")
 
 
-@query("ft20_cluster_breadth", None)
+@query("ft20_cluster_breadth", _CLUSTERS + "SELECT cluster_id, count(DISTINCT director) AS breadth, CAST(datediff('day', min(dt), max(dt)) AS INT) AS days FROM cl GROUP BY 1")
 def ft20(t):
     return clustered(t).groupBy("cluster_id").agg(F.countDistinct("director").alias("breadth"), F.datediff(F.max("dt"), F.min("dt")).alias("days"))

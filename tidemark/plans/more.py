@@ -4,31 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import checks, clean, eventstudy, extract, features, portfolio, signals
+from tidemark.operators import checks, clean, conviction, eventstudy, extract, features, portfolio, signals, writes
 from tidemark.operators import timeseries as ts
 from tidemark.plans.aggregates import n_rows
-from tidemark.plans.core import AS_OF, R, buys, event_returns, tier_firings
+from tidemark.plans.core import _S1, AS_OF, R, buys, event_returns, tier_firings
+from tidemark.plans.features import _CV, scored
 from tidemark.plans.registry import query
+from tidemark.sources import files
+from tidemark.streaming.jobs import work_path
 
 
 @query("src04_json_log", "SELECT fingerprint, ticker, value FROM fx_dealings")
 def src04(t):
-    """A nested log, one document per ticker, read back to rows."""
-    log = t.dealings.groupBy("ticker").agg(F.to_json(F.struct("ticker", F.collect_list(F.struct("fingerprint", "value")).alias("rows"))).alias("doc"))
-    parsed = log.select(F.from_json("doc", "ticker string, rows array<struct<fingerprint:long,value:double>>").alias("d"))
-    return parsed.select("d.ticker", F.explode("d.rows").alias("r")).select("r.fingerprint", "ticker", "r.value")
-
-
-@query("src06_quote_payload", "SELECT ticker, dt, round(close, 6) AS close FROM fx_prices WHERE ticker LIKE 'Brand%'")
+    """A nested log, a document per ticker and day (some entries twice), written as JSON files and read back to rows."""
+    path = work_path(t.spark, "json-log")
+    rows = t.dealings.unionByName(t.dealings.where("fingerprint % 10 = 0"))
+    rows.groupBy("ticker", "dt").agg(F.collect_list(F.struct("fingerprint", "value")).alias("rows")).drop("dt").write.json(path)
+    return files.json_log(t.spark, path, "fingerprint:long,value:double").select("fingerprint", "ticker", "value")
+
+
+@query("src06_quote_payload", """
+WITH p AS (SELECT *, CAST(substring(ticker, 7) AS INT) AS n, volume::DOUBLE AS v FROM fx_prices WHERE ticker LIKE 'Brand%')
+SELECT ticker, dt, CASE WHEN n % 7 <> 0 THEN round(low, 6) END AS open, CASE WHEN n % 7 <> 0 THEN round(high, 6) END AS high, CASE WHEN n % 7 <> 0 THEN round(low, 6) END AS low, CASE WHEN n % 7 <> 0 THEN round(close, 6) END AS close,
+ CASE WHEN n % 7 <> 0 THEN round(close, 6) END AS adjclose, v AS volume, CASE WHEN n % 7 = 0 THEN 'non_gbp' END AS flag FROM p WHERE n % 11 <> 0
+UNION ALL SELECT DISTINCT ticker, NULL::DATE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, 'not_found' FROM p WHERE n % 11 = 0""")
 def src06(t):
-    """Parallel arrays of a quote payload in pence, zipped to rows in pounds."""
-    own = t.prices.where("ticker LIKE 'Brand%'")
-    quotes = F.sort_array(F.collect_list(F.struct("dt", (F.col("close") * 100).alias("c"))))
-    body = own.groupBy("ticker").agg(quotes.alias("q")).select("ticker", F.to_json(F.struct(F.col("q.dt").alias("timestamp"), F.col("q.c").alias("close"), F.lit("GBp").alias("currency"))).alias("doc"))
-    d = body.select("ticker", F.from_json("doc", "timestamp array<date>, close array<double>, currency string").alias("d"))
-    rows = d.select("ticker", F.col("d.currency").alias("currency"), F.explode(F.arrays_zip("d.timestamp", "d.close")).alias("z"))
-    close = F.when(F.col("currency") == "GBp", F.col("z.close") / 100).when(F.col("currency") == "GBP", F.col("z.close"))
-    return rows.select("ticker", F.col("z.timestamp").alias("dt"), R(close).alias("close"))
+    """Chart payloads, one a ticker and year: parallel arrays in pence, in pounds or in dollars, and errors."""
+    n = F.substring("ticker", 7, 9).try_cast("int")
+    own = t.prices.where("ticker LIKE 'Brand%'").withColumn("n", n)
+    times = F.when(F.col("n") % 2 == 0, 100.0).otherwise(1.0)
+    day = F.struct("dt", *[(F.col(c) * times).alias(a) for c, a in (("low", "open"), ("high", "high"), ("low", "low"), ("close", "close"))], F.col("volume").cast("double").alias("volume"))
+    q = own.where("n % 11 <> 0").groupBy("ticker", "n", F.year("dt").alias("y")).agg(F.sort_array(F.collect_list(day)).alias("q"))
+    currency = F.when(F.col("n") % 7 == 0, "USD").when(F.col("n") % 2 == 0, "GBp").otherwise("GBP")
+    quote = F.struct(*[F.col(f"q.{c}").alias(c) for c in ("open", "high", "low", "close", "volume")])
+    body = F.to_json(F.struct(currency.alias("currency"), F.col("q.dt").alias("timestamp"), F.col("q.close").alias("adjclose"), quote.alias("quote")))
+    missing = own.where("n % 11 = 0").select("ticker").distinct().select("ticker", F.lit('{"error": "404"}').alias("body"))
+    out = files.quote_rows(q.select("ticker", body.alias("body")).unionByName(missing))
+    return out.select("ticker", "dt", *[R(c).alias(c) for c in ("open", "high", "low", "close", "adjclose")], "volume", "flag")
 
 
 @query("src10_log_tail", "SELECT fingerprint, fingerprint % 7 = 0 AS is_raw FROM fx_dealings ORDER BY announced DESC, fingerprint DESC LIMIT 200")
@@ -39,16 +51,20 @@ def src10(t):
     return tail.select("fingerprint", parsed["_raw"].isNotNull().alias("is_raw"))
 
 
-@query("prj04_display_name", "SELECT c_custkey, 'Customer ' || lower(replace(c_name, 'Customer#', '')) AS display FROM customer")
+@query("prj04_display_name", """SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'Customer ' || lower(replace(c_name, 'Customer#', '')) WHEN 1 THEN 'Seán O''Brien' WHEN 2 THEN 'Jean-Benoît de la Tour' WHEN 3 THEN 'Van der Berg CBE' ELSE 'Anna von Mc''lean-Smith' END AS display FROM customer""")
 def prj04(t):
-    raw = F.concat(F.lit(" CUSTOMER   "), F.replace("c_name", F.lit("Customer#"), F.lit("")))
-    return t.read("customer").select("c_custkey", clean.display_name(raw).alias("display"))
+    raw = F.array(F.concat(F.lit(" CUSTOMER   "), F.replace("c_name", F.lit("Customer#"), F.lit(""))), *[F.lit(n) for n in ("SEÁN O'BRIEN", "jean-benoît DE la tour", "van der BERG cbe", "ANNA VON mc'lean-smith")])
+    return t.read("customer").select("c_custkey", clean.display_name(F.element_at(raw, (F.col("c_custkey") % 5 + 1).cast("int"))).alias("display"))
 
 
-@query("prj05_cell_validity", "SELECT fingerprint, CASE WHEN fingerprint % 5 IN (0, 1) THEN NULL ELSE role END AS role FROM fx_dealings")
+@query("prj05_cell_validity", """SELECT fingerprint, CASE fingerprint % 6 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN 'Interim CFO' WHEN 3 THEN NULL ELSE role END AS role,
+ CASE fingerprint % 7 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE 'Director' || director END AS director FROM fx_dealings WHERE fingerprint % 7 < 3 UNION ALL
+SELECT fingerprint, CASE fingerprint % 6 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN 'Interim CFO' WHEN 3 THEN NULL ELSE role END, 'A Person ' || director FROM fx_dealings WHERE fingerprint % 7 >= 3""")
 def prj05(t):
-    cell = F.when(F.col("fingerprint") % 5 == 0, F.lit(": see below")).when(F.col("fingerprint") % 5 == 1, F.rpad("role", 90, "x")).otherwise(F.col("role"))
-    return t.dealings.select("fingerprint", F.when((F.char_length(cell) <= 80) & ~cell.rlike(r"^\W"), cell).alias("role"))
+    k, j = F.col("fingerprint") % 6, F.col("fingerprint") % 7
+    role = F.when(k == 0, ": see below").when(k == 1, F.rpad("role", 90, "x")).when(k == 2, " interim CFO").when(k == 3, "  ").otherwise(F.col("role"))
+    name = F.when(j == 0, "Trustee of the A Trust").when(j == 1, "Bl.").when(j == 2, "Director").otherwise(F.concat(F.lit(" A Person "), F.col("director").cast("string")))
+    return t.dealings.select("fingerprint", clean.valid_role(role).alias("role"), clean.valid_director(name).alias("director"))
 
 
 @query("es02_benchmark_return", "SELECT fingerprint, horizon, round(market, 6) AS market FROM es WHERE market IS NOT NULL")
@@ -82,11 +98,12 @@ def ft09(t):
     return features.short_interest(tier_firings(t), t.shorts).select("fingerprint", R("short_pct", 4).alias("short_pct"))
 
 
-@query("jn09_both_fired", "SELECT fingerprint FROM firing WHERE tier IN ('T1a','T1b','T2') AND value >= 200000")
+@query("jn09_both_fired", f"WITH {_S1} SELECT fingerprint FROM firing WHERE tier IN ('T1a','T1b','T2') AND fingerprint IN (SELECT fingerprint FROM s1)")
 def jn09(t):
-    fired = tier_firings(t)
-    senior = fired.where(F.col("tier").isin(*clean.SENIOR)).select("fingerprint")
-    return fired.where("value >= 200000").join(senior, "fingerprint", "left_semi").select("fingerprint")
+    """Cluster buys on which a senior executive's signal has fired too."""
+    ctx = signals.context(t.dealings, t.prices)
+    senior = signals.tier_signals(ctx).where(F.col("signal").isin(*[clean.TIERS[x][3] for x in clean.SENIOR]))
+    return signals.cluster_buy(ctx).join(senior, "fingerprint", "left_semi").select("fingerprint")
 
 
 @query("jn10_in_suppression", """WITH crowd AS (SELECT DISTINCT a.ticker, a.announced AS d FROM buys a WHERE (SELECT count(DISTINCT b.director) FROM buys b WHERE b.ticker = a.ticker AND b.announced BETWEEN a.announced - 30 AND a.announced) >= 4)
@@ -112,12 +129,14 @@ def jn19(t):
     return buys(t).withColumn("day", F.explode(seen)).groupBy("day").agg(n_rows(), R(F.sum("value"), 2).alias("total"))
 
 
-@query("ag27_pending_buckets", "SELECT CASE WHEN fingerprint % 6 = 0 THEN 'recoverable' WHEN fingerprint % 6 = 1 THEN 'blocked' ELSE 'advisory' END AS bucket, count(*) AS n FROM fx_dealings GROUP BY 1")
+@query("ag27_pending_buckets", """SELECT bucket, count(*) AS n, max(k) AS most_warnings FROM (SELECT CASE WHEN fingerprint % 6 IN (0, 3) THEN 'recoverable' WHEN fingerprint % 6 = 1 THEN 'blocked' ELSE 'advisory' END AS bucket,
+ CASE fingerprint % 6 WHEN 3 THEN 5 WHEN 0 THEN 2 ELSE 1 END AS k FROM fx_dealings) GROUP BY 1""")
 def ag27(t):
-    warning = F.when(F.col("fingerprint") % 6 == 0, "missing_price").when(F.col("fingerprint") % 6 == 1, "missing_date").otherwise("late_filing")
-    warnings = F.slice(F.array(warning, F.lit("seen")), 1, 5)
-    bucket = F.when(F.array_contains(warnings, "missing_price"), "recoverable").when(F.arrays_overlap(warnings, F.array(*[F.lit(b) for b in extract.BLOCKING])), "blocked").otherwise("advisory")
-    return t.dealings.groupBy(bucket.alias("bucket")).agg(n_rows())
+    """Rows in review by what can be done about them; of many warnings five are kept, and the first group that applies counts."""
+    lists = [["data_quirk", "bad_price"], ["foreign_currency"], ["late_filing"], ["seen", "late_filing", "round_number", "bad_price", "multi_tranche", "no_url"], ["seen"], ["late_filing"]]
+    of = F.element_at(F.array(*[F.array(*[F.lit(w) for w in x]) for x in lists]), (F.col("fingerprint") % 6 + 1).cast("int"))
+    rows = t.dealings.select(F.slice(of, 1, 5).alias("warnings"))
+    return rows.groupBy(extract.pending_bucket(F.col("warnings")).alias("bucket")).agg(n_rows(), F.max(F.size("warnings")).alias("most_warnings"))
 
 
 @query("dq12_table_parity", "SELECT 'same' AS parity, count(*) AS n FROM fx_dealings WHERE fingerprint % 13 <> 0 UNION ALL SELECT 'differs', count(*) FROM fx_dealings WHERE fingerprint % 13 = 0")
@@ -126,18 +145,40 @@ def dq12(t):
     return checks.parity(t.dealings, changed, "fingerprint", ["dt", "ticker", "type", "shares", "value"]).groupBy("parity").agg(n_rows())
 
 
-@query("snk06_nested_export", "SELECT horizon, count(DISTINCT signal) AS n_signals FROM es WHERE car IS NOT NULL GROUP BY 1")
+@query("snk06_nested_export", f"""
+WITH d AS (SELECT signal, horizon, lookback, car FROM es JOIN (VALUES ('90d',90),('183d',183),('365d',365),('all',1000000)) v(lookback,age) ON datediff('day', announced, DATE '{AS_OF}') BETWEEN 0 AND v.age WHERE car IS NOT NULL)
+SELECT horizon, lookback, signal, CAST(count(*) AS INT) AS n, round(median(car)*100, 4) AS median_car FROM d GROUP BY 1, 2, 3""")
 def snk06(t):
-    """A tree keyed by horizon, as it is exported to JSON, counted by its leaves."""
-    board = event_returns(t).where("car IS NOT NULL").groupBy("horizon", "signal").agg(n_rows(), F.percentile("car", 0.5).alias("median"))
-    tree = board.groupBy("horizon").agg(F.map_from_entries(F.collect_list(F.struct("signal", F.struct("n", "median")))).alias("signals"))
-    return tree.select("horizon", F.size(F.map_keys("signals")).cast("long").alias("n_signals"))
+    """A tree horizon, lookback, signal is written as JSON, one document a horizon; the rows are read back from its text."""
+    rows = clean.lookback_rows(event_returns(t).where("car IS NOT NULL"), "announced", AS_OF)
+    board = rows.groupBy("horizon", "lookback", "signal").agg(n_rows(), R(F.percentile("car", 0.5) * 100, 4).alias("median_car"))
+    tree = writes.nested_export(board, work_path(t.spark, "export"), "horizon", "lookback", "signal", ["n", "median_car"])
+    level = tree.select("horizon", F.explode("tree").alias("lookback", "leaf"))
+    leaf = level.select("horizon", "lookback", F.explode(F.from_json("leaf", "map<string,struct<n:int,median_car:double>>")).alias("signal", "x"))
+    return leaf.select("horizon", "lookback", "signal", "x.n", "x.median_car")
+
+
+@query("snk08_serving_views", _CV + f""", d AS (SELECT * FROM fx_dealings WHERE announced <= DATE '{AS_OF}')
+SELECT 'company' AS view, ticker AS key, count(*) AS n, round(sum(value), 2) AS total FROM d GROUP BY 2
+UNION ALL SELECT 'recent', ticker, count(*), round(sum(value), 2) FROM d WHERE announced >= DATE '{AS_OF}' - 14 GROUP BY 2
+UNION ALL SELECT 'conviction', CASE WHEN score >= 80 THEN 'Exceptional' WHEN score >= 60 THEN 'High' WHEN score >= 40 THEN 'Moderate' ELSE 'Low' END, count(*), round(sum(score), 2) FROM c GROUP BY 2
+UNION ALL SELECT 'capital', strftime(date_trunc('month', announced), '%Y-%m-%d'), count(DISTINCT 1), round(sum(value), 2) FROM d WHERE type = 'BUY' GROUP BY 2""")
+def snk08(t):
+    """The four views, read through SQL as a reader would."""
+    scores = scored(t).withColumn("band", conviction.band(F.col("score")))
+    writes.serving_views(t.dealings, t.prices, scores, AS_OF)
+    return t.spark.sql("""
+SELECT 'company' AS view, ticker AS key, n, total FROM public_company_v
+UNION ALL SELECT 'recent', ticker, count(*), round(sum(value), 2) FROM public_recent_v GROUP BY ticker
+UNION ALL SELECT 'conviction', band, count(*), round(sum(score), 2) FROM public_conviction_v GROUP BY band
+UNION ALL SELECT 'capital', cast(month AS STRING), 1, capital FROM public_capital_monthly_v""")
 
 
-@query("snk08_serving_views", f"SELECT ticker, count(*) AS n, round(sum(value), 2) AS total FROM fx_dealings WHERE announced BETWEEN DATE '{AS_OF}' - 14 AND DATE '{AS_OF}' GROUP BY 1")
-def snk08(t):
-    t.dealings.createOrReplaceTempView("tidemark_public_dealings")
-    return t.spark.sql(f"SELECT ticker, count(*) AS n, round(sum(value), 2) AS total FROM tidemark_public_dealings WHERE announced BETWEEN DATE'{AS_OF}' - 14 AND DATE'{AS_OF}' GROUP BY ticker")
+@query("snk05_result_file", "SELECT fingerprint, horizon, round(net, 6) AS net FROM es WHERE net IS NOT NULL")
+def snk05(t):
+    """The results of a run, written anew as CSV under a pinned header and read back."""
+    rows = event_returns(t).where("net IS NOT NULL").select("net", "horizon", "signal", "fingerprint").withColumn("net", R("net"))
+    return writes.result_file(rows, work_path(t.spark, "results"), ["fingerprint", "horizon", "net"])
 
 
 @query("ext08_resulting_holding", "SELECT fingerprint, CASE WHEN type = 'BUY' AND fingerprint % 2 = 1 THEN NULL WHEN shares + 3000 BETWEEN 1990 AND 2099 THEN NULL ELSE shares + 3000 END AS resulting FROM fx_dealings")
@@ -147,12 +188,21 @@ def ext08(t):
     return t.dealings.select("fingerprint", extract.resulting_holding(text, bought, F.col("type") == "BUY").alias("resulting"))
 
 
-@query("ext09_bundled_filings", "SELECT ticker, dt, count(DISTINCT director) AS n_people FROM fx_dealings GROUP BY 1, 2 HAVING count(DISTINCT director) > 1")
+@query("ext09_bundled_filings", """
+WITH p AS (SELECT dt, ticker, list_sort(list(DISTINCT director)) AS d FROM fx_dealings GROUP BY 1, 2)
+SELECT ticker, dt, CASE WHEN len(d) > 1 OR len(d) = 1 AND d[1] % 10 = 0 THEN 'review' ELSE 'single' END AS lane, list_transform(d, lambda x: 'Mr Adam Van' || chr(CAST(65 + x % 26 AS INT)) || chr(CAST(97 + x // 26 % 26 AS INT)) || chr(CAST(97 + x // 676 % 26 AS INT))) AS names FROM p""")
 def ext09(t):
-    return t.dealings.groupBy("ticker", "dt").agg(F.countDistinct("director").alias("n_people")).where("n_people > 1")
+    """A filing per ticker and day with the name of each director: those of several people, or of several notifications, go to review with the names."""
+    letter = lambda base, x: F.chr(F.lit(base) + x % 26)
+    each = t.dealings.groupBy("ticker", "dt").agg(F.sort_array(F.collect_set("director")).alias("d"))
+    name = lambda x: F.concat(F.lit("Mr Adam Van"), letter(65, x), letter(97, F.floor(x / 26)), letter(97, F.floor(x / 676)))
+    blocks = F.transform("d", lambda x: F.concat(F.lit("1. Details of the person\na) Name: "), name(x), F.lit("\nPosition: Director\n")))
+    numbered = F.when((F.size("d") == 1) & (F.col("d")[0] % 10 == 0), "Notification 1 of 2\nNotification 2 of 2\n").otherwise("")
+    single, review = extract.bundled(each.select("ticker", "dt", F.concat(numbered, F.array_join(blocks, "")).alias("text")))
+    return single.select("ticker", "dt", F.lit("single").alias("lane"), "names").unionByName(review.select("ticker", "dt", F.lit("review").alias("lane"), "names"))
 
 
 @query("ext11_headline_scope", "SELECT fingerprint FROM fx_dealings WHERE fingerprint % 4 <> 0")
 def ext11(t):
     headline = F.when(F.col("fingerprint") % 4 == 0, "Purchase of shares by Employee Benefit Trust").otherwise("Director/PDMR Shareholding")
-    return t.dealings.where(~headline.rlike(r"(?i)employee (benefit|share ownership) trust|\bEBT\b")).select("fingerprint")
+    return t.dealings.where(extract.in_scope(headline)).select("fingerprint")

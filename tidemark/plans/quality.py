@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import checks, extract, timeseries, writes
+from tidemark.operators import checks, eventstudy, extract, timeseries, writes
 from tidemark.plans.aggregates import n_rows
-from tidemark.plans.core import AS_OF, D, R, buys, event_returns, tier_firings
+from tidemark.plans.core import AS_OF, D, R, buys, tier_firings
 from tidemark.plans.registry import query
+from tidemark.streaming.jobs import work_path
 
 # Derived prices have an error every so often, so that the checks find something.
 _PRICED = """priced AS (SELECT d.*, p.close, CASE d.fingerprint % 6 WHEN 0 THEN p.close*100 WHEN 1 THEN p.close*7 WHEN 2 THEN p.close*1000 ELSE p.close*1.1 END AS price
@@ -23,10 +24,26 @@ def priced(t):
 
 
 @query("dq01_date_audit", f"""
-SELECT count(*) FILTER (announced > DATE '{AS_OF}' + 1) AS in_future, count(*) FILTER (dt > announced + 7) AS after_filing, count(*) FILTER (dt < announced - 1095) AS stale, count(*) FILTER (dt IS NULL) AS no_date, count(*) AS n FROM fx_dealings""")
+WITH d AS (SELECT fingerprint, CASE WHEN fingerprint % 17 = 0 THEN strftime(dt, '%d %b %Y') WHEN fingerprint % 19 = 0 THEN CAST(announced + 20 AS VARCHAR) WHEN fingerprint % 23 = 0 THEN CAST(dt - 1500 AS VARCHAR) ELSE CAST(dt AS VARCHAR) END AS dt, CAST(announced AS VARCHAR) AS announced FROM fx_dealings),
+p AS (SELECT fingerprint, TRY_CAST(dt AS DATE) AS d, CAST(announced AS DATE) AS a FROM d), n AS (SELECT count(*) AS n_rows FROM p),
+c AS (SELECT 'I1_format' AS rule, count(*) FILTER (d IS NULL OR a IS NULL) AS n_failed FROM p UNION ALL SELECT 'I2_future', count(*) FILTER (a > DATE '{AS_OF}' + 1) FROM p UNION ALL SELECT 'I3_after_filing', count(*) FILTER (d > a + 7) FROM p
+ UNION ALL SELECT 'I4_stale', count(*) FILTER (d < a - 1095) FROM p UNION ALL SELECT 'I5_firing', count(*) FILTER (abs(datediff('day', p.d, p.a)) > 365) FROM p JOIN firing USING (fingerprint))
+SELECT rule, n_failed, n_rows FROM c CROSS JOIN n""")
 def dq01(t):
-    rules = {"in_future": F.col("announced") > F.date_add(D(AS_OF), 1), "after_filing": F.col("dt") > F.date_add("announced", 7), "stale": F.col("dt") < F.date_sub("announced", 1095), "no_date": F.col("dt").isNull()}
-    return t.dealings.agg(*[F.count_if(c).alias(n) for n, c in rules.items()], n_rows())
+    k = lambda n: F.col("fingerprint") % n == 0
+    shown = F.when(k(17), F.date_format("dt", "dd MMM yyyy")).when(k(19), F.date_add("announced", 20).cast("string")).when(k(23), F.date_sub("dt", 1500).cast("string")).otherwise(F.col("dt").cast("string"))
+    dealings = t.dealings.select("fingerprint", shown.alias("dt"), F.col("announced").cast("string").alias("announced"))
+    counts, _ = checks.date_audit(dealings, tier_firings(t).select("fingerprint", F.col("announced").alias("fired_at")), AS_OF)
+    return counts
+
+
+@query("dq01_date_violations", "SELECT 'I3_after_filing' AS rule, fingerprint, CAST(announced + 20 AS VARCHAR) AS dt, CAST(announced AS VARCHAR) AS announced FROM fx_dealings WHERE fingerprint % 19 = 0")
+def dq01_violations(t):
+    """The offending keys of the same audit."""
+    shown = F.when(F.col("fingerprint") % 19 == 0, F.date_add("announced", 20)).otherwise(F.col("dt")).cast("string")
+    dealings = t.dealings.select("fingerprint", shown.alias("dt"), F.col("announced").cast("string").alias("announced"))
+    _, broken = checks.date_audit(dealings, tier_firings(t).select("fingerprint", F.col("announced").alias("fired_at")), "2100-01-01")
+    return broken
 
 
 @query("dq02_plausibility", f"""WITH {_PRICED}
@@ -38,14 +55,13 @@ def dq02(t):
 
 @query("dq03_year_as_shares", "SELECT fingerprint, shares, year(dt) = shares AS hard FROM (SELECT fingerprint, dt, shares + 1700 AS shares FROM fx_dealings) WHERE shares BETWEEN 1990 AND 2099")
 def dq03(t):
-    shifted = t.dealings.withColumn("shares", F.col("shares") + 1700)
-    return shifted.where(F.col("shares").between(1990, 2099)).select("fingerprint", "shares", (F.year("dt") == F.col("shares")).alias("hard"))
+    return checks.year_as_shares(t.dealings.withColumn("shares", F.col("shares") + 1700)).select("fingerprint", "shares", "hard")
 
 
 @query("dq04_duplicate_number", "SELECT fingerprint FROM (SELECT fingerprint, shares + 1000 AS shares, shares + 1000 + (fingerprint % 5) * 0.2 AS price FROM fx_dealings) WHERE price > 1000 AND shares > 1000 AND abs(price - shares) < 0.5")
 def dq04(t):
     rows = t.dealings.select("fingerprint", (F.col("shares") + 1000).alias("shares"), (F.col("shares") + 1000 + (F.col("fingerprint") % 5) * 0.2).alias("price"))
-    return rows.where("price > 1000 AND shares > 1000 AND abs(price - shares) < 0.5").select("fingerprint")
+    return checks.same_number(rows).select("fingerprint")
 
 
 @query("dq05_price_units", f"""WITH {_PRICED}
@@ -58,8 +74,7 @@ def dq05(t):
 @query("dq06_price_recovery", "SELECT fingerprint, CASE WHEN fingerprint % 4 = 0 THEN CASE WHEN value/shares <= 500 THEN round(value/shares, 6) END ELSE 10.0 END AS price FROM fx_dealings")
 def dq06(t):
     rows = t.dealings.withColumn("price", F.when(F.col("fingerprint") % 4 != 0, 10.0))
-    back = F.col("value") / F.col("shares")
-    return rows.select("fingerprint", F.coalesce("price", F.when(back <= 500, R(back))).alias("price"))
+    return rows.select("fingerprint", R(checks.price_recovery(F.col("price"), F.col("value"), F.col("shares"))).alias("price"))
 
 
 @query("dq07_error_classes", f"""WITH {_PRICED} SELECT CASE WHEN q BETWEEN 0.5 AND 2 THEN 'ok' WHEN q BETWEEN 5 AND 20 OR q BETWEEN 0.05 AND 0.2 THEN '10x' WHEN q BETWEEN 50 AND 200 OR q BETWEEN 0.005 AND 0.02 THEN '100x' WHEN q BETWEEN 500 AND 2000 OR q BETWEEN 0.0005 AND 0.002 THEN '1000x' ELSE 'extreme' END AS class, count(*) AS n
@@ -68,9 +83,10 @@ def dq07(t):
     return priced(t).where("close IS NOT NULL").groupBy(checks.error_class(F.col("price") / F.col("close")).alias("class")).agg(n_rows())
 
 
-@query("dq08_exact_dedup", "SELECT fingerprint, count(*) AS copies FROM (SELECT fingerprint FROM fx_dealings UNION ALL SELECT fingerprint FROM fx_dealings WHERE fingerprint % 9 = 0) GROUP BY 1")
+@query("dq08_exact_dedup", "SELECT fingerprint, ticker, value, 1 + (fingerprint % 9 = 0)::INT::BIGINT AS copies FROM fx_dealings")
 def dq08(t):
-    return t.dealings.unionByName(t.dealings.where("fingerprint % 9 = 0")).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("copies"))
+    """Every ninth dealing comes twice; one of each key stays."""
+    return checks.first_copies(t.dealings.unionByName(t.dealings.where("fingerprint % 9 = 0"))).select("fingerprint", "ticker", "value", "copies")
 
 
 @query("dq09_near_duplicates", """SELECT a.fingerprint, b.fingerprint AS earlier_fp FROM fx_dealings a JOIN fx_dealings b ON a.director = b.director AND (b.dt, b.fingerprint) < (a.dt, a.fingerprint) AND datediff('day', b.dt, a.dt) <= 7 AND abs(a.value - b.value) <= 0.05*b.value""")
@@ -78,16 +94,29 @@ def dq09(t):
     return checks.near_duplicates(t.dealings)
 
 
-@query("dq10_field_diff", """
-SELECT field, verdict, count(*) AS n FROM (SELECT 'value' AS field, CASE WHEN fingerprint % 7 = 0 THEN 'MAJOR' WHEN fingerprint % 5 = 0 THEN 'MINOR' ELSE 'MATCH' END AS verdict FROM fx_dealings
-UNION ALL SELECT 'type', CASE WHEN fingerprint % 11 = 0 THEN 'MAJOR' ELSE 'MATCH' END FROM fx_dealings) GROUP BY 1, 2""")
-def dq10(t):
+_DIFF = """x AS (SELECT fingerprint, field, CASE WHEN fingerprint % 13 = 0 THEN 'FAILED' WHEN fingerprint % 17 = 0 AND field = 'value' THEN 'AMBIGUOUS' ELSE v END AS verdict FROM (
+ SELECT fingerprint, 'value' AS field, CASE WHEN fingerprint % 7 = 0 THEN 'MAJOR' WHEN fingerprint % 5 = 0 THEN 'MINOR' ELSE 'MATCH' END AS v FROM fx_dealings
+ UNION ALL SELECT fingerprint, 'role', CASE WHEN fingerprint % 11 = 0 THEN 'MAJOR' WHEN fingerprint % 3 = 0 THEN 'MINOR' ELSE 'MATCH' END FROM fx_dealings UNION ALL SELECT fingerprint, 'type', 'MATCH' FROM fx_dealings))"""
+
+
+def field_diff(t):
+    """Sources differ in value by a lot or a little, or are two; roles differ, or have a title before; some are missing."""
     fp = F.col("fingerprint")
-    source = t.dealings.select("fingerprint", F.when(fp % 7 == 0, F.col("value") * 2).when(fp % 5 == 0, F.col("value") * 1.001).otherwise(F.col("value")).alias("v"), F.when(fp % 11 == 0, "?").otherwise(F.col("type")).alias("k"))
-    both = t.dealings.join(source, "fingerprint")
-    value = F.when(F.abs(F.col("v") / F.col("value") - 1) < 1e-9, "MATCH").when(F.abs(F.col("v") / F.col("value") - 1) < 0.01, "MINOR").otherwise("MAJOR")
-    fields = F.array(F.struct(F.lit("value").alias("field"), value.alias("verdict")), F.struct(F.lit("type").alias("field"), F.when(F.col("k") == F.col("type"), "MATCH").otherwise("MAJOR").alias("verdict")))
-    return both.select(F.explode(fields).alias("x")).groupBy("x.field", "x.verdict").agg(n_rows())
+    value = F.when(fp % 7 == 0, F.col("value") * 2).when(fp % 5 == 0, F.col("value") * 1.001).otherwise(F.col("value"))
+    role = F.when(fp % 11 == 0, "?").when(fp % 3 == 0, F.concat(F.lit("Group "), "role")).otherwise(F.concat(F.lit(" "), F.upper("role")))
+    source = t.dealings.where(fp % 13 != 0).select("fingerprint", value.alias("value"), role.alias("role"), "type")
+    twice = source.where(fp % 17 == 0).withColumn("value", F.col("value") + 1)
+    return checks.field_diff(t.dealings, source.unionByName(twice), "fingerprint", {"value": 0.01}, ["role", "type"])
+
+
+@query("dq10_field_diff", f"WITH {_DIFF} SELECT fingerprint, field, verdict FROM x")
+def dq10(t):
+    return field_diff(t)
+
+
+@query("dq10_match_rates", f"WITH {_DIFF} SELECT field, " + ", ".join(f"count(*) FILTER (verdict = '{v.upper()}') AS {v}" for v in ("match", "minor", "major", "ambiguous", "failed")) + " FROM x GROUP BY 1")
+def dq10_rates(t):
+    return checks.match_rates(field_diff(t))
 
 
 @query("dq11_stratified_sample", "SELECT type, fingerprint FROM (SELECT type, fingerprint, row_number() OVER (PARTITION BY type ORDER BY md5(CAST(fingerprint AS VARCHAR)), fingerprint) AS rn FROM fx_dealings) WHERE rn <= CASE type WHEN 'BUY' THEN 25 WHEN 'SELL' THEN 20 ELSE 10 END")
@@ -97,24 +126,41 @@ def dq11(t):
     return t.dealings.withColumn("rn", rn).where(F.col("rn") <= most).select("type", "fingerprint")
 
 
-@query("dq13_bad_batches", "SELECT report_date, report_type, count(DISTINCT ticker) AS n_tickers FROM fx_reporting_dates GROUP BY 1, 2 HAVING count(DISTINCT ticker) >= 2")
+@query("dq13_bad_batches", """
+WITH r AS (SELECT *, CASE WHEN confidence = 'est' THEN 'model' ELSE 'diary' END AS source, report_date - CAST(day(report_date) % 3 AS INT) AS fetched FROM fx_reporting_dates)
+SELECT report_date, report_type, source, fetched, count(DISTINCT ticker) AS n_tickers FROM r GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT ticker) >= 2""")
 def dq13(t):
-    return t.results.groupBy("report_date", "report_type").agg(F.countDistinct("ticker").alias("n_tickers")).where("n_tickers >= 2")
+    source = F.when(F.col("confidence") == "est", "model").otherwise("diary")
+    fetched = F.date_sub("report_date", F.dayofmonth("report_date") % 3).cast("timestamp") + F.expr("INTERVAL 5 HOURS")
+    return checks.bad_batches(t.results.withColumns({"source": source, "fetched_at": fetched}))
 
 
-@query("dq14_coverage", "SELECT count(DISTINCT b.ticker) AS n_tickers, count(DISTINCT b.ticker) FILTER (b.ticker IN (SELECT ticker FROM fx_short_positions)) AS with_shorts, count(DISTINCT b.ticker) FILTER (b.ticker IN (SELECT ticker FROM fx_reporting_dates)) AS with_results FROM buys b")
+@query("dq14_coverage", """
+WITH s AS (SELECT DISTINCT b.ticker FROM buys b JOIN fx_short_positions s ON s.ticker = b.ticker AND abs(datediff('day', b.announced, s.position_date)) <= 90), r AS (SELECT DISTINCT b.ticker FROM buys b JOIN fx_reporting_dates r ON r.ticker = b.ticker AND abs(datediff('day', b.announced, r.report_date)) <= 90)
+SELECT count(DISTINCT b.ticker) AS n_tickers, count(DISTINCT b.ticker) FILTER (b.ticker IN (SELECT ticker FROM s)) AS with_shorts, count(DISTINCT b.ticker) FILTER (b.ticker IN (SELECT ticker FROM r)) AS with_results,
+ count(DISTINCT b.ticker) FILTER (m.sector IS NOT NULL) AS with_sector, count(DISTINCT b.ticker) FILTER (m.market_cap_gbp >= 10e6) AS with_cap FROM buys b LEFT JOIN fx_tickers_meta m ON m.ticker = b.ticker""")
 def dq14(t):
-    own = buys(t).select("ticker").distinct()
-    shorts = t.shorts.select("ticker", F.lit(1).alias("s")).distinct()
-    results = t.results.select("ticker", F.lit(1).alias("r")).distinct()
-    return own.join(shorts, "ticker", "left").join(results, "ticker", "left").agg(F.count(F.lit(1)).alias("n_tickers"), F.count("s").alias("with_shorts"), F.count("r").alias("with_results"))
+    own = buys(t)
+    shorts = checks.near_coverage(own, t.shorts, "position_date").withColumn("s", F.lit(1))
+    results = checks.near_coverage(own, t.results, "report_date").withColumn("r", F.lit(1))
+    meta = t.meta.select("ticker", "sector", F.when(F.col("market_cap_gbp") >= 10e6, F.col("market_cap_gbp")).alias("cap"))
+    rows = own.select("ticker").distinct().join(shorts, "ticker", "left").join(results, "ticker", "left").join(meta, "ticker", "left")
+    return rows.agg(F.count(F.lit(1)).alias("n_tickers"), *[F.count(c).alias(n) for c, n in (("s", "with_shorts"), ("r", "with_results"), ("sector", "with_sector"), ("cap", "with_cap"))])
+
+
+def _cache(t):
+    linked = t.dealings.withColumn("rns_id", F.when(F.col("fingerprint") % 10 != 0, F.col("fingerprint")))
+    return checks.cache_coverage(linked, t.dealings.where("fingerprint % 3 = 0").select(F.col("fingerprint").alias("rns_id")))
 
 
 @query("dq15_cache_coverage", "SELECT CASE WHEN fingerprint % 10 = 0 THEN 'no_url' WHEN fingerprint % 3 = 0 THEN 'cached' ELSE 'not_cached' END AS state, count(*) AS n, round(sum(value), 2) AS total FROM fx_dealings GROUP BY 1")
 def dq15(t):
-    cached = t.dealings.where("fingerprint % 3 = 0").select("fingerprint", F.lit(True).alias("hit"))
-    state = F.when(F.col("fingerprint") % 10 == 0, "no_url").when(F.col("hit"), "cached").otherwise("not_cached")
-    return t.dealings.join(cached, "fingerprint", "left").groupBy(state.alias("state")).agg(n_rows(), R(F.sum("value"), 2).alias("total"))
+    return _cache(t)[0]
+
+
+@query("dq15_largest_not_cached", "SELECT fingerprint, value FROM fx_dealings WHERE fingerprint % 10 <> 0 AND fingerprint % 3 <> 0 ORDER BY value DESC, fingerprint LIMIT 15")
+def dq15_largest(t):
+    return _cache(t)[1].select("fingerprint", "value")
 
 
 @query("dq16_role_corpus", "SELECT type, role, count(*) AS n FROM fx_dealings GROUP BY 1, 2")
@@ -152,9 +198,15 @@ def dq20(t):
     return found.where(F.datediff("found.report_date", "dt") <= 30).select("fingerprint")
 
 
-@query("fil09_split_guard", "SELECT horizon, count(*) FILTER (raw IS NULL AND later_dt IS NOT NULL) AS n_guarded FROM es GROUP BY 1")
+_SPLIT = """px9 AS (SELECT * REPLACE (CASE WHEN idx > 300 AND ticker LIKE 'Brand%5' THEN close / 10 ELSE close END AS close) FROM px), en AS (SELECT f.*, p.dt AS entry_dt, p.idx AS entry_idx, p.close AS entry_close FROM firing f ASOF JOIN px9 p ON f.ticker = p.ticker AND f.announced < p.dt WHERE p.idx > 30),
+v9 AS (SELECT e.fingerprint, e.ticker, hz.horizon, e.entry_dt, p.dt AS later_dt, p.close / e.entry_close AS ratio FROM en e CROSS JOIN hz JOIN px9 p ON p.ticker = e.ticker AND p.idx = e.entry_idx + hz.days WHERE NOT p.close / e.entry_close BETWEEN 0.25 AND 4)"""
+
+
+@query("fil09_split_guard", f"WITH {_SPLIT} SELECT fingerprint, ticker, horizon, entry_dt, later_dt, round(ratio, 6) AS ratio FROM v9")
 def fil09(t):
-    return event_returns(t).groupBy("horizon").agg(F.count_if(F.col("raw").isNull() & F.col("later_dt").isNotNull()).alias("n_guarded"))
+    """Some tickers' prices fall to a tenth at an unadjusted split; what the guard takes out comes as violations."""
+    split = timeseries.trade_index(t.prices).withColumn("close", F.when((F.col("idx") > 300) & F.col("ticker").rlike("^Brand.*5$"), F.col("close") / 10).otherwise(F.col("close"))).drop("idx")
+    return eventstudy.split_violations(eventstudy.returns(tier_firings(t), split)).withColumn("ratio", R("ratio"))
 
 
 # --- extraction ------------------------------------------------------------------
@@ -165,7 +217,14 @@ def src09(t):
     return t.read("pages").select("page_id", F.char_length("html").cast("long").alias("n_chars"))
 
 
-@query("ext01_html_text", None)
+_TEXT = "html"
+for _pattern, _new in ((r"(?is)<script\\b.*?</script>", " "), (r"(?is)<style\\b.*?</style>", " "), (r"(?i)<(br|/p|/td|/tr|/div|/li|/h[1-6])[^>]*>", "\n"), (r"<[^>]*>", " ")):
+    _TEXT = f"regexp_replace({_TEXT}, '{_pattern}', '{_new}', 'g')".replace("\\\\", "\\")
+for _name, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&pound;", "£"), ("&amp;", "&")):
+    _TEXT = f"replace({_TEXT}, '{_name}', '{_char}')"
+
+
+@query("ext01_html_text", f"SELECT page_id, trim(regexp_replace(regexp_replace({_TEXT}, '[ \\t]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), ' ') AS text FROM pages")
 def ext01(t):
     return t.read("pages").select("page_id", extract.html_text(F.col("html")).alias("text"))
 
@@ -253,12 +312,15 @@ def snk04(t):
     return writes.replace_slice(t.results, new, F.col("confidence") == "est")
 
 
-@query("snk07_parity_counts", "SELECT 'dealings' AS name, (SELECT count(*) FROM fx_dealings) AS n UNION ALL SELECT 'prices', (SELECT count(*) FROM fx_prices) UNION ALL SELECT 'results', (SELECT count(*) FROM fx_reporting_dates)")
+@query("snk07_parity_counts", "SELECT 'dealings' AS name, (SELECT count(DISTINCT fingerprint) FROM fx_dealings) AS n_keys, (SELECT count(DISTINCT fingerprint) FROM fx_dealings) AS n_same, 0 AS n_other UNION ALL SELECT 'prices', (SELECT count(*) FROM fx_prices), (SELECT count(*) FROM fx_prices), 0 UNION ALL SELECT 'results', (SELECT count(DISTINCT (ticker, report_date, report_type, confidence)) FROM fx_reporting_dates), (SELECT count(DISTINCT (ticker, report_date, report_type, confidence)) FROM fx_reporting_dates), 0")
 def snk07(t):
-    each = [df.agg(n_rows()).select(F.lit(n).alias("name"), "n") for n, df in (("dealings", t.dealings), ("prices", t.prices), ("results", t.results))]
-    return each[0].unionByName(each[1]).unionByName(each[2])
+    """All tables are copied, and copy and source compared key by key and by content."""
+    tables = {"dealings": (t.dealings, ["fingerprint"]), "prices": (t.prices, ["ticker", "dt"]), "results": (t.results, ["ticker", "report_date", "report_type", "confidence"])}
+    return writes.reload(t.spark, tables, work_path(t.spark, "reload"))
 
 
 @query("snk09_price_coverage", "SELECT ticker, min(dt) AS first_day, max(dt) AS last_day, count(*) AS n FROM fx_prices GROUP BY 1")
 def snk09(t):
-    return t.prices.groupBy("ticker").agg(F.min("dt").alias("first_day"), F.max("dt").alias("last_day"), n_rows())
+    """Prices are written as text, and their coverage is counted from that."""
+    text = writes.snapshot(t.prices, work_path(t.spark, "snapshot"))
+    return text.groupBy("ticker").agg(F.min("dt").alias("first_day"), F.max("dt").alias("last_day"), n_rows())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import eventstudy, portfolio, stats
+from tidemark.operators import eventstudy, portfolio, signals, stats
 from tidemark.operators import timeseries as ts
 from tidemark.operators.conviction import WEIGHTS
 from tidemark.plans.aggregates import n_rows, nets
@@ -45,14 +45,11 @@ def pf02(t):
     return held(t).select("fingerprint", "entry_dt", "exit_dt", "status", "notional")
 
 
-@query("pf03_paper_summary", f"""WITH {_POS} SELECT status, count(*) AS n, round(sum(notional), 2) AS notional, round(avg(exit_close/entry_close - 1), 6) AS mean_return, count(*) FILTER (exit_close > entry_close) AS winners, count(*) FILTER (exit_close < entry_close) AS losers
-FROM p WHERE status <> 'planned' GROUP BY 1""")
+@query("pf03_paper_summary", f"""WITH {_POS}, last AS (SELECT ticker, arg_max(close, dt) AS now_close FROM fx_prices WHERE dt <= DATE '{AS_OF}' GROUP BY 1),
+g AS (SELECT p.status, p.notional, CASE WHEN status = 'closed' THEN exit_close ELSE now_close END / entry_close - 1 AS gain FROM p LEFT JOIN last ON last.ticker = p.ticker WHERE status <> 'planned')
+SELECT status, count(*) AS n, round(sum(notional), 2) AS notional, round(avg(gain) * 100, 4) AS mean_pct, count(*) FILTER (gain > 0) AS winners, count(*) FILTER (gain < 0) AS losers FROM g GROUP BY 1""")
 def pf03(t):
-    p = held(t).where("status <> 'planned'")
-    return p.groupBy("status").agg(
-        n_rows(), R(F.sum("notional"), 2).alias("notional"), R(F.avg(F.col("exit_close") / F.col("entry_close") - 1)).alias("mean_return"),
-        F.count_if(F.col("exit_close") > F.col("entry_close")).alias("winners"), F.count_if(F.col("exit_close") < F.col("entry_close")).alias("losers"),
-    )
+    return portfolio.summary(held(t), t.prices, AS_OF)
 
 
 @query("pf04_sizing_comparison", f"WITH {_T90} SELECT signal, round(avg(net), 6) AS flat_mean, round(sum(net*least(value, 50000.0))/sum(least(value, 50000.0)), 6) AS weighted_mean, round(median(net), 6) AS median_net FROM r GROUP BY 1")
@@ -61,29 +58,69 @@ def pf04(t):
     return t90(t).groupBy("signal").agg(R(F.avg("net")).alias("flat_mean"), R(F.sum(F.col("net") * w) / F.sum(w)).alias("weighted_mean"), R(F.percentile("net", 0.5)).alias("median_net"))
 
 
-@query("pf05_daily_value", f"WITH {_POS} SELECT d.dt, count(*) AS n_open, round(sum(p.notional * d.close / p.entry_close), 2) AS value FROM p JOIN px d ON d.ticker = p.ticker AND d.idx BETWEEN p.entry_idx AND p.entry_idx + 21 GROUP BY 1")
+def _tracker(hold: int, keys: list[str]) -> str:
+    """The tracker position by position and day by day."""
+    by = "".join(f"{k}, " for k in keys)
+    return f"""
+pos AS (SELECT e.*, CASE WHEN market_cap_gbp < 500e6 THEN 'small' ELSE 'large' END AS band, CASE WHEN x.dt <= DATE '{AS_OF}' THEN x.dt END AS exit_dt, x.close AS exit_close, 10000.0 * (1 - CASE WHEN is_aim THEN 0.005 ELSE 0.01 END) / e.entry_close AS bought, 10000.0 / e.bench_close AS units
+ FROM bentry e LEFT JOIN px x ON x.ticker = e.ticker AND x.idx = e.entry_idx + {hold} WHERE e.entry_dt <= DATE '{AS_OF}'),
+pos2 AS (SELECT pos.*, q.close AS bench_out FROM pos ASOF LEFT JOIN px q ON q.ticker = pos.benchmark_symbol AND pos.exit_dt >= q.dt),
+cal AS (SELECT DISTINCT dt FROM fx_prices WHERE ticker LIKE '^%' AND dt <= DATE '{AS_OF}' AND dt >= (SELECT min(entry_dt) FROM pos)),
+grid AS (SELECT cal.dt AS day, pos2.* FROM cal CROSS JOIN pos2),
+m1 AS (SELECT grid.*, q.close AS mark FROM grid ASOF LEFT JOIN px q ON q.ticker = grid.ticker AND grid.day >= q.dt),
+m2 AS (SELECT m1.*, q.close AS bench_mark FROM m1 ASOF LEFT JOIN px q ON q.ticker = m1.benchmark_symbol AND m1.day >= q.dt),
+trk AS (SELECT {by}day AS dt, count(*) AS n_positions, count(*) FILTER (day >= entry_dt AND (exit_dt IS NULL OR day < exit_dt)) AS n_open, 10000.0::DOUBLE * count(*) AS capital,
+ round(sum(CASE WHEN day < entry_dt THEN 10000.0 WHEN exit_dt IS NOT NULL AND day >= exit_dt THEN bought * exit_close ELSE bought * mark END), 2) AS strategy_value,
+ round(sum(CASE WHEN day < entry_dt THEN 10000.0 WHEN exit_dt IS NOT NULL AND day >= exit_dt THEN units * bench_out ELSE units * bench_mark END), 2) AS index_value FROM m2 GROUP BY {by}day)"""
+
+
+def _tracker_end(keys: list[str]) -> str:
+    by = "".join(f"{k}, " for k in keys)
+    on = " AND ".join(["true", *[f"trk.{k} = e.{k}" for k in keys]])
+    return f"""
+e AS (SELECT {by}max(dt) AS as_of FROM trk {"GROUP BY " + ", ".join(keys) if keys else ""}), j AS (SELECT trk.*, e.as_of FROM trk JOIN e ON {on}),
+z AS (SELECT {by}as_of, max(n_positions) FILTER (dt = as_of) AS n_positions, max(capital) FILTER (dt = as_of) AS capital, max(strategy_value) FILTER (dt = as_of) AS strategy_value, max(index_value) FILTER (dt = as_of) AS index_value,
+ arg_max(strategy_value, dt) FILTER (dt <= as_of - 30) AS s0, arg_max(index_value, dt) FILTER (dt <= as_of - 30) AS i0 FROM j GROUP BY {by}as_of),
+fin AS (SELECT {by}as_of, n_positions, capital, strategy_value, index_value, round(strategy_value - index_value, 2) AS excess, round(100 * (strategy_value - index_value) / capital, 2) AS excess_pct,
+ round(100 * (strategy_value / s0 - 1), 2) AS strategy_trend_pct, round(100 * (index_value / i0 - 1), 2) AS index_trend_pct FROM z)"""
+
+
+def tracked(t, hold: int = 21, keys: list[str] | None = None):
+    indexed = ts.trade_index(t.prices)
+    entered = eventstudy.benchmark_entries(eventstudy.entries(tier_firings(t), indexed).where("entry_idx > 30"), indexed)
+    entered = entered.withColumn("band", F.when(F.col("market_cap_gbp") < 500e6, "small").otherwise("large"))
+    return portfolio.tracker(entered, t.prices, AS_OF, hold, keys=keys)
+
+
+@query("pf05_daily_value", f"WITH {_tracker(21, [])} SELECT dt, n_positions, n_open, capital, strategy_value, index_value FROM trk")
 def pf05(t):
-    return portfolio.daily_value(held(t), ts.trade_index(t.prices))
+    return tracked(t)
 
 
-@query("pf06_tracker_summary", f"WITH {_POS} SELECT signal, count(*) AS n, round(sum(notional*(exit_close/entry_close-1)), 2) AS gain, round(100*sum(notional*(exit_close/entry_close-1))/sum(notional), 4) AS gain_pct FROM p WHERE exit_close IS NOT NULL GROUP BY 1")
+@query("pf06_tracker_summary", f"WITH {_tracker(21, [])}, {_tracker_end([])} SELECT * FROM fin")
 def pf06(t):
-    p = held(t).where("exit_close IS NOT NULL")
-    gain = F.sum(F.col("notional") * (F.col("exit_close") / F.col("entry_close") - 1))
-    return p.groupBy("signal").agg(n_rows(), R(gain, 2).alias("gain"), R(100 * gain / F.sum("notional"), 4).alias("gain_pct"))
+    return portfolio.tracker_summary(tracked(t))
 
 
-@query("pf07_by_size", f"WITH {_POS} SELECT CASE WHEN market_cap_gbp < 500e6 THEN 'small' ELSE 'large' END AS band, signal, count(*) AS n, round(avg(exit_close/entry_close-1), 6) AS mean_return FROM p WHERE exit_close IS NOT NULL GROUP BY 1, 2")
-def pf07(t):
-    band = F.when(F.col("market_cap_gbp") < 500e6, "small").otherwise("large")
-    return held(t).where("exit_close IS NOT NULL").groupBy(band.alias("band"), "signal").agg(n_rows(), R(F.avg(F.col("exit_close") / F.col("entry_close") - 1)).alias("mean_return"))
+_TOGGLES = {"t30": 21, "t90": 63}
 
 
-@query("pf08_capital_panels", f"""WITH {_POS}, g AS (SELECT CAST(date_trunc('week', DATE '{AS_OF}') AS DATE) - CAST(7*i AS INT) AS day FROM range(12) v(i))
-SELECT g.day, CASE WHEN market_cap_gbp < 500e6 THEN 'small' ELSE 'large' END AS band, count(*) AS n_open, round(sum(notional), 2) AS notional FROM g JOIN p ON g.day >= p.entry_dt AND (p.exit_dt IS NULL OR g.day < p.exit_dt) GROUP BY 1, 2""")
+@query("pf07_by_size", " UNION ALL ".join(f"SELECT '{h}' AS horizon, * FROM (WITH {_tracker(n, ['band', 'signal'])}, {_tracker_end(['band', 'signal'])} SELECT * FROM fin)" for h, n in _TOGGLES.items()))
+def pf07(t):
+    """The tracker's end by holding time, size and signal."""
+    ends = [portfolio.tracker_summary(tracked(t, n, ["band", "signal"]), ["band", "signal"]).withColumn("horizon", F.lit(h)) for h, n in _TOGGLES.items()]
+    return ends[0].unionByName(ends[1])
+
+
+@query("pf08_capital_panels", f"""WITH {_POS}, g AS (SELECT CAST(date_trunc('week', DATE '{AS_OF}') AS DATE) - CAST(7*i AS INT) AS day, true AS monday FROM range(12) v(i) UNION SELECT DATE '{AS_OF}', date_trunc('week', DATE '{AS_OF}') = DATE '{AS_OF}'),
+bands AS (SELECT unnest(['all', 'small', 'large']) AS band), q AS (SELECT p.*, CASE WHEN market_cap_gbp < 500e6 THEN 'small' ELSE 'large' END AS size FROM p),
+o AS (SELECT bands.band, g.day, any_value(g.monday) AS monday, count(q.fingerprint) AS n_open, coalesce(sum(q.notional), 0.0) AS notional FROM bands CROSS JOIN g LEFT JOIN q ON (bands.band = 'all' OR bands.band = q.size) AND g.day >= q.entry_dt AND (q.exit_dt IS NULL OR g.day < q.exit_dt) GROUP BY 1, 2),
+k AS (SELECT *, CASE WHEN monday THEN row_number() OVER (PARTITION BY band, monday ORDER BY day DESC) END AS back FROM o),
+f AS (SELECT band, max(notional) FILTER (day = DATE '{AS_OF}') AS n_now, max(n_open) FILTER (day = DATE '{AS_OF}') AS live_count, list(round(notional, 2) ORDER BY day) FILTER (monday) AS weekly_notional, list(n_open ORDER BY day) FILTER (monday) AS weekly_count,
+ avg(notional) FILTER (back <= 4) AS ma_n, avg(n_open) FILTER (back <= 4) AS ma_c FROM k GROUP BY 1)
+SELECT band, round(n_now, 2) AS live_notional, live_count, weekly_notional, weekly_count, round(ma_n, 2) AS mean_notional, round(ma_c, 4) AS mean_count, round(n_now - ma_n, 2) AS delta_notional, round((live_count - ma_c) / nullif(ma_c, 0) * 100, 4) AS delta_count_pct FROM f""")
 def pf08(t):
-    rows = held(t).withColumn("band", F.when(F.col("market_cap_gbp") < 500e6, "small").otherwise("large"))
-    return portfolio.open_at(rows, portfolio.anchors(AS_OF))
+    return portfolio.capital_panels(held(t), AS_OF)
 
 
 # --- statistics -------------------------------------------------------------------
@@ -114,14 +151,16 @@ def st04(t):
     return stats.clustered_t(t90(t), ["signal"], "net")
 
 
-@query("st05_half_samples", f"WITH {_T90}, h AS (SELECT *, entry_dt <= (SELECT quantile_disc(entry_dt, 0.5) FROM r) AS early FROM r) SELECT signal, round(avg(net)/(stddev_samp(net)/sqrt(count(*))), 4) AS t, coalesce(sign(avg(net) FILTER (early)) = sign(avg(net) FILTER (NOT early)), false) AS same_sign FROM h GROUP BY 1")
+@query("st05_half_samples", f"""WITH {_T90}, h AS (SELECT *, entry_dt <= (SELECT quantile_disc(entry_dt, 0.5) FROM r) AS early FROM r), x AS (SELECT signal, avg(net)/(stddev_samp(net)/sqrt(count(*))) AS t, coalesce(sign(avg(net) FILTER (early)) = sign(avg(net) FILTER (NOT early)), false) AS same_sign FROM h GROUP BY 1)
+SELECT signal, round(t, 4) AS t, same_sign, coalesce(abs(t) >= 2.5, false) AND same_sign AS robust FROM x""")
 def st05(t):
     rows = t90(t).withColumn("day", F.unix_date("entry_dt"))
     middle = rows.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY day)").alias("middle"))
     early = F.col("day") <= F.col("middle")
-    h = rows.crossJoin(F.broadcast(middle))
-    same = F.signum(F.avg(F.when(early, F.col("net")))) == F.signum(F.avg(F.when(~early, F.col("net"))))
-    return h.groupBy("signal").agg(R(stats.t_value("net"), 4).alias("t"), F.coalesce(same, F.lit(False)).alias("same_sign"))
+    h = rows.crossJoin(F.broadcast(middle))  # one row
+    same = F.coalesce(F.signum(F.avg(F.when(early, F.col("net")))) == F.signum(F.avg(F.when(~early, F.col("net")))), F.lit(False))
+    out = h.groupBy("signal").agg(stats.t_value("net").alias("t"), same.alias("same_sign"))
+    return out.select("signal", R("t", 4).alias("t"), "same_sign", (F.coalesce(F.abs("t") >= 2.5, F.lit(False)) & F.col("same_sign")).alias("robust"))
 
 
 _FACTORS = "u AS (SELECT fingerprint, net, unnest(['tier='||tier, 'sector='||sector, 'aim='||is_aim, 'cap='||CASE WHEN market_cap_gbp < 500e6 THEN 'small' ELSE 'large' END]) AS factor FROM r)"
@@ -169,6 +208,15 @@ def st10(t):
     return scored_returns(t).groupBy("horizon").agg(R(F.regr_slope("net", "score"), 8).alias("slope"))
 
 
+@query("st10_ols_multi", _SCORED + """, qq AS (SELECT net AS y, small AS x1, fall AS x2 FROM j WHERE horizon = 't30' AND small IS NOT NULL AND fall IS NOT NULL),
+ss AS (SELECT count(*) AS n, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, var_pop(x1)*count(*) AS s11, var_pop(x2)*count(*) AS s22, covar_pop(x1, x2)*count(*) AS s12, covar_pop(x1, y)*count(*) AS s1y, covar_pop(x2, y)*count(*) AS s2y, var_pop(y)*count(*) AS syy FROM qq),
+bb AS (SELECT *, s11*s22 - s12*s12 AS det, (s1y*s22 - s2y*s12)/(s11*s22 - s12*s12) AS b1, (s2y*s11 - s1y*s12)/(s11*s22 - s12*s12) AS b2 FROM ss),
+ee AS (SELECT *, my - b1*m1 - b2*m2 AS b0, (syy - b1*s1y - b2*s2y)/(n - 3) AS v FROM bb WHERE n > 3)
+SELECT 'intercept' AS factor, round(b0, 6) AS coefficient, round(b0/sqrt(v*(1.0/n + (m1*m1*s22 + m2*m2*s11 - 2*m1*m2*s12)/det)), 4) AS t FROM ee UNION ALL SELECT 'small', round(b1, 6), round(b1/sqrt(v*s22/det), 4) FROM ee UNION ALL SELECT 'fall', round(b2, 6), round(b2/sqrt(v*s11/det), 4) FROM ee""")
+def st10_multi(t):
+    return stats.ols(scored_returns(t).where("horizon = 't30'"), "net", ["small", "fall"]).select("factor", R("coefficient").alias("coefficient"), R("t", 4).alias("t"))
+
+
 @query("st11_top_quintile", _SCORED + ", q AS (SELECT *, ntile(5) OVER (PARTITION BY horizon ORDER BY score, fingerprint) AS b FROM j), m AS (SELECT horizon, tk, avg(net) AS m, count(*) AS n FROM q WHERE b = 5 GROUP BY 1, 2) SELECT horizon, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_clusters, round(avg(m)/(stddev_samp(m)/sqrt(count(*))), 4) AS clustered_t FROM m GROUP BY 1")
 def st11(t):
     return stats.clustered_t(stats.buckets(scored_returns(t), "score", 5, ["horizon"]).where("bucket = 5"), ["horizon"], "net")
@@ -215,10 +263,28 @@ def st17(t):
     return s.select("n", "spearman", F.when(F.col("n") < 5, "inconclusive").when(F.col("spearman") >= 0.7, "redundant").otherwise("distinct").alias("verdict"))
 
 
-@query("st19_threshold_sweep", f"WITH {_T90} SELECT least, count(*) AS n, round(avg(net), 6) AS mean_net FROM r JOIN (VALUES (80000),(100000),(120000),(200000)) v(least) ON value >= least GROUP BY 1")
+_LEASTS, _DAYS = (80_000, 100_000, 120_000, 160_000, 200_000, 240_000), (14, 30, 60)
+
+
+@query("st19_threshold_sweep", f"""
+WITH gap AS (SELECT a.fingerprint, min(abs(datediff('day', a.dt, b.dt))) AS gap FROM buys a JOIN buys b ON a.ticker = b.ticker AND a.director <> b.director AND abs(datediff('day', a.dt, b.dt)) <= 60 AND b.announced <= a.announced GROUP BY 1),
+tr AS (SELECT ticker, dt, close / lag(close, 60) OVER (PARTITION BY ticker ORDER BY dt) - 1 AS ret FROM fx_prices),
+seen AS (SELECT a.* FROM buys a ASOF JOIN tr ON a.ticker = tr.ticker AND a.announced >= tr.dt WHERE a.buy_strictness = 'STRICT_BUY' AND tr.ret IS NOT NULL AND NOT tr.ret BETWEEN -0.10 AND -0.02),
+n AS (SELECT fingerprint, net FROM es WHERE horizon = 't90' AND net IS NOT NULL)
+SELECT l.least::DOUBLE AS least, d.days, count(*) AS n, count(n.net) AS n_matured, round(avg(n.net), 6) AS mean_net FROM seen JOIN (SELECT unnest({list(_LEASTS)}) AS least) l ON seen.value >= l.least CROSS JOIN (SELECT unnest({list(_DAYS)}) AS days) d LEFT JOIN gap USING (fingerprint) LEFT JOIN n USING (fingerprint)
+WHERE gap.gap IS NULL OR gap.gap > d.days GROUP BY 1, 2""")
 def st19(t):
-    levels = F.filter(F.array(*[F.lit(x) for x in (80_000, 100_000, 120_000, 200_000)]), lambda x: F.col("value") >= x)
-    return t90(t).withColumn("least", F.explode(levels)).groupBy("least").agg(n_rows(), R(F.avg("net")).alias("mean_net"))
+    """The lone-buy signal under thresholds a fifth up and down and three windows, with what its firings earned."""
+    fired = signals.lone_sweep(signals.context(t.dealings, t.prices), list(_LEASTS), list(_DAYS))
+    out = fired.join(t90(t).select("fingerprint", "net"), "fingerprint", "left").groupBy("least", "days")
+    return out.agg(n_rows(), F.count("net").alias("n_matured"), R(F.avg("net")).alias("mean_net"))
+
+
+@query("st18_challenger", None)
+def st18(t):
+    """Weights refitted on the first six tenths in time and judged on the rest; a proposal, nothing is changed."""
+    rows = stats.time_split(scored_returns(t).where("horizon = 't90'"))
+    return stats.challenger(rows.where("part = 'train'"), rows.where("part = 'test'"), "net", WEIGHTS)
 
 
 @query("st20_contributors", f"WITH {_T90}, k AS (SELECT signal, fingerprint, net, row_number() OVER (PARTITION BY signal ORDER BY net DESC, fingerprint) AS a, row_number() OVER (PARTITION BY signal ORDER BY net, fingerprint) AS b FROM r) SELECT signal, fingerprint, CASE WHEN a <= 3 THEN 'best' ELSE 'worst' END AS side FROM k WHERE a <= 3 OR b <= 3")
@@ -241,13 +307,15 @@ def st22(t):
     return event_returns(t).groupBy("fingerprint").agg(R(at("t30") - at("t1")).alias("to_t30"), R(at("t90") - at("t30")).alias("to_t90"))
 
 
-@query("cv11_calibration", None)
+@query("cv11_calibration", _SCORED + """, k AS (SELECT horizon, score, net, rank() OVER (PARTITION BY horizon ORDER BY score) + (count(*) OVER (PARTITION BY horizon, score) - 1)/2.0 AS a, rank() OVER (PARTITION BY horizon ORDER BY net) + (count(*) OVER (PARTITION BY horizon, net) - 1)/2.0 AS b FROM j),
+u AS (SELECT horizon, net, 'who' AS factor, who AS x FROM j UNION ALL SELECT horizon, net, 'size', size FROM j UNION ALL SELECT horizon, net, 'small', small FROM j UNION ALL SELECT horizon, net, 'timing', timing FROM j UNION ALL SELECT horizon, net, 'fall', fall FROM j),
+w AS (SELECT horizon, factor, rank() OVER (PARTITION BY horizon, factor ORDER BY x) + (count(*) OVER (PARTITION BY horizon, factor, x) - 1)/2.0 AS a, rank() OVER (PARTITION BY horizon, factor ORDER BY net) + (count(*) OVER (PARTITION BY horizon, factor, net) - 1)/2.0 AS b FROM u WHERE x IS NOT NULL),
+q AS (SELECT *, ntile(5) OVER (PARTITION BY horizon ORDER BY score, fingerprint) AS f5, ntile(10) OVER (PARTITION BY horizon ORDER BY score, fingerprint) AS f10 FROM j), m AS (SELECT horizon, tk, avg(net) AS m FROM q WHERE f5 = 5 GROUP BY 1, 2),
+sp AS (SELECT horizon, net, CASE WHEN row_number() OVER (ORDER BY announced, fingerprint, horizon) <= floor(count(*) OVER () * 0.6) THEN 'train' ELSE 'test' END AS part FROM j)
+SELECT 'rank' AS section, horizon, 'n' AS key, count(*)::DOUBLE AS value FROM k GROUP BY 2 UNION ALL SELECT 'rank', horizon, 'spearman', nullif(round(corr(a, b), 6), 'nan'::DOUBLE) FROM k GROUP BY 2
+UNION ALL SELECT 'slope', horizon, 'ols', round(regr_slope(net, score), 8) FROM j GROUP BY 2 UNION ALL SELECT 'top_fifth', horizon, 'clustered_t', round(avg(m)/(stddev_samp(m)/sqrt(count(*))), 4) FROM m GROUP BY 2
+UNION ALL SELECT 'groups', horizon, 'group_' || lpad(CAST(f10 AS VARCHAR), 2, '0'), round(avg(net), 6) FROM q GROUP BY 2, 3 UNION ALL SELECT 'factors', horizon, factor, nullif(round(corr(a, b), 6), 'nan'::DOUBLE) FROM w GROUP BY 2, 3
+UNION ALL SELECT 'time', horizon, part, round(avg(net), 6) FROM sp GROUP BY 2, 3""")
 def cv11(t):
-    """Rank correlation, slope and top-quintile t per horizon, as section, horizon, key, value rows."""
     rows = scored_returns(t)
-    parts = [
-        stats.spearman(rows, "score", "net", ["horizon"]).select("horizon", F.lit("spearman").alias("key"), F.col("spearman").alias("value")),
-        rows.groupBy("horizon").agg(R(F.regr_slope("net", "score"), 8).alias("value")).select("horizon", F.lit("slope").alias("key"), "value"),
-        stats.clustered_t(stats.buckets(rows, "score", 5, ["horizon"]).where("bucket = 5"), ["horizon"], "net").select("horizon", F.lit("top_quintile_t").alias("key"), F.col("clustered_t").alias("value")),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return stats.calibration(rows, list(WEIGHTS))

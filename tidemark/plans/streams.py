@@ -15,16 +15,18 @@ def _events(t):
     return jobs.file_stream(t.spark, f"{t.sf_dir}/events.parquet")
 
 
-@query("str01_incremental_ingest", "SELECT user_id, event_type, CAST(min(ts) AS DATE) AS first_day, CAST(max(ts) AS DATE) AS last_day, count(*) AS seen_count FROM events GROUP BY 1, 2")
+@query("str01_incremental_ingest", "SELECT user_id, event_type, CAST(min(ts) AS DATE) AS first_day, CAST(max(ts) AS DATE) AS last_day, count(DISTINCT event_id) AS seen_count FROM events GROUP BY 1, 2")
 def str01(t):
-    out = jobs.run_available(jobs.seen_counts(_events(t)), "update", ["user_id", "event_type"], "seen")
+    """Events are counted once each, however often they come, and merged into the table of keys."""
+    out = jobs.ingest_and_upsert(_events(t), ["event_id"], ["user_id", "event_type"], "ts")
     return out.select("user_id", "event_type", F.to_date("first_seen").alias("first_day"), F.to_date("last_seen").alias("last_day"), "seen_count")
 
 
-@query("str02_daily_activity", _P + "SELECT CAST(ts AS DATE) AS day, ticker, count(*) AS n, round(sum(value), 4) AS total FROM p GROUP BY 1, 2")
+@query("str02_monthly_activity", "SELECT CAST(date_trunc('month', ts) AS DATE) AS month, CASE event_type WHEN 'purchase' THEN 'BUY' ELSE 'SELL' END AS type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events WHERE event_type IN ('purchase', 'click') GROUP BY 1, 2")
 def str02(t):
-    out = jobs.run_available(jobs.daily_activity(_events(t)), "update", ["start", "ticker"], "daily")
-    return out.select(F.to_date("start").alias("day"), "ticker", "n", R("total", 4).alias("total"))
+    """Monthly buys and sells from the days of the stream; clicks stand in for sells."""
+    days = jobs.run_available(jobs.daily_activity(_events(t), sell="click"), "update", ["start", "type"], "daily")
+    return jobs.by_month(days).select("month", "type", "n", R("total", 4).alias("total"))
 
 
 @query("str03_first_purchases", _P + "SELECT director, ticker, CAST(min(ts) AS DATE) AS first_day FROM p GROUP BY 1, 2")
@@ -33,14 +35,21 @@ def str03(t):
     return out.select("director", "ticker", F.to_date("first_ts").alias("first_day"))
 
 
-@query("str04_buyer_sessions", _P + """, g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY ticker ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM p),
-s AS (SELECT *, sum(new) OVER (PARTITION BY ticker ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g), c AS (SELECT ticker, k, min(ts) AS start, count(*) AS n FROM s GROUP BY 1, 2) SELECT ticker, CAST(start AS DATE) AS day, count(*) AS n_sessions, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1, 2""")
+@query("str03_first_time_events", _P + "SELECT director, ticker, CAST(min(ts) AS DATE) AS first_day FROM p GROUP BY 1, 2")
+def str03_events(t):
+    """One event for each director and ticker, when its first purchase arrives."""
+    out = jobs.run_available(jobs.first_time_events(_events(t)), "append", ["director", "ticker"], "first-events")
+    return out.select("director", "ticker", F.to_date("first_ts").alias("first_day"))
+
+
+@query("str04_buyer_sessions", _P + """, g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY ticker ORDER BY ts) + INTERVAL 30 DAY THEN 0 ELSE 1 END AS new FROM p),
+s AS (SELECT *, sum(new) OVER (PARTITION BY ticker ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT ticker, CAST(min(ts) AS DATE) AS day, count(*) AS n, list_sort(list(DISTINCT director)) AS directors FROM s GROUP BY ticker, k""")
 def str04(t):
     out = jobs.run_available(jobs.buyer_sessions(_events(t)), "complete", ["start", "ticker"], "sessions")
-    return out.groupBy("ticker", F.to_date("start").alias("day")).agg(F.count(F.lit(1)).alias("n_sessions"), F.sum("n").alias("n"))
+    return out.select("ticker", F.to_date("start").alias("day"), "n", "directors")
 
 
-@query("str05_sliding_buyers", _P + "SELECT CAST(CAST(ts AS DATE) - CAST(i AS INT) AS DATE) AS day, ticker, CAST(count(DISTINCT director) AS INT) AS n_buyers FROM p CROSS JOIN range(7) v(i) GROUP BY 1, 2")
+@query("str05_sliding_buyers", _P + "SELECT CAST(CAST(ts AS DATE) - CAST(i AS INT) AS DATE) AS day, ticker, CAST(count(DISTINCT director) AS INT) AS n_buyers FROM p CROSS JOIN range(30) v(i) GROUP BY 1, 2")
 def str05(t):
     out = jobs.run_available(jobs.sliding_buyers(_events(t)), "complete", ["start", "ticker"], "sliding")
     return out.select(F.to_date("start").alias("day"), "ticker", "n_buyers")
