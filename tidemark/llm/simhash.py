@@ -274,9 +274,10 @@ PAIR_BUCKET = 16
 BLOCK, DENSE = 512, 4
 #: Near pairs that each two groups of a dense block give in the first further round; each later round gives eight times as many.
 ROUND_PAIRS = 512
-#: In further rounds, pairs differ in at most so many of all 640 bits: those of similarity 0.8 differ in 97 with deviation 9.
-#: Texts of fewer shingles than SMALL differ in more bits at the same similarity, so for them it is the second number.
-WIDE_BITS, SMALL = (127, 150), 32
+#: In further rounds, members of crowded buckets get a print of LONG_WORDS * 64 bits, and pairs differ in at most so many of them: those of
+#: similarity 0.8 differ in 309 with deviation 16, those of 0.7 in 390. Texts of fewer shingles than SMALL differ in more bits at the same
+#: similarity, so for them it is the second number.
+LONG_WORDS, LONG_BITS, SMALL = 32, (364, 450), 32
 
 
 def shingle_hashes(text: str, words: int, seed: int = 42) -> np.ndarray:
@@ -289,9 +290,8 @@ def shingle_hashes(text: str, words: int, seed: int = 42) -> np.ndarray:
     return np.unique(np.fromiter(many, np.uint64)) if tokens else np.empty(0, np.uint64)
 
 
-def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """SimHash of WIDE_PARTS * PART_BITS bits, as WIDE_PARTS numbers; each word of bits comes from a remix of the hashes."""
-    n_words = WIDE_PARTS * PART_BITS // BITS
+def _words_of_bits(hashes: np.ndarray, n_words: int) -> np.ndarray:
+    """SimHash of n_words * 64 bits as 0 and 1; each word of bits comes from a remix of the hashes."""
     ones = np.zeros((n_words, BITS), np.int64)
     for k in range(n_words):
         h = hashes ^ np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & 0xFFFFFFFFFFFFFFFF)
@@ -300,36 +300,35 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
         h ^= h >> np.uint64(31)
         for at in range(0, len(h), 16384):
             ones[k] += np.unpackbits(h[at : at + 16384].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    bits = (2 * ones > len(hashes)).ravel()
+    return (2 * ones > len(hashes)).ravel()
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of WIDE_PARTS * PART_BITS bits, as WIDE_PARTS numbers."""
+    bits = _words_of_bits(hashes, WIDE_PARTS * PART_BITS // BITS)
     return np.packbits(bits).view(np.uint8).reshape(WIDE_PARTS, PART_BITS // 8) @ np.array([256, 1])
 
 
 def _wide(rows: DataFrame, words: int) -> DataFrame:
-    """Rows (id, LOCATOR, p1, p2, parts, print, size, same) of each text.
-
-    128 bits of the fingerprint, its partitions' values (none without words), all its bits, the number of shingles, a digest of them.
-    """
+    """Rows (id, LOCATOR, p1, p2, parts, same): 128 bits of the fingerprint, its partitions' values (none without words), a digest of the shingles."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_for("simhash")
         for batch in batches:
             prints, parts, same = np.zeros((batch.num_rows, 2), np.uint64), [], np.zeros(batch.num_rows, np.uint64)
-            whole, sizes = [], np.zeros(batch.num_rows, np.int32)
             for i, text in enumerate(batch.column("text").to_pylist()):
                 hashes = shingle_hashes(text, words)
                 parts.append(wide_fingerprint(hashes).tolist() if len(hashes) else [])
-                whole.append(np.array(parts[-1], np.uint16).tobytes())
-                sizes[i] = len(hashes)
                 same[i] = xxhash.xxh64_intdigest(hashes.tobytes())
                 for p in range(8 if len(hashes) else 0):
                     prints[i, p // 4] |= np.uint64(parts[-1][p] << 16 * (p % 4))
             keys = [batch.column(c) for c in ("id", *LOCATOR)]
-            columns = [*keys, _signed(prints[:, 0].copy()), _signed(prints[:, 1].copy()), pa.array(parts, pa.list_(pa.int32())), pa.array(whole, pa.binary()), pa.array(sizes), _signed(same)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", *LOCATOR, "p1", "p2", "parts", "print", "size", "same"])
+            columns = [*keys, _signed(prints[:, 0].copy()), _signed(prints[:, 1].copy()), pa.array(parts, pa.list_(pa.int32())), _signed(same)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", *LOCATOR, "p1", "p2", "parts", "same"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, {LOCATOR[0]} string, {LOCATOR[1]} long, p1 long, p2 long, parts array<int>, print binary, size int, same long")
+    return rows.mapInArrow(run, f"id {kind}, {LOCATOR[0]} string, {LOCATOR[1]} long, p1 long, p2 long, parts array<int>, same long")
 
 
 def _distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -475,14 +474,17 @@ def _linked(wide: DataFrame, rows: DataFrame, words: int, least: float, work: st
         if again.isEmpty():
             return reached
         turn += 1
+        if turn == 1:  # later rounds come back to some of these buckets only
+            asked = values.join(again.drop("n"), ["part", "value"], "left_semi").select("k").distinct()
+            prints = _long_prints(asked, wide, rows, words, f"{work}/prints")
 
         def compare(part: int, value: int, k: np.ndarray, root: np.ndarray, whole: np.ndarray, size: np.ndarray, most: int = most) -> pa.RecordBatch:
             p = np.frombuffer(b"".join(whole), np.uint64).reshape(len(k), -1)
-            i, j, more = crossing(p, root, np.where(size < SMALL, WIDE_BITS[1], WIDE_BITS[0]), most)
+            i, j, more = crossing(p, root, np.where(size < SMALL, LONG_BITS[1], LONG_BITS[0]), most)
             return pa.RecordBatch.from_arrays([pa.array(k[i]), pa.array(k[j]), pa.array(more)], ["a", "b", "more"])
 
         with configured(wide.sparkSession, _FEW_GROUPS):
-            mine = values.select("part", "value", "k").join(again.drop("n"), ["part", "value"], "left_semi").join(wide.select("k", "print", "size"), "k")
+            mine = values.select("part", "value", "k").join(again.drop("n"), ["part", "value"], "left_semi").join(prints, "k")
             met = stored(_in_blocks(named(mine, "k", "root"), again, ["root", "print", "size"], compare, "a long, b long, more boolean"), f"{work}/met={turn}")
         new = stored(met.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), f"{work}/new={turn}")
         links = _verified(new, wide, rows, words, least, f"{work}/round={turn}")
@@ -497,10 +499,28 @@ def _linked(wide: DataFrame, rows: DataFrame, words: int, least: float, work: st
         most *= 8
 
 
+def _texts(asked: DataFrame, wide: DataFrame, rows: DataFrame, path: str) -> DataFrame:
+    """Rows (k, text) of the keys asked for."""
+    located_keys = stored(asked.join(wide.select("k", *LOCATOR), "k").withColumn("n", F.lit(1)), path)
+    return rows.select(*LOCATOR, "text").join(located_keys.where("n > 0"), list(LOCATOR)).select("k", "text")
+
+
+def _long_prints(asked: DataFrame, wide: DataFrame, rows: DataFrame, words: int, path: str) -> DataFrame:
+    """Rows (k, print, size): LONG_WORDS * 64 bits of SimHash and the number of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [shingle_hashes(t, words) for t in batch.column("text").to_pylist()]
+            data = [np.packbits(_words_of_bits(h, LONG_WORDS)).tobytes() for h in hashes]
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(data, pa.binary()), pa.array([len(h) for h in hashes], pa.int32())], ["k", "print", "size"])
+
+    with configured(rows.sparkSession, BLOOM_CONF):
+        return stored(_texts(asked, wide, rows, f"{path}-asked").mapInArrow(run, "k long, print binary, size int"), path)
+
+
 def _verified(pairs: DataFrame, wide: DataFrame, rows: DataFrame, words: int, least: float, work: str) -> DataFrame:
     """The pairs whose sets of word shingles (by 64 bits of their hashes) have a Jaccard similarity of ``least`` or more."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(wide.select("k", *LOCATOR), "k")
-    asked = stored(asked.withColumn("n", F.lit(1)), f"{work}/asked")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -517,8 +537,7 @@ def _verified(pairs: DataFrame, wide: DataFrame, rows: DataFrame, words: int, le
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     with configured(rows.sparkSession, BLOOM_CONF):
-        texts = rows.select(*LOCATOR, "text").join(asked.where("n > 0"), list(LOCATOR)).select("k", "text")
-        found = stored(texts.mapInArrow(sets, "k long, set binary"), f"{work}/sets")
+        found = stored(_texts(asked, wide, rows, f"{work}/asked").mapInArrow(sets, "k long, set binary"), f"{work}/sets")
     both = pairs.join(found.select(F.col("k").alias("a"), F.col("set").alias("sa")), "a").join(found.select(F.col("k").alias("b"), F.col("set").alias("sb")), "b")
     return stored(both.select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long"), f"{work}/verified")
 
