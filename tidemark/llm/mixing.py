@@ -13,6 +13,9 @@ fraction; the running size comes from fixed hash buckets (totals per bucket,
 prefix sums of those, and a running sum inside the bucket), so that no task
 holds more than one bucket of a source.
 
+Rows of one hash and size go by where they are, so the same ones are taken if a
+task runs again.
+
 Defined results: null text has size 0; null is a source of its own, ordered
 last; a source of size 0 has target 0; repeated rows are documents of their
 own; an empty table gives an empty result; other columns are ignored.
@@ -67,12 +70,15 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    carry: tuple[str, ...] = (),
+    carry: bool = False,
 ) -> DataFrame:
-    """One row per document: id, source, size, source_size, target, repeats (whole copies taken), taken, carried columns."""
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("mix")).cast("binary"))
-    sized = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(whole_text(text_col)).alias("size"), key.alias("k"), *carry
+    """One row per document: id, source, size, source_size, target, repeats (whole copies taken), taken; LOCATOR too with ``carry``."""
+    rows = located(docs)
+    # rows without an identifier are dealt out by where they are
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("#"), F.col(LOCATOR[1]).cast("string")))
+    key = F.md5(F.concat_ws(":", F.lit(seed), name, F.lit("mix")).cast("binary"))
+    sized = rows.select(
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(whole_text(text_col)).alias("size"), key.alias("k"), *LOCATOR
     ).withColumn("bucket", F.substring("k", 1, BUCKET_DIGITS))
     buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     per_source = buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))
@@ -86,20 +92,20 @@ def mix_sources(
         # words still wanted after the whole repetitions
         .withColumn("wanted", F.col("target") - F.col("whole") * F.col("source_size"))
     )
-    inside = Window.partitionBy("source", "bucket").orderBy("k", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("source", "bucket").orderBy("k", "id", "size", *LOCATOR).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = sized.withColumn("through", F.sum("size").over(inside)).alias("d").join(
         plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.bucket") == F.col("p.bucket"))
     )
     middle = F.col("bucket_start") + F.col("through") - F.col("size") / F.lit(2.0)
     repeats = F.col("whole") + F.when(middle < F.col("wanted"), F.lit(1)).otherwise(F.lit(0))
     return placed.select(
-        F.col("id").alias(id_col), F.col("d.source").alias(source_col), "size", "source_size", "target", repeats.cast("long").alias("repeats"), *carry
+        F.col("id").alias(id_col), F.col("d.source").alias(source_col), "size", "source_size", "target", repeats.cast("long").alias("repeats"), *(LOCATOR if carry else ())
     ).withColumn("taken", F.col("repeats") * F.col("size"))
 
 
 def take_mix(docs: DataFrame, weights: list[float], share: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; columns as given."""
     rows = located(docs)
-    taken = mix_sources(rows, weights, share, max_epochs, seed, carry=LOCATOR).where("repeats > 0")
+    taken = mix_sources(rows, weights, share, max_epochs, seed, carry=True).where("repeats > 0")
     copies = taken.select(*LOCATOR, F.array_repeat(F.lit(1), F.col("repeats").cast("int")).alias("__copies"))
     return rows.join(copies, list(LOCATOR)).select(*docs.columns, F.explode("__copies").alias("__copy")).drop("__copy")
