@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.clean import SENIOR, TIERS, lookup, role_tier
-from tidemark.operators.timeseries import last_until
+from tidemark.operators.timeseries import distinct_in_reach, last_until
 
 KEEP = ["fingerprint", "ticker", "director", "dt", "announced", "role", "shares", "value"]
 
@@ -74,9 +74,8 @@ def cluster_buy(ctx: Context) -> DataFrame:
 
 def first_time_buy(ctx: Context) -> DataFrame:
     """No buy by the director in the ticker announced before."""
-    own = Window.partitionBy("director", "ticker")
-    first = ctx.buys.withColumn("first", F.min("announced").over(own)).where("announced = first AND buy_strictness = 'STRICT_BUY'")
-    return _fired(first, "f1_first_time_buy", "med")
+    first = ctx.buys.groupBy("director", "ticker").agg(F.min("announced").alias("announced"))
+    return _fired(ctx.strict.join(first, ["director", "ticker", "announced"], "left_semi"), "f1_first_time_buy", "med")
 
 
 def lone_conviction(ctx: Context, least: float = 200_000, days: int = 30, back: int = 60) -> DataFrame:
@@ -110,10 +109,11 @@ def lone_sweep(ctx: Context, leasts: list[float], windows: list[int], back: int
 def crowd_windows(buys: DataFrame, least: int = 4, days: int = 30, hold: int = 60) -> DataFrame:
     """Merged suppression windows (ticker, start, stop): ``least`` distinct directors within ``days`` suppress for ``hold`` days."""
     day = F.datediff("announced", F.lit("1970-01-01").cast("date"))
-    recent = Window.partitionBy("ticker").orderBy("day").rangeBetween(-days, 0)
-    crowds = buys.withColumn("day", day).withColumn("n", F.size(F.collect_set("director").over(recent))).where(F.col("n") >= least)
+    rows = buys.withColumn("day", day)
+    counts = distinct_in_reach(rows, ["ticker"], "director", "day", 0, days).where(F.col("n") >= least)
+    # one row a day; between buys the count only falls, so days without one start nothing
+    starts = counts.join(rows.select("ticker", "day").distinct(), ["ticker", "day"], "left_semi").select("ticker", "day")
     ordered = Window.partitionBy("ticker").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    starts = crowds.select("ticker", "day").distinct()
     merged = starts.withColumn("new", F.when(F.col("day") <= F.max("day").over(ordered) + hold, 0).otherwise(1))
     merged = merged.withColumn("island", F.sum("new").over(Window.partitionBy("ticker").orderBy("day")))
     epoch = F.lit("1970-01-01").cast("date")

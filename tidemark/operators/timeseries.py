@@ -66,3 +66,20 @@ def at_offsets(entries: DataFrame, indexed: DataFrame, horizons: dict[str, int],
 def rolling(prices: DataFrame, column: Column, rows: int, own: bool = True) -> Column:
     """``column`` (an aggregate) over the last ``rows`` trading days, with or without the own row."""
     return column.over(Window.partitionBy("ticker").orderBy("dt").rowsBetween(-rows, 0 if own else -1))
+
+
+def distinct_in_reach(rows: DataFrame, keys: list[str], member: str, day: str, back: int, ahead: int) -> DataFrame:
+    """Rows (keys, day, n): on how many members' days, moved by ``back`` to ``ahead`` days, each day lies.
+
+    A member's day D reaches from D + back to D + ahead; where its days overlap, the later one starts after the earlier
+    one ends, so a member counts once. A running sum of starts and ends gives the count; it changes only on the days
+    given, and the members' own days are among them. Windows hold one row a day: of a member, then of a key.
+    """
+    own = rows.where(F.col(day).isNotNull() & F.col(member).isNotNull()).select(*keys, member, F.col(day).alias("_at")).distinct()
+    before = F.lag("_at").over(Window.partitionBy(*keys, member).orderBy("_at"))
+    spans = own.withColumn("_from", F.greatest(F.col("_at") + back, F.coalesce(before + ahead + 1, F.col("_at") + back)))
+    turn = lambda at, by: F.struct(at.alias("day"), F.lit(by).alias("_by"))
+    turns = spans.select(*keys, F.explode(F.array(turn(F.col("_from"), 1), turn(F.col("_at"), 0), turn(F.col("_at") + ahead + 1, -1))).alias("_t")).select(*keys, "_t.*")
+    daily = turns.groupBy(*keys, "day").agg(F.sum("_by").alias("_by"))
+    run = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    return daily.select(*keys, "day", F.sum("_by").over(run).alias("n"))

@@ -459,6 +459,16 @@ def cl02(t):
     return clusters.summaries(clustered(t)).withColumn("total_value", R("total_value", 2))
 
 
+@query("cl02_cluster_members", _CLUSTERS + "SELECT cluster_id, director, count(*) AS n_buys, round(sum(value), 2) AS total_value, min(dt) AS first_date, max(dt) AS last_date FROM cl GROUP BY 1, 2")
+def cl02_members(t):
+    return clusters.members(clustered(t)).withColumn("total_value", R("total_value", 2))
+
+
+@query("cl02_cluster_lists", _CLUSTERS + "SELECT cluster_id, list_sort(list(DISTINCT director)) AS directors, list_sort(list(fingerprint)) AS fingerprints FROM cl GROUP BY 1")
+def cl02_lists(t):
+    return clusters.listed(clustered(t))
+
+
 @query("cl03_cluster_state", _SUMMARY + f"SELECT cluster_id, CASE WHEN datediff('day', last_date, DATE '{AS_OF}') < 30 THEN 'active' WHEN datediff('day', last_date, DATE '{AS_OF}') <= 90 THEN 'brewing' ELSE 'past' END AS state FROM s WHERE last_date <= DATE '{AS_OF}'")
 def cl03(t):
     return clusters.summaries(clustered(t)).where(F.col("last_date") <= D(AS_OF)).select("cluster_id", clusters.state(F.col("last_date"), AS_OF).alias("state"))

@@ -51,5 +51,6 @@ def str04(t):
 
 @query("str05_sliding_buyers", _P + "SELECT CAST(CAST(ts AS DATE) - CAST(i AS INT) AS DATE) AS day, ticker, CAST(count(DISTINCT director) AS INT) AS n_buyers FROM p CROSS JOIN range(30) v(i) GROUP BY 1, 2")
 def str05(t):
-    out = jobs.run_available(jobs.sliding_buyers(_events(t)), "complete", ["start", "ticker"], "sliding")
-    return out.select(F.to_date("start").alias("day"), "ticker", "n_buyers")
+    """The stream keeps each director's buying days; starts and ends of their reach are counted over them."""
+    days = jobs.run_available(jobs.buying_days(_events(t)), "update", ["day", "ticker", "director"], "sliding")
+    return jobs.sliding_counts(days).select(F.col("start").alias("day"), "ticker", "n_buyers")

@@ -11,9 +11,11 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.timeseries import distinct_in_reach
+
 
 def work_path(spark: SparkSession, label: str) -> str:
     """A new path in the folder named by spark.checkpoint.dir; a temporary one only where that is unset and all is one process."""
@@ -134,8 +136,21 @@ def buyer_sessions(events: DataFrame, gap: str = "30 days") -> DataFrame:
     return out.select(F.col("session_window.start").alias("start"), "ticker", "n", F.sort_array("directors").alias("directors"))
 
 
-def sliding_buyers(events: DataFrame, span: str = "30 days", exact: bool = True) -> DataFrame:
-    """Distinct buyers per ticker in sliding windows a day apart; ``exact=False`` counts by a sketch of fixed size."""
-    many = F.size(F.collect_set("director")) if exact else F.approx_count_distinct("director").cast("int")
-    out = purchases(events).groupBy(F.window("ts", span, "1 day"), "ticker").agg(many.alias("n_buyers"))
+def buying_days(events: DataFrame) -> DataFrame:
+    """The days on which each director bought each ticker, once each."""
+    return purchases(events).groupBy(F.to_date("ts").alias("day"), "ticker", "director").agg(F.count(F.lit(1)).alias("n"))
+
+
+def sliding_counts(days: DataFrame, span: int = 30) -> DataFrame:
+    """Rows (start, ticker, n_buyers): distinct buyers in windows of ``span`` days, a day apart, from the days of ``buying_days``; windows without buyers are left out."""
+    epoch = F.lit("1970-01-01").cast("date")
+    counts = distinct_in_reach(days.withColumn("_day", F.datediff("day", epoch)), ["ticker"], "director", "_day", 1 - span, 0)
+    until = F.lead("day").over(Window.partitionBy("ticker").orderBy("day"))
+    runs = counts.withColumn("_until", until).where("n > 0")
+    return runs.select(F.explode(F.sequence("day", F.col("_until") - 1)).alias("_d"), "ticker", "n").select(F.date_add(epoch, F.col("_d")).alias("start"), "ticker", F.col("n").cast("int").alias("n_buyers"))
+
+
+def sliding_buyers(events: DataFrame, span: str = "30 days") -> DataFrame:
+    """Distinct buyers per ticker in sliding windows a day apart, counted by a sketch of fixed size; ``sliding_counts`` counts exactly."""
+    out = purchases(events).groupBy(F.window("ts", span, "1 day"), "ticker").agg(F.approx_count_distinct("director").cast("int").alias("n_buyers"))
     return out.select(F.col("window.start").alias("start"), "ticker", "n_buyers")
