@@ -2,19 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.checks import parity
+from tidemark.streaming.tables import parted_merge
+
+
+def fold_edits(edits: DataFrame, key: str, fields: list[str], at: str) -> DataFrame:
+    """One edit per key: the last action and, of each field, the last value that was given since the last rejection or addition.
+
+    ``given`` (an array of field names) tells which fields an edit sets, so that a field can be set to null; without that
+    column the fields that are not null are given.
+    """
+    given = F.col("given") if "given" in edits.columns else F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in fields]))
+    rows = edits.withColumn("given", given)
+    # an update after a rejection or an addition rests on it; what came before is void
+    start = F.max(F.when(F.col("action") != "update", F.col(at))).over(Window.partitionBy(key))
+    live = rows.withColumn("_start", start).where(F.col("_start").isNull() | (F.col(at) >= F.col("_start")))
+    last = lambda c: F.max_by(F.when(F.array_contains("given", c), F.struct(F.col(c).alias("v"))), F.when(F.array_contains("given", c), F.col(at)))
+    folded = live.groupBy(key).agg(F.min_by("action", at).alias("action"), F.max("_start").alias("_start"), *[last(c).alias(f"_{c}") for c in fields])
+    # no rejection or addition: an update; else what the first of the live edits is
+    return folded.select(key, F.when(F.col("_start").isNull(), "update").otherwise(F.col("action")).alias("action"), *[f"_{c}" for c in fields])
+
 
+def apply_edits(rows: DataFrame, edits: DataFrame, key: str, at: str | None = None, rekey: Callable[..., Column] | None = None) -> DataFrame:
+    """Edits (key, action, fields, time ``at``): update sets the fields given, add appends, reject removes.
 
-def apply_edits(rows: DataFrame, edits: DataFrame, key: str) -> DataFrame:
-    """Edits (key, action, fields): update replaces fields that are given, add appends, reject removes."""
+    Edits of one key are folded in order of time, so each row comes out once. With ``rekey`` (the key of a row by its
+    fields) an edit that changes the key is a removal under the old one and an addition under the new one; if a row of that
+    key is there already, the edited one replaces it.
+    """
     fields = [c for c in rows.columns if c != key]
-    changes = edits.where("action <> 'add'").select(key, "action", *[F.col(c).alias(f"_{c}") for c in fields])
+    timed = edits if at else edits.withColumn("_at", F.monotonically_increasing_id())
+    folded = fold_edits(timed, key, fields, at or "_at")
+    changes = folded.where("action <> 'add'")
     merged = rows.join(changes, key, "left").where("action IS NULL OR action <> 'reject'")
-    kept = merged.select(key, *[F.coalesce(f"_{c}", c).alias(c) for c in fields])
-    return kept.unionByName(edits.where("action = 'add'").select(key, *fields))
+    set_to = lambda c: F.when(F.col(f"_{c}").isNotNull(), F.col(f"_{c}.v")).otherwise(F.col(c)).alias(c)
+    kept = merged.select(key, *[set_to(c) for c in fields], F.col("action").isNotNull().alias("_edited"))
+    added = folded.where("action = 'add'").select(key, *[F.col(f"_{c}.v").alias(c) for c in fields], F.lit(True).alias("_edited"))
+    out = kept.join(added.select(key), key, "left_anti").unionByName(added)
+    if rekey is None:
+        return out.drop("_edited")
+    moved = out.where("_edited").withColumn("_old", F.col(key)).withColumn(key, rekey(*[F.col(c) for c in fields]))
+    # of several rows that come under one key the latest by old key stays; untouched ones of that key give way
+    last = moved.groupBy(key).agg(F.max_by(F.struct(*fields), "_old").alias("_v")).select(key, "_v.*")
+    return out.where("NOT _edited").drop("_edited").join(last.select(key), key, "left_anti").unionByName(last)
+
+
+def refresh_dependents(before: DataFrame, after: DataFrame, dependents: DataFrame, key: str, part: str, derive: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``dependents`` of rows, derived anew only for the parts (such as tickers) in which a row was added, removed or changed.
+
+    ``derive`` gives the dependents of whole parts; those of other parts stay as they are.
+    """
+    columns = [c for c in before.columns if c not in (key, part)]
+    digest = lambda df: df.select(key, part, F.xxhash64(*columns).alias("_h"))
+    a, b = digest(before), digest(after)
+    same = [key, part, "_h"]
+    touched = a.join(b, same, "left_anti").select(part).unionByName(b.join(a, same, "left_anti").select(part)).distinct()
+    fresh = derive(after.join(touched, part, "left_semi"))
+    return dependents.join(touched, part, "left_anti").unionByName(fresh.select(*dependents.columns))
 
 
 def upsert_seen(old: DataFrame, new: DataFrame, key: str, seen_at: str) -> DataFrame:
@@ -33,6 +82,17 @@ def upsert_seen(old: DataFrame, new: DataFrame, key: str, seen_at: str) -> DataF
     )
 
 
+def upsert_into(new: DataFrame, number: int, target: str, key: str, seen_at: str, parts: int = 64) -> list[int]:
+    """``upsert_seen`` into the parted table at ``target``, rewriting only the parts that ``new`` touches; number ``number`` counts once."""
+
+    def merge(old: DataFrame | None, rows: DataFrame) -> DataFrame:
+        fields = [c for c in rows.columns if c != key]
+        empty = rows.limit(0).select(key, *fields, F.lit(None).cast("date").alias("first_seen"), F.lit(None).cast("date").alias("last_seen"), F.lit(0).alias("seen_count"))
+        return upsert_seen(empty if old is None else old, rows, key, seen_at)
+
+    return parted_merge(new, number, target, [key], merge, parts)
+
+
 def insert_new(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """``old`` with the rows of ``new`` whose key it has not got."""
     return old.unionByName(new.join(old.select(*key), key, "left_anti"))

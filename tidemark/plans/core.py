@@ -245,9 +245,10 @@ def fil08(t):
     return eventstudy.entries(tier_firings(t), ts.trade_index(t.prices)).where("entry_idx > 30").select("fingerprint", (F.col("entry_idx") - 1).alias("history"))
 
 
-@query("fil10_outlier_flag", "SELECT signal, max(abs(car)) > 0.2 AS outlier FROM es GROUP BY signal")
+@query("fil10_outlier_flag", "SELECT signal, max(abs(car)) > 2.0 AS outlier FROM es GROUP BY signal")
 def fil10(t):
-    return event_returns(t).groupBy("signal").agg((F.max(F.abs("car")) > 0.2).alias("outlier"))
+    """Whether any abnormal return of a signal exceeds 200 %."""
+    return event_returns(t).groupBy("signal").agg((F.max(F.abs("car")) > 2.0).alias("outlier"))
 
 
 @query("fil11_type_scope", "SELECT type, count(*) AS n FROM fx_dealings WHERE type NOT IN ('SELL_TAX','GRANT','SIP','EXERCISE') GROUP BY type")
@@ -416,6 +417,50 @@ def jn20(t):
     return apply_edits(t.dealings.select("fingerprint", "value"), update.union(reject).union(add), "fingerprint")
 
 
+def _keyed_edits(t):
+    """Dealings keyed by number and shares, and edits: values twice (the later one counts), shares (a new key), a rejection and an addition after it."""
+    fp, key = F.col("fingerprint"), F.concat_ws("-", "fingerprint", "shares")
+    rows = t.dealings.select(key.alias("k"), "fingerprint", "ticker", "shares", "value")
+    no = lambda kind: F.lit(None).cast(kind)
+
+    def edit(inside, action, at, shares=no("long"), value=no("double"), given=("value",), ticker=no("string")):
+        return rows.where(inside).select("k", F.lit(action).alias("action"), fp, ticker.alias("ticker"), shares.alias("shares"), value.alias("value"), F.array(*[F.lit(g) for g in given]).alias("given"), F.lit(at).alias("at"))
+
+    edits = edit(fp % 5 == 1, "update", 1, value=F.col("value") * 2).unionByName(edit(fp % 10 == 1, "update", 2, value=F.col("value") * 3))
+    edits = edits.unionByName(edit(fp % 7 == 3, "update", 3, shares=F.col("shares") + 1, given=("shares",))).unionByName(edit(fp % 11 == 5, "update", 4))
+    edits = edits.unionByName(edit(fp % 13 == 6, "reject", 5, given=("action",)))
+    again = edit(fp % 26 == 6, "add", 6, shares=F.col("shares"), value=F.lit(1.0), given=("fingerprint", "ticker", "shares", "value"), ticker=F.col("ticker"))
+    return rows, edits.unionByName(again)
+
+
+_EDITED = """ed AS (SELECT CAST(fingerprint AS VARCHAR) || '-' || CAST(s AS VARCHAR) AS k, fingerprint, ticker, s AS shares, v AS value FROM (
+ SELECT *, CASE WHEN fingerprint % 26 = 6 THEN shares WHEN fingerprint % 7 = 3 THEN shares + 1 ELSE shares END AS s,
+ CASE WHEN fingerprint % 26 = 6 THEN 1.0 WHEN fingerprint % 11 = 5 THEN NULL WHEN fingerprint % 10 = 1 THEN value * 3 WHEN fingerprint % 5 = 1 THEN value * 2 ELSE value END AS v
+ FROM fx_dealings WHERE fingerprint % 13 <> 6 OR fingerprint % 26 = 6))"""
+
+
+def _edited(t):
+    from tidemark.operators.writes import apply_edits
+
+    rows, edits = _keyed_edits(t)
+    return rows, kept(apply_edits(rows, edits, "k", "at", rekey=lambda fingerprint, ticker, shares, value: F.concat_ws("-", fingerprint, shares)), "edited")
+
+
+@query("jn20_key_changes", f"WITH {_EDITED} SELECT k, fingerprint, ticker, shares, value FROM ed")
+def jn20_keys(t):
+    return _edited(t)[1]
+
+
+@query("jn20_refreshed_firings", f"WITH {_EDITED} SELECT k, ticker, value >= 200000 AS large FROM ed WHERE value >= 100000")
+def jn20_firings(t):
+    """What large rows fire is derived anew for the tickers that edits touch, and kept for the others."""
+    from tidemark.operators.writes import refresh_dependents
+
+    fire = lambda rows: rows.where("value >= 100000").select("k", "ticker", (F.col("value") >= 200_000).alias("large"))
+    rows, edited = _edited(t)
+    return refresh_dependents(rows, edited, fire(rows), "k", "ticker", fire)
+
+
 @query("jn21_price_markers", """
 SELECT p.ticker, p.dt, p.close, count(d.fingerprint) AS n_dealings, coalesce(list_sort(list(d.type) FILTER (d.type IS NOT NULL)), []) AS types FROM fx_prices p LEFT JOIN fx_dealings d
 ON p.ticker = d.ticker AND p.dt = d.dt GROUP BY 1, 2, 3""")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import checks, eventstudy, extract, timeseries, writes
+from tidemark.operators import checks, eventstudy, extract, groups, timeseries, writes
 from tidemark.plans.aggregates import n_rows
 from tidemark.plans.core import AS_OF, D, R, buys, tier_firings
 from tidemark.plans.registry import query
 from tidemark.streaming.jobs import work_path
+from tidemark.streaming.tables import parted_table
 
 # Derived prices have an error every so often, so that the checks find something.
 _PRICED = """priced AS (SELECT d.*, p.close, CASE d.fingerprint % 6 WHEN 0 THEN p.close*100 WHEN 1 THEN p.close*7 WHEN 2 THEN p.close*1000 ELSE p.close*1.1 END AS price
@@ -94,6 +95,16 @@ def dq09(t):
     return checks.near_duplicates(t.dealings)
 
 
+@query("dq09_survivors", """SELECT fingerprint, group_key, group_key = fingerprint AS stays FROM (
+WITH RECURSIVE e AS (SELECT a.fingerprint AS a, b.fingerprint AS b FROM fx_dealings a JOIN fx_dealings b ON a.director = b.director AND a.fingerprint <> b.fingerprint AND abs(datediff('day', a.dt, b.dt)) <= 7
+  AND abs(a.value - b.value) <= 0.05 * CASE WHEN a.dt < b.dt THEN a.value WHEN b.dt < a.dt THEN b.value ELSE least(a.value, b.value) END),
+reach AS (SELECT fingerprint AS a, fingerprint AS b FROM fx_dealings UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
+SELECT reach.a AS fingerprint, arg_min(d.fingerprint, (d.dt, d.fingerprint)) AS group_key FROM reach JOIN fx_dealings d ON d.fingerprint = reach.b GROUP BY 1)""")
+def dq09_survivors(t):
+    """Of each chain of near dealings the first stays."""
+    return groups.near_groups(t.dealings).select("fingerprint", "group_key", "stays")
+
+
 _DIFF = """x AS (SELECT fingerprint, field, CASE WHEN fingerprint % 13 = 0 THEN 'FAILED' WHEN fingerprint % 17 = 0 AND field = 'value' THEN 'AMBIGUOUS' ELSE v END AS verdict FROM (
  SELECT fingerprint, 'value' AS field, CASE WHEN fingerprint % 7 = 0 THEN 'MAJOR' WHEN fingerprint % 5 = 0 THEN 'MINOR' ELSE 'MATCH' END AS v FROM fx_dealings
  UNION ALL SELECT fingerprint, 'role', CASE WHEN fingerprint % 11 = 0 THEN 'MAJOR' WHEN fingerprint % 3 = 0 THEN 'MINOR' ELSE 'MATCH' END FROM fx_dealings UNION ALL SELECT fingerprint, 'type', 'MATCH' FROM fx_dealings))"""
@@ -293,6 +304,16 @@ def snk01(t):
     return writes.upsert_seen(old, rows.where("fingerprint % 2 = 0 OR fingerprint % 3 = 0"), "fingerprint", "1998-02-01")
 
 
+@query("snk01_parted_upsert", """SELECT fingerprint, value, DATE '1998-01-01' + CAST(least(fingerprint % 3, 1) AS INT) * 31 AS first_seen, CASE WHEN fingerprint % 5 = 0 THEN DATE '1998-03-01' WHEN fingerprint % 3 = 0 THEN DATE '1998-01-01' ELSE DATE '1998-02-01' END AS last_seen,
+ 1 + CAST(fingerprint % 5 = 0 AS INT) AS seen_count FROM fx_dealings""")
+def snk01_parted(t):
+    """Three numbered batches into a table of parts; the second comes twice and counts once."""
+    rows, target, fp = t.dealings.select("fingerprint", "value"), work_path(t.spark, "upsert"), F.col("fingerprint")
+    for number, inside, seen in ((0, fp % 3 == 0, "1998-01-01"), (1, fp % 3 != 0, "1998-02-01"), (1, fp % 3 != 0, "1998-02-01"), (2, fp % 5 == 0, "1998-03-01")):
+        writes.upsert_into(rows.where(inside), number, target, "fingerprint", seen, parts=16)
+    return parted_table(t.spark, target).select("fingerprint", "value", "first_seen", "last_seen", "seen_count")
+
+
 @query("snk02_insert_new", "SELECT ticker, dt, close FROM fx_prices WHERE dt < DATE '1997-01-01' UNION ALL SELECT ticker, dt, close + 1 FROM fx_prices WHERE dt >= DATE '1997-01-01'")
 def snk02(t):
     p = t.prices.select("ticker", "dt", "close")

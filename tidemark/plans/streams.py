@@ -18,10 +18,26 @@ def _events(t):
 @query("str01_incremental_ingest", "SELECT user_id, event_type, CAST(min(ts) AS DATE) AS first_day, CAST(max(ts) AS DATE) AS last_day, count(DISTINCT event_id) AS seen_count FROM events GROUP BY 1, 2")
 def str01(t):
     """Events are counted once each, however often they come, and merged into the table of keys."""
-    out = jobs.ingest_and_upsert(_events(t), ["event_id"], ["user_id", "event_type"], "ts")
+    work = jobs.work_path(t.spark, "ingest")
+    return _seen(jobs.ingest_and_upsert(_events(t), ["event_id"], ["user_id", "event_type"], "ts", f"{work}/table", f"{work}/checkpoint"))
+
+
+def _seen(out):
     return out.select("user_id", "event_type", F.to_date("first_seen").alias("first_day"), F.to_date("last_seen").alias("last_day"), "seen_count")
 
 
+@query("str01_restarted_ingest", "SELECT user_id, event_type, CAST(min(ts) AS DATE) AS first_day, CAST(max(ts) AS DATE) AS last_day, count(DISTINCT event_id) AS seen_count FROM events GROUP BY 1, 2")
+def str01_restarted(t):
+    """Events come in three files, the second with copies of some of the first; each run goes on where the last one stopped."""
+    work = jobs.work_path(t.spark, "restarted")
+    events = t.read("events")
+    day = F.to_date("ts")
+    for n, inside in enumerate((day < F.lit("2024-01-12").cast("date"), day.between("2024-01-10", "2024-01-20"), day > F.lit("2024-01-20").cast("date"))):
+        events.where(inside).write.mode("append").parquet(f"{work}/in")
+        out = jobs.ingest_and_upsert(jobs.file_stream(t.spark, f"{work}/in"), ["event_id"], ["user_id", "event_type"], "ts", f"{work}/table", f"{work}/checkpoint")
+    return _seen(out)
+
+
 @query("str02_monthly_activity", "SELECT CAST(date_trunc('month', ts) AS DATE) AS month, CASE event_type WHEN 'purchase' THEN 'BUY' ELSE 'SELL' END AS type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events WHERE event_type IN ('purchase', 'click') GROUP BY 1, 2")
 def str02(t):
     """Monthly buys and sells from the days of the stream; clicks stand in for sells."""

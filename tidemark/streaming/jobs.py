@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.timeseries import distinct_in_reach
+from tidemark.streaming.tables import parted_merge, parted_table
 
 
 def work_path(spark: SparkSession, label: str) -> str:
@@ -71,29 +72,33 @@ def ingest(events: DataFrame, keys: list[str], at: str, late: str = "7 days") ->
     return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
-def ingest_and_upsert(events: DataFrame, row_keys: list[str], keys: list[str], at: str, label: str = "ingest") -> DataFrame:
-    """Incremental ingest to its end: each micro-batch is deduplicated and merged into the table of first_seen, last_seen, seen_count.
+def seen_merge(old: DataFrame | None, batch: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """first_seen, last_seen and seen_count of each key of ``batch``, on top of those of ``old``."""
+    new = batch.groupBy(*keys).agg(F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.count(F.lit(1)).alias("seen_count"))
+    if old is None:
+        return new
+    both = old.select(*new.columns).unionByName(new)
+    return both.groupBy(*keys).agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("seen_count").alias("seen_count"))
 
-    The table is written anew per batch from the last one, so that a batch that is run again gives the same table.
+
+def ingest_and_upsert(events: DataFrame, row_keys: list[str], keys: list[str], at: str, target: str, checkpoint: str, parts: int = 64) -> DataFrame:
+    """Incremental ingest to the end of what is there: each micro-batch is deduplicated and merged into the table at ``target``.
+
+    ``target`` and ``checkpoint`` are named by the caller and go on from call to call: a later call reads new files only,
+    and rewrites only the parts of the table whose keys come up in them. A batch that is run again, after a stop at any
+    point, gives the same table. Returns the table as it is then.
     """
-    spark = events.sparkSession
-    work = work_path(spark, label)
-    tables: list[str] = []
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = batch.groupBy(*keys).agg(F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.count(F.lit(1)).alias("seen_count"))
-        if number > 0 and tables:
-            new = spark.read.parquet(f"{work}/table={number - 1}").unionByName(new)
-            new = new.groupBy(*keys).agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("seen_count").alias("seen_count"))
-        new.write.mode("overwrite").parquet(f"{work}/table={number}")
-        tables.append(f"{work}/table={number}")
-
-    query = ingest(events, row_keys, at).writeStream.option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).foreachBatch(merge).start()
+        parted_merge(batch, number, target, keys, lambda old, new: seen_merge(old, new, keys, at), parts)
+
+    query = ingest(events, row_keys, at).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start()
     query.awaitTermination()
-    if not tables:
+    table = parted_table(events.sparkSession, target)
+    if table is None:
         empty = events.groupBy(*keys).agg(F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.count(F.lit(1)).alias("seen_count"))
-        return spark.createDataFrame([], empty.schema)
-    return spark.read.parquet(tables[-1])
+        return events.sparkSession.createDataFrame([], empty.schema)
+    return table
 
 
 def daily_activity(events: DataFrame, late: str = "7 days", buy: str = "purchase", sell: str = "sale") -> DataFrame:
