@@ -6,13 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.clean import lookup, role_tier
-from tidemark.operators.features import post_results, pre_results
-from tidemark.operators.ranking import kept
-from tidemark.operators.timeseries import last_until
+from tidemark.operators.features import pre_results
+from tidemark.operators.ranking import below_before, kept
+from tidemark.operators.timeseries import last_of_each, last_until
 
 SENIORITY = {"T1a": 1.0, "T7": 1.0, "T1b": 0.9, "T2": 0.7, "T6": 0.5, "T3": 0.3}
-#: Sizes are told apart in so many bins a decade, from 10 ** SMALLEST on.
-BINS, SMALLEST, DECADES = 10, -4, 14
 WEIGHTS = {"who": 0.25, "size": 0.25, "small": 0.20, "timing": 0.15, "fall": 0.15}
 
 
@@ -27,49 +25,33 @@ def _senior(buys: DataFrame) -> DataFrame:
     return daily.withColumn("senior", F.max("best").over(so_far))
 
 
-def _bin(c: Column) -> Column:
-    """Which of the fixed bins, BINS a decade from SMALLEST on, a positive amount falls into."""
-    place = F.floor((F.log10(c) - SMALLEST) * BINS)
-    return F.when(c > 0, F.greatest(F.lit(0), F.least(F.lit(DECADES * BINS - 1), place))).cast("int")
-
-
-def percentiles(history: DataFrame, measure: str, at: str = "announced") -> DataFrame:
-    """Rows (day, bin, share): of all that was announced before the day, the share in lower bins and half of the own bin's.
-
-    One row a day and bin, whatever the rows of the history.
-    """
-    counts = history.withColumn("bin", _bin(F.col(measure))).where("bin IS NOT NULL").groupBy(F.col(at).alias("day"), "bin").agg(F.count(F.lit(1)).alias("n"))
-    grid = counts.select("day").distinct().select("day", F.explode(F.sequence(F.lit(0), F.lit(DECADES * BINS - 1))).alias("bin")).join(counts, ["day", "bin"], "left")
-    earlier = Window.partitionBy("bin").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    grid = grid.withColumn("own", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    lower = Window.partitionBy("day").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy("day")
-    share = (F.coalesce(F.sum("own").over(lower), F.lit(0)) + F.col("own") / 2) / F.nullif(F.sum("own").over(every), F.lit(0))
-    return grid.select("day", "bin", share.alias("share"))
-
-
 def scores(firings: DataFrame, buys: DataFrame, prices: DataFrame, results: DataFrame, meta: DataFrame) -> DataFrame:
     """``firings`` (with tier, sector, market_cap_gbp) with the strengths, guard and score.
 
     Everything is as of the announcement: later rows of any table change nothing. Sizes
-    are judged against all buys announced before; a size without history is unknown.
+    are judged against all buys announced before, by the share of them that are smaller;
+    a size without history is unknown.
     """
     order = Window.partitionBy("ticker").orderBy("dt")
-    series = prices.withColumn("m3", F.col("close") / F.lag("close", 63).over(order) - 1)
-    series = series.withColumn("traded", F.avg(F.col("close") * F.col("volume")).over(order.rowsBetween(-20, 0)))
-
-    def priced(rows: DataFrame) -> DataFrame:
-        rows = last_until(rows, series, "announced", take=["m3", "traded"])
-        return rows.withColumn("m3", F.col("found.m3")).withColumn("traded", F.col("found.traded")).drop("found").withColumn("to_traded", F.col("value") / F.col("traded"))
-
-    rows = post_results(pre_results(priced(firings), results), results)
+    moved = prices.withColumn("m3", F.col("close") / F.lag("close", 63).over(order) - 1)
+    series = kept(moved.select("ticker", "dt", "m3", F.avg(F.col("close") * F.col("volume")).over(order.rowsBetween(-20, 0)).alias("traded")), "series")
+    rows = kept(pre_results(firings, results), "firings")
+    past = kept(buys.select("ticker", "announced", "value", "role"), "buys")
+    # all that hangs on ticker and day of announcement, found once for firings and history
+    asked = rows.select("ticker", "announced").union(past.select("ticker", "announced")).distinct()
+    confirmed = results.where("confidence = 'confirmed'").select("ticker", "report_date").distinct()
+    facts = last_of_each(asked, "announced", {"_price": (series, "dt", ["m3", "traded"]), "_results": (confirmed, "report_date", []), "_senior": (_senior(past), "day", ["senior"])})
+    since = F.datediff("announced", "_results.report_date")
+    facts = kept(facts.select("ticker", "announced", "_price.m3", "_price.traded", since.alias("days_since_results"), "_senior.senior"), "facts")
+    with_facts = lambda df: df.join(facts, ["ticker", "announced"], "left").withColumn("to_traded", F.col("value") / F.col("traded"))
+    rows = with_facts(rows).withColumn("post_results", F.col("days_since_results") <= 14)
     # closely associated people count as the most senior director who has bought at the company so far
-    rows = last_until(rows, _senior(buys), "announced", when="day", take=["senior"]).withColumn("senior", F.col("found.senior")).drop("found")
     who = F.when(F.col("tier") == "T5", F.col("senior")).otherwise(lookup(F.col("tier"), SENIORITY))
-    history = kept(priced(buys).select("announced", "value", "to_traded"))
-    for measure, name in (("value", "_by_value"), ("to_traded", "_by_traded")):
-        known = percentiles(history, measure).select(F.col("day").alias("announced"), F.col("bin").alias("_bin"), F.col("share").alias(name))
-        rows = rows.withColumn("_bin", _bin(F.col(measure))).join(known, ["announced", "_bin"], "left").drop("_bin")
+    measures = {"value": "_by_value", "to_traded": "_by_traded"}
+    ranks = below_before(with_facts(past), rows, "announced", list(measures))
+    for measure, name in measures.items():
+        known = ranks.where(F.col("measure") == measure).select(F.col("day").alias("announced"), F.col("value").alias(measure), (F.col("n_below") / F.nullif("n_before", F.lit(0))).alias(name))
+        rows = rows.join(known, ["announced", measure], "left")
     size = (F.col("_by_value") + F.col("_by_traded")) / 2
     low, high = 20e6, 10e9
     small = _clamp(1.0 - 0.9 * (F.log10("market_cap_gbp") - F.log10(F.lit(low))) / (F.log10(F.lit(high)) - F.log10(F.lit(low))), 0.1)

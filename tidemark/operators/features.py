@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranking import median_before
 from tidemark.operators.timeseries import first_from, last_before, last_until
 
 
@@ -83,14 +84,13 @@ def routine(buys: DataFrame) -> DataFrame:
 
 
 def relative_size(buys: DataFrame) -> DataFrame:
-    """relative_size: value over the median of the director's earlier buys; null without any."""
-    day = F.datediff("announced", F.lit("1970-01-01").cast("date"))
-    before = Window.partitionBy("director").orderBy("_day").rangeBetween(Window.unboundedPreceding, -1)
-    return buys.withColumn("_day", day).withColumn("relative_size", F.col("value") / F.percentile("value", 0.5).over(before)).drop("_day")
+    """relative_size: value over the median of the director's buys of earlier days; null without any."""
+    medians = median_before(buys, "director", "announced", "value").select(F.col("who").alias("director"), F.col("day").alias("announced"), "median")
+    return buys.join(medians, ["director", "announced"], "left").withColumn("relative_size", F.col("value") / F.col("median")).select(*buys.columns, "relative_size")
 
 
 def expected_results(results: DataFrame) -> DataFrame:
-    """Next results of each ticker and type, a year after the last confirmed ones, and interim-type ones half a year after, marked est; known ones left out."""
+    """Next results of each ticker and type, marked est: preliminary and interim ones a year after the last confirmed ones of the type, trading statements half a year after; known ones left out."""
     last = results.where("confidence = 'confirmed'").groupBy("ticker", "report_type").agg(F.max("report_date").alias("last_date"))
     steps = F.explode(F.when(F.col("report_type") == "TRADING_STMT", F.array(F.lit(6))).otherwise(F.array(F.lit(12))))
     expected = last.where("report_type IN ('PRELIM', 'INTERIM', 'TRADING_STMT')").select("ticker", "report_type", "last_date", steps.alias("months"))

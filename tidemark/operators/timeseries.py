@@ -54,6 +54,19 @@ def last_before(events: DataFrame, series: DataFrame, at: str, when: str = "dt",
     return _asof(events, series, key, at, when, take or [], False, False)
 
 
+def last_of_each(events: DataFrame, at: str, sources: dict[str, tuple[DataFrame, str, list[str]]], key: str = "ticker") -> DataFrame:
+    """``last_until`` of several series (name -> rows, date column, columns to take) in one window: a struct column per name."""
+    asked = events.select(F.col(key).alias("_key"), F.col(at).alias("_at")).where("_key IS NOT NULL AND _at IS NOT NULL").distinct()
+    rows = {n: F.struct(F.col(when), *[F.col(c) for c in take]) for n, (_, when, take) in sources.items()}
+    kinds = {n: sources[n][0].select(row.alias("s")).schema["s"].dataType for n, row in rows.items()}
+    every = asked.select("_key", "_at", *[F.lit(None).cast(k).alias(n) for n, k in kinds.items()], F.lit(True).alias("_asked"))
+    for n, (series, when, _) in sources.items():
+        every = every.unionByName(series.select(F.col(key).alias("_key"), F.col(when).alias("_at"), *[(rows[n] if m == n else F.lit(None).cast(k)).alias(m) for m, k in kinds.items()], F.lit(False).alias("_asked")))
+    run = Window.partitionBy("_key").orderBy("_at", "_asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = every.withColumns({n: F.last(n, ignorenulls=True).over(run) for n in sources}).where("_asked").drop("_asked")
+    return events.join(filled, (events[key] == F.col("_key")) & (events[at] == F.col("_at")), "left").drop("_key", "_at")
+
+
 def at_offsets(entries: DataFrame, indexed: DataFrame, horizons: dict[str, int], idx: str = "entry_idx", key: str = "ticker") -> DataFrame:
     """One row per entry and horizon with the close that many trading days on (null where the series ends)."""
     steps = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(n).alias("days")) for h, n in horizons.items()])

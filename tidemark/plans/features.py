@@ -178,13 +178,12 @@ def ft21(t):
 # --- conviction score ------------------------------------------------------------
 
 _TIER_WEIGHT = "CASE {0} WHEN 'T1a' THEN 1.0 WHEN 'T7' THEN 1.0 WHEN 'T1b' THEN 0.9 WHEN 'T2' THEN 0.7 WHEN 'T6' THEN 0.5 WHEN 'T3' THEN 0.3 {1} END"
-_BIN = "CASE WHEN {0} > 0 THEN CAST(least(139, greatest(0, floor((log10({0}) + 4) * 10))) AS INT) END"
 # sizes are compared with each earlier buy, one by one
 _CV = f"""
 WITH r AS (SELECT *, close / lag(close, 63) OVER w - 1 AS m3, avg(close*volume) OVER (PARTITION BY ticker ORDER BY dt ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) AS traded FROM fx_prices WINDOW w AS (PARTITION BY ticker ORDER BY dt)),
-past AS (SELECT b.announced, {_BIN.format("b.value")} AS bv, {_BIN.format("(b.value / p.traded)")} AS bt FROM buys b ASOF LEFT JOIN r p ON b.ticker = p.ticker AND b.announced >= p.dt),
-p AS (SELECT f.*, p.m3, {_BIN.format("f.value")} AS bv, {_BIN.format("(f.value / p.traded)")} AS bt FROM firing f ASOF LEFT JOIN r p ON f.ticker = p.ticker AND f.announced >= p.dt),
-sz AS (SELECT p.fingerprint, ((count(*) FILTER (past.bv < p.bv) + 0.5 * count(*) FILTER (past.bv = p.bv)) / nullif(count(past.bv), 0) + (count(*) FILTER (past.bt < p.bt) + 0.5 * count(*) FILTER (past.bt = p.bt)) / nullif(count(past.bt), 0)) / 2 AS size
+past AS (SELECT b.announced, b.value AS bv, b.value / p.traded AS bt FROM buys b ASOF LEFT JOIN r p ON b.ticker = p.ticker AND b.announced >= p.dt),
+p AS (SELECT f.*, p.m3, f.value AS bv, f.value / p.traded AS bt FROM firing f ASOF LEFT JOIN r p ON f.ticker = p.ticker AND f.announced >= p.dt),
+sz AS (SELECT p.fingerprint, (count(*) FILTER (past.bv < p.bv) / nullif(count(past.bv), 0) + count(*) FILTER (past.bt < p.bt) / nullif(count(past.bt), 0)) / 2 AS size
  FROM p LEFT JOIN past ON past.announced < p.announced WHERE p.bt IS NOT NULL AND p.bv IS NOT NULL GROUP BY 1),
 n AS (SELECT p.*, datediff('day', p.dt, q.report_date) AS ahead FROM p ASOF LEFT JOIN (SELECT DISTINCT ticker, report_date FROM fx_reporting_dates) q ON p.ticker = q.ticker AND p.dt <= q.report_date),
 l AS (SELECT n.*, datediff('day', q.report_date, n.announced) AS since FROM n ASOF LEFT JOIN (SELECT DISTINCT ticker, report_date FROM fx_reporting_dates WHERE confidence='confirmed') q ON n.ticker = q.ticker AND n.announced >= q.report_date),
