@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import ceil, comb, log, log2
 
 import numpy as np
 import pyarrow as pa
@@ -266,8 +266,11 @@ def near_duplicates(
 
 # --- near duplicates by similarity ----------------------------------------------
 
-#: Partitions of the wide fingerprint and bits of each. Texts of similarity 0.8 agree in a bit with chance 0.85.
+#: Partitions of the wide fingerprint and bits of each, at least. Texts of similarity 0.8 agree in a bit with chance AGREE; they share a value with chance CHANCE.
 WIDE_PARTS, PART_BITS = 40, 16
+AGREE, CHANCE = 0.85, 0.954
+#: Texts of so many shingles or fewer are joined on the shingles themselves: too few for a fingerprint to tell.
+SHORT = 24
 #: Buckets up to this size give their pairs in a DataFrame expression; larger ones are compared all against all in blocks.
 PAIR_BUCKET = 16
 #: Members of a block of a crowded bucket, and near pairs a member from which on only a spanning forest of them is tested first.
@@ -303,32 +306,40 @@ def _words_of_bits(hashes: np.ndarray, n_words: int) -> np.ndarray:
     return (2 * ones > len(hashes)).ravel()
 
 
-def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """SimHash of WIDE_PARTS * PART_BITS bits, as WIDE_PARTS numbers."""
-    bits = _words_of_bits(hashes, WIDE_PARTS * PART_BITS // BITS)
-    return np.packbits(bits).view(np.uint8).reshape(WIDE_PARTS, PART_BITS // 8) @ np.array([256, 1])
+def width(n: int) -> tuple[int, int]:
+    """(partitions, bits of each) for ``n`` texts: buckets keep a mean of 16 members or fewer, whatever ``n``, and pairs their chance to meet."""
+    bits = min(40, max(PART_BITS, ceil(log2(max(2, n))) - 4))
+    return max(WIDE_PARTS, ceil(log(1 - CHANCE) / log(1 - AGREE**bits))), bits
 
 
-def _wide(rows: DataFrame, words: int) -> DataFrame:
-    """Rows (id, LOCATOR, p1, p2, parts, same): 128 bits of the fingerprint, its partitions' values (none without words), a digest of the shingles."""
+def wide_fingerprint(hashes: np.ndarray, parts: int = WIDE_PARTS, bits: int = PART_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """SimHash of ``parts * bits`` bits, as ``parts`` numbers, and its first 128 bits."""
+    flags = _words_of_bits(hashes, ceil(max(128, parts * bits) / BITS))
+    return flags[: parts * bits].reshape(parts, bits) @ (1 << np.arange(bits, dtype=np.int64)), np.packbits(flags[:128]).view(np.uint64)
+
+
+def _wide(rows: DataFrame, words: int, n_parts: int = WIDE_PARTS, bits: int = PART_BITS) -> DataFrame:
+    """Rows (id, LOCATOR, p1, p2, parts, same, few): 128 bits of the fingerprint, its partitions' values (none without words), a digest of the shingles, the shingles if they are few."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_for("simhash")
         for batch in batches:
-            prints, parts, same = np.zeros((batch.num_rows, 2), np.uint64), [], np.zeros(batch.num_rows, np.uint64)
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                hashes = shingle_hashes(text, words)
-                parts.append(wide_fingerprint(hashes).tolist() if len(hashes) else [])
+            prints, parts, same, few = np.zeros((batch.num_rows, 2), np.uint64), [], np.zeros(batch.num_rows, np.uint64), []
+            for i, text in enumerate(batch.column("text")):
+                hashes = shingle_hashes(text.as_py(), words)
+                values = []
+                if len(hashes):
+                    values, prints[i] = wide_fingerprint(hashes, n_parts, bits)
+                parts.append(values)
+                few.append(hashes.view(np.int64) if 0 < len(hashes) <= SHORT else None)
                 same[i] = xxhash.xxh64_intdigest(hashes.tobytes())
-                for p in range(8 if len(hashes) else 0):
-                    prints[i, p // 4] |= np.uint64(parts[-1][p] << 16 * (p % 4))
-            keys = [batch.column(c) for c in ("id", *LOCATOR)]
-            columns = [*keys, _signed(prints[:, 0].copy()), _signed(prints[:, 1].copy()), pa.array(parts, pa.list_(pa.int32())), _signed(same)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", *LOCATOR, "p1", "p2", "parts", "same"])
+            columns = [*(batch.column(c) for c in ("id", *LOCATOR)), _signed(prints[:, 0].copy()), _signed(prints[:, 1].copy())]
+            columns += [pa.array(parts, pa.list_(pa.int64())), _signed(same), pa.array(few, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", *LOCATOR, "p1", "p2", "parts", "same", "few"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, {LOCATOR[0]} string, {LOCATOR[1]} long, p1 long, p2 long, parts array<int>, same long")
+    return rows.mapInArrow(run, f"id {kind}, {LOCATOR[0]} string, {LOCATOR[1]} long, p1 long, p2 long, parts array<long>, same long, few array<long>")
 
 
 def _distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -436,17 +447,66 @@ def _candidates(wide: DataFrame, work: str, max_bits: int = 33) -> tuple[DataFra
         found = _near_places(p, max_bits, DENSE * len(p))
         ends = np.column_stack(found[:2]) if found else np.array(spanning(p, max_bits)).reshape(-1, 2)
         a, b = k[ends].min(axis=1), k[ends].max(axis=1)
-        columns = [pa.array(a), pa.array(b), pa.array(np.full(len(a), part, np.int32)), pa.array(np.full(len(a), value, np.int32))]
+        columns = [pa.array(a), pa.array(b), pa.array(np.full(len(a), part, np.int32)), pa.array(np.full(len(a), value, np.int64))]
         return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(a), found is None))], ["a", "b", "part", "value", "dense"])
 
     with configured(wide.sparkSession, _FEW_GROUPS):
-        met = _in_blocks(values, crowded, ["p1", "p2"], compare, "a long, b long, part int, value int, dense boolean")
+        met = _in_blocks(values, crowded, ["p1", "p2"], compare, "a long, b long, part int, value long, dense boolean")
         met = stored(met, f"{work}/crowded-pairs")
     pairs = stored(inside.unionByName(met.select("a", "b")).distinct(), f"{work}/candidates")
     return pairs, met.where("dense").drop("dense"), values, crowded
 
 
-#: Groups of a batch: each has up to two blocks of members.
+def _forest(k: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links (a, b) that join all members whose sets have a similarity of ``least`` or more, no more than members less one."""
+    sizes = np.array([len(x) for x in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    starts, ends = (np.split(np.searchsorted(flat, np.concatenate(sets), side), np.cumsum(sizes)[:-1]) for side in ("left", "right"))
+    group, out = np.arange(len(sets)), []
+    for i in range(len(sets)):
+        met = np.concatenate([owner[a:b] for a, b in zip(starts[i], ends[i])])
+        shared = np.bincount(met[met > i], minlength=len(sets))
+        for j in np.flatnonzero((shared > 0) & (shared >= least * (sizes[i] + sizes - shared))):
+            if group[i] != group[j]:
+                group[group == group[j]] = group[i]
+                out.append((int(min(k[i], k[j])), int(max(k[i], k[j]))))
+    return out
+
+
+def _short_links(single: DataFrame, least: float, work: str) -> DataFrame:
+    """Links (a, b) of all texts of SHORT shingles or fewer whose similarity is ``least`` or more; exact.
+
+    Two such sets share one of their first n - least * n + 1 shingles in any common order; in that of frequency, the
+    rarest first, a shingle that many texts have is seldom among these. Crowded buckets are compared in blocks.
+    """
+    key = ["part", "value"]
+    short = single.where(F.size("few") > 1).select("k", "few")
+    each = short.select("k", "few", F.explode("few").alias("value"))
+    often = each.groupBy("value").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    first = F.slice(F.array_sort(F.collect_list(F.struct("f", "value"))), 1, F.max(F.size("few") - F.ceil(F.lit(least) * F.size("few") - 1e-9) + 1).cast("int"))
+    # shingles of one text only come first in the order but join nothing
+    ranked = each.join(often, "value", "left").withColumn("f", F.coalesce("f", F.lit(1))).groupBy("k").agg(first.alias("first"), F.first("few").alias("few"))
+    values = stored(ranked.select("k", "few", F.explode("first").alias("x")).where("x.f > 1").select(F.lit(-1).alias("part"), F.col("x.value").alias("value"), "k", "few"), f"{work}/short")
+    sizes = values.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    crowded = stored(sizes.where(F.col("n") > PAIR_BUCKET), f"{work}/short-crowded")
+    shared = lambda x, y: F.size(F.array_intersect(x["few"], y["few"]))
+    alike = lambda x, y: shared(x, y) >= least * (F.size(x["few"]) + F.size(y["few"]) - shared(x, y))
+    small = values.join(crowded, key, "left_anti").groupBy(*key).agg(F.collect_list(F.struct("k", "few")).alias("m")).where(F.size("m") > 1)
+    pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (x["k"] < y["k"]) & alike(x, y)), lambda y: F.struct(x["k"].alias("a"), y["k"].alias("b")))))
+
+    def compare(part: int, value: int, k: np.ndarray, few: np.ndarray) -> pa.RecordBatch:
+        found = np.array(_forest(k, list(few), least), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    with configured(single.sparkSession, _FEW_GROUPS):
+        met = stored(_in_blocks(values, crowded, ["few"], compare, "a long, b long"), f"{work}/short-met")
+    return small.select(F.explode(pairs).alias("p")).select("p.a", "p.b").unionByName(met).distinct()
+
+
+#: Bytes of a batch of texts or sets, and groups of a batch: each has up to two blocks of members.
+_SMALL_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 _FEW_GROUPS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "64"}
 
 
@@ -463,7 +523,8 @@ def _linked(wide: DataFrame, rows: DataFrame, words: int, least: float, work: st
     twins = stored(twins, f"{work}/twins")
     single = having.join(twins.select(F.col("b").alias("k")), "k", "left_anti")
     pairs, forests, values, crowded = _candidates(single, work, max_bits)
-    links = stored(_verified(pairs, wide, rows, words, least, f"{work}/round=0").unionByName(twins), f"{work}/links=0")
+    short = _short_links(single, least, work)
+    links = stored(_verified(pairs, wide, rows, words, least, f"{work}/round=0").unionByName(twins).unionByName(short).distinct(), f"{work}/links=0")
     reached = stored(components(links, f"{work}/components=0"), f"{work}/reached=0")
     most, turn = ROUND_PAIRS, 0
     while True:
@@ -530,11 +591,11 @@ def _verified(pairs: DataFrame, wide: DataFrame, rows: DataFrame, words: int, le
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column("sa"), batch.column("sb")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(shared >= least * (len(x) + len(y) - shared))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     with configured(rows.sparkSession, BLOOM_CONF):
         found = stored(_texts(asked, wide, rows, f"{work}/asked").mapInArrow(sets, "k long, set binary"), f"{work}/sets")
@@ -547,13 +608,15 @@ def _rooted(docs: DataFrame, words: int, least: float, id_col: str, text_col: st
 
     Groups are components of pairs of verified similarity ``least`` or more. A pair
     of similarity 0.8 shares at least one of the partitions' values with chance
-    0.95, one of 0.9 with chance 0.999; equal texts always do. Such a pair is
-    linked however many members the value's bucket has.
+    0.95, one of 0.9 with chance 0.999; equal texts always do, and texts of few
+    shingles are joined on these. Such a pair is linked however many members the
+    value's bucket has. The partitions get wider, and more, with the rows.
     """
     work = work_dir(docs.sparkSession, "similar")
     rows = located(docs).select(F.col(id_col).alias("id"), *LOCATOR, whole_text(text_col).alias("text"))
-    wide = stored(_wide(rows, words).withColumn("k", F.monotonically_increasing_id()), f"{work}/wide")
-    reached = _linked(wide, rows, words, least, work)
+    with configured(docs.sparkSession, _SMALL_BATCHES):
+        wide = stored(_wide(rows, words, *width(rows.count())).withColumn("k", F.monotonically_increasing_id()), f"{work}/wide")
+        reached = _linked(wide, rows, words, least, work)
     rooted = wide.select("id", "k", *LOCATOR).join(reached.withColumnRenamed("u", "k"), "k", "left")
     return rooted.select("id", F.coalesce("root", "k").alias("root"), *LOCATOR)
 
