@@ -2,11 +2,12 @@
 
 import datetime as dt
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import clusters, signals
+from tidemark.operators import aggregate, clusters, portfolio, ranking, signals
 from tidemark.operators import timeseries as ts
 from tidemark.streaming import jobs
 
@@ -95,3 +96,83 @@ def test_sliding_counts(spark):
         for k in range(30):
             want.setdefault((day(n - k), t), set()).add(d)
     assert {(r.start, r.ticker): r.n_buyers for r in jobs.sliding_counts(frame).collect()} == {k: len(v) for k, v in want.items()}
+
+
+def test_ranks_against_earlier_values(spark):
+    rng = random.Random(11)
+    data = [(day(rng.randint(0, 70)), rng.choice([1.0, 2.0, 2.5, rng.random() * 9]), rng.choice([None, float("nan"), rng.random(), 0.5])) for _ in range(250)]
+    data += [(None, 1.0, 1.0), (day(3), None, None)]
+    frame = spark.createDataFrame(data, "at date, a double, b double")
+    asked = spark.createDataFrame([*data[:100], (day(90), 2.5, 0.5), (day(-5), 1.0, 1.0)], "at date, a double, b double")
+    ok = lambda v: v is not None and v == v
+    got = {(r.measure, r.day, r.value): (r.n_below, r.n_before) for r in ranking.below_before(frame, asked, "at", ["a", "b"]).collect()}
+    want = {}
+    for r in asked.collect():
+        for m in ("a", "b"):
+            if ok(r[m]) and r["at"] is not None:
+                earlier = [x[1 + "ab".index(m)] for x in data if x[0] is not None and x[0] < r["at"] and ok(x[1 + "ab".index(m)])]
+                want[m, r["at"], r[m]] = (sum(v < r[m] for v in earlier), len(earlier))
+    assert got == want
+    assert ranking.below_before(frame.limit(0), asked, "at", ["a"]).agg(F.max("n_before")).first()[0] == 0
+
+
+@pytest.mark.parametrize("n,kinds", [(40, 5), (600, 400), (300, 1)])
+def test_medians_of_earlier_days(spark, n, kinds):
+    rng = random.Random(n)
+    data = [(rng.choice("HHHHB"), day(rng.randint(0, 90)), float(rng.randint(1, kinds))) for _ in range(n)] + [(None, day(1), 1.0), ("H", None, 1.0), ("H", day(2), None)]
+    frame = spark.createDataFrame(data, "who string, at date, v double")
+    want = {}
+    for w, d, v in data:
+        earlier = [x for k, e, x in data if k == w and e is not None and d is not None and e < d and x is not None]
+        if w is not None and earlier and v is not None:
+            want[w, d] = statistics.median(earlier)
+    assert {(r.who, r.day): r.median for r in ranking.median_before(frame, "who", "at", "v").collect()} == want
+
+
+def test_percentiles_of_large_groups_are_exact(spark):
+    rng = random.Random(12)
+    data = [(rng.choice(["hot"] * 8 + ["b", None]), rng.gauss(0, 1), rng.choice([1.0, 2.0, None, rng.random()])) for _ in range(6000)]
+    frame = spark.createDataFrame(data, "k string, a double, b double")
+    for share in (0.5, 0.01, 0.99, 0.0, 1.0):
+        got = {r.k: (r.a, r.b) for r in ranking.exact_medians(frame, ["k"], ["a", "b"], share, accuracy=50).collect()}
+        want = {r.k: (r.a, r.b) for r in frame.groupBy("k").agg(F.percentile("a", share).alias("a"), F.percentile("b", share).alias("b")).collect()}
+        assert set(got) == set(want) == {"hot", "b", None}
+        assert all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    assert ranking.exact_medians(frame.limit(0), ["k"], ["a"]).count() == 0
+    board = aggregate.scoreboard(frame.withColumn("net", F.col("a")), ["k"], "net").collect()
+    sketch = aggregate.scoreboard(frame.withColumn("net", F.col("a")), ["k"], "net", accuracy=10_000).collect()
+    assert {(r.k, r.n, r.hit_pct) for r in board} == {(r.k, r.n, r.hit_pct) for r in sketch}
+
+
+@pytest.mark.parametrize("ahead", [0, 1, 5, 21, 40])
+def test_extremes_ahead(spark, ahead):
+    rng = random.Random(ahead)
+    closes = [rng.random() for _ in range(30)]
+    frame = spark.createDataFrame([("X", day(i), c) for i, c in enumerate(closes)] + [("Y", day(0), 5.0)], "ticker string, dt date, close double")
+    got = {(r.ticker, r.dt): (r.least_ahead, r.most_ahead) for r in ts.extremes_ahead(frame, "close", ahead).collect()}
+    want = {("X", day(i)): (min(closes[i : i + ahead + 1]), max(closes[i : i + ahead + 1])) for i in range(30)} | {("Y", day(0)): (5.0, 5.0)}
+    assert got == want
+
+
+def test_several_series_are_looked_up_at_once(spark):
+    rng = random.Random(2)
+    series = {n: spark.createDataFrame([(rng.choice("AB"), day(rng.randint(0, 50)) if n != "c" else day(k), k) for k in range(m)], "ticker string, d date, v int").dropDuplicates(["ticker", "d"]) for n, m in (("a", 20), ("b", 3), ("c", 40))}
+    events = spark.createDataFrame([(k, rng.choice(["A", "B", "Z", None]), day(rng.randint(-3, 60)) if k else None) for k in range(40)], "k int, ticker string, at date")
+    got = {r.k: (r.a, r.b, r.c) for r in ts.last_of_each(events, "at", {n: (s, "d", ["v"]) for n, s in series.items()}).collect()}
+    one = {n: {r.k: r.found for r in ts.last_until(events, s, "at", when="d", take=["v"]).collect()} for n, s in series.items()}
+    assert got == {k: (one["a"][k], one["b"][k], one["c"][k]) for k in range(40)}
+
+
+def test_tracker_guards(spark):
+    prices = [(t, day(n), c) for t, f in {"OK": lambda n: 100.0, "UP": lambda n: 20.0 if n == 15 else 1.0, "DOWN": lambda n: 1.0 if n < 14 else 0.2, "LATE": lambda n: 1.0 if n < 40 else 9.0, "HDD": lambda n: 1.0, "BAD": lambda n: 1.0, "^B": lambda n: 1.0}.items() for n in range(60) for c in [f(n)]]
+    frame = spark.createDataFrame(prices, "ticker string, dt date, close double")
+    names = ["OK", "UP", "DOWN", "LATE", "HDD", "BAD"]
+    entered = spark.createDataFrame([(k, t, "^B", True, day(10), 11, 100.0 if t == "OK" else 1.0, 1.0) for k, t in enumerate(names)], "fingerprint int, ticker string, bench string, is_aim boolean, entry_dt date, entry_idx int, entry_close double, bench_close double")
+    checked = portfolio.guarded(entered, frame, day(50).isoformat(), 21, ("HDD",), spark.createDataFrame([("BAD",)], "ticker string"))
+    assert {r.ticker: r.excluded for r in checked.collect()} == {"OK": None, "UP": "excluded_split", "DOWN": "excluded_split", "LATE": None, "HDD": "excluded_ticker", "BAD": "excluded_issuer"}
+    series = portfolio.tracker(checked.where("excluded IS NULL"), frame, day(50).isoformat())
+    row = portfolio.tracker_summary(series, counts=portfolio.guard_counts(checked, day(50).isoformat())).first()
+    assert (row.n_positions, row.excluded_split, row.excluded_ticker, row.excluded_issuer) == (2, 2, 1, 1)
+    # by the 12th nothing has gone wrong yet
+    early = portfolio.guarded(entered, frame, day(12).isoformat(), 21)
+    assert early.where("excluded IS NOT NULL").count() == 0

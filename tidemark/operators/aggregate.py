@@ -5,25 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranking import kept, numbered
-
-
-def _middle(measure: Column, accuracy: int | None) -> Column:
-    """The exact median, or one by a sketch of fixed size for groups that outgrow a task."""
-    return F.percentile(measure, 0.5) if accuracy is None else F.percentile_approx(measure, 0.5, accuracy)
+from tidemark.operators.ranking import exact_medians, kept, numbered
 
 
 def _pct(hits: Column) -> Column:
     return F.round(100.0 * F.count_if(hits) / F.count(F.lit(1)), 4)
 
 
+def with_medians(rows: DataFrame, keys: list[str], aggregates: list[Column], medians: dict[str, str], accuracy: int | None = None, scale: float = 100, digits: int = 4) -> DataFrame:
+    """Aggregates per key, and the median of each column (name of the result -> column) times ``scale``.
+
+    Medians are exact, from ranges of values, so that no task gets the rows of a key; ``accuracy`` takes them by sketch in
+    the same pass. For exact ones ``rows`` are written first, as they are read three times.
+    """
+    rounded = lambda c, name: F.round(c * scale, digits).alias(name)
+    if accuracy is not None:
+        return rows.groupBy(*keys).agg(*aggregates, *[rounded(F.percentile_approx(c, 0.5, accuracy), n) for n, c in medians.items()])
+    rows = kept(rows, "medians")
+    middle = exact_medians(rows, keys, list(dict.fromkeys(medians.values())))
+    middle = middle.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[rounded(F.col(c), n) for n, c in medians.items()])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return rows.groupBy(*keys).agg(*aggregates).join(middle, same, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+
+
 def scoreboard(returns: DataFrame, keys: list[str], measure: str, digits: int = 4, accuracy: int | None = None) -> DataFrame:
     """n, hit %, median and mean (in per cent) of a measure per key, matured rows only; ``accuracy`` takes medians by sketch."""
     m = F.col(measure)
-    return returns.where(m.isNotNull()).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.round(100.0 * F.count_if(m > 0) / F.count(F.lit(1)), digits).alias("hit_pct"),
-        F.round(_middle(m, accuracy) * 100, digits).alias(f"median_{measure}"), F.round(F.avg(m) * 100, digits).alias(f"mean_{measure}"),
-    )
+    counts = [F.count(F.lit(1)).alias("n"), F.round(100.0 * F.count_if(m > 0) / F.count(F.lit(1)), digits).alias("hit_pct"), F.round(F.avg(m) * 100, digits).alias(f"mean_{measure}")]
+    return with_medians(returns.where(m.isNotNull()).select(*keys, measure), keys, counts, {f"median_{measure}": measure}, accuracy, digits=digits)
 
 
 def matured(returns: DataFrame, as_of: str, days: int = 365) -> DataFrame:
@@ -44,34 +55,30 @@ def status(matured: DataFrame, as_of: str, weeks: int = 4, gated: tuple[str, ...
     """gated, live, review or kill? by the medians of the current and the prior window; fewer than five firings are for review."""
     age = F.datediff(F.lit(as_of).cast("date"), "announced")
     now, before = age.between(0, weeks * 7 - 1), age.between(weeks * 7, weeks * 14 - 1)
-    m = matured.groupBy("signal").agg(
-        F.percentile(F.when(now, F.col("car")), 0.5).alias("cur"), F.percentile(F.when(before, F.col("car")), 0.5).alias("prior"), F.count_if(now).alias("n")
-    )
+    rows = matured.select("signal", F.when(now, F.col("car")).alias("now"), F.when(before, F.col("car")).alias("before"), now.alias("recent"))
+    m = with_medians(rows, ["signal"], [F.count_if("recent").alias("n")], {"cur": "now", "prior": "before"}, scale=1, digits=12)
     state = F.when(F.col("signal").isin(*gated, ""), "gated").when(F.col("n") < 5, "review").when((F.col("cur") < 0) & (F.col("prior") < 0), "kill?").when(F.col("cur") < 0, "review").otherwise("live")
     return m.select("signal", "n", state.alias("status"))
 
 
-def cohort_tiles(rows: DataFrame, dims: dict[str, Column]) -> DataFrame:
+def cohort_tiles(rows: DataFrame, dims: dict[str, Column], accuracy: int | None = None) -> DataFrame:
     """n, hit %, median and outlier flag per dimension, key, horizon and lookback, in one pass over the rows."""
     tags = F.explode(F.array(*[F.struct(F.lit(n).alias("dim"), c.alias("key")) for n, c in dims.items()]))
     long = rows.withColumn("_t", tags).select("_t.dim", "_t.key", "horizon", "lookback", "car")
-    return long.groupBy("dim", "key", "horizon", "lookback").agg(
-        F.count(F.lit(1)).alias("n"), _pct(F.col("car") > 0).alias("hit_pct"), F.round(F.percentile("car", 0.5) * 100, 4).alias("median_car"), (F.max(F.abs("car")) > 2.0).alias("outlier")
-    )
+    counts = [F.count(F.lit(1)).alias("n"), _pct(F.col("car") > 0).alias("hit_pct"), (F.max(F.abs("car")) > 2.0).alias("outlier")]
+    return with_medians(long, ["dim", "key", "horizon", "lookback"], counts, {"median_car": "car"}, accuracy)
 
 
 def drill(matured: DataFrame, key: str, k: int = 10, least: int = 3) -> DataFrame:
     """Counts, hit %, medians and the k best and worst firings per key; n_tickers_3 counts tickers with ``least`` firings or more."""
+    matured = kept(matured.select(key, "fingerprint", "ticker", "car", "market"), "drill")
     a = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("car"), "fingerprint"))
     b = F.row_number().over(Window.partitionBy(key).orderBy("car", "fingerprint"))
     # each task keeps only the k best and worst of what it meets
     best = matured.withColumn("a", a).where(F.col("a") <= k).groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("a", "fingerprint"))), lambda s: s["fingerprint"]).alias(f"top{k}"))
     worst = matured.withColumn("b", b).where(F.col("b") <= k).groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "fingerprint"))), lambda s: s["fingerprint"]).alias(f"bottom{k}"))
     tickers = matured.groupBy(key, "ticker").agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.count(F.lit(1)).alias("n_tickers"), F.count_if(F.col("n") >= least).alias(f"n_tickers_{least}"))
-    counts = matured.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), _pct(F.col("car") > 0).alias("hit_pct"), F.round(F.percentile("car", 0.5) * 100, 4).alias("median_car"),
-        F.round(F.percentile("market", 0.5) * 100, 4).alias("median_market"),
-    )
+    counts = with_medians(matured, [key], [F.count(F.lit(1)).alias("n"), _pct(F.col("car") > 0).alias("hit_pct")], {"median_car": "car", "median_market": "market"})
     return counts.join(tickers, key).join(best, key).join(worst, key)
 
 
@@ -106,23 +113,22 @@ def baskets(returns: DataFrame, config: DataFrame, proven: int = 30, small_cap:
     inside = rows.join(F.broadcast(config), fits).select("basket", "fingerprint", "horizon", "net")
     every = inside.unionByName(rows.select(F.lit(baseline).alias("basket"), "fingerprint", "horizon", "net"))
     per = every.groupBy("basket", "fingerprint").agg(*[F.max(F.when(F.col("horizon") == h, F.col("net"))).alias(h) for h in ("t30", "t90")])
-    out = per.groupBy("basket").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.percentile("t30", 0.5) * 100, 2).alias("median_t30"), F.round(F.percentile("t90", 0.5) * 100, 2).alias("median_t90"),
-        F.round(100.0 * F.count_if(F.col("t90") > 0) / F.count("t90"), 2).alias("positive_pct"), (F.count("t90") >= proven).alias("proven"),
-    )
+    counts = [F.count(F.lit(1)).alias("n"), F.round(100.0 * F.count_if(F.col("t90") > 0) / F.count("t90"), 2).alias("positive_pct"), (F.count("t90") >= proven).alias("proven")]
+    out = with_medians(per, ["basket"], counts, {"median_t30": "t30", "median_t90": "t90"}, digits=2)
     ranked = F.row_number().over(Window.partitionBy(F.col("basket") == baseline).orderBy(F.desc_nulls_last("median_t90"), "basket"))
     return out.withColumn("place", F.when(F.col("basket") != baseline, ranked))
 
 
-def leaderboard(returns: DataFrame, horizons: tuple[str, ...] = ("t30", "t60", "t90", "t360"), primary: str = "t90", least: int = 3) -> DataFrame:
+def leaderboard(returns: DataFrame, horizons: tuple[str, ...] = ("t30", "t60", "t90", "t360"), primary: str = "t90", least: int = 3, accuracy: int | None = None) -> DataFrame:
     """Directors with ``least`` firings matured at the primary horizon, ranked by their median net return there; counts, medians and means per horizon."""
     at = lambda h: F.max(F.when(F.col("horizon") == h, F.col("net")))
     per = returns.groupBy("director", "fingerprint").agg(F.first("ticker").alias("ticker"), F.first("value").alias("value"), *[at(h).alias(h) for h in horizons])
-    d = per.groupBy("director").agg(
+    counts = [
         F.count(F.lit(1)).alias("n_buys"), F.countDistinct("ticker").alias("n_tickers"), F.round(F.sum("value"), 2).alias("total"),
         F.round(F.count_if(F.col(primary) > 0) / F.count(primary), 4).alias("win_rate"), *[F.count(h).alias(f"n_{h}") for h in horizons],
-        *[F.round(F.percentile(h, 0.5), 5).alias(f"median_{h}") for h in horizons], *[F.round(F.avg(h), 5).alias(f"mean_{h}") for h in horizons],
-    ).where(F.col(f"n_{primary}") >= least)
+        *[F.round(F.avg(h), 5).alias(f"mean_{h}") for h in horizons],
+    ]
+    d = with_medians(per, ["director"], counts, {f"median_{h}": h for h in horizons}, accuracy, scale=1, digits=5).where(F.col(f"n_{primary}") >= least)
     return numbered(kept(d), [f"median_{primary}", "director"], "place", descending=(f"median_{primary}",))
 
 

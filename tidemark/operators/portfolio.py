@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranking import kept
-from tidemark.operators.timeseries import last_until
+from tidemark.operators.timeseries import extremes_ahead, last_until
 
 SCHEMES = ("flat", "log", "tier", "linear", "capped")
 
@@ -46,13 +46,41 @@ def summary(held: DataFrame, indexed: DataFrame, as_of: str) -> DataFrame:
     )
 
 
+def guarded(entered: DataFrame, prices: DataFrame, as_of: str, hold: int = 21, tickers: tuple[str, ...] = (), issuers: DataFrame | None = None, least: float = 0.25, most: float = 4.0) -> DataFrame:
+    """``entered`` with excluded: excluded_ticker, excluded_issuer, excluded_split, or null if the position counts.
+
+    ``tickers`` are left out, and those in ``issuers`` (ticker). A position is taken for one across an unadjusted split if
+    any close while it is held, up to its exit or ``as_of``, is more than ``most`` or less than ``least`` times its entry.
+    """
+    seen = prices.where(F.col("dt") <= F.lit(as_of).cast("date"))
+    ahead = extremes_ahead(seen, "close", hold).select(F.col("ticker").alias("_t"), F.col("dt").alias("_d"), "least_ahead", "most_ahead")
+    rows = entered.join(ahead, (F.col("ticker") == F.col("_t")) & (F.col("entry_dt") == F.col("_d")), "left").drop("_t", "_d")
+    if issuers is None:
+        rows = rows.withColumn("_issuer", F.lit(None).cast("boolean"))
+    else:
+        rows = rows.join(issuers.select("ticker", F.lit(True).alias("_issuer")).distinct(), "ticker", "left")
+    split = (F.col("most_ahead") / F.col("entry_close") > most) | (F.col("least_ahead") / F.col("entry_close") < least)
+    reason = F.when(F.col("ticker").isin(*tickers, ""), "excluded_ticker").when(F.col("_issuer"), "excluded_issuer").when(split, "excluded_split")
+    return rows.withColumn("excluded", reason).select(*entered.columns, "excluded")
+
+
+GUARDS = ("excluded_split", "excluded_ticker", "excluded_issuer")
+
+
+def guard_counts(checked: DataFrame, as_of: str, keys: list[str] | None = None) -> DataFrame:
+    """How many positions entered by ``as_of`` each guard has left out."""
+    rows = checked.where(F.col("entry_dt") <= F.lit(as_of).cast("date"))
+    return rows.groupBy(*(keys or [])).agg(*[F.count_if(F.coalesce(F.col("excluded") == g, F.lit(False))).alias(g) for g in GUARDS])
+
+
 def tracker(entered: DataFrame, prices: DataFrame, as_of: str, hold: int = 21, stake: float = 10_000.0, keys: list[str] | None = None) -> DataFrame:
     """The strategy against its index: per key and day of the index, the value of a stake in each firing, and of the same stakes in the index.
 
     A position is cash before its entry, marked to market (last close on or before the day) while it is open, and worth
     its exit afterwards; the equity leg pays its cost at entry, the index leg none. ``entered`` has fingerprint, ticker,
-    bench, is_aim, entry_dt, entry_idx, entry_close, bench_close. Positions meet only the days that they are open, by
-    equi-joins; entries, exits and held shares are summed per day first and run along the calendar after.
+    bench, is_aim, entry_dt, entry_idx, entry_close, bench_close; leave out what ``guarded`` excludes. Entries and exits
+    are summed per security and day first; cash runs along the calendar, and a security is marked only on the days from
+    an entry to the exit after which none of it is held.
     """
     keys = keys or []
     day = F.lit(as_of).cast("date")
@@ -66,41 +94,44 @@ def tracker(entered: DataFrame, prices: DataFrame, as_of: str, hold: int = 21, s
     index = prices.select(F.col("ticker").alias("bench"), "dt", F.col("close").alias("bench_out"))
     rows = last_until(rows, index, "exit_dt", take=["bench_out"], key="bench").withColumn("bench_out", F.col("found.bench_out")).drop("found")
     shares, units = F.lit(stake) * (1 - F.col("fee")) / F.col("entry_close"), F.lit(stake) / F.col("bench_close")
-    rows = kept(rows.withColumns({"shares": shares, "units": units}))
-    none = F.lit(0.0)
-
-    def moves(at: str, leg: str, security: Column, amount: Column, cash: Column, n: int) -> DataFrame:
-        return rows.where(F.col(at).isNotNull()).select(*keys, F.col(at).alias("dt"), F.lit(leg).alias("leg"), security.alias("security"), amount.alias("amount"), cash.alias("cash"), F.lit(n).alias("n"))
-
-    changes = [
-        moves("entry_dt", "equity", F.col("ticker"), F.col("shares"), F.lit(-stake), 1), moves("exit_dt", "equity", F.col("ticker"), -F.col("shares"), F.col("shares") * F.col("exit_close"), -1),
-        moves("entry_dt", "index", F.col("bench"), F.col("units"), F.lit(-stake), 1), moves("exit_dt", "index", F.col("bench"), -F.col("units"), F.col("units") * F.col("bench_out"), -1),
+    rows = kept(rows.select(*keys, "ticker", "bench", "entry_dt", "exit_dt", "exit_close", "bench_out", shares.alias("shares"), units.alias("units")))
+    move = lambda at, leg, security, amount, cash, n: F.when(F.col(at).isNotNull(), F.struct(F.col(at).alias("dt"), F.lit(leg).alias("leg"), F.col(security).alias("security"), amount.alias("amount"), cash.alias("cash"), F.lit(n).alias("n")))
+    moves = [
+        move("entry_dt", "equity", "ticker", F.col("shares"), F.lit(-stake), 1), move("exit_dt", "equity", "ticker", -F.col("shares"), F.col("shares") * F.col("exit_close"), -1),
+        move("entry_dt", "index", "bench", F.col("units"), F.lit(-stake), 1), move("exit_dt", "index", "bench", -F.col("units"), F.col("units") * F.col("bench_out"), -1),
     ]
-    daily = changes[0]
-    for more in changes[1:]:
-        daily = daily.unionByName(more)
     # one row a key, leg, security and day: bounded by the calendar from here on
-    daily = kept(daily.groupBy(*keys, "leg", "security", "dt").agg(F.sum("amount").alias("amount"), F.sum("cash").alias("cash"), F.sum("n").alias("n")))
+    each = rows.select(*keys, F.explode(F.array_compact(F.array(*moves))).alias("_m")).select(*keys, "_m.*")
+    daily = kept(each.groupBy(*keys, "leg", "security", "dt").agg(F.sum("amount").alias("amount"), F.sum("cash").alias("cash"), F.sum("n").alias("n")))
     first = daily.agg(F.min("dt").alias("first"))
-    calendar = prices.where((F.col("dt") <= day) & F.col("ticker").startswith("^")).select("dt").distinct().crossJoin(F.broadcast(first)).where("dt >= first").select("dt")
-    grid = daily.select(*keys, "leg", "security").distinct().crossJoin(calendar)
-    held = grid.unionByName(daily.select(*keys, "leg", "security", "dt")).distinct().join(daily, [*keys, "leg", "security", "dt"], "left")
-    along = Window.partitionBy(*keys, "leg", "security").orderBy("dt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    held = held.withColumns({c: F.coalesce(F.sum(c).over(along), none if c != "n" else F.lit(0)) for c in ("amount", "cash", "n")})
-    held = held.join(calendar, "dt", "left_semi")
-    marked = last_until(held, prices.select(F.col("ticker").alias("security"), "dt", F.col("close").alias("mark")).withColumnRenamed("dt", "day"), "dt", when="day", take=["mark"], key="security")
-    worth = F.col("cash") + F.col("amount") * F.coalesce("found.mark", none)
+    calendar = kept(prices.where((F.col("dt") <= day) & F.col("ticker").startswith("^")).select("dt").distinct().crossJoin(F.broadcast(first)).where("dt >= first").select("dt"))
+    # cash, and how many positions are open, per key and day
+    flows = daily.groupBy(*keys, "leg", "dt").agg(F.sum("cash").alias("cash"), F.sum("n").alias("n"))
+    days = flows.select(*keys, "leg").distinct().crossJoin(calendar).unionByName(flows.select(*keys, "leg", "dt")).distinct()
+    along = Window.partitionBy(*keys, "leg").orderBy("dt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = days.join(flows, [*keys, "leg", "dt"], "left").withColumns({c: F.coalesce(F.sum(c).over(along), F.lit(0)) for c in ("cash", "n")})
+    # what is held of each security, from one move to the next
+    own = Window.partitionBy(*keys, "leg", "security").orderBy("dt")
+    upto = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spans = daily.select(*keys, "leg", "security", "dt", F.sum("amount").over(upto).alias("amount"), F.sum("n").over(upto).alias("n"), F.lead("dt").over(own).alias("until")).where("n > 0")
+    held = spans.withColumn("dt", F.explode(F.sequence("dt", F.coalesce(F.date_sub("until", 1), day)))).join(calendar, "dt", "left_semi")
+    marks = prices.select(F.col("ticker").alias("security"), F.col("dt").alias("day"), F.col("close").alias("mark"))
+    marked = last_until(held, marks, "dt", when="day", take=["mark"], key="security")
+    worth = marked.groupBy(*keys, "leg", "dt").agg(F.sum(F.col("amount") * F.coalesce("found.mark", F.lit(0.0))).alias("worth"))
     capital = rows.groupBy(*keys).agg((F.count(F.lit(1)) * F.lit(stake)).alias("capital"), F.count(F.lit(1)).alias("n_positions"))
-    per = marked.withColumn("worth", worth).groupBy(*keys, "dt").agg(
-        F.sum(F.when(F.col("leg") == "equity", F.col("worth"))).alias("_e"), F.sum(F.when(F.col("leg") == "index", F.col("worth"))).alias("_b"), F.sum(F.when(F.col("leg") == "equity", F.col("n"))).alias("n_open")
-    )
+    total = run.join(calendar, "dt", "left_semi").join(worth, [*keys, "leg", "dt"], "left").withColumn("total", F.col("cash") + F.coalesce("worth", F.lit(0.0)))
+    of = lambda leg, c: F.sum(F.when(F.col("leg") == leg, F.col(c)))
+    per = total.groupBy(*keys, "dt").agg(of("equity", "total").alias("_e"), of("index", "total").alias("_b"), of("equity", "n").alias("n_open"))
     per = per.join(capital, keys) if keys else per.crossJoin(F.broadcast(capital))  # one row
-    value = lambda c: F.round(F.col("capital") + F.coalesce(F.col(c), none), 2)
+    value = lambda c: F.round(F.col("capital") + F.coalesce(F.col(c), F.lit(0.0)), 2)
     return per.select(*keys, "dt", "n_positions", "n_open", "capital", value("_e").alias("strategy_value"), value("_b").alias("index_value"))
 
 
-def tracker_summary(series: DataFrame, keys: list[str] | None = None, days: int = 30) -> DataFrame:
-    """The last day of a tracker: excess in pounds and per cent of the capital, and both legs' change over the trailing days."""
+def tracker_summary(series: DataFrame, keys: list[str] | None = None, days: int = 30, counts: DataFrame | None = None) -> DataFrame:
+    """The last day of a tracker: excess in pounds and per cent of the capital, and both legs' change over the trailing days.
+
+    ``counts`` (from ``guard_counts``) adds how many positions each guard has left out.
+    """
     keys, series = keys or [], kept(series)
     end = series.groupBy(*keys).agg(F.max("dt").alias("as_of"))
     rows = series.join(end, keys) if keys else series.crossJoin(F.broadcast(end))  # one row
@@ -109,10 +140,13 @@ def tracker_summary(series: DataFrame, keys: list[str] | None = None, days: int
     out = rows.groupBy(*keys, "as_of").agg(*[at(c, last).alias(c) for c in ("n_positions", "capital", "strategy_value", "index_value")], at("strategy_value", then).alias("_s"), at("index_value", then).alias("_i"))
     excess = F.col("strategy_value") - F.col("index_value")
     trend = lambda c, old: F.round(100 * (F.col(c) / F.col(old) - 1), 2)
-    return out.select(
+    out = out.select(
         *keys, "as_of", "n_positions", "capital", "strategy_value", "index_value", F.round(excess, 2).alias("excess"), F.round(100 * excess / F.col("capital"), 2).alias("excess_pct"),
         trend("strategy_value", "_s").alias("strategy_trend_pct"), trend("index_value", "_i").alias("index_trend_pct"),
     )
+    if counts is None:
+        return out
+    return out.join(counts, keys, "left") if keys else out.crossJoin(F.broadcast(counts))  # one row
 
 
 def anchors(as_of: str, weeks: int = 12) -> Column:

@@ -40,10 +40,15 @@ def _fired(df: DataFrame, signal, confidence) -> DataFrame:
     return df.select("fingerprint", "ticker", lit(signal).alias("signal"), lit(confidence).alias("confidence"), F.col("announced").alias("fired_at"))
 
 
+def with_tier_signal(ctx: Context) -> DataFrame:
+    """The strict buys of at least their tier's threshold, with signal and confidence."""
+    of = lambda place: lookup(F.col("tier"), {t: v[place] for t, v in TIERS.items()})
+    return ctx.strict.where(F.col("value") >= of(0)).withColumns({"signal": of(3), "confidence": of(1)})
+
+
 def tier_signals(ctx: Context) -> DataFrame:
     """The role tiers' signals: a buy of at least its tier's threshold."""
-    least = lookup(F.col("tier"), {t: v[0] for t, v in TIERS.items()})
-    return _fired(ctx.strict.where(F.col("value") >= least), lookup(F.col("tier"), {t: v[3] for t, v in TIERS.items()}), lookup(F.col("tier"), {t: v[1] for t, v in TIERS.items()}))
+    return _fired(with_tier_signal(ctx), F.col("signal"), F.col("confidence"))
 
 
 def tier_signal(tier: str) -> Callable[[Context], DataFrame]:

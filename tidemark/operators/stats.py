@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranking import kept, numbered, running_total, tile
+from tidemark.operators.ranking import exact_medians, kept, numbered, running_total, tile
 
 
 def t_value(mean_of: str | Column) -> Column:
@@ -34,19 +34,18 @@ def time_split(rows: DataFrame, share: float = 0.6, at: str = "announced", tie:
 def average_ranks(rows: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
     """Columns rank_<c>: ranks within keys, ties sharing their mean rank.
 
-    Ranks come from counts per distinct value, summed over ranges of values, so that no task holds a key.
+    Ranks come from counts per distinct value, summed over ranges of values, so that no task holds a key. All columns'
+    values stand in one table, so one order serves them.
     """
     rows = kept(rows)
-    for c in columns:
-        counts = rows.groupBy(*keys, c).agg(F.count(F.lit(1)).alias("_n"))
-        placed = running_total(counts, F.col("_n"), [*keys, c])
-        if keys:
-            first = placed.groupBy(*keys).agg(F.min("_before").alias("_first"))
-            placed = placed.join(first, keys)
-        else:
-            placed = placed.withColumn("_first", F.lit(0))
-        rank = F.col("_before") - F.col("_first") + (F.col("_n") + 1) / 2
-        rows = rows.join(placed.select(*keys, c, rank.alias(f"rank_{c}")), [*keys, c])
+    values = F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)])
+    counts = rows.select(*keys, F.explode(values).alias("_x")).select(*keys, "_x.*").groupBy(*keys, "_c", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    placed = running_total(counts, F.col("_n"), ["_c", *keys, "_v"])
+    first = placed.groupBy(*keys, "_c").agg(F.min("_before").alias("_first"))
+    ranks = kept(placed.join(first, [*keys, "_c"]).select(*keys, "_c", "_v", (F.col("_before") - F.col("_first") + (F.col("_n") + 1) / 2).alias("_rank")), "ranks")
+    for i, c in enumerate(columns):
+        own = ranks.where(F.col("_c") == i).select(*keys, F.col("_v").alias(f"_v{i}"), F.col("_rank").alias(f"rank_{c}"))
+        rows = rows.withColumn(f"_v{i}", F.col(c).cast("double")).join(own, [*keys, f"_v{i}"]).drop(f"_v{i}")
     return rows
 
 
@@ -59,7 +58,8 @@ def spearman(rows: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
 
 def winsorised(rows: DataFrame, column: str, keys: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Column w: the measure clipped at two percentiles of its key."""
-    ends = rows.groupBy(*keys).agg(F.percentile(column, low).alias("_lo"), F.percentile(column, high).alias("_hi"))
+    rows = kept(rows, "winsorised")
+    ends = exact_medians(rows, keys, [column], low).withColumnRenamed(column, "_lo").join(exact_medians(rows, keys, [column], high).withColumnRenamed(column, "_hi"), keys)
     return rows.join(ends, keys).withColumn("w", F.least("_hi", F.greatest("_lo", column))).drop("_lo", "_hi")
 
 

@@ -96,3 +96,19 @@ def distinct_in_reach(rows: DataFrame, keys: list[str], member: str, day: str, b
     daily = turns.groupBy(*keys, "day").agg(F.sum("_by").alias("_by"))
     run = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     return daily.select(*keys, "day", F.sum("_by").over(run).alias("n"))
+
+
+def extremes_ahead(prices: DataFrame, column: str, rows: int) -> DataFrame:
+    """Columns least_ahead and most_ahead: over the row itself and the ``rows`` rows after it in its series, or what there is of these.
+
+    Extremes of 1, 2, 4, ... rows are put together by ``lead``, two spans that overlap giving any length: a row's work
+    grows with the logarithm of ``rows``.
+    """
+    order = Window.partitionBy("ticker").orderBy("dt")
+    out, span, wanted = prices.withColumns({"least_ahead": F.col(column), "most_ahead": F.col(column)}), 1, rows + 1
+    while span < wanted:
+        step = min(span, wanted - span)
+        # greatest and least leave out what is null, beyond the end of the series
+        out = out.withColumns({"least_ahead": F.least("least_ahead", F.lead("least_ahead", step).over(order)), "most_ahead": F.greatest("most_ahead", F.lead("most_ahead", step).over(order))})
+        span += step
+    return out

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import aggregate as ag
 from tidemark.operators import clean, clusters, eventstudy
 from tidemark.operators import timeseries as ts
+from tidemark.operators.ranking import exact_medians, kept
 from tidemark.plans.core import _CLUSTERS, _EVAL, _SUMMARY, AS_OF, D, R, buys, clustered, event_returns, tier_firings
 from tidemark.plans.registry import STEPS, query
 from tidemark.sources.fixtures import Tables
@@ -42,8 +43,9 @@ SELECT s.signal, s.horizon, round(s.m - b.m, 4) AS edge FROM (SELECT signal, hor
 JOIN (SELECT horizon, median(market)*100 AS m FROM es WHERE market IS NOT NULL GROUP BY 1) b USING (horizon)""")
 def ag03(t):
     es = event_returns(t)
-    market = es.groupBy("horizon").agg((F.percentile("market", 0.5) * 100).alias("bench"))
-    own = es.where("car IS NOT NULL").groupBy("signal", "horizon").agg((F.percentile("car", 0.5) * 100).alias("own"))
+    es = kept(es.select("signal", "horizon", "car", "market"))
+    market = exact_medians(es, ["horizon"], ["market"]).select("horizon", (F.col("market") * 100).alias("bench"))
+    own = exact_medians(es, ["signal", "horizon"], ["car"]).select("signal", "horizon", (F.col("car") * 100).alias("own"))
     return own.join(market, "horizon").select("signal", "horizon", R(F.col("own") - F.col("bench"), 4).alias("edge"))
 
 
@@ -61,7 +63,8 @@ m AS (SELECT CAST(date_trunc('month', announced) AS DATE) AS month, signal, medi
 SELECT s.signal, months.month, round(m.med, 6) AS med FROM months CROSS JOIN (SELECT DISTINCT signal FROM firing) s LEFT JOIN m ON m.month = months.month AND m.signal = s.signal""")
 def ag05(t):
     es = event_returns(t).where("horizon = 't30'")
-    med = es.groupBy(F.trunc("announced", "month").alias("month"), "signal").agg(R(F.percentile("car", 0.5)).alias("med"))
+    rows = kept(es.select(F.trunc("announced", "month").alias("month"), "signal", "car"))
+    med = exact_medians(rows, ["month", "signal"], ["car"]).select("month", "signal", R("car").alias("med"))
     grid = tier_firings(t).select("signal").distinct().withColumn("month", F.explode(F.sequence(D("1997-01-01"), D("1997-12-01"), F.expr("INTERVAL 1 MONTH"))))
     return grid.join(med, ["signal", "month"], "left")
 
@@ -81,7 +84,8 @@ WITH s AS (SELECT sector, count(*) AS n, round(median(car)*100, 4) AS median_car
 SELECT sector, n, median_car, row_number() OVER (ORDER BY median_car DESC, sector) AS top, row_number() OVER (ORDER BY median_car, sector) AS bottom FROM s
 QUALIFY top <= 3 OR bottom <= 2""")
 def ag07(t):
-    s = event_returns(t).where("horizon = 't90' AND car IS NOT NULL").groupBy("sector").agg(n_rows(), R(F.percentile("car", 0.5) * 100, 4).alias("median_car")).where("n >= 10")
+    s = event_returns(t).where("horizon = 't90' AND car IS NOT NULL")
+    s = ag.with_medians(s.select("sector", "car"), ["sector"], [n_rows()], {"median_car": "car"}).where("n >= 10")
     top = F.row_number().over(Window.orderBy(F.desc("median_car"), "sector"))
     low = F.row_number().over(Window.orderBy("median_car", "sector"))
     return s.withColumn("top", top).withColumn("bottom", low).where("top <= 3 OR bottom <= 2")
@@ -236,7 +240,7 @@ d AS (SELECT director, count(*) AS n_buys, count(DISTINCT ticker) AS n_tickers,
  FROM f GROUP BY 1 HAVING count(t90) >= 3)
 SELECT *, row_number() OVER (ORDER BY median_t90 DESC, director) AS place FROM d""")
 def ag23(t):
-    return ag.leaderboard(eventstudy.returns(tier_firings(t), t.prices, {"t30": 21, "t60": 42, "t90": 63, "t360": 252}), _LEADER)
+    return ag.leaderboard(eventstudy.returns(t.kept("firings", lambda: tier_firings(t)), t.kept("prices"), {"t30": 21, "t60": 42, "t90": 63, "t360": 252}), _LEADER)
 
 
 @query("ag24_tier_hit_rate", "SELECT tier, horizon, count(*) AS n, round(100.0*count(*) FILTER (net > 0)/count(*), 4) AS hit_pct, count(*) < 10 AS low_n FROM es WHERE net IS NOT NULL GROUP BY 1, 2")

@@ -24,13 +24,11 @@ def buys(t: Tables) -> DataFrame:
 
 def tier_firings(t: Tables) -> DataFrame:
     """Tier firings with the dealing's and the issuer's columns."""
-    ctx = signals.context(t.dealings, t.prices)
-    fired = signals.tier_signals(ctx).select("fingerprint", "signal", "confidence")
-    return ctx.strict.join(fired, "fingerprint").join(t.meta, "ticker")
+    return signals.with_tier_signal(signals.context(t.dealings, t.prices)).join(t.meta, "ticker")
 
 
 def event_returns(t: Tables) -> DataFrame:
-    return eventstudy.returns(tier_firings(t), t.prices)
+    return eventstudy.returns(t.kept("firings", lambda: tier_firings(t)), t.kept("prices"))
 
 
 # --- sources -----------------------------------------------------------------
@@ -686,13 +684,15 @@ def es08(t):
     from tidemark.operators import features
 
     order = Window.partitionBy("ticker").orderBy("dt")
-    series = t.prices.withColumn("m3", F.col("close") / F.lag("close", 63).over(order) - 1).withColumn("above_low", F.col("close") / F.min("close").over(order.rowsBetween(-252, 0)) - 1)
-    fired = tier_firings(t)
-    rows = ts.last_until(fired, series, "announced", take=["m3", "above_low"]).withColumns({"m3": R("found.m3"), "above_low": R("found.above_low")}).drop("found")
-    rows = features.post_results(rows, t.results)
+    series = t.kept("prices").withColumn("m3", F.col("close") / F.lag("close", 63).over(order) - 1).withColumn("above_low", F.col("close") / F.min("close").over(order.rowsBetween(-252, 0)) - 1)
+    fired = t.kept("firings", lambda: tier_firings(t))
+    # prices and results hang on ticker and day alike
+    confirmed = t.results.where("confidence = 'confirmed'").select("ticker", "report_date").distinct()
+    rows = ts.last_of_each(fired, "announced", {"_price": (series, "dt", ["m3", "above_low"]), "_results": (confirmed, "report_date", [])})
+    rows = rows.withColumns({"m3": R("_price.m3"), "above_low": R("_price.above_low"), "days_since_results": F.datediff("announced", "_results.report_date")})
     rows = features.latest_pay(rows, t.pay).withColumn("salary_multiple", R(features.salary_multiple(F.col("value"), F.col("found")))).drop("found")
     rows = features.reversal(rows, t.dealings).select("fingerprint", "signal", "m3", "above_low", "days_since_results", "salary_multiple", "net_prior_shares", "reversal")
-    wide = eventstudy.wide(eventstudy.returns(fired, t.prices))
+    wide = eventstudy.wide(event_returns(t))
     rounded = {c: R(c) for c in wide.columns if c.split("_")[0] in ("raw", "market", "car", "net") and c != "market_cap_gbp"}
     return wide.withColumns(rounded).join(rows, ["fingerprint", "signal"])
 

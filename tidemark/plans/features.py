@@ -199,7 +199,7 @@ c AS (SELECT *, round(100 * guard * (0.25*coalesce(who,0) + 0.25*coalesce(size,0
 
 
 def scored(t: Tables) -> DataFrame:
-    return conviction.scores(tier_firings(t), buys(t), t.prices, t.results, t.meta)
+    return conviction.scores(tier_firings(t), buys(t), t.kept("prices"), t.results, t.meta)
 
 
 @query("cv01_who", _CV + "SELECT fingerprint, who FROM c")

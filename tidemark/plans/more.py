@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import aggregate as ag
 from tidemark.operators import checks, clean, conviction, eventstudy, extract, features, portfolio, signals, writes
 from tidemark.operators import timeseries as ts
 from tidemark.plans.aggregates import n_rows
@@ -151,7 +152,7 @@ SELECT horizon, lookback, signal, CAST(count(*) AS INT) AS n, round(median(car)*
 def snk06(t):
     """A tree horizon, lookback, signal is written as JSON, one document a horizon; the rows are read back from its text."""
     rows = clean.lookback_rows(event_returns(t).where("car IS NOT NULL"), "announced", AS_OF)
-    board = rows.groupBy("horizon", "lookback", "signal").agg(n_rows(), R(F.percentile("car", 0.5) * 100, 4).alias("median_car"))
+    board = ag.with_medians(rows.select("horizon", "lookback", "signal", "car"), ["horizon", "lookback", "signal"], [n_rows()], {"median_car": "car"})
     tree = writes.nested_export(board, work_path(t.spark, "export"), "horizon", "lookback", "signal", ["n", "median_car"])
     level = tree.select("horizon", F.explode("tree").alias("lookback", "leaf"))
     leaf = level.select("horizon", "lookback", F.explode(F.from_json("leaf", "map<string,struct<n:int,median_car:double>>")).alias("signal", "x"))

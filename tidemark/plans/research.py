@@ -85,11 +85,14 @@ fin AS (SELECT {by}as_of, n_positions, capital, strategy_value, index_value, rou
  round(100 * (strategy_value / s0 - 1), 2) AS strategy_trend_pct, round(100 * (index_value / i0 - 1), 2) AS index_trend_pct FROM z)"""
 
 
+def entered_positions(t):
+    indexed = ts.trade_index(t.kept("prices"))
+    entered = eventstudy.benchmark_entries(eventstudy.entries(t.kept("firings", lambda: tier_firings(t)), indexed).where("entry_idx > 30"), indexed)
+    return entered.withColumn("band", F.when(F.col("market_cap_gbp") < 500e6, "small").otherwise("large"))
+
+
 def tracked(t, hold: int = 21, keys: list[str] | None = None):
-    indexed = ts.trade_index(t.prices)
-    entered = eventstudy.benchmark_entries(eventstudy.entries(tier_firings(t), indexed).where("entry_idx > 30"), indexed)
-    entered = entered.withColumn("band", F.when(F.col("market_cap_gbp") < 500e6, "small").otherwise("large"))
-    return portfolio.tracker(entered, t.prices, AS_OF, hold, keys=keys)
+    return portfolio.tracker(entered_positions(t), t.kept("prices"), AS_OF, hold, keys=keys)
 
 
 @query("pf05_daily_value", f"WITH {_tracker(21, [])} SELECT dt, n_positions, n_open, capital, strategy_value, index_value FROM trk")
@@ -102,6 +105,24 @@ def pf06(t):
     return portfolio.tracker_summary(tracked(t))
 
 
+_GUARDED = f"""
+{_tracker(21, []).split("pos2 AS")[0].replace("pos AS", "pos0 AS")}
+gd AS (SELECT pos0.fingerprint, max(q.close) / any_value(pos0.entry_close) AS hi, min(q.close) / any_value(pos0.entry_close) AS lo FROM pos0 JOIN px q ON q.ticker = pos0.ticker AND q.idx BETWEEN pos0.entry_idx AND pos0.entry_idx + 21 AND q.dt <= DATE '{AS_OF}' GROUP BY 1),
+ex AS (SELECT pos0.*, CASE WHEN ticker = 'Brand#12' THEN 'excluded_ticker' WHEN CAST(substring(ticker, 7) AS INT) % 11 = 0 THEN 'excluded_issuer' WHEN gd.hi > 1.15 OR gd.lo < 0.87 THEN 'excluded_split' END AS excluded FROM pos0 JOIN gd USING (fingerprint)),
+pos AS (SELECT * EXCLUDE (excluded) FROM ex WHERE excluded IS NULL),
+pos2 AS{_tracker(21, []).split("pos2 AS")[1]}"""
+
+
+@query("pf06_guarded_summary", f"WITH {_GUARDED}, {_tracker_end([])}, c AS (SELECT count(*) FILTER (excluded = 'excluded_split') AS excluded_split, count(*) FILTER (excluded = 'excluded_ticker') AS excluded_ticker, count(*) FILTER (excluded = 'excluded_issuer') AS excluded_issuer FROM ex) SELECT fin.*, c.* FROM fin CROSS JOIN c")
+def pf06_guarded(t):
+    """The tracker without a ticker, some issuers and positions whose price runs beyond narrow limits while they are held; with counters."""
+    prices = t.kept("prices")
+    issuers = t.meta.where(F.substring("ticker", 7, 9).cast("int") % 11 == 0)
+    checked = t.kept("checked", lambda: portfolio.guarded(entered_positions(t), prices, AS_OF, 21, ("Brand#12",), issuers, least=0.87, most=1.15))
+    series = portfolio.tracker(checked.where("excluded IS NULL"), prices, AS_OF, 21)
+    return portfolio.tracker_summary(series, counts=portfolio.guard_counts(checked, AS_OF))
+
+
 _TOGGLES = {"t30": 21, "t90": 63}
 
 

@@ -6,10 +6,13 @@ start from the same rows. ``Tables`` builds each view lazily from one folder.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.operators.ranking import kept
+
 #: View name -> (source tables, SQL).
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "fx_tickers_meta": (("part",), """
@@ -59,6 +62,13 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._kept: dict[str, DataFrame] = {}
+
+    def kept(self, name: str, rows: Callable[[], DataFrame] | None = None) -> DataFrame:
+        """A view (or ``rows()``) written once to the shared folder, for plans that read it several times."""
+        if name not in self._kept:
+            self._kept[name] = kept(rows() if rows else getattr(self, name), name)
+        return self._kept[name]
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
