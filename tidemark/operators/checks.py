@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -189,6 +189,19 @@ def error_class(ratio: Column) -> Column:
     )
 
 
+def sample_strata(rows: DataFrame, strata: dict[str, tuple[Column, float]], size: int, key: str, seed: int = 1) -> DataFrame:
+    """Rows (stratum, key): of each stratum (name -> condition, share) ``share * size`` rows, or all if it has fewer, in the order of a seeded hash.
+
+    Strata may overlap; a row may be drawn for several. Each task keeps only the first rows of each stratum.
+    """
+    tags = F.array_compact(F.array(*[F.when(inside, F.struct(F.lit(name).alias("stratum"), F.lit(round(share * size)).alias("_most"))) for name, (inside, share) in strata.items()]))
+    tagged = rows.withColumn("_tag", F.explode(tags)).select("_tag.*", key)
+    order = Window.partitionBy("stratum").orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), key)
+    most = max([round(share * size) for _, share in strata.values()], default=0)
+    ranked = tagged.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= most)
+    return ranked.where("_rn <= _most").select("stratum", key)
+
+
 def near_duplicates(dealings: DataFrame, days: int = 7, tolerance: float = 0.05) -> DataFrame:
     """Pairs (fingerprint, earlier_fp) of one director's dealings of like value within ``days``.
 

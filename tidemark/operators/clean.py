@@ -61,8 +61,8 @@ def role_tier(role: Column) -> Column:
 # Patterns of the older role classes, in order of precedence.
 LEGACY_CLASSES = [
     (r"\b(chief\s+executive|chief\s+financial|c\.?e\.?o\.?|c\.?f\.?o\.?)\b", "CEO_CFO"),
-    (r"\b(non[- ]?exec(utive)?(\s+director)?|ned)\b", "NED"),
-    (r"\b(chair(man|woman|person)?|chief\s+\w+\s+officer|executive\s+director|managing\s+director|group\s+(general\s+counsel|chief))\b", "EXEC"),
+    (r"\b(non[- ]?exec(?:utive)?(?:\s+director)?|\bned\b)\b", "NED"),
+    (r"\b(chair(?:man|woman|person)?|chief\s+\w+\s+officer|executive\s+director|managing\s+director|group\s+(?:general\s+counsel|chief))\b", "EXEC"),
 ]
 # Patterns of the three role groups, in order of precedence.
 ROLE_GROUPS = [
@@ -87,9 +87,18 @@ def legacy_role_class(role: Column) -> Column:
     return first_rule(F.coalesce(role, F.lit("")), LEGACY_CLASSES, "OTHER")
 
 
-def role_group(role: Column) -> Column:
-    """ceo_cfo, ned or other_exec by the first matching rule; null if none does."""
-    return first_rule(F.coalesce(role, F.lit("")), ROLE_GROUPS)
+#: The role class that settles a group; a group's class comes right before its pattern.
+ROLE_GROUP_CLASSES = {"ceo_cfo": "T1", "ned": "T3", "other_exec": "T2"}
+
+
+def role_group(role: Column, role_class: Column | None = None) -> Column:
+    """ceo_cfo, ned or other_exec by the first matching rule; null if none does. A group's class, if given, comes before its pattern."""
+    known = F.upper(F.trim(F.coalesce(role_class, F.lit("")))) if role_class is not None else F.lit("")
+    out = F.lit(None).cast("string")
+    for pattern, group in reversed(ROLE_GROUPS):
+        fits = (known == ROLE_GROUP_CLASSES[group]) | F.coalesce(role, F.lit("")).rlike(f"(?i){pattern}")
+        out = F.when(fits, F.lit(group)).otherwise(out)
+    return out
 
 
 def sector(name: Column, table: dict[str, str] = SECTORS) -> Column:
@@ -146,15 +155,15 @@ def iso_day(text: Column) -> Column:
 
 
 def _nfkc():
-    from pyspark.sql.functions import PandasUDFType, pandas_udf
+    import pandas as pd
 
-    @pandas_udf("string", PandasUDFType.SCALAR)
-    def fold(names):
+    def fold(names: pd.Series) -> pd.Series:
         import unicodedata
 
         return names.map(lambda n: None if n is None else unicodedata.normalize("NFKC", n).casefold())
 
-    return fold
+    fold.__annotations__ = {"names": pd.Series, "return": pd.Series}
+    return F.pandas_udf(fold, "string")
 
 
 def director_key(name: Column) -> Column:

@@ -125,11 +125,20 @@ def pending_bucket(warnings: Column) -> Column:
     return out
 
 
-BLOCKING = ("missing_date", "bad_price", "unknown_kind")
+BLOCKING = ("missing_date", "missing_name", "missing_shares", "bad_price", "unknown_kind", "foreign_currency", "bundled_multi_pdmr", "year_as_shares")
 
 
 def gate(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(ingested, pending): rows whose warnings block wait; advisory warnings do not."""
-    blocks = F.arrays_overlap("warnings", F.array(*[F.lit(b) for b in BLOCKING])) | ((F.col("value") <= 0) & ~F.col("kind").isin("GRANT", "EXERCISE"))
-    blocks = F.coalesce(blocks, F.lit(False))
+    """(ingested, pending): rows whose warnings block wait, one by one; advisory warnings do not.
+
+    Whatever the warnings, a row without a kind waits, and so does one without a positive value, or price where the rows
+    have one, unless it is a grant or an exercise.
+    """
+    free = F.coalesce(F.col("kind").isin("GRANT", "EXERCISE"), F.lit(False))
+    paid = F.lit(True)
+    for c in ("price", "value"):
+        if c in rows.columns:
+            paid = paid & F.coalesce(F.col(c) > 0, F.lit(False))
+    marked = F.coalesce(F.arrays_overlap("warnings", F.array(*[F.lit(b) for b in BLOCKING])), F.lit(False))
+    blocks = marked | F.col("kind").isNull() | (~free & ~paid)
     return rows.where(~blocks), rows.where(blocks)

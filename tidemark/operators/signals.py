@@ -56,6 +56,13 @@ def tier_signal(tier: str) -> Callable[[Context], DataFrame]:
     return lambda ctx: _fired(ctx.strict.where((F.col("tier") == tier) & (F.col("value") >= least)), signal, confidence)
 
 
+def tier_sweep(ctx: Context, factors: list[float]) -> DataFrame:
+    """Tier firings with every tier's threshold times each factor, in one pass: rows (fingerprint, ticker, tier, signal, factor, fired_at)."""
+    of = lambda place: lookup(F.col("tier"), {t: v[place] for t, v in TIERS.items()})
+    grid = F.explode(F.filter(F.array(*[F.lit(float(f)) for f in factors]), lambda f: F.col("value") >= of(0) * f))
+    return ctx.strict.where(of(0).isNotNull()).select("fingerprint", "ticker", "tier", of(3).alias("signal"), grid.alias("factor"), F.col("announced").alias("fired_at"))
+
+
 def other_buyers(buys: DataFrame, of: DataFrame, days: int = 30) -> DataFrame:
     """Pairs (fingerprint, other_fp, other_director): another director's buy of the ticker within ``days``, visible at announcement.
 

@@ -56,6 +56,42 @@ def spearman(rows: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
     return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.round(F.covar_pop(a, b) / spread, 6).alias("spearman"))
 
 
+def out_of_sample(rows: DataFrame, by: str, measure: str = "net", least: int = 30) -> DataFrame:
+    """Per group, on the rows whose part is test: n, mean, median, hit %, mean against all rows' (vs_baseline), the train mean, and a verdict.
+
+    EDGE is a positive mean that beats the baseline, that the train part shares, and that stays without its best row;
+    PRELIMINARY lacks one of the last two; NOISE has no edge; fewer than ``least`` rows are INSUFFICIENT-N.
+    """
+    rows = kept(rows.where(F.col(measure).isNotNull()).select(by, "part", measure), "sample")
+    test, m = rows.where("part = 'test'"), F.col(measure)
+    base = test.agg(F.avg(m).alias("_base"))
+    counts = [F.count(F.lit(1)).alias("n"), F.avg(m).alias("mean"), F.round(100.0 * F.count_if(m > 0) / F.count(F.lit(1)), 4).alias("hit_pct"), ((F.sum(m) - F.max(m)) / F.nullif(F.count(F.lit(1)) - 1, F.lit(0))).alias("_rest")]
+    now = test.groupBy(by).agg(*counts).join(exact_medians(test, [by], [measure]).withColumnRenamed(measure, "median"), by, "left")
+    before = rows.where("part = 'train'").groupBy(by).agg(F.avg(m).alias("train_mean"))
+    out = now.join(before, by, "left").crossJoin(F.broadcast(base))  # one row
+    beats = (F.col("mean") > 0) & (F.col("mean") > F.col("_base"))
+    legs = F.coalesce(F.col("train_mean") > 0, F.lit(False)).cast("int") + F.coalesce(F.col("_rest") > 0, F.lit(False)).cast("int")
+    verdict = F.when(F.col("n") < least, "INSUFFICIENT-N").when(beats & (legs == 2), "EDGE").when(beats & (legs == 1), "PRELIMINARY").otherwise("NOISE")
+    return out.select(by, "n", "mean", "median", "hit_pct", (F.col("mean") - F.col("_base")).alias("vs_baseline"), "train_mean", verdict.alias("verdict"))
+
+
+def weighted_board(rows: DataFrame, keys: list[str], measure: str, weights: dict[str, Column], tie: str = "fingerprint") -> DataFrame:
+    """Rows (keys, scheme, n, mean, median, hit_pct): each measured under every scheme of weights.
+
+    The median is the first value, in order, at which half of the weight is reached; running sums of weight come from ranges of values.
+    """
+    schemes = F.explode(F.array(*[F.struct(F.lit(n).alias("scheme"), w.cast("double").alias("_w")) for n, w in weights.items()]))
+    long = rows.where(F.col(measure).isNotNull()).select(*keys, tie, measure, schemes.alias("_s")).select(*keys, tie, measure, "_s.*")
+    groups, m = [*keys, "scheme"], F.col(measure)
+    placed = kept(running_total(kept(long, "weighted"), F.col("_w"), [*groups, measure, tie]), "placed")
+    total = placed.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_w").alias("_all"), F.min("_before").alias("_first"), (F.sum(m * F.col("_w")) / F.sum("_w")).alias("mean"), (100.0 * F.sum(F.when(m > 0, F.col("_w")).otherwise(0.0)) / F.sum("_w")).alias("hit_pct")
+    )
+    reached = (F.col("_before") - F.col("_first") + F.col("_w")) * 2 >= F.col("_all") * (1 - 1e-12)
+    middle = placed.join(total.select(*groups, "_all", "_first"), groups).where(reached).groupBy(*groups).agg(F.min(measure).alias("median"))
+    return total.join(middle, groups, "left").select(*groups, "n", "mean", "median", "hit_pct")
+
+
 def winsorised(rows: DataFrame, column: str, keys: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Column w: the measure clipped at two percentiles of its key."""
     rows = kept(rows, "winsorised")

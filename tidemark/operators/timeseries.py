@@ -98,6 +98,16 @@ def distinct_in_reach(rows: DataFrame, keys: list[str], member: str, day: str, b
     return daily.select(*keys, "day", F.sum("_by").over(run).alias("n"))
 
 
+def with_markers(prices: DataFrame, events: DataFrame, fields: list[str]) -> DataFrame:
+    """Column markers: the events of each ticker and day as an array of structs of ``fields``, in their order; empty without any.
+
+    Events are gathered before the join, so a price row comes out once.
+    """
+    marks = events.groupBy(F.col("ticker").alias("_t"), F.col("dt").alias("_d")).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("markers"))
+    out = prices.join(marks, (F.col("ticker") == F.col("_t")) & (F.col("dt") == F.col("_d")), "left").drop("_t", "_d")
+    return out.withColumn("markers", F.coalesce("markers", F.array().cast(marks.schema["markers"].dataType)))
+
+
 def extremes_ahead(prices: DataFrame, column: str, rows: int) -> DataFrame:
     """Columns least_ahead and most_ahead: over the row itself and the ``rows`` rows after it in its series, or what there is of these.
 

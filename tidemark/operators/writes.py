@@ -98,6 +98,22 @@ def insert_new(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return old.unionByName(new.join(old.select(*key), key, "left_anti"))
 
 
+def backfill_starts(held: DataFrame, wanted: DataFrame, full: int = 250) -> DataFrame:
+    """Rows (ticker, start): from which day on each wanted ticker's prices are to be fetched; null is from the beginning.
+
+    Tickers with ``full`` days or more are left out; others go on the day after their last one.
+    """
+    days = held.groupBy("ticker").agg(F.countDistinct("dt").alias("_n"), F.max("dt").alias("_last"))
+    return wanted.select("ticker").distinct().join(days, "ticker", "left").where(F.col("_n").isNull() | (F.col("_n") < full)).select("ticker", F.date_add("_last", 1).alias("start"))
+
+
+def backfill(held: DataFrame, fetched: DataFrame, full: int = 250) -> DataFrame:
+    """``held`` with the fetched prices of the days that ``backfill_starts`` asks for; a day that is there already stays as it is."""
+    starts = backfill_starts(held, fetched, full)
+    new = fetched.join(starts, "ticker").where(F.col("start").isNull() | (F.col("dt") >= F.col("start"))).select(*held.columns)
+    return insert_new(held, new.dropDuplicates(["ticker", "dt"]), ["ticker", "dt"])
+
+
 def latest_wins(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """``new`` with the rows of ``old`` whose key it has not got."""
     return insert_new(new, old, key)

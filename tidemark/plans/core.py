@@ -50,7 +50,7 @@ def src03(t):
 
 
 @query("src05_curated_overlay", """
-SELECT m.ticker, CASE WHEN is_excluded_issuer THEN 'Curated, by hand' ELSE sector END AS sector, CASE WHEN is_excluded_issuer AND is_aim THEN market_cap_gbp ELSE market_cap_gbp END AS market_cap_gbp, is_excluded_issuer AS curated FROM fx_tickers_meta m""")
+SELECT m.ticker, CASE WHEN is_excluded_issuer THEN 'Curated, by hand' ELSE sector END AS sector, market_cap_gbp, is_excluded_issuer AS curated FROM fx_tickers_meta m""")
 def src05(t):
     """A hand-kept CSV is read by its schema; its values win, and where it has none the fetched ones stay."""
     path = work_path(t.spark, "curated")
@@ -67,6 +67,17 @@ def src07(t):
     return now.unionByName(t.shorts.where("position_date < DATE'1997-01-01'").withColumn("sheet", F.lit("historic")))
 
 
+@query("src07_sheets_by_name", "SELECT 'H' || holder AS holder, ticker AS issuer, position_date, net_short_pct, CASE WHEN position_date >= DATE '1997-01-01' THEN 'current' ELSE 'historic' END AS sheet FROM fx_short_positions")
+def src07_sheets(t):
+    """Sheets with dated names are written as CSV and read back by how their names begin; a sheet of notes is not read."""
+    path = work_path(t.spark, "sheets")
+    rows = t.shorts.select(F.concat(F.lit("H"), "holder").alias("Position Holder"), F.col("ticker").alias("Name of Share Issuer"), F.lit("GB00").alias("ISIN"), F.col("net_short_pct").alias("Net Short Position (%)"), F.col("position_date").alias("Position Date"))
+    now = F.col("Position Date") >= D("1997-01-01")
+    for name, inside in (("Current Disclosures 01.01.1998", now), ("Historic Disclosures 01.01.1998", ~now), ("Notes 01.01.1998", now)):
+        rows.where(inside).write.option("header", "true").csv(f"{path}/{name}")
+    return files.disclosure_sheets(t.spark, path).select("holder", "issuer", "position_date", "net_short_pct", "sheet")
+
+
 @query("src08_results_diary", """
 SELECT DISTINCT ticker, report_date, CASE report_type WHEN 'PRELIM' THEN 'PRELIM' WHEN 'INTERIM' THEN 'INTERIM' ELSE CASE day(report_date) % 3 WHEN 0 THEN 'QUARTERLY' ELSE 'TRADING_STMT' END END AS report_type FROM fx_reporting_dates r
 WHERE NOT (report_type = 'TRADING_STMT' AND day(report_date) % 3 = 1) AND ticker IN (SELECT ticker FROM fx_dealings WHERE type='BUY')""")
@@ -139,6 +150,18 @@ def prj09(t):
     return t.dealings.groupBy("role", clean.role_group(F.col("role")).alias("role_group")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_CLASS = {0: "T1", 1: " t3 ", 2: "T2"}
+
+
+@query("prj09_role_class", """
+SELECT fingerprint, CASE WHEN k = 0 OR role LIKE 'Chief Exec%' OR role LIKE 'Chief Fin%' THEN 'ceo_cfo' WHEN k = 1 OR role LIKE 'Non-Exec%' THEN 'ned' WHEN k = 2 OR role LIKE 'Executive Chair%' OR role LIKE '%Operating Officer' THEN 'other_exec' END AS role_group
+FROM (SELECT *, director % 7 AS k FROM fx_dealings)""")
+def prj09_class(t):
+    """A class beside the title settles a group before the title's pattern does."""
+    known = F.element_at(F.create_map(*[F.lit(x) for kv in _CLASS.items() for x in kv]), (F.col("director") % 7).cast("int"))
+    return t.dealings.select("fingerprint", clean.role_group(F.col("role"), known).alias("role_group"))
+
+
 @query("prj10_corporate_holder", "SELECT fingerprint, role LIKE 'Person Closely%' OR director % 50 = 0 AS excluded FROM fx_dealings")
 def prj10(t):
     name = F.when(F.col("director") % 50 == 0, F.concat(F.lit("Holder "), "director", F.lit(" Nominees Limited"))).otherwise(F.concat(F.lit("Director "), "director"))
@@ -469,6 +492,16 @@ def jn21(t):
     return out.agg(F.count("fingerprint").alias("n_dealings"), F.sort_array(F.collect_list("type")).alias("types"))
 
 
+@query("jn21_markers", """
+SELECT p.ticker, p.dt, p.close, coalesce(d.markers, []) AS markers FROM fx_prices p LEFT JOIN (SELECT ticker, dt, list(fingerprint || ' ' || type || ' ' || shares || ' ' || CAST(round(value * 100) AS BIGINT) || ' ' || director ORDER BY fingerprint) AS markers
+ FROM fx_dealings GROUP BY 1, 2) d ON p.ticker = d.ticker AND p.dt = d.dt""")
+def jn21_markers(t):
+    """Each day's dealings beside its price: number, type, shares, value in pence and director."""
+    out = ts.with_markers(t.prices, t.dealings, ["fingerprint", "dt", "type", "shares", "value", "director"])
+    text = F.transform("markers", lambda m: F.concat_ws(" ", m["fingerprint"], m["type"], m["shares"], F.round(m["value"] * 100).cast("long"), m["director"]))
+    return out.select("ticker", "dt", "close", text.alias("markers"))
+
+
 # --- clusters and signals -------------------------------------------------------
 
 _CLUSTERS = """

@@ -86,6 +86,15 @@ def ext07_rows(t):
     return rows.select("page_id", "name", "kind", "dt", "shares", R("value", 2).alias("value"))
 
 
+@query("ext10_filing_gate", "WITH " + _FILED + """, w AS (SELECT *, shares BETWEEN 1990 AND 2099 OR unit = 'foreign' OR dt IS NULL OR fingerprint % 11 = 0 AND (SELECT count(DISTINCT name) FROM g o WHERE o.page_id = g.page_id) > 1 AS waits FROM g)
+SELECT page_id, name, CASE WHEN waits THEN 'pending' ELSE 'ingested' END AS lane FROM w""")
+def ext10_gate(t):
+    """Row by row: what blocks waits, several prices alone do not."""
+    ingested, pending = extract.gate(filings.filing_rows(filing_pages(t), "page_id"))
+    lane = lambda df, name: df.select("page_id", "name", F.lit(name).alias("lane"))
+    return lane(ingested, "ingested").unionByName(lane(pending, "pending"))
+
+
 @query("ext08_holding_in_table", "WITH " + _FILED + "SELECT page_id, name, CASE WHEN fingerprint + 3000 NOT BETWEEN 1990 AND 2099 AND (kind <> 'BUY' OR fingerprint + 3000 >= shares) THEN fingerprint + 3000 END AS holding FROM g")
 def ext08_table(t):
     return filings.filing_rows(filing_pages(t), "page_id").select("page_id", "name", "holding")

@@ -137,6 +137,19 @@ def dq11(t):
     return t.dealings.withColumn("rn", rn).where(F.col("rn") <= most).select("type", "fingerprint")
 
 
+@query("dq11_audit_sample", f"""
+WITH s AS (SELECT v.stratum, v.most, d.fingerprint FROM fx_dealings d JOIN (VALUES ('any', 50), ('recent', 50), ('small cap', 30), ('other types', 20)) v(stratum, most) ON v.stratum = 'any'
+  OR v.stratum = 'recent' AND datediff('day', d.announced, DATE '{AS_OF}') BETWEEN 0 AND 90 OR v.stratum = 'small cap' AND CAST(substring(d.ticker, 7) AS INT) % 3 = 0 OR v.stratum = 'other types' AND d.type NOT IN ('BUY', 'SELL'))
+SELECT stratum, fingerprint FROM s QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY md5('1:' || fingerprint), fingerprint) <= most""")
+def dq11_audit(t):
+    """An audit sample of 200: a quarter of any rows, a quarter recent, the rest small caps and other types."""
+    strata = {
+        "any": (F.lit(True), 0.25), "recent": (F.datediff(D(AS_OF), "announced").between(0, 90), 0.25),
+        "small cap": (F.substring("ticker", 7, 9).cast("int") % 3 == 0, 0.15), "other types": (~F.col("type").isin("BUY", "SELL"), 0.10),
+    }
+    return checks.sample_strata(t.dealings, strata, 200, "fingerprint")
+
+
 @query("dq13_bad_batches", """
 WITH r AS (SELECT *, CASE WHEN confidence = 'est' THEN 'model' ELSE 'diary' END AS source, report_date - CAST(day(report_date) % 3 AS INT) AS fetched FROM fx_reporting_dates)
 SELECT report_date, report_type, source, fetched, count(DISTINCT ticker) AS n_tickers FROM r GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT ticker) >= 2""")
@@ -320,6 +333,18 @@ def snk02(t):
     return writes.insert_new(p.where("dt < DATE'1997-01-01'"), p.where("dt >= DATE'1996-01-01'").withColumn("close", F.col("close") + 1), ["ticker", "dt"])
 
 
+@query("snk02_backfill", """
+WITH old AS (SELECT ticker, dt, close FROM fx_prices WHERE dt < CASE CAST(ascii(right(ticker, 1)) AS INT) % 3 WHEN 0 THEN DATE '1992-06-01' WHEN 1 THEN DATE '1996-01-01' ELSE DATE '1900-01-01' END),
+s AS (SELECT ticker, count(*) AS n, max(dt) AS last FROM old GROUP BY 1)
+SELECT * FROM old UNION ALL SELECT p.ticker, p.dt, p.close + 1 FROM fx_prices p LEFT JOIN s USING (ticker) WHERE coalesce(s.n, 0) < 250 AND (s.last IS NULL OR p.dt > s.last)""")
+def snk02_backfill(t):
+    """Tickers hold nothing, some days or many; only those with fewer than 250 days are fetched, from the day after their last one."""
+    p = t.kept("prices").select("ticker", "dt", "close")
+    third = F.ascii(F.right("ticker", F.lit(1))) % 3
+    upto = F.when(third == 0, D("1992-06-01")).when(third == 1, D("1996-01-01")).otherwise(D("1900-01-01"))
+    return writes.backfill(p.where(F.col("dt") < upto), p.withColumn("close", F.col("close") + 1))
+
+
 @query("snk03_latest_wins", "SELECT fingerprint, CASE WHEN value > 200000 THEN 'high' ELSE confidence END AS confidence FROM firing")
 def snk03(t):
     f = tier_firings(t).select("fingerprint", "confidence", "value")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import aggregate as ag
 from tidemark.operators import eventstudy, portfolio, signals, stats
 from tidemark.operators import timeseries as ts
 from tidemark.operators.conviction import WEIGHTS
@@ -55,7 +56,18 @@ def pf03(t):
 @query("pf04_sizing_comparison", f"WITH {_T90} SELECT signal, round(avg(net), 6) AS flat_mean, round(sum(net*least(value, 50000.0))/sum(least(value, 50000.0)), 6) AS weighted_mean, round(median(net), 6) AS median_net FROM r GROUP BY 1")
 def pf04(t):
     w = portfolio.position_size(F.col("value"), "capped")
-    return t90(t).groupBy("signal").agg(R(F.avg("net")).alias("flat_mean"), R(F.sum(F.col("net") * w) / F.sum(w)).alias("weighted_mean"), R(F.percentile("net", 0.5)).alias("median_net"))
+    counts = [R(F.avg("net")).alias("flat_mean"), R(F.sum(F.col("net") * F.col("w")) / F.sum("w")).alias("weighted_mean")]
+    return ag.with_medians(t90(t).select("signal", "net", w.alias("w")), ["signal"], counts, {"median_net": "net"}, scale=1, digits=6)
+
+
+@query("pf04_flat_and_weighted", f"""WITH {_T90}, l AS (SELECT signal, fingerprint, net, unnest([{{'scheme': 'flat', 'w': 1000.0::DOUBLE}}, {{'scheme': 'capped', 'w': least(value, 50000.0)}}], recursive := true) FROM r),
+a AS (SELECT *, sum(w) OVER (PARTITION BY signal, scheme ORDER BY net, fingerprint ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY signal, scheme) AS whole FROM l)
+SELECT signal, scheme, count(*) AS n, round(sum(net * w) / sum(w), 6) AS mean, round(min(net) FILTER (upto * 2 >= whole * (1 - 1e-12)), 6) AS median, round(100.0 * sum(w) FILTER (net > 0) / sum(w), 4) AS hit_pct FROM a GROUP BY 1, 2""")
+def pf04_schemes(t):
+    """Mean, median and hit rate of each signal with equal stakes and with stakes by the size of the dealing."""
+    sizes = {s: portfolio.position_size(F.col("value"), s) for s in ("flat", "capped")}
+    out = stats.weighted_board(t90(t).withColumns({f"_{s}": w for s, w in sizes.items()}), ["signal"], "net", {s: F.col(f"_{s}") for s in sizes})
+    return out.select("signal", "scheme", "n", R("mean").alias("mean"), R("median").alias("median"), R("hit_pct", 4).alias("hit_pct"))
 
 
 def _tracker(hold: int, keys: list[str]) -> str:
@@ -158,7 +170,19 @@ def st01(t):
 def st02(t):
     m = F.avg("net")
     verdict = F.when(F.count(F.lit(1)) < 30, "INSUFFICIENT-N").when(m > 0.02, "EDGE").when(m > 0, "PRELIMINARY").otherwise("NOISE")
-    return stats.time_split(t90(t)).groupBy("tier", "part").agg(n_rows(), R(m).alias("mean"), R(F.percentile("net", 0.5)).alias("median"), verdict.alias("verdict"))
+    rows = stats.time_split(t90(t)).select("tier", "part", "net")
+    return ag.with_medians(rows, ["tier", "part"], [n_rows(), R(m).alias("mean"), verdict.alias("verdict")], {"median": "net"}, scale=1, digits=6)
+
+
+@query("st02_tier_verdicts", _SPLIT + """, b AS (SELECT avg(net) AS base FROM s WHERE part = 'test'),
+x AS (SELECT tier, count(*) AS n, avg(net) AS mean, median(net) AS median, round(100.0 * count(*) FILTER (net > 0) / count(*), 4) AS hit_pct, (sum(net) - max(net)) / nullif(count(*) - 1, 0) AS rest FROM s WHERE part = 'test' GROUP BY 1),
+y AS (SELECT tier, avg(net) AS train_mean FROM s WHERE part = 'train' GROUP BY 1)
+SELECT tier, n, round(mean, 6) AS mean, round(median, 6) AS median, hit_pct, round(mean - base, 6) AS vs_baseline, round(train_mean, 6) AS train_mean, CASE WHEN n < 30 THEN 'INSUFFICIENT-N' WHEN mean > 0 AND mean > base AND coalesce(train_mean > 0, false) AND coalesce(rest > 0, false) THEN 'EDGE'
+ WHEN mean > 0 AND mean > base AND (coalesce(train_mean > 0, false) OR coalesce(rest > 0, false)) THEN 'PRELIMINARY' ELSE 'NOISE' END AS verdict FROM x LEFT JOIN y USING (tier) CROSS JOIN b""")
+def st02_verdicts(t):
+    """Each tier on the later four tenths in time: what it earned, how often, against all firings and against the earlier part."""
+    out = stats.out_of_sample(stats.time_split(t90(t)), "tier")
+    return out.select("tier", "n", *[R(c).alias(c) for c in ("mean", "median")], "hit_pct", *[R(c).alias(c) for c in ("vs_baseline", "train_mean")], "verdict")
 
 
 @query("st03_decile_contrast", f"WITH {_T90}, d AS (SELECT *, ntile(10) OVER (ORDER BY net, fingerprint) AS decile FROM r) SELECT decile, count(*) AS n, round(avg(value), 2) AS mean_value, round(avg(market_cap_gbp), 2) AS mean_cap, round(avg(net), 6) AS mean_net FROM d WHERE decile IN (1, 10) GROUP BY 1")
@@ -301,6 +325,16 @@ def st19(t):
     return out.agg(n_rows(), F.count("net").alias("n_matured"), R(F.avg("net")).alias("mean_net"))
 
 
+@query("st19_tier_sweep", f"""WITH n AS (SELECT fingerprint, net FROM es WHERE horizon = 't90' AND net IS NOT NULL)
+SELECT b.tier, f.factor, count(*) AS n, count(n.net) AS n_matured, round(avg(n.net), 6) AS mean_net FROM buys b JOIN tiers t ON t.tier = b.tier JOIN (SELECT unnest([0.8, 1.0, 1.2]::DOUBLE[]) AS factor) f ON b.value >= t.least * f.factor LEFT JOIN n USING (fingerprint)
+WHERE b.buy_strictness = 'STRICT_BUY' GROUP BY 1, 2""")
+def st19_tiers(t):
+    """Every tier's threshold a fifth down and up, with what the firings that fire now as well have earned."""
+    fired = signals.tier_sweep(signals.context(t.dealings, t.prices), [0.8, 1.0, 1.2])
+    out = fired.join(t90(t).select("fingerprint", "net"), "fingerprint", "left").groupBy("tier", "factor")
+    return out.agg(n_rows(), F.count("net").alias("n_matured"), R(F.avg("net")).alias("mean_net"))
+
+
 @query("st18_challenger", None)
 def st18(t):
     """Weights refitted on the first six tenths in time and judged on the rest; a proposal, nothing is changed."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.clean import first_rule
@@ -31,6 +31,36 @@ def curated_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", "true").csv(path)
 
 
+#: How a regulator's disclosure sheets begin, and their columns.
+SHEETS = {"current": "Current Disclosures", "historic": "Historic Disclosures"}
+DISCLOSURE = "`Position Holder` string, `Name of Share Issuer` string, `ISIN` string, `Net Short Position (%)` double, `Position Date` date"
+
+
+def disclosure_sheets(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows (holder, issuer, isin, net_short_pct, position_date, sheet) of the sheets in ``folder`` whose names, which end in a date, begin as known; others are left.
+
+    Sheets are CSV with a header, exported one a file or folder. Positions of zero are kept: they say that one was closed.
+    """
+    out = None
+    for name, prefix in SHEETS.items():
+        rows = spark.read.schema(DISCLOSURE).option("header", "true").csv(f"{folder}/{prefix} *")
+        rows = rows.toDF("holder", "issuer", "isin", "net_short_pct", "position_date").withColumn("sheet", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def log_tail(spark: SparkSession, path: str, row: str, n: int = 200) -> DataFrame:
+    """The last ``n`` lines of a log of JSON lines, newest first, as place (from 1), the fields of ``row``, and _raw for a line that is none.
+
+    Files go by name, parts of a file by where they start and lines by their order; each task keeps its last ``n``.
+    """
+    lines = spark.read.text(path).select("value", "_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    last = lines.where("trim(value) <> ''").orderBy(F.desc("file_name"), F.desc("file_block_start"), F.desc("line")).limit(n)
+    order = Window.orderBy(F.desc("file_name"), F.desc("file_block_start"), F.desc("line"))  # n rows
+    parsed = F.from_json("value", f"{row}, _raw string", {"columnNameOfCorruptRecord": "_raw"})
+    return last.select(F.row_number().over(order).alias("place"), parsed.alias("r")).select("place", "r.*")
+
+
 QUOTE = (
     "error string, currency string, timestamp array<date>, adjclose array<double>, "
     "quote struct<open:array<double>,high:array<double>,low:array<double>,close:array<double>,volume:array<double>>"
