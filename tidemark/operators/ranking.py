@@ -68,7 +68,7 @@ def tile(place: Column, total: Column, n: int) -> Column:
 def below_before(history: DataFrame, asked: DataFrame, day: str, measures: list[str]) -> DataFrame:
     """Rows (measure, day, value, n_below, n_before) for each distinct asked value of a day: how many earlier values there are, and how many smaller ones.
 
-    Days are numbered, and the days before a day are put together from blocks of 1, 2, 4, ... days, one for each bit of
+    Days are numbered from the first, and the days before a day are put together from blocks of 1, 2, 4, ... days, one for each bit of
     its number that is set. In each block the values and the questions to it stand in one order, so a running sum of the
     values' counts answers all questions at once. That makes log2(days) rows of each distinct value and day, and no pairs
     of rows; order and sums come from ranges of values, so no task holds a block.
@@ -77,24 +77,24 @@ def below_before(history: DataFrame, asked: DataFrame, day: str, measures: list[
     long = lambda df: df.select(F.col(day).alias("day"), F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures])).alias("_m")).select("day", "_m.*").where("day IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)")
     counts = kept(long(history).groupBy("measure", "day", "value").agg(F.count(F.lit(1)).alias("n")), "counts")
     questions = kept(long(asked).distinct(), "questions")
-    number = (F.row_number().over(Window.orderBy("day")) - 1).alias("t")  # one row a day
-    days = kept(counts.select("day").union(questions.select("day")).distinct().select("day", number), "days")
-    levels = max(1, ceil(log2(max(1, days.count()) + 1)))
+    ends = counts.select("day").union(questions.select("day")).agg(F.min("day").alias("first"), F.datediff(F.max("day"), F.min("day")).alias("n")).first()
+    levels = max(1, ceil(log2((ends.n or 0) + 2)))
+    number = F.datediff("day", F.lit(ends.first)).alias("t")
     every = F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))
     shifted = F.expr("shiftright(t, level)")
-    blocks = counts.join(days, "day").select("measure", "value", "n", "t", every.alias("level")).withColumn("block", shifted).where("block % 2 = 0")
-    blocks = blocks.groupBy("measure", "level", "block", "value").agg(F.sum("n").alias("n"))
-    parts = questions.join(days, "day").select("measure", "day", "value", "t", every.alias("level")).withColumn("block", shifted).where("block % 2 = 1").withColumn("block", F.col("block") - 1)
     place = ["measure", "level", "block", "value"]
-    both = blocks.withColumn("kind", F.lit(1)).unionByName(parts.select(*place, F.lit(0).cast("long").alias("n"), F.lit(0).alias("kind")).distinct())
+    blocks = counts.select("measure", "value", "n", number, every.alias("level")).withColumn("block", shifted).where("block % 2 = 0")
+    parts = questions.select("measure", "day", "value", number, every.alias("level")).withColumn("block", shifted).where("block % 2 = 1").withColumn("block", F.col("block") - 1)
+    # at equal values questions come first; among equal rows of one kind the order does not matter
+    both = blocks.select(*place, "n", F.lit(None).cast("date").alias("day"), F.lit(1).alias("kind")).unionByName(parts.select(*place, F.lit(0).cast("long").alias("n"), "day", F.lit(0).alias("kind")))
     placed = running_total(both, F.col("n"), [*place, "kind"])
     first = placed.groupBy("measure", "level", "block").agg(F.min("_before").alias("_first"))
-    answers = placed.where("kind = 0").join(first, ["measure", "level", "block"]).select(*place, (F.col("_before") - F.col("_first")).alias("n_below"))
-    below = parts.join(answers, place).groupBy("measure", "day", "value").agg(F.sum("n_below").alias("n_below"))
+    answers = placed.where("kind = 0").join(first, ["measure", "level", "block"])
+    below = answers.groupBy("measure", "day", "value").agg(F.sum(F.col("_before") - F.col("_first")).alias("n_below"))
     daily = counts.groupBy("measure", "day").agg(F.sum("n").alias("n")).unionByName(questions.select("measure", "day", F.lit(0).cast("long").alias("n"))).groupBy("measure", "day").agg(F.sum("n").alias("n"))
     before = F.sum("n").over(Window.partitionBy("measure").orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
     earlier = daily.select("measure", "day", F.coalesce(before, F.lit(0)).alias("n_before"))
-    return questions.join(earlier, ["measure", "day"]).join(below, ["measure", "day", "value"], "left").withColumn("n_below", F.coalesce("n_below", F.lit(0)))
+    return kept(questions.join(earlier, ["measure", "day"]).join(below, ["measure", "day", "value"], "left").withColumn("n_below", F.coalesce("n_below", F.lit(0))), "ranks")
 
 
 #: Bits of a rank that a step of ``median_before`` settles.
