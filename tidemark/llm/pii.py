@@ -5,18 +5,19 @@ always stay. High-recall generators propose further, overlapping spans: anything
 around an ``@``, dotted numbers, digit groups with and without separators,
 groups shaped like a phone number, and long mixed runs of letters and digits.
 For each kind boosted trees learn from context features (neighbouring
-characters, a key word before) and coarse format features (lengths, separators,
-groups); what defines the base spans exactly, such as the Luhn sum or the upper
-limit of an octet, is none of them.
+characters, a key word before) and format features: lengths, separators, groups,
+how many different characters there are, and the kinds' own checks (Luhn sum,
+limit of octets), so that a number of 16 digits that fails its check, written
+just like one that passes, is told apart from it.
 
 Labels are positive and unlabelled: a base span is a sure positive of its kind,
 any other proposal may or may not be one. So the trees' probability of being
 labelled is divided by what labelled spans get on average in documents that were
 not trained on, which gives the probability of being of the kind. The threshold
-of a kind is where this reaches one half, or, if that is higher, the score that
-``recall`` of the held-out labelled spans reach. For secrets (keys and tokens,
-which have no base pattern) the sure positives are those assigned to a key word,
-and the key word is no feature. Selected proposals that overlap no base span are
+of a kind is where this reaches ``least``. For secrets (keys and tokens,
+which have no base pattern) the sure positives are quoted runs that are assigned
+to some word, whatever its language, and look random; nothing around a run is a
+feature, so one that stands anywhere is found by its shape. Selected proposals that overlap no base span are
 added, overlapping ones as one span with the best one's kind: ``email_like``,
 ``ip_like``, ``card_like``, ``phone_like`` and ``secret``.
 
@@ -36,6 +37,8 @@ ignored.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -60,12 +63,13 @@ PROPOSALS = {
     "mixed": (r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+", r"[A-Za-z0-9_+/-]{16}"),
 }
 KEY_WORD = r"(?i)(mail|phone|tel|call|mobile|fax|card|visa|account|ip|host|server|addr|contact)\W{0,3}$"
-SECRET_WORD = r"(?i)(token|secret|passw(or)?d|credential|api.?key|access.?key|private.?key)\s{0,2}[:=]\s{0,2}[\"']?$"
+#: An assignment of a quoted value to any word.
+ASSIGNED = r"[\p{L}\p{N}_]\s{0,2}[:=]{1,2}\s{0,2}[\"']$"
 ADDED = {"email": "email_like", "ip": "ip_like", "card": "card_like", "phone": "phone_like", "secret": "secret"}
-FORMAT = ["length", "digits", "letters", "capitals", "groups", "spaces", "dots", "hyphens", "parens", "plus", "ats", "odd", "turns"]
+FORMAT = ["length", "digits", "letters", "capitals", "groups", "spaces", "dots", "hyphens", "parens", "plus", "ats", "odd", "turns", "kinds", "luhn", "octets"]
 CONTEXT = ["joined_before", "joined_after", "sign_before", "quoted", "key_word"]
-#: What the trees of a kind look at; a secret's key word is its label.
-FEATURES = {k: [*FORMAT, *CONTEXT] if k != "secret" else FORMAT for k in ADDED}
+#: What the trees of a kind look at. What stands before a secret is its label; how a card is written is what its base pattern fixes.
+FEATURES = {k: [*FORMAT, *CONTEXT] for k in ADDED} | {"card": ["digits", "letters", "luhn", *CONTEXT], "secret": FORMAT}
 _NEAR = 16
 
 
@@ -134,7 +138,9 @@ def _features(match: Column, before: Column, after: Column) -> dict[str, Column]
         "length": F.char_length(match), "digits": count("[0-9]"), "letters": count(r"\p{L}"), "capitals": count(r"\p{Lu}"), "groups": F.regexp_count(match, F.lit("[0-9]+")),
         "spaces": count(r"\s"), "dots": count(r"\."), "hyphens": count("-"), "parens": count("[()]"), "plus": count(r"\+"), "ats": count("@"), "odd": count(r"[^\p{L}0-9@.+()\s%_-]"),
         # places where letters and digits meet
-        "turns": F.regexp_count(match, F.lit(r"(?<=\p{L})[0-9]|(?<=[0-9])\p{L}")),
+        "turns": F.regexp_count(match, F.lit(r"(?<=\p{L})[0-9]|(?<=[0-9])\p{L}")), "kinds": F.size(F.array_distinct(F.split(F.left(match, F.lit(64)), ""))),
+        "luhn": flag(F.char_length(_digits(match)).between(12, 19) & _luhn(F.left(_digits(match), F.lit(19)))),
+        "octets": flag(F.regexp_count(match, F.lit(r"[0-9]+")).eqNullSafe(4) & _valid(F.lit("ip"), F.regexp_replace(match, "[^0-9]+", "."))),
         "joined_before": flag(before.rlike(r"\w$")), "joined_after": flag(after.rlike(r"^\w")), "sign_before": flag(before.rlike(r"[=:#/<]\s?$")), "quoted": flag(before.rlike(r"[\"']$")),
         "key_word": flag(before.rlike(KEY_WORD)),
     }
@@ -155,43 +161,53 @@ def _proposals(spans: DataFrame) -> DataFrame:
     reached = F.max(F.when(is_base, F.col("end"))).over(forth)
     ahead = F.min(F.when(is_base, F.col("start"))).over(back)
     touches = F.coalesce(reached > F.col("start"), F.lit(False)) | F.coalesce(ahead < F.col("end"), F.lit(False))
-    secret = F.col("mixed") & F.col("before").rlike(SECRET_WORD)
+    random = (F.char_length("match") >= 20) & (F.regexp_count("match", F.lit(r"(?<=\p{L})[0-9]|(?<=[0-9])\p{L}")) >= 4)
+    secret = F.col("mixed") & random & F.col("before").rlike(ASSIGNED) & F.col("after").rlike(r"^[\"']")
     label = F.coalesce(*[F.when(F.col("base") == i, F.lit(k)) for i, k in enumerate(BASE)], F.when(secret & ~touches, F.lit("secret")))
     described = _features(F.col("match"), F.col("before"), F.col("after"))
-    return placed.withColumn("touches", touches).select(*LOCATOR, "start", "end", "touches", label.alias("label"), *[v.alias(n) for n, v in described.items()])
+    return placed.withColumn("touches", touches).select(*LOCATOR, "start", "end", "touches", "mixed", label.alias("label"), *[v.alias(n) for n, v in described.items()])
 
 
-def _select(spans: DataFrame, work: str, train_spans: int, recall: float, seed: int) -> DataFrame | None:
+def _select(spans: DataFrame, work: str, train_spans: int, least: float, seed: int) -> DataFrame | None:
     """Rows (LOCATOR, added): the spans that the calibrated trees add; None if nothing can be learned."""
     turn = F.pmod(F.xxhash64(*LOCATOR, F.lit(seed)), F.lit(1000))
     spans = stored(spans.withColumn("turn", turn), f"{work}/spans")
     # a proposal that overlaps a base span without being one tells nothing
     learned = spans.where(F.col("label").isNotNull() | ~F.col("touches"))
     halves = learned.groupBy((F.col("turn") < 500).alias("early"), "label").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 12 rows
-    scored = spans.where("NOT touches AND label IS NULL OR label = 'secret'").select(*LOCATOR, "start", "end", *FORMAT, *CONTEXT)
-    picked = []
-    for kind in ADDED:
-        of = lambda early, own: sum(r.n for r in halves if r.early == early and (r.label == kind) == own)  # noqa: B023, E731
-        if not (of(True, True) and of(True, False) and of(False, True)):
-            continue
-        assemble = VectorAssembler(inputCols=FEATURES[kind], outputCol="features")
-        own = F.col("label").eqNullSafe(kind)
-        share = F.when(own, min(1.0, train_spans / of(True, True))).otherwise(min(1.0, 3 * train_spans / of(True, False)))
-        place = F.pmod(F.xxhash64(*LOCATOR, "start", "end"), F.lit(1 << 20)) / float(1 << 20)
-        sample = learned.where((F.col("turn") < 500) & (place < share)).select(own.cast("double").alias("label"), *FEATURES[kind])
-        sample = stored(sample.coalesce(8), f"{work}/sample-{kind}")  # its rows are bounded
-        model = GBTClassifier(maxDepth=3, maxIter=8, stepSize=0.4, maxBins=32, seed=seed).fit(assemble.transform(sample))
-        chance = vector_to_array("probability")[1]
-        held = model.transform(assemble.transform(learned.where((F.col("turn") >= 500) & own))).select(chance.alias("p"))
-        found = held.agg(F.avg("p").alias("labelled"), F.percentile_approx("p", 1 - recall, 10_000).alias("reached")).first()
-        limit = max(0.5 * found.labelled, min(found.reached, found.labelled))
-        chosen = model.transform(assemble.transform(scored)).select(*LOCATOR, "start", "end", (chance / found.labelled).alias("score"), chance.alias("p"))
-        picked.append(chosen.where(F.col("p") >= limit).select(*LOCATOR, "start", "end", "score", F.lit(ADDED[kind]).alias("kind")))
-    if not picked:
+    of = lambda kind, early, own: sum(r.n for r in halves if r.early == early and (r.label == kind) == own)
+    kinds = [k for k in ADDED if of(k, True, True) and of(k, True, False) and of(k, False, True)]
+    if not kinds:
         return None
-    every = picked[0]
-    for more in picked[1:]:
-        every = every.unionByName(more)
+    vectors = {k: VectorAssembler(inputCols=FEATURES[k], outputCol=f"x_{k}") for k in kinds}
+    place = F.pmod(F.xxhash64(*LOCATOR, "start", "end"), F.lit(1 << 20)) / float(1 << 20)
+    share = lambda k: F.when(F.col("label").eqNullSafe(k), min(1.0, train_spans / of(k, True, True))).otherwise(min(1.0, 3 * train_spans / of(k, True, False)))
+    drawn = F.array_compact(F.array(*[F.when(place < share(k), F.lit(k)) for k in kinds]))
+    sample = learned.where("turn < 500").select(F.col("label").alias("own"), *FORMAT, *CONTEXT, drawn.alias("drawn")).where(F.size("drawn") > 0)
+    sample = stored(sample.coalesce(8), f"{work}/sample")  # its rows are bounded
+
+    def fitted(kind: str):
+        rows = sample.where(F.array_contains("drawn", kind)).withColumn("label", F.col("own").eqNullSafe(kind).cast("double"))
+        trees = GBTClassifier(maxDepth=3, maxIter=8, stepSize=0.4, maxBins=32, minInstancesPerNode=25, seed=seed, featuresCol=f"x_{kind}")
+        return trees.fit(vectors[kind].transform(rows)).setProbabilityCol(f"p_{kind}").setRawPredictionCol(f"raw_{kind}").setPredictionCol(f"is_{kind}")
+
+    with ThreadPoolExecutor(len(kinds)) as pool:  # small samples: their jobs wait more than they work
+        models = dict(zip(kinds, pool.map(fitted, kinds)))
+
+    def chances(df: DataFrame, keep: list[str]) -> DataFrame:
+        """``keep`` and the trees' probability for each kind, in one pass."""
+        out = df
+        for k, model in models.items():
+            out = model.transform(vectors[k].transform(out))
+        return out.select(*keep, *[vector_to_array(f"p_{k}")[1].alias(k) for k in kinds])
+
+    held = chances(learned.where("turn >= 500 AND label IS NOT NULL"), ["label"])
+    own = {k: F.when(F.col("label") == k, F.col(k)) for k in kinds}
+    labelled = held.agg(*[F.avg(c).alias(k) for k, c in own.items()]).first().asDict()
+    scored = chances(spans.where("NOT touches AND label IS NULL OR label = 'secret'"), [*LOCATOR, "start", "end", "mixed"])
+    # a secret is a whole run of letters and digits
+    fits = F.array_compact(F.array(*[F.when((F.col(k) >= least * labelled[k]) & (F.col("mixed") | F.lit(k != "secret")), F.struct((F.col(k) / labelled[k]).alias("score"), F.lit(ADDED[k]).alias("kind"))) for k in kinds]))
+    every = scored.select(*LOCATOR, "start", "end", F.explode(fits).alias("f")).select(*LOCATOR, "start", "end", "f.*")
     # overlapping ones become one, with the best one's kind
     along = Window.partitionBy(*LOCATOR).orderBy("start", "end")
     before = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
@@ -201,7 +217,7 @@ def _select(spans: DataFrame, work: str, train_spans: int, recall: float, seed:
 
 
 def find_personal_data(
-    docs: DataFrame, train_spans: int = 10_000, recall: float = 0.99, seed: int = 11, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, train_spans: int = 10_000, least: float = 0.5, seed: int = 11, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per document: id, base and added (arrays of kind, start, end) and LOCATOR; base in order of kind and start."""
     work = work_dir(docs.sparkSession, "pii")
@@ -211,7 +227,7 @@ def find_personal_data(
     place = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(BASE) for x in (k, i)]), F.col("kind"))
     listed = F.array_sort(F.collect_list(F.struct(place.alias("place"), "start", "end", "kind")))
     base = spans.where("valid").groupBy(*LOCATOR).agg(F.transform(listed, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("base"))
-    added = _select(_proposals(spans), work, train_spans, recall, seed)
+    added = _select(_proposals(spans), work, train_spans, least, seed)
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
     out = rows.select("id", *LOCATOR).join(base, list(LOCATOR), "left")
     out = out.withColumn("added", none) if added is None else out.join(added, list(LOCATOR), "left")
