@@ -537,6 +537,18 @@ def test_nearest_with_unequal_norms(spark, norms):
     assert hits >= 0.9 * 250
 
 
+def test_vectors_of_one_identifier_are_candidates_of_their_own(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(60)]
+    near = rows[0][1]
+    rows += [(500, [x * 0.99 for x in near]), (500, [x * 0.98 for x in near]), (500, [-x for x in near]), (0, [x * 0.97 for x in near])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in nearest(frame, frame.where("vec_id = 20").union(frame.where("vec_id = 500").limit(0)).union(spark.createDataFrame([(1000, near)], "vec_id long, embedding array<double>")), k=6).where("query_id = 1000").orderBy("rank").collect()]
+    want = sorted(((-sum(a * b for a, b in zip(near, v)), i) for i, v in rows))[:6]
+    assert [i for i, _ in got] == [i for _, i in want] and [s for _, s in got] == pytest.approx([-s for s, _ in want])
+    assert [i for i, _ in got].count(500) == 2
+
+
 def test_line_dedup(spark):
     page = lambda *lines: "<html><style>x</style><body>" + "".join(f"<p>{x}</p>" for x in lines) + "</body>"
     rows = [(i, "http://a.example/p", page("menu", f"text {i}", "menu"), "x") for i in range(4)]

@@ -27,7 +27,8 @@ tasks; their sizes are set by the parameters (``max_cells``), not the input.
 Defined results: vectors that are null, empty, zero or hold a null or
 non-finite component take no part, as queries or as candidates; so do those of
 another length than most have. Repeated identifiers are candidates of their
-own; a query's own identifier never is one. An empty table gives an empty
+own; a query's own identifier never is one. Queries that share an identifier are
+searched each and share one list of the k best. An empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -263,10 +264,12 @@ def nearest(
     dealt = hashed.mapInArrow(deal, f"t int, block long, cell long, class_id {kind}, ids array<{kind}>, v array<double>")
     # a block meets at most about query_rows queries at once: with more queries, it is sent to several tasks
     turns = max(1, ceil(asked.count() * max(wanted / n_classes, 0.05) / query_rows))
-    dealt = dealt.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
     probes = asked.mapInArrow(probe, f"t int, block long, query_id {kind}, visited array<long>, v array<double>").withColumn(
         "turn", F.pmod(F.xxhash64("query_id"), F.lit(turns)).cast("int")
     )
+    # a block goes only to the turns of which some query visits it
+    visits = stored(probes.select("t", "block", "turn").distinct(), f"{work}/visits")
+    dealt = dealt.join(visits, ["t", "block"])
 
     def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """The k best of one block for each query that visits it."""
