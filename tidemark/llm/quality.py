@@ -103,7 +103,7 @@ def train(
     sample = labelled.where(place < share).select("id", "text", (F.col("label") == 1).cast("double").alias("label"), shard.alias("shard"))
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
         model = Ftrl(bits, alpha, beta, l1, l2)
-        rows = rows.sort_values("id")
+        rows = rows.sort_values(["id", "text", "label"])  # rows of one id come in one order whatever the shuffle
         examples = []
         for text, label in zip(rows["text"], rows["label"]):
             index, value = features(text, bits)
