@@ -189,7 +189,7 @@ def _select(spans: DataFrame, work: str, train_spans: int, least: float, seed: i
 
     def fitted(kind: str):
         rows = sample.where(F.array_contains("drawn", kind)).withColumn("label", F.col("own").eqNullSafe(kind).cast("double"))
-        trees = GBTClassifier(maxDepth=3, maxIter=8, stepSize=0.4, maxBins=32, minInstancesPerNode=25, seed=seed, featuresCol=f"x_{kind}")
+        trees = GBTClassifier(maxDepth=2, maxIter=5, stepSize=0.3, maxBins=32, minInstancesPerNode=25, seed=seed, featuresCol=f"x_{kind}")
         return trees.fit(vectors[kind].transform(rows)).setProbabilityCol(f"p_{kind}").setRawPredictionCol(f"raw_{kind}").setPredictionCol(f"is_{kind}")
 
     with ThreadPoolExecutor(len(kinds)) as pool:  # small samples: their jobs wait more than they work
