@@ -251,7 +251,8 @@ def _plain(v):
     return [_plain(x) for x in v] if isinstance(v, (list, tuple)) else v
 
 
-@pytest.mark.parametrize("name", ["jn03_first_after", "cl01_clusters", "sig15_evaluate_all", "ag01_scoreboard", "ft07_reversal", "cv07_composite", "fil12_field_validation", "snk06_nested_export", "str04_buyer_sessions"])
+@pytest.mark.parametrize("name", ["jn03_first_after", "cl01_clusters", "sig15_evaluate_all", "ag01_scoreboard", "ft07_reversal", "cv07_composite", "fil12_field_validation", "snk06_nested_export", "str04_buyer_sessions",
+    "cl02_cluster_lists", "sig13_crowd_windows", "dq09_survivors", "jn20_key_changes", "ext07_filing_rows", "ft16_relative_size", "pf06_guarded_summary", "st02_tier_verdicts"])
 def test_oracles(spark, duck, name):
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
