@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 pytest.importorskip("tidemark.llm")
@@ -94,3 +95,39 @@ def test_prefix_of_rare_shingles_keeps_hot_buckets_small(spark):
     work = simhash.work_dir(spark, "test")
     assert simhash._short_links(wide, 0.8, work).count() == 0
     assert spark.read.parquet(f"{work}/short").count() == 0  # the shingles of the hot line are in no prefix
+
+
+def test_wide_partitions_are_generalised_pigeonholes(spark):
+    line = prose(60)  # shared in full by half the texts, so that many partitions are crowded
+    texts = ["", *(" ".join((line if n % 2 else []) + prose(RNG.randint(5, 60))) for n in range(600))]
+    texts += [f"{t} changed" for t in texts if len(t.split()) > 80]
+    parts, bits = simhash.width(len(texts))
+    rows = simhash.located(spark.createDataFrame(list(enumerate(texts)), "id long, text string"))
+    prints = simhash.stored(simhash._wide(rows, 5).withColumn("k", F.col("id")), simhash.work_dir(spark, "prints"))
+    order = simhash.correlated_order(prints, parts, bits)
+    assert sorted(order) == list(range(parts * bits))
+    given = {r.k: np.array(r.parts, np.int64) for r in prints.collect() if r.parts}
+    keys, values = np.array(list(given)), np.array(list(given.values()))
+    flags = simhash._flags(values, bits)
+    bond = np.abs(np.corrcoef(flags.T.astype(float)))
+    inside = lambda places: np.mean([bond[np.ix_(p, p)].mean() for p in np.split(places, parts)])
+    assert inside(order) > inside(np.arange(parts * bits))
+    holes = {r.k: [tuple(h) for h in r.holes] for r in simhash._allotted(prints, parts, bits).collect()}
+    assert holes[0] == [] and set(holes) == {*given, 0}
+    held, asked, skipped, further = {}, {}, 0, 0
+    for k, some in holes.items():
+        held[k] = {h[:2] for h in some if h[2] & simhash.HOLDS}
+        asked[k] = {h[:2] for h in some if h[2] & simhash.ASKS}
+        if k in given:
+            assert len(held[k]) == parts and {p for p, _ in held[k]} == set(range(parts))
+            none, wide = parts - len({p for p, _ in asked[k]}), sum(len([h for h in asked[k] if h[0] == p]) > 1 for p in range(parts))
+            assert none == wide and len(asked[k]) == parts - none + wide * bits
+            skipped, further = skipped + none, further + wide
+    assert skipped == further > 0
+    near = 0
+    for i in range(len(keys)):
+        for j in np.flatnonzero((flags[i] != flags).sum(axis=1) < parts):
+            if i != j:
+                near += 1
+                assert asked[keys[i]] & held[keys[j]]
+    assert near > 100

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BLOOM_CONF, LOCATOR, configured, kept_for, located, stored, whole_text, work_dir
+from tidemark.llm.common import BLOOM_CONF, LOCATOR, configured, discard, kept_for, located, stored, whole_text, work_dir
 from tidemark.llm.components import components
 
 BITS = 64
@@ -104,12 +104,17 @@ def correlated_partitions(distinct: DataFrame, n_parts: int) -> list[list[int]]:
     together = np.zeros((BITS, BITS))
     for r in distinct.select("fp").mapInArrow(run, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
         together[r.i, r.j] = r.n
-    total = max(1, distinct.count())
+    return _by_bond(together, max(1, distinct.count()), n_parts)
+
+
+def _by_bond(together: np.ndarray, total: int, n_parts: int) -> list[list[int]]:
+    """Places of bits in ``n_parts`` groups, those that go together in one; ``together`` counts rows with both bits set."""
+    size = len(together)
     mean = together.diagonal() / total
     spread = np.sqrt(np.maximum(mean * (1 - mean), 1e-12))
     bond = np.abs((together / total - np.outer(mean, mean)) / np.outer(spread, spread))
     np.fill_diagonal(bond, 0)
-    left, parts = set(range(BITS)), []
+    left, parts = set(range(size)), []
     for k in range(n_parts):
         room = len(left) // (n_parts - k)
         part = [max(left, key=lambda b: (bond[b, sorted(left)].sum(), -b))]
@@ -269,6 +274,10 @@ def near_duplicates(
 #: Partitions of the wide fingerprint and bits of each, at least. Texts of similarity 0.8 agree in a bit with chance AGREE; they share a value with chance CHANCE.
 WIDE_PARTS, PART_BITS = 40, 16
 AGREE, CHANCE = 0.85, 0.954
+#: Partitions that share out their bits by correlation, and bits of a value that the histogram of a wide partition tells apart.
+TOGETHER, WIDE_COARSE = 4, 10
+#: What a text does at a value: it is found there, it looks there, or both.
+HOLDS, ASKS = 1, 2
 #: Texts of so many shingles or fewer are joined on the shingles themselves: too few for a fingerprint to tell.
 SHORT = 24
 #: Buckets up to this size give their pairs in a DataFrame expression; larger ones are compared all against all in blocks.
@@ -342,6 +351,117 @@ def _wide(rows: DataFrame, words: int, n_parts: int = WIDE_PARTS, bits: int = PA
     return rows.mapInArrow(run, f"id {kind}, {LOCATOR[0]} string, {LOCATOR[1]} long, p1 long, p2 long, parts array<long>, same long, few array<long>")
 
 
+def _flags(values: np.ndarray, bits: int) -> np.ndarray:
+    """(n, partitions * bits) of 0 and 1 from the partitions' values."""
+    return ((values[:, :, None] >> np.arange(bits)) & 1).astype(np.uint8).reshape(len(values), values.shape[1] * bits)
+
+
+def _part_values(batch: pa.RecordBatch, n_parts: int) -> np.ndarray:
+    """(n, partitions) values of the rows that have any."""
+    return batch.column("parts").flatten().to_numpy(zero_copy_only=False).reshape(-1, n_parts)
+
+
+def _regrouped(values: np.ndarray, bits: int, order: np.ndarray) -> np.ndarray:
+    """Values of the partitions that take the bits in ``order``."""
+    flags = _flags(values, bits)[:, order].reshape(*values.shape, bits)
+    return flags.astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
+
+
+def correlated_order(wide: DataFrame, n_parts: int, bits: int) -> np.ndarray:
+    """The wide fingerprint's bits, correlated ones in one partition; each TOGETHER partitions in a row share out their bits anew."""
+    step = TOGETHER * bits
+    having = wide.where(F.size("parts") > 0).select("parts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros((min(step, n_parts * bits - at),) * 2, np.int64) for at in range(0, n_parts * bits, step)]
+        for batch in batches:
+            flags = _flags(_part_values(batch, n_parts), bits).astype(np.float32)
+            for b, sums in enumerate(total):
+                x = flags[:, b * step : (b + 1) * step]
+                sums += (x.T @ x).astype(np.int64)
+        for b, sums in enumerate(total):
+            i, j = np.triu_indices(len(sums))
+            columns = [np.full(len(i), b, np.int32), i.astype(np.int32), j.astype(np.int32), sums[i, j]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["b", "i", "j", "n"])
+
+    counted = having.mapInArrow(run, "b int, i int, j int, n long").groupBy("b", "i", "j").agg(F.sum("n").alias("n")).toArrow()
+    b, i, j, n = (counted.column(c).to_numpy() for c in ("b", "i", "j", "n"))
+    out, rows = [], max(1, having.count())
+    for at in range(0, n_parts * bits, step):
+        size, here = min(step, n_parts * bits - at), b == at // step
+        together = np.zeros((size, size))
+        together[i[here], j[here]] = together[j[here], i[here]] = n[here]
+        out += [at + bit for part in _by_bond(together, rows, size // bits) for bit in part]
+    return np.array(out)
+
+
+def _wide_histogram(wide: DataFrame, n_parts: int, bits: int, order: np.ndarray) -> np.ndarray:
+    """By partition and the lowest WIDE_COARSE bits of its value: texts, and how many a text there shares its whole value with, itself included, on average."""
+    cells = 1 << WIDE_COARSE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = _regrouped(_part_values(batch, n_parts), bits, order)
+            for k in range(n_parts):
+                v, n = np.unique(values[:, k], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), k, np.int32)), pa.array(v), pa.array(n)], ["k", "v", "n"])
+
+    sizes = wide.where(F.size("parts") > 0).select("parts").mapInArrow(run, "k int, v long, n long").groupBy("k", "v").agg(F.sum("n").alias("n"))
+    by_cell = sizes.groupBy("k", F.col("v").bitwiseAND(cells - 1).alias("v")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("met")).toArrow()
+    k, v, n, met = (by_cell.column(c).to_numpy() for c in ("k", "v", "n", "met"))
+    out = np.zeros((2, n_parts, cells))
+    out[:, k, v] = n, met / np.maximum(n, 1)
+    return out
+
+
+def reaches(values: np.ndarray, histogram: np.ndarray, bits: int) -> np.ndarray:
+    """Thresholds -1, 0 or 1 (n, partitions) of least cost; the sum of each and one is the number of partitions."""
+    n_parts, costs = values.shape[1], []
+    fine = bits - WIDE_COARSE  # bits of which the histogram does not tell
+    for k in range(n_parts):
+        coarse = values[:, k] & ((1 << WIDE_COARSE) - 1)
+        texts, own = histogram[0, k] / 2.0**fine, histogram[1, k, coarse]
+        near = texts[coarse] * fine + texts[coarse[:, None] ^ (1 << np.arange(WIDE_COARSE))].sum(axis=1)
+        costs.append(np.column_stack((np.zeros(len(values)), 1 + own, 1 + own + bits + near)))
+    return allocate(costs, n_parts)
+
+
+def _allotted(wide: DataFrame, n_parts: int, bits: int) -> DataFrame:
+    """``wide`` with ``holes`` for ``parts``: where each text is held, and where it asks, by the generalised pigeonhole principle.
+
+    Bits that go together share a partition. Each text has thresholds t_i >= -1 of least cost with sum(t_i + 1) equal to
+    the number of partitions, so that it asks where any fingerprint that differs in fewer bits than there are partitions
+    is held. A text is held at its own value of each partition, asks there unless t_i is -1, and where t_i is 1 asks at
+    the values one bit away as well.
+    """
+    order = correlated_order(wide, n_parts, bits)
+    histogram = _wide_histogram(wide, n_parts, bits, order)
+    kept = [c for c in wide.columns if c != "parts"]
+    flips = np.append(0, 1 << np.arange(bits, dtype=np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
+                here = some.column("parts").value_lengths().to_numpy(zero_copy_only=False) > 0
+                values = _regrouped(_part_values(some, n_parts), bits, order)
+                reach = reaches(values, histogram, bits)
+                each = np.where(reach > 0, len(flips), 1).ravel()  # holes by row and partition
+                starts = np.cumsum(each) - each
+                turn = np.arange(each.sum()) - np.repeat(starts, each)
+                kinds = np.where(turn > 0, ASKS, np.repeat(np.where(reach.ravel() < 0, HOLDS, HOLDS | ASKS), each))
+                part = np.repeat(np.tile(np.arange(n_parts), len(values)), each)
+                columns = [pa.array(part.astype(np.int32)), pa.array(np.repeat(values.ravel(), each) ^ flips[turn]), pa.array(kinds.astype(np.int32))]
+                lengths = np.zeros(len(here), np.int64)
+                lengths[here] = each.reshape(len(values), n_parts).sum(axis=1)
+                offsets = pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32))
+                holes = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, ["part", "value", "kind"]))
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept), holes], [*kept, "holes"])
+
+    schema = ", ".join(f"{c} {wide.schema[c].dataType.simpleString()}" for c in kept)
+    return wide.mapInArrow(run, f"{schema}, holes array<struct<part: int, value: bigint, kind: int>>")
+
+
 def _distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Differing bits between each row of p and each of q."""
     out = np.zeros((len(p), len(q)), np.int16)
@@ -426,32 +546,36 @@ def _in_blocks(values: DataFrame, sizes: DataFrame, columns: list[str], compare,
 
 
 def _candidates(wide: DataFrame, work: str, max_bits: int = 33) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Pairs of keys that share a partition's value and differ in few of 128 bits.
+    """Pairs of keys of which one asks where the other is held, and that differ in few of 128 bits.
 
     Gives the pairs (a, b) to verify, the forests (a, b, part, value) that stand for the near pairs of dense blocks,
     and the values and crowded buckets for further rounds over these.
     """
     key = ["part", "value"]
-    values = wide.select("k", "p1", "p2", F.posexplode("parts").alias("part", "value"))
+    values = wide.select("k", "p1", "p2", F.explode("holes").alias("hole")).select("k", "p1", "p2", "hole.*")
     sizes = values.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     crowded = stored(sizes.where(F.col("n") > PAIR_BUCKET), f"{work}/crowded-buckets")
     near = lambda x, y: F.bit_count(x["p1"].bitwiseXOR(y["p1"])) + F.bit_count(x["p2"].bitwiseXOR(y["p2"])) <= max_bits
     # lists have at most PAIR_BUCKET members: crowded buckets are taken out before
-    member = F.struct("k", "p1", "p2")
+    member = F.struct("k", "p1", "p2", "kind")
+    asked = lambda x, y: x["kind"].bitwiseOR(y["kind"]) == HOLDS | ASKS
     small = values.join(crowded, key, "left_anti").groupBy(*key).agg(F.collect_list(member).alias("m")).where(F.size("m") > 1)
-    pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (x["k"] < y["k"]) & near(x, y)), lambda y: F.struct(x["k"].alias("a"), y["k"].alias("b")))))
+    pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (x["k"] < y["k"]) & asked(x, y) & near(x, y)), lambda y: F.struct(x["k"].alias("a"), y["k"].alias("b")))))
     inside = small.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
 
-    def compare(part: int, value: int, k: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> pa.RecordBatch:
+    def compare(part: int, value: int, k: np.ndarray, p1: np.ndarray, p2: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
         p = np.column_stack((p1, p2)).view(np.uint64)
         found = _near_places(p, max_bits, DENSE * len(p))
+        if found:
+            met = kind[found[0]] | kind[found[1]] == HOLDS | ASKS
+            found = tuple(x[met] for x in found)
         ends = np.column_stack(found[:2]) if found else np.array(spanning(p, max_bits)).reshape(-1, 2)
         a, b = k[ends].min(axis=1), k[ends].max(axis=1)
         columns = [pa.array(a), pa.array(b), pa.array(np.full(len(a), part, np.int32)), pa.array(np.full(len(a), value, np.int64))]
         return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(a), found is None))], ["a", "b", "part", "value", "dense"])
 
     with configured(wide.sparkSession, _FEW_GROUPS):
-        met = _in_blocks(values, crowded, ["p1", "p2"], compare, "a long, b long, part int, value long, dense boolean")
+        met = _in_blocks(values, crowded, ["p1", "p2", "kind"], compare, "a long, b long, part int, value long, dense boolean")
         met = stored(met, f"{work}/crowded-pairs")
     pairs = stored(inside.unionByName(met.select("a", "b")).distinct(), f"{work}/candidates")
     return pairs, met.where("dense").drop("dense"), values, crowded
@@ -517,7 +641,10 @@ def _linked(wide: DataFrame, rows: DataFrame, words: int, least: float, work: st
     that others join, its block needs no more. A block with a link that fails is compared again: its near pairs between
     different components are verified, the nearest of each two components first, until none is left.
     """
-    having = wide.where(F.size("parts") > 0)
+    if "holes" not in wide.columns:  # each text asks where it is held
+        hole = lambda v, i: F.struct(i.alias("part"), v.alias("value"), F.lit(HOLDS | ASKS).alias("kind"))
+        wide = wide.withColumn("holes", F.transform("parts", hole))
+    having = wide.where(F.size("holes") > 0)
     heads = stored(having.groupBy("same").agg(F.min("k").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"), f"{work}/heads")
     twins = having.select("k", "same").join(heads, "same").where("k <> head").select(F.col("head").alias("a"), F.col("k").alias("b"))
     twins = stored(twins, f"{work}/twins")
@@ -606,16 +733,20 @@ def _verified(pairs: DataFrame, wide: DataFrame, rows: DataFrame, words: int, le
 def _rooted(docs: DataFrame, words: int, least: float, id_col: str, text_col: str) -> DataFrame:
     """One row per document: id, root (a key that its group alone has) and LOCATOR.
 
-    Groups are components of pairs of verified similarity ``least`` or more. A pair
-    of similarity 0.8 shares at least one of the partitions' values with chance
-    0.95, one of 0.9 with chance 0.999; equal texts always do, and texts of few
-    shingles are joined on these. Such a pair is linked however many members the
-    value's bucket has. The partitions get wider, and more, with the rows.
+    Groups are components of pairs of verified similarity ``least`` or more. Pairs
+    to verify come from wide SimHashes by the generalised pigeonhole principle: all
+    that differ in fewer bits than there are partitions, and with them a pair of
+    similarity 0.8 with chance 0.95, one of 0.9 with chance 0.999. Texts of few
+    shingles are joined on these as well. Such a pair is linked however many members
+    the value's bucket has. The partitions get wider, and more, with the rows.
     """
     work = work_dir(docs.sparkSession, "similar")
     rows = located(docs).select(F.col(id_col).alias("id"), *LOCATOR, whole_text(text_col).alias("text"))
     with configured(docs.sparkSession, _SMALL_BATCHES):
-        wide = stored(_wide(rows, words, *width(rows.count())).withColumn("k", F.monotonically_increasing_id()), f"{work}/wide")
+        n_parts, bits = width(rows.count())
+        prints = stored(_wide(rows, words, n_parts, bits).withColumn("k", F.monotonically_increasing_id()), f"{work}/prints")
+        wide = stored(_allotted(prints, n_parts, bits), f"{work}/wide")
+        discard(docs.sparkSession, f"{work}/prints")
         reached = _linked(wide, rows, words, least, work)
     rooted = wide.select("id", "k", *LOCATOR).join(reached.withColumnRenamed("u", "k"), "k", "left")
     return rooted.select("id", F.coalesce("root", "k").alias("root"), *LOCATOR)
