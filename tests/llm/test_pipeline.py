@@ -5,12 +5,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("tidemark.llm")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from tidemark.llm import packing, quality, simhash  # noqa: E402
+from tidemark.llm import common, packing, quality, simhash  # noqa: E402
 from tidemark.llm.common import stored, work_dir  # noqa: E402
 from tidemark.llm.queries import tokenizer_path  # noqa: E402
 
@@ -88,3 +89,17 @@ def test_stages_keep_the_columns(spark):
         out = stage(spark, docs, path)
         assert out.columns == docs.columns
         docs = stored(out, work_dir(spark, "stage"))
+
+
+def test_workers_keep_nothing_of_the_quality_stage(spark):
+    docs = spark.createDataFrame([(i, f"{i} some words") for i in range(2000)], "doc_id long, text string").repartition(4)
+    weights = np.zeros((1 << 18) + 1)
+    weights[-1] = 2.0
+    assert quality.keep_good(docs, weights).count() == 2000
+
+    def kept(batches):
+        for batch in batches:
+            sizes = [len(common._KEPT.get("quality", {}))] * batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64())], ["id"])
+
+    assert {r.id for r in spark.range(8, numPartitions=4).mapInArrow(kept, "id long").collect()} == {0}

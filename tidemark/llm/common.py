@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -88,6 +89,14 @@ def kept_for(operator: str) -> dict:
     return _KEPT.setdefault(operator, {})
 
 
+def give_back() -> None:
+    """Return to the system what a Python worker has freed: it stays beside its executor while later stages run without it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
 def located(docs: DataFrame, label: str = "located") -> DataFrame:
     """``docs`` with LOCATOR columns naming each row's file and index in that file.
 

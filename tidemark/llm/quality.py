@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import kept_for, stored, whole_text, work_dir
+from tidemark.llm.common import give_back, kept_for, stored, whole_text, work_dir
 
 _MIX = 0x9E3779B97F4A7C15
 #: Words whose hashes a worker keeps for the next time.
 _MEMO_ENTRIES = 200_000
+#: Rows of a batch whose texts are Python strings at a time.
+_AT_ONCE = 512
 
 
 def _word_hash(word: str, known: dict[str, int]) -> int:
@@ -115,6 +117,8 @@ def train(
                 model.learn(index, value, label)
         w = model.weights()
         at = np.flatnonzero(w)
+        del examples, model
+        give_back()
         return pd.DataFrame({"feature": at, "w": w[at]})
 
     found = sample.groupBy("shard").applyInPandas(learn, "feature long, w double")
@@ -162,11 +166,15 @@ def keep_good(docs: DataFrame, weights: np.ndarray, threshold: float = 0.7, bits
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
         for batch in batches:
-            good = []
-            for text in batch.column(text_col).to_pylist():
-                index, value = features(text or "", bits)
-                good.append(bool(w[index] @ value + w[-1] >= least))
-            yield batch.filter(pa.array(good, pa.bool_()))
+            for at in range(0, batch.num_rows, _AT_ONCE):
+                some, good = batch.slice(at, _AT_ONCE), []
+                for text in some.column(text_col).to_pylist():
+                    index, value = features(text or "", bits)
+                    good.append(bool(w[index] @ value + w[-1] >= least))
+                yield some.filter(pa.array(good, pa.bool_()))
+        batch = some = None
+        kept_for("quality").clear()
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

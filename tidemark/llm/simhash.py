@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BLOOM_CONF, LOCATOR, configured, discard, kept_for, located, stored, whole_text, work_dir
+from tidemark.llm.common import BLOOM_CONF, LOCATOR, configured, discard, give_back, kept_for, located, stored, whole_text, work_dir
 from tidemark.llm.components import components
 
 BITS = 64
@@ -457,6 +457,7 @@ def _allotted(wide: DataFrame, n_parts: int, bits: int) -> DataFrame:
                 offsets = pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32))
                 holes = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, ["part", "value", "kind"]))
                 yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept), holes], [*kept, "holes"])
+        give_back()
 
     schema = ", ".join(f"{c} {wide.schema[c].dataType.simpleString()}" for c in kept)
     return wide.mapInArrow(run, f"{schema}, holes array<struct<part: int, value: bigint, kind: int>>")
@@ -714,6 +715,7 @@ def _verified(pairs: DataFrame, wide: DataFrame, rows: DataFrame, words: int, le
         for batch in batches:
             data = [shingle_hashes(t, words).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(data, pa.binary())], ["k", "set"])
+        give_back()
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -723,6 +725,7 @@ def _verified(pairs: DataFrame, wide: DataFrame, rows: DataFrame, words: int, le
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(shared >= least * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     with configured(rows.sparkSession, BLOOM_CONF):
         found = stored(_texts(asked, wide, rows, f"{work}/asked").mapInArrow(sets, "k long, set binary"), f"{work}/sets")
