@@ -131,3 +131,39 @@ def test_wide_partitions_are_generalised_pigeonholes(spark):
                 near += 1
                 assert asked[keys[i]] & held[keys[j]]
     assert near > 100
+
+
+def test_large_groups_of_near_copies_are_not_dealt_out_by_bucket(spark, monkeypatch):
+    dealt, real = [], simhash._in_blocks
+
+    def counted(values, sizes, *rest):
+        dealt.append(values.join(sizes, ["part", "value"]).count())
+        return real(values, sizes, *rest)
+
+    monkeypatch.setattr(simhash, "_in_blocks", counted)
+    monkeypatch.setattr(simhash, "BLOCK", 64)
+    rng, base = random.Random(9), prose(200)
+
+    def edited(words, n):
+        words = words[:]
+        for at in rng.sample(range(len(words)), n):
+            words[at] = rng.choice(WORDS)
+        return " ".join(words)
+
+    texts = [edited(base, rng.randint(1, 3)) for _ in range(300)]  # one large group
+    texts += [edited(base[:165] + prose(35), rng.randint(0, 2)) for _ in range(12)]  # too far from most of it
+    other = base[:170] + prose(30)
+    texts += [edited(other, rng.randint(1, 3)) for _ in range(40)] + [" ".join(prose(60)) for _ in range(20)]  # a second group, and texts apart
+    rng.shuffle(texts)
+    assert found(spark, texts) == groups(texts)
+    assert sum(dealt) <= 10 * len(texts)  # by bucket: each text in some forty of them, in each round
+
+
+def test_crossing_between_sides_is_that_of_all_without_pairs_on_one_side():
+    rng = np.random.default_rng(2)
+    p = rng.integers(0, 4, (60, 2)).astype(np.uint64)
+    group, side = np.arange(60) // 3, rng.random(60) < 0.4
+    i, j, _ = simhash.crossing(p, group, 2, 10**6)
+    keep = side[i] != side[j]
+    x, y, _ = simhash.crossing(p, group, 2, 10**6, side)
+    assert set(zip(x.tolist(), y.tolist())) == set(zip(i[keep].tolist(), j[keep].tolist())) and len(x)

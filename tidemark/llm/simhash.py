@@ -284,6 +284,8 @@ SHORT = 24
 PAIR_BUCKET = 16
 #: Members of a block of a crowded bucket, and near pairs a member from which on only a spanning forest of them is tested first.
 BLOCK, DENSE = 512, 4
+#: Every so many partitions, members of crowded buckets are joined into classes before all others are looked at.
+CLASS_EVERY = 8
 #: Near pairs that each two groups of a dense block give in the first further round; each later round gives eight times as many.
 ROUND_PAIRS = 512
 #: In further rounds, members of crowded buckets get a print of LONG_WORDS * 64 bits, and pairs differ in at most so many of them: those of
@@ -501,9 +503,15 @@ def spanning(p: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     return out
 
 
-def crossing(p: np.ndarray, group: np.ndarray, max_bits: int | np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Near places (i, j) of different groups: for each two groups the ``most`` nearest, and whether these two have more."""
-    i, j, d = _near_places(p, max_bits)
+def crossing(p: np.ndarray, group: np.ndarray, max_bits: int | np.ndarray, most: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Near places (i, j) of different groups, and of different sides if these are given: for each two groups the ``most`` nearest, and whether these two have more."""
+    if side is None:
+        i, j, d = _near_places(p, max_bits)
+    else:
+        own, their, limit = np.flatnonzero(~side), np.flatnonzero(side), np.broadcast_to(max_bits, len(p))
+        d = _distances(p[own], p[their])
+        x, y = np.nonzero(d <= np.maximum(limit[own][:, None], limit[their][None, :]))
+        i, j, d = np.minimum(own[x], their[y]), np.maximum(own[x], their[y]), d[x, y]
     i, j, d = (x[group[i] != group[j]] for x in (i, j, d))
     low, high = np.minimum(group[i], group[j]), np.maximum(group[i], group[j])
     order = np.lexsort((j, i, d, high, low))
@@ -531,6 +539,24 @@ def _in_blocks(values: DataFrame, sizes: DataFrame, columns: list[str], compare,
     names = ["k", *columns]
     mine = mine.select(*key, F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), *names)
     grouped = mine.groupBy(*key, "b1", "b2").agg(F.collect_list(F.struct(*names)).alias("m")).where(F.size("m") > 1)
+    return _compared(grouped, names, compare, schema)
+
+
+def _across(sides: DataFrame, columns: list[str], compare, schema: str) -> DataFrame:
+    """As ``_in_blocks``, over each block of the rows of ``sides`` (part, value, k, asks, columns) that ask and each of the others."""
+    key = ["part", "value"]
+    blocks = lambda of: F.ceil(F.count_if(of) / F.lit(BLOCK)).cast("int")
+    sizes = sides.groupBy(*key).agg(blocks(~F.col("asks")).alias("own"), blocks(F.col("asks")).alias("their")).where("own > 0 AND their > 0")
+    mine = sides.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("k"), F.when(F.col("asks"), F.col("their")).otherwise(F.col("own"))).cast("int"))
+    mine = mine.select("*", F.explode(F.sequence(F.lit(0), F.when(F.col("asks"), F.col("own")).otherwise(F.col("their")) - 1)).alias("other"))
+    b1, b2 = (F.when(F.col("asks"), F.col(x)).otherwise(F.col(y)) for x, y in (("other", "block"), ("block", "other")))
+    names = ["k", "asks", *columns]
+    grouped = mine.select(*key, b1.alias("b1"), b2.alias("b2"), *names).groupBy(*key, "b1", "b2").agg(F.collect_list(F.struct(*names)).alias("m"))
+    return _compared(grouped, names, compare, schema)
+
+
+def _compared(grouped: DataFrame, names: list[str], compare, schema: str) -> DataFrame:
+    """``compare`` (part, value, members' arrays to a batch) over the lists m of ``grouped``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -546,20 +572,69 @@ def _in_blocks(values: DataFrame, sizes: DataFrame, columns: list[str], compare,
     return grouped.mapInArrow(run, schema)
 
 
-def _candidates(wide: DataFrame, work: str, max_bits: int = 33) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _classes(single: DataFrame, wide: DataFrame, rows: DataFrame, words: int, least: float, work: str, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) in crowded buckets of some partitions, and the classes (k, class): components of more than PAIR_BUCKET texts.
+
+    A member is in one block of each bucket, in others from partition to partition. What this does not link is left to
+    the comparison of classes with all that meets them.
+    """
+    key = ["part", "value"]
+    here = lambda h: (h["part"] % CLASS_EVERY == 0) & (h["kind"].bitwiseAND(HOLDS) > 0)
+    values = single.select("k", "p1", "p2", F.explode(F.filter("holes", here)).alias("hole")).select("k", "p1", "p2", "hole.part", "hole.value")
+    blocks = values.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PAIR_BUCKET)
+    blocks = blocks.select(*key, F.ceil(F.col("n") / F.lit(BLOCK)).alias("blocks"))
+    mine = values.join(blocks, key).withColumn("block", F.pmod(F.xxhash64("k", "part"), F.col("blocks")))
+    grouped = mine.groupBy(*key, "block").agg(F.collect_list(F.struct("k", "p1", "p2")).alias("m")).where(F.size("m") > 1)
+
+    def compare(part: int, value: int, k: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> pa.RecordBatch:
+        ends = k[np.array(spanning(np.column_stack((p1, p2)).view(np.uint64), max_bits), np.int64).reshape(-1, 2)]
+        return pa.RecordBatch.from_arrays([pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1))], ["a", "b"])
+
+    with configured(single.sparkSession, _FEW_GROUPS):
+        met = stored(_compared(grouped, ["k", "p1", "p2"], compare, "a long, b long").distinct(), f"{work}/class-pairs")
+    links = _verified(met, wide, rows, words, least, f"{work}/class-round")
+    reached = stored(components(links, f"{work}/class-components"), f"{work}/class-reached")
+    large = reached.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PAIR_BUCKET).select("root")
+    classes = reached.join(large, "root", "left_semi").select(F.col("u").alias("k"), F.col("root").alias("class"))
+    return links, stored(classes, f"{work}/classes")
+
+
+def _sides(values: DataFrame, at: DataFrame, classes: DataFrame, work: str) -> DataFrame:
+    """Rows (part, value, k, asks): for each class (value) its members, and all (asks) that meet it where it stands: other texts, and members of other classes that stand there."""
+    key = ["part", "value"]
+    both = F.col("kind").bitwiseOR(F.col("there")) == HOLDS | ASKS
+    lone = values.drop("class").join(at.withColumnRenamed("kind", "there"), key).where(both).select("class", "k").distinct()
+    more = at.select(*key, F.col("class").alias("other"), F.col("kind").alias("there"))
+    pairs = at.join(more, key).where(both).where("class < other").select("class", "other").distinct()
+    others = pairs.join(classes.withColumnRenamed("class", "other"), "other").select("class", "k")
+    asking = lone.unionByName(others).distinct().join(classes, ["class", "k"], "left_anti")
+    row = lambda df, asks: df.select(F.lit(-2).alias("part"), F.col("class").alias("value"), "k", F.lit(asks).alias("asks"))
+    return stored(row(classes, False).unionByName(row(asking, True)), f"{work}/sides")
+
+
+def _candidates(wide: DataFrame, classes: DataFrame, work: str, max_bits: int = 33) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """Pairs of keys of which one asks where the other is held, and that differ in few of 128 bits.
 
     Gives the pairs (a, b) to verify, the forests (a, b, part, value) that stand for the near pairs of dense blocks,
-    and the values and crowded buckets for further rounds over these.
+    and the values and crowded buckets for further rounds over these. Where over PAIR_BUCKET members of a class are in
+    a bucket, the class stands there for them: the last rows (part, value, class, kind) say so, and they are in no values.
     """
     key = ["part", "value"]
-    values = wide.select("k", "p1", "p2", F.explode("holes").alias("hole")).select("k", "p1", "p2", "hole.*")
-    sizes = values.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    crowded = stored(sizes.where(F.col("n") > PAIR_BUCKET), f"{work}/crowded-buckets")
+    every = stored(wide.select("k", "p1", "p2", "holes").join(classes, "k", "left"), f"{work}/marked")
+    met = every.select("class", F.explode("holes").alias("hole")).select("class", "hole.*").groupBy(*key, "class")
+    met = stored(met.agg(F.count(F.lit(1)).alias("n"), F.bit_or("kind").alias("kind")).where(F.col("class").isNotNull() | (F.col("n") > PAIR_BUCKET)), f"{work}/met")
+    at = met.where("class IS NOT NULL").where(F.col("n") > PAIR_BUCKET).select(*key, "class", "kind")
+    none, few = F.sum(F.when(F.col("class").isNull(), F.col("n"))), F.sum(F.when(F.col("class").isNotNull() & (F.col("n") <= PAIR_BUCKET), F.col("n")))
+    left = met.groupBy(*key).agg(none.alias("none"), few.alias("few"))  # none is null if it is PAIR_BUCKET or less
+    left = left.select(*key, "none", (F.coalesce("none", F.lit(PAIR_BUCKET)) + F.coalesce("few", F.lit(0))).alias("n"))
+    crowded = stored(left.where(F.col("none").isNotNull() | (F.col("n") > 2 * PAIR_BUCKET)).drop("none"), f"{work}/crowded-buckets")
+    stand = stored(at.groupBy(*key).agg(F.collect_set("class").alias("classes")), f"{work}/standing")
+    values = every.select("k", "p1", "p2", "class", F.explode("holes").alias("hole")).select("k", "p1", "p2", "class", "hole.*").join(stand, key, "left")
+    values = values.where(~F.coalesce(F.array_contains("classes", F.col("class")), F.lit(False))).drop("classes")
     near = lambda x, y: F.bit_count(x["p1"].bitwiseXOR(y["p1"])) + F.bit_count(x["p2"].bitwiseXOR(y["p2"])) <= max_bits
-    # lists have at most PAIR_BUCKET members: crowded buckets are taken out before
-    member = F.struct("k", "p1", "p2", "kind")
-    asked = lambda x, y: x["kind"].bitwiseOR(y["kind"]) == HOLDS | ASKS
+    # lists have at most 2 * PAIR_BUCKET members: crowded buckets are taken out before
+    member = F.struct("k", "p1", "p2", "kind", "class")
+    asked = lambda x, y: (x["kind"].bitwiseOR(y["kind"]) == HOLDS | ASKS) & F.coalesce(x["class"] != y["class"], F.lit(True))
     small = values.join(crowded, key, "left_anti").groupBy(*key).agg(F.collect_list(member).alias("m")).where(F.size("m") > 1)
     pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (x["k"] < y["k"]) & asked(x, y) & near(x, y)), lambda y: F.struct(x["k"].alias("a"), y["k"].alias("b")))))
     inside = small.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
@@ -579,7 +654,7 @@ def _candidates(wide: DataFrame, work: str, max_bits: int = 33) -> tuple[DataFra
         met = _in_blocks(values, crowded, ["p1", "p2", "kind"], compare, "a long, b long, part int, value long, dense boolean")
         met = stored(met, f"{work}/crowded-pairs")
     pairs = stored(inside.unionByName(met.select("a", "b")).distinct(), f"{work}/candidates")
-    return pairs, met.where("dense").drop("dense"), values, crowded
+    return pairs, met.where("dense").drop("dense"), values, crowded, at
 
 
 def _forest(k: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
@@ -638,9 +713,11 @@ _FEW_GROUPS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "64"}
 def _linked(wide: DataFrame, rows: DataFrame, words: int, least: float, work: str, max_bits: int = 33) -> DataFrame:
     """Rows (u, root) of the components of all verified near pairs.
 
-    Texts of the same shingles are one class and linked without a test. Where a forest's links all hold, or join keys
-    that others join, its block needs no more. A block with a link that fails is compared again: its near pairs between
-    different components are verified, the nearest of each two components first, until none is left.
+    Texts of the same shingles are linked without a test. Large groups of near copies become classes first: their
+    members are not dealt out by bucket, but once for each class, with every text that meets it in any crowded bucket.
+    Where a forest's links all hold, or join keys that others join, its block needs no more. A block with a link that
+    fails, and a class beside texts that it does not reach, are compared again: near pairs between different components
+    are verified, the nearest of each two components first, until none is left.
     """
     if "holes" not in wide.columns:  # each text asks where it is held
         hole = lambda v, i: F.struct(i.alias("part"), v.alias("value"), F.lit(HOLDS | ASKS).alias("kind"))
@@ -650,9 +727,11 @@ def _linked(wide: DataFrame, rows: DataFrame, words: int, least: float, work: st
     twins = having.select("k", "same").join(heads, "same").where("k <> head").select(F.col("head").alias("a"), F.col("k").alias("b"))
     twins = stored(twins, f"{work}/twins")
     single = having.join(twins.select(F.col("b").alias("k")), "k", "left_anti")
-    pairs, forests, values, crowded = _candidates(single, work, max_bits)
+    joined, classes = _classes(single, wide, rows, words, least, work, max_bits)
+    pairs, forests, values, crowded, at = _candidates(single, classes, work, max_bits)
+    sides = _sides(values, at, classes, work)
     short = _short_links(single, least, work)
-    links = stored(_verified(pairs, wide, rows, words, least, f"{work}/round=0").unionByName(twins).unionByName(short).distinct(), f"{work}/links=0")
+    links = stored(_verified(pairs, wide, rows, words, least, f"{work}/round=0").unionByName(twins).unionByName(short).unionByName(joined).distinct(), f"{work}/links=0")
     reached = stored(components(links, f"{work}/components=0"), f"{work}/reached=0")
     most, turn = ROUND_PAIRS, 0
     while True:
@@ -660,21 +739,28 @@ def _linked(wide: DataFrame, rows: DataFrame, words: int, least: float, work: st
         named = lambda df, end, name: df.join(roots.select(F.col("k").alias(end), F.col("root").alias(name)), end, "left").withColumn(name, F.coalesce(name, end))  # noqa: B023, E731
         apart = named(named(forests, "a", "ra"), "b", "rb").where("ra <> rb").select("part", "value").distinct()
         again = stored(crowded.join(apart, ["part", "value"], "left_semi"), f"{work}/again={turn}")
-        if again.isEmpty():
+        beyond = named(named(sides.where("asks"), "k", "root"), "value", "top").where("root <> top").select("part", "value", "k", "asks")
+        beyond = stored(beyond, f"{work}/beyond={turn}")
+        if again.isEmpty() and beyond.isEmpty():
             return reached
+        open_sides = beyond.unionByName(sides.where("NOT asks").join(beyond.select("value").distinct(), "value", "left_semi"))
         turn += 1
         if turn == 1:  # later rounds come back to some of these buckets only
-            asked = values.join(again.drop("n"), ["part", "value"], "left_semi").select("k").distinct()
+            asked = values.join(again.drop("n"), ["part", "value"], "left_semi").select("k").unionByName(open_sides.select("k")).distinct()
             prints = _long_prints(asked, wide, rows, words, f"{work}/prints")
 
-        def compare(part: int, value: int, k: np.ndarray, root: np.ndarray, whole: np.ndarray, size: np.ndarray, most: int = most) -> pa.RecordBatch:
+        def compare(part: int, value: int, k: np.ndarray, *of: np.ndarray, most: int = most) -> pa.RecordBatch:
+            *side, root, whole, size = of
             p = np.frombuffer(b"".join(whole), np.uint64).reshape(len(k), -1)
-            i, j, more = crossing(p, root, np.where(size < SMALL, LONG_BITS[1], LONG_BITS[0]), most)
+            i, j, more = crossing(p, root, np.where(size < SMALL, LONG_BITS[1], LONG_BITS[0]), most, *side)
             return pa.RecordBatch.from_arrays([pa.array(k[i]), pa.array(k[j]), pa.array(more)], ["a", "b", "more"])
 
         with configured(wide.sparkSession, _FEW_GROUPS):
-            mine = values.select("part", "value", "k").join(again.drop("n"), ["part", "value"], "left_semi").join(prints, "k")
-            met = stored(_in_blocks(named(mine, "k", "root"), again, ["root", "print", "size"], compare, "a long, b long, more boolean"), f"{work}/met={turn}")
+            printed = stored(named(prints, "k", "root"), f"{work}/printed={turn}")  # a row a text, not one for each of its buckets
+            mine = values.select("part", "value", "k").join(again.drop("n"), ["part", "value"], "left_semi").join(printed, "k")
+            given, schema = ["root", "print", "size"], "a long, b long, more boolean"
+            met = _in_blocks(mine, again, given, compare, schema).unionByName(_across(open_sides.join(printed, "k"), given, compare, schema))
+            met = stored(met, f"{work}/met={turn}")
         new = stored(met.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), f"{work}/new={turn}")
         links = _verified(new, wide, rows, words, least, f"{work}/round={turn}")
         # new links join whole components: only their roots are linked anew
