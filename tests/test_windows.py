@@ -176,3 +176,11 @@ def test_tracker_guards(spark):
     # by the 12th nothing has gone wrong yet
     early = portfolio.guarded(entered, frame, day(12).isoformat(), 21)
     assert early.where("excluded IS NOT NULL").count() == 0
+
+
+def test_rows_of_like_values_are_not_broadcast_for_medians(spark):
+    rows = ranking.kept(spark.range(100_000).select(F.lit("hot").alias("k"), (F.col("id") % 3).cast("double").alias("a")))
+    out = ranking.exact_medians(rows, ["k"], ["a"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # the files take a few hundred bytes, so their size says nothing of the rows that a broadcast would gather in the driver
+    assert "BuildLeft" not in plan and "LeftOuter" in plan and [tuple(r) for r in out.collect()] == [("hot", 1.0)]

@@ -162,7 +162,8 @@ def exact_medians(rows: DataFrame, keys: list[str], measures: list[str], share:
     for i, k in enumerate(groups):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     cut = F.when(F.col("_v") < F.col("_lo"), F.lit(None).cast("double")).otherwise(F.col("_v"))
-    near = long.join(ends, same).where("_v <= _hi").select(*groups, "_n", "_position", cut.alias("_v"))
+    # every row has its ends, and the outer side of a join is never broadcast: files of like values are a small part of their rows' size
+    near = long.join(ends, same, "left").where("_v <= _hi OR _hi IS NULL").select(*groups, "_n", "_position", cut.alias("_v"))
     counted = near.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("_position").alias("_position"))
     through = F.sum("_c").over(Window.partitionBy(*groups).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = counted.withColumn("_through", through)
