@@ -228,6 +228,12 @@ def test_copies_are_compared_by_content(spark, tmp_path):
     assert back.columns == ["v", "k"] and [tuple(r) for r in back.collect()] == [("a", 1)]
 
 
+def test_a_source_that_comes_out_otherwise_each_time_is_compared_as_it_was_copied(spark, tmp_path):
+    frame = spark.range(20).selectExpr("id AS k", "reflect('java.util.UUID', 'randomUUID') AS v")
+    row = writes.reload(spark, {"t": (frame, ["k"])}, str(tmp_path)).first()
+    assert (row.n_keys, row.n_same, row.n_other) == (20, 20, 0)
+
+
 def test_position_sizes(spark):
     row = spark.createDataFrame([(20e6, "T1a")], "value double, tier string")
     c = spark_col
