@@ -209,6 +209,14 @@ def test_cells_people_and_edits(spark):
     assert got == [[], ["ticker_required", "director_required", "type_required", "shares_negative", "shares_not_whole", "date_not_iso", "ticker_empty"], [], []]
 
 
+def test_namesakes_in_one_filing_are_two_people(spark):
+    part = "1. Details of the person discharging responsibilities\na) Name: {}\nFull name: {}\nPosition: Director\n"
+    texts = [part.format("Mr Adam Smith", "Mr Adam Smith") * 2, part.format("Mr Adam Smith", "Mr Adam Smith"), "Name: Ann Lee\nName: Mr Adam Smith\n" + part.format("Mr Adam Smith", "Mr Adam Smith"), "Name: Ann Lee\nName: Ann Lee"]
+    single, review = extract.bundled(spark.createDataFrame(list(enumerate(texts)), "k int, text string"))
+    assert {r.k: r.names for r in single.collect()} == {1: ["Mr Adam Smith"], 3: ["Ann Lee"]}
+    assert {r.k: r.names for r in review.collect()} == {0: ["Mr Adam Smith"] * 2, 2: ["Ann Lee", "Mr Adam Smith"]}
+
+
 def test_tracker_by_hand(spark):
     prices = [("X", day(n), 100.0 + n) for n in range(60)] + [("^B", day(n), 1000.0) for n in range(60)]
     frame = spark.createDataFrame(prices, "ticker string, dt date, close double")

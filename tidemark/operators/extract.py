@@ -85,9 +85,10 @@ def resulting_holding(text: Column, shares: Column, bought: Column) -> Column:
     return F.when(~found.between(1990, 2099) & (~bought | (found >= shares)), found)
 
 
-# What separates notifications in one filing, and headlines that are out of scope.
+# What separates notifications in one filing, a person's name, what begins a person's details, and headlines that are out of scope.
 NOTIFICATION = r"(?i)\bnotification\s+\d+\s+of\s+\d+\b"
 PERSON = r"(?m)^\s*(?:[a1][.)]\s*)?(?i:(?:full )?name(?:\s+of\s+(?:the\s+)?(?:pdmr|person|director))?)\s*[:.]?\s*((?:(?:Mr|Mrs|Ms|Dr|Sir|Dame|Lord)\.? )?\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)+)"
+DETAILS = r"(?im)^\s*1[.)]?\s*details of the person\b"
 OUT_OF_SCOPE = r"(?i)employee (benefit|share ownership) trust|\bEBT\b"
 
 
@@ -96,9 +97,16 @@ def people(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PERSON), F.lit(1)), lambda n: F.trim(n)))
 
 
+def each_person(text: Column) -> Column:
+    """The names of a filing's people, in order: each part of details is a person's own, so namesakes stay two; what stands before adds the names that no part has."""
+    parts = F.split(text, DETAILS)
+    own = F.flatten(F.transform(F.slice(parts, 2, 1 << 30), people))
+    return F.concat(F.array_except(people(parts[0]), own), own)
+
+
 def bundled(filings: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(single, review): filings of several people, or of several numbered notifications, go to review with the names."""
-    named = filings.withColumn("names", people(F.col(text)))
+    named = filings.withColumn("names", each_person(F.col(text)))
     parts = F.regexp_count(F.col(text), F.lit(NOTIFICATION))
     many = (F.size("names") > 1) | (parts > 1)
     warning = F.concat(F.lit("bundled_multi_pdmr: "), F.array_join("names", "; "))
