@@ -184,3 +184,36 @@ def test_rows_of_like_values_are_not_broadcast_for_medians(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     # the files take a few hundred bytes, so their size says nothing of the rows that a broadcast would gather in the driver
     assert "BuildLeft" not in plan and "LeftOuter" in plan and [tuple(r) for r in out.collect()] == [("hot", 1.0)]
+
+
+@pytest.mark.parametrize("seed,lag,span", [(1, 3, 200), (2, 60, 120), (3, 0, 40), (4, 200, 400)])
+def test_other_directors_are_counted_without_pairs(spark, seed, lag, span):
+    rng = random.Random(seed)
+    rows = [(k, rng.choice("HHHHB"), rng.choice([*range(1, 9), None]), rng.randint(0, span), rng.randint(0, lag)) for k in range(160)]
+    buys = deals(spark, rows)
+    asked = buys.where("fingerprint % 3 > 0")
+    for days in (5, 30, 60):
+        counts = {(r.ticker, r.dt, r.announced): r.others for r in signals.other_counts(buys, asked, days).collect()}
+        gaps = {(r.ticker, r.dt, r.announced): r.gap for r in signals.nearest_other(buys, asked, days).collect()}
+        for k, t, d, n, late in rows:
+            if k % 3 and d is not None:
+                seen = [(e, abs(m - n)) for _, u, e, m, late2 in rows if u == t and e not in (None, d) and abs(m - n) <= days and m + late2 <= n + late]
+                at = (t, day(n), day(n + late))
+                assert counts[at] == len({e for e, _ in seen}) and gaps.get(at) == min((g for _, g in seen), default=None)
+
+
+def written(spark):
+    """Rows that tasks have written for shuffles so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_crowded_days_write_no_pairs(spark):
+    rows = [(k, "H", k % 500, k % 20, 0) for k in range(4000)]  # each of 4000 buys sees 499 others
+    buys = ranking.kept(deals(spark, rows))
+    before = written(spark)
+    counts = signals.other_counts(buys, buys).agg(F.min("others"), F.max("others"), F.count("*")).first()
+    gaps = signals.nearest_other(buys, buys, 60).agg(F.max("gap")).first()
+    assert counts[1] == 499 and counts[2] == 20 and gaps[0] == 0 and written(spark) - before < 20 * 4000

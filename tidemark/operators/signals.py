@@ -79,6 +79,61 @@ def other_buyers(buys: DataFrame, of: DataFrame, days: int = 30) -> DataFrame:
     return left.join(right, ["ticker", "b"]).where(near).select("fingerprint", "ticker", "other_fp", "other_director", "other_dt")
 
 
+def _first_seen(buys: DataFrame) -> DataFrame:
+    """Rows (ticker, director, day, seen): when each day's buying by a director was first announced."""
+    whole = buys.where("ticker IS NOT NULL AND director IS NOT NULL AND dt IS NOT NULL AND announced IS NOT NULL")
+    return whole.groupBy("ticker", "director", F.datediff("dt", F.lit("1970-01-01").cast("date")).alias("day")).agg(F.min("announced").alias("seen"))
+
+
+def _asked(of: DataFrame) -> DataFrame:
+    """Rows (ticker, dt, announced, day): what buys with a director see depends on nothing else, so a ticker asks as often as the calendar allows at most."""
+    day = F.datediff("dt", F.lit("1970-01-01").cast("date"))
+    return of.where("director IS NOT NULL AND dt IS NOT NULL").select("ticker", "dt", "announced").distinct().withColumn("day", day)
+
+
+def other_counts(buys: DataFrame, of: DataFrame, days: int = 30) -> DataFrame:
+    """Rows (ticker, dt, announced, others) for the buys ``of``, which are among ``buys``: how many other directors bought within ``days``, visible at announcement.
+
+    No pairs of buys: around a director's days there are spans in which the first announcement within reach is the same.
+    Equal spans are counted, then brought down to a count per ticker, day and first announcement; a running sum over the
+    announcements gives the directors visible. Windows hold a director's days in a ticker, then a day's announcements.
+    """
+    turn = lambda at, seen: F.struct(at.alias("day"), seen.alias("seen"), seen.isNull().alias("turn"))
+    none = F.lit(None).cast("date")
+    own = _first_seen(buys).withColumn("seen", F.col("seen").cast("date"))
+    points = own.select("ticker", "director", F.explode(F.array(turn(F.col("day") - days, none), turn(F.col("day"), F.col("seen")), turn(F.col("day") + days + 1, none))).alias("p")).select("ticker", "director", "p.*")
+    order = Window.partitionBy("ticker", "director").orderBy("day")
+    points = points.withColumn("seen", F.min("seen").over(order.rangeBetween(-days, days))).where("turn")
+    spans = points.withColumn("stop", F.lead("day").over(order)).where("seen IS NOT NULL AND stop > day")
+    spans = spans.groupBy("ticker", "day", "stop", "seen").agg(F.count(F.lit(1)).alias("n"))
+    daily = spans.select("ticker", F.explode(F.sequence(F.col("day"), F.col("stop") - 1)).alias("day"), "seen", "n").groupBy("ticker", "day", "seen").agg(F.sum("n").alias("n"))
+    asked = _asked(of)
+    kinds = dict(asked.dtypes)
+    both = daily.select("ticker", "day", "seen", "n", *[F.lit(None).cast(kinds[c]).alias(c) for c in ("dt", "announced")]).unionByName(
+        asked.select("ticker", "day", F.col("announced").cast("date").alias("seen"), F.lit(0).cast("long").alias("n"), "dt", "announced")
+    )
+    upto = Window.partitionBy("ticker", "day").orderBy("seen").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("others", F.sum("n").over(upto) - 1).where("dt IS NOT NULL").select("ticker", "dt", "announced", "others")
+
+
+def nearest_other(buys: DataFrame, of: DataFrame, days: int) -> DataFrame:
+    """Rows (ticker, dt, announced, gap) for the buys ``of``, which are among ``buys``: days to the nearest buy of another director within ``days``, visible at announcement.
+
+    No pairs of buys: of each ticker and day the first announcement, its director and the first of any other director tell
+    whether there is another. If a buy's own day shows one director only, that is its own; so days meet days.
+    """
+    first = F.row_number().over(Window.partitionBy("ticker", "day").orderBy("seen", "director"))
+    two = _first_seen(buys).withColumn("place", first).where("place <= 2")
+    at = lambda place, c: F.max(F.when(F.col("place") == place, F.col(c)))
+    daily = two.groupBy("ticker", "day").agg(at(1, "director").alias("who"), at(1, "seen").alias("seen"), at(2, "seen").alias("next_seen"))
+    asked = _asked(of).join(daily.select("ticker", "day", F.col("who").alias("own")), ["ticker", "day"])
+    left = asked.withColumn("b", F.explode(F.array(*[F.floor(F.col("day") / days) + k for k in (-1, 0, 1)])))
+    right = daily.select("ticker", F.floor(F.col("day") / days).alias("b"), F.col("day").alias("other_day"), "who", "seen", "next_seen")
+    gap = F.abs(F.col("day") - F.col("other_day"))
+    visible = F.when(F.col("who") == F.col("own"), F.col("next_seen")).otherwise(F.col("seen")) <= F.col("announced")
+    return left.join(right, ["ticker", "b"]).where((gap <= days) & visible).groupBy("ticker", "dt", "announced").agg(F.min(gap).alias("gap"))
+
+
 def cluster_buy(ctx: Context) -> DataFrame:
     pairs = other_buyers(ctx.buys, ctx.strict).select("fingerprint").distinct()
     return _fired(ctx.strict.join(pairs, "fingerprint", "left_semi"), "s1_cluster_buy", "high")

@@ -356,9 +356,10 @@ def cl05(t):
 WITH o AS (SELECT a.fingerprint, count(DISTINCT b.director) AS others FROM firing a LEFT JOIN buys b ON a.ticker = b.ticker AND a.director <> b.director AND abs(datediff('day', a.dt, b.dt)) <= 30 AND b.announced <= a.announced GROUP BY 1)
 SELECT others, count(*) AS n, round(100.0*count(*) FILTER (car > 0)/count(*), 4) AS hit_pct FROM es JOIN o USING (fingerprint) WHERE horizon='t30' AND car IS NOT NULL GROUP BY 1""")
 def cl06(t):
-    from tidemark.operators.signals import context, other_buyers
+    from tidemark.operators.signals import context, other_counts
 
     ctx = context(t.dealings, t.prices)
-    others = other_buyers(ctx.buys, ctx.strict).groupBy("fingerprint").agg(F.countDistinct("other_director").alias("others"))
-    rows = event_returns(t).where("horizon = 't30' AND car IS NOT NULL").join(others, "fingerprint", "left").withColumn("others", F.coalesce("others", F.lit(0)))
-    return rows.groupBy("others").agg(n_rows(), R(100.0 * F.count_if(F.col("car") > 0) / F.count(F.lit(1)), 4).alias("hit_pct"))
+    seen = ["ticker", "dt", "announced"]
+    rows = event_returns(t).where("horizon = 't30' AND car IS NOT NULL").groupBy(*seen, F.col("director").isNotNull().alias("named")).agg(n_rows(), F.count_if(F.col("car") > 0).alias("hits"))
+    out = rows.join(other_counts(ctx.buys, ctx.strict), seen, "left").withColumn("others", F.coalesce(F.when(F.col("named"), F.col("others")), F.lit(0)))
+    return out.groupBy("others").agg(F.sum("n").alias("n"), R(100.0 * F.sum("hits") / F.sum("n"), 4).alias("hit_pct"))
