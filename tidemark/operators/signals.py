@@ -159,15 +159,15 @@ def lone_conviction(ctx: Context, least: float = 200_000, days: int = 30, back:
 def lone_sweep(ctx: Context, leasts: list[float], windows: list[int], back: int = 60) -> DataFrame:
     """Lone large buys under every threshold and window, in one pass: rows (fingerprint, ticker, least, days, fired_at).
 
-    How far the nearest other buyer is settles all windows at once, so the pairs of the widest one are met once.
+    How far the nearest other buyer is settles all windows at once.
     """
     big = ctx.strict.where(F.col("value") >= min(leasts))
-    gaps = other_buyers(ctx.buys, big, max(windows)).join(big.select("fingerprint", F.col("dt").alias("own_dt")), "fingerprint")
-    gaps = gaps.groupBy("fingerprint").agg(F.min(F.abs(F.datediff("own_dt", "other_dt"))).alias("gap"))
+    gaps = nearest_other(ctx.buys, big, max(windows))
     order = Window.partitionBy("ticker").orderBy("dt")
     trail = ctx.prices.withColumn("ret", F.col("close") / F.lag("close", back).over(order) - 1)
     ret = F.col("found.ret")
-    seen = last_until(big, trail, "announced", take=["ret"]).where(ret.isNotNull() & ~ret.between(-0.10, -0.02)).join(gaps, "fingerprint", "left")
+    seen = last_until(big, trail, "announced", take=["ret"]).where(ret.isNotNull() & ~ret.between(-0.10, -0.02)).join(gaps, ["ticker", "dt", "announced"], "left")
+    seen = seen.withColumn("gap", F.when(F.col("director").isNotNull(), F.col("gap")))
     grid = F.explode(F.array(*[F.struct(F.lit(float(v)).alias("least"), F.lit(d).alias("days")) for v in leasts for d in windows]))
     fits = (F.col("value") >= F.col("g.least")) & (F.col("gap").isNull() | (F.col("gap") > F.col("g.days")))
     return seen.withColumn("g", grid).where(fits).select("fingerprint", "ticker", "g.least", "g.days", F.col("announced").alias("fired_at"))
