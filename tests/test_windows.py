@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import aggregate, clusters, portfolio, ranking, signals
 from tidemark.operators import timeseries as ts
+from tidemark.operators.groups import near_groups
 from tidemark.streaming import jobs
 
 DAY = dt.date(2024, 1, 1)
@@ -210,10 +211,33 @@ def written(spark):
     return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
 
-def test_crowded_days_write_no_pairs(spark):
+@pytest.fixture
+def shuffled(spark):
+    """As with tables beyond the broadcast limit."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_crowded_days_write_no_pairs(spark, shuffled):
     rows = [(k, "H", k % 500, k % 20, 0) for k in range(4000)]  # each of 4000 buys sees 499 others
     buys = ranking.kept(deals(spark, rows))
     before = written(spark)
     counts = signals.other_counts(buys, buys).agg(F.min("others"), F.max("others"), F.count("*")).first()
     gaps = signals.nearest_other(buys, buys, 60).agg(F.max("gap")).first()
     assert counts[1] == 499 and counts[2] == 20 and gaps[0] == 0 and written(spark) - before < 20 * 4000
+
+
+def test_a_crowd_writes_no_pairs_in_a_sweep(spark, shuffled):
+    prices = spark.createDataFrame([("H", day(n - 100), 100.0 + n) for n in range(200)], "ticker string, dt date, close double")
+    buys = ranking.kept(deals(spark, [(k, "H", k % 500, k % 20, 0) for k in range(4000)] + [(4000, "H", 1, 90, 0)]))
+    before = written(spark)
+    got = {(r.fingerprint, r.days) for r in signals.lone_sweep(signals.context(buys, prices), [0.5], [14, 60]).collect()}
+    assert got == {(4000, 14), (4000, 60)} and written(spark) - before < 20 * 4000
+
+
+def test_lone_rows_meet_none_in_near_groups(spark, shuffled):
+    rows = ranking.kept(spark.range(4000).selectExpr("id AS fingerprint", "id % 40 AS director", "date_add(DATE'2020-01-01', CAST(10 * (id DIV 40) AS INT)) AS dt", "100D AS value"))
+    before = written(spark)
+    found = near_groups(rows).agg(F.count_if("stays").alias("n"), F.count_if(F.col("group_key") == F.col("fingerprint")).alias("own")).first()
+    assert tuple(found) == (4000, 4000) and written(spark) - before < 5 * 4000
